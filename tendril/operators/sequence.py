@@ -2,22 +2,25 @@
 
 ``LAG``/``LEAD``/``ROW_NUMBER`` over ``PARTITION BY key`` put every row of a
 key into one task.  When one plant holds a third of all rows that task gets a
-third of the data.  The operators here split the key's timeline instead:
-
-1. ``repartitionByRange(n, key, *order)`` samples the composite sort key, so
-   a hot key's rows are cut into several contiguous range partitions
-   ("segments"); ``spark_partition_id()`` names the segment.
-2. The windows run per ``(key, segment)`` - each group is at most one range
-   partition.
-3. Only the first/last row of each segment needs a value from another
-   segment.  One row per (key, segment) - at most ``keys + n`` rows - is
-   aggregated; a window over those (at most ``n`` rows per key) hands each
-   segment the tail of the previous one, the head of the next one and the
-   number of rows after it.
-4. A join on (key, segment) - the side that is already clustered that way is
-   not shuffled again - patches the segment edges.
-
-The result equals the plain window result exactly.
+third of the data.  The operators here split the timeline of such keys:
+
+1. One partial aggregate finds the *hot* keys: more than ``target_rows`` rows.
+   There are at most ``total_rows / target_rows`` of them, so that list has a
+   size bound by construction and is broadcast.
+2. A hot key's rows are cut into ``ceil(n / target_rows)`` equal time slices
+   ("segments"); every other key is one segment.  The segment is a pure
+   function of the row and the key's statistics - recomputing any task
+   (e.g. after a lost executor) gives the same segment.  (A range exchange
+   would not do: its sampling is seeded per RDD, so two plan branches would
+   cut different ranges.)
+3. The windows run per ``(key, segment)``.
+4. Only the first/last row of a hot key's segment needs a value from another
+   segment: one row per (hot key, segment) is aggregated, a small window over
+   those hands each segment the tail of the previous one, the head of the next
+   one and the number of rows after it, and a broadcast join patches the edges.
+
+The result equals the plain window result exactly.  Slices are cut by time,
+so a burst of one key at a single instant stays in one segment (a limit).
 """
 
 from __future__ import annotations
@@ -28,23 +31,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEG = "_seg"
+DEFAULT_TARGET_ROWS = 2_000_000
+_LAST_SEG = 2_000_000_000  # segment of rows without a time (sorted last)
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _segments(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def segment(df: DataFrame, key: str, order: Sequence[str], n: int | None = None) -> DataFrame:
-    """Range-partition on (key, *order) and tag every row with its segment."""
-    return df.repartitionByRange(_segments(df, n), F.col(key), *[F.col(o) for o in order]).withColumn(
-        SEG, F.spark_partition_id()
+def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int) -> DataFrame:
+    """Add ``_seg`` (0 for ordinary keys, a time slice for hot keys) and ``_hot``."""
+    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    hot = (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
+        .where(F.col("_n") > target_rows)
+        .select(
+            F.col(key).alias("_hk"),
+            "_t0",
+            # slice width in micros, at least 1
+            F.greatest(
+                F.lit(1).cast("long"),
+                F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") / F.lit(target_rows))).cast("long"),
+            ).alias("_w"),
+        )
+    )
+    joined = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
+    seg = (
+        F.when(F.col("_hk").isNull(), F.lit(0))
+        .when(t.isNull(), F.lit(_LAST_SEG))
+        .otherwise(F.floor((t - F.col("_t0")) / F.col("_w")).cast("int"))
     )
+    return joined.withColumn(SEG, seg).withColumn("_hot", F.col("_hk").isNotNull()).drop("_hk", "_t0", "_w")
 
 
 def with_neighbours(
@@ -52,22 +70,23 @@ def with_neighbours(
     key: str,
     order: Sequence[Column | str],
     values: Sequence[str],
+    time_col: str,
     prev: bool = True,
     next_: bool = False,
     rank_desc: str | None = None,
     prev_prefix: str = "prev_",
     next_prefix: str = "next_",
-    segments: int | None = None,
+    target_rows: int = DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
     """Add ``prev_<v>`` / ``next_<v>`` (the adjacent row of the same key under
     ``order``) and optionally a descending row number ``rank_desc``.
 
-    ``order`` is a list of columns or expressions; ties must be broken by the
-    caller (e.g. by ``id``) so that the order is total.
+    ``order`` is a list of columns or expressions that must be monotone in
+    ``time_col`` (NULL times last) and total (break ties by ``id``).
     """
     ord_names = [f"_o{i}" for i in range(len(order))]
     base = df.select("*", *[_col(o).alias(n) for o, n in zip(order, ord_names)])
-    seg = segment(base, key, ord_names, segments)
+    seg = time_segments(base, key, time_col, target_rows)
 
     w = Window.partitionBy(key, SEG).orderBy(*ord_names)
     payload = F.struct(*[F.col(v).alias(v) for v in values])
@@ -79,15 +98,19 @@ def with_neighbours(
     if next_:
         local = local.withColumn("_lead", F.lead(payload).over(w))
 
-    # Segment edges: one row per (key, segment), from the already clustered data.
+    # Edges of hot keys only: one row per (hot key, segment).
     ord_struct = F.struct(*[F.col(n) for n in ord_names])
-    edges = local.groupBy(key, SEG).agg(
-        F.min_by(payload, ord_struct).alias("_head"),
-        F.max_by(payload, ord_struct).alias("_tail"),
-        F.count(F.lit(1)).alias("_n"),
+    edges = (
+        seg.where(F.col("_hot"))
+        .groupBy(key, SEG)
+        .agg(
+            F.min_by(payload, ord_struct).alias("_head"),
+            F.max_by(payload, ord_struct).alias("_tail"),
+            F.count(F.lit(1)).alias("_n"),
+        )
     )
     we = Window.partitionBy(key).orderBy(SEG)
-    cols = [F.col(key), F.col(SEG)]
+    cols = [F.col(key).alias("_ek"), F.col(SEG).alias("_es")]
     if prev:
         cols.append(F.lag("_tail").over(we).alias("_prev_tail"))
     if next_:
@@ -95,9 +118,10 @@ def with_neighbours(
     if rank_desc:
         after = F.sum("_n").over(we.rowsBetween(1, Window.unboundedFollowing))
         cols.append(F.coalesce(after, F.lit(0)).alias("_after"))
-    edges = edges.select(*cols)
+    # At most (total_rows / target_rows) hot keys times their segments: bounded.
+    edges = F.broadcast(edges.select(*cols))
 
-    out = local.join(edges, [key, SEG], "left")
+    out = local.join(edges, (F.col(key) == F.col("_ek")) & (F.col(SEG) == F.col("_es")), "left")
     adds = []
     for v in values:
         if prev:
@@ -111,7 +135,8 @@ def with_neighbours(
                 .alias(next_prefix + v)
             )
     if rank_desc:
-        adds.append((F.col("_after") + F.col("_cnt") - F.col("_rn") + 1).cast("int").alias(rank_desc))
+        after = F.coalesce(F.col("_after"), F.lit(0))
+        adds.append((after + F.col("_cnt") - F.col("_rn") + 1).cast("int").alias(rank_desc))
     return out.select(*[F.col(c) for c in df.columns], *adds)
 
 
@@ -124,59 +149,63 @@ def asof_join(
     right_cols: Sequence[str],
     right_order: str | None = None,
     prefix: str = "",
-    segments: int | None = None,
+    target_rows: int = DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
     """For every left row, the values of the last right row of the same key
-    with ``right_time <= left_time`` (NULL if none); left rows are kept once.
-
-    Runs as one ordered scan over the union of both sides (no pairs are ever
-    formed): a right row at the same time as a left row counts as before it.
-    Skew-safe through the same segmenting as ``with_neighbours``.
+    with ``right_time <= left_time`` (NULL if none); every left row is kept
+    exactly once.
+
+    Runs as one ordered scan over the union of both sides - no pairs are ever
+    formed, so a key with many versions and many facts costs linear work.  A
+    right row at the same time as a left row counts as before it; right rows
+    at one time are ordered by ``right_order``.  Skew-safe through the same
+    time segments as ``with_neighbours``.
     """
-    right_order = right_order or right_time
     lcols = left.columns
-    payload_fields = [F.col(c).alias(c) for c in right_cols]
     l_part = left.select(
         F.struct(*[F.col(c) for c in lcols]).alias("_left"),
         F.col(key).alias("_k"),
         F.col(left_time).alias("_t"),
         F.lit(1).alias("_side"),
         F.lit(None).cast("long").alias("_tie"),
-        F.lit(None).alias("_right"),
     )
-    r_part = right.select(
-        F.lit(None).alias("_left"),
+    tie = F.col(right_order).cast("long") if right_order else F.lit(None).cast("long")
+    r_part = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(
         F.col(key).alias("_k"),
         F.col(right_time).alias("_t"),
         F.lit(0).alias("_side"),
-        F.col(right_order).cast("long").alias("_tie") if right_order != right_time else F.lit(None).cast("long"),
-        F.struct(*payload_fields).alias("_right"),
+        tie.alias("_tie"),
+        F.struct(*[F.col(c).alias(c) for c in right_cols]).alias("_right"),
     )
-    # Types of the NULL placeholders come from the other side.
     l_part = l_part.withColumn("_right", F.lit(None).cast(r_part.schema["_right"].dataType))
     r_part = r_part.withColumn("_left", F.lit(None).cast(l_part.schema["_left"].dataType))
-    # Right rows without key or time can never match; left rows are all kept.
-    r_part = r_part.where(F.col("_k").isNotNull() & F.col("_t").isNotNull())
     both = l_part.unionByName(r_part)
 
-    ords = ["_t", "_side", "_tie"]
-    seg = segment(both, "_k", ords, segments)
+    seg = time_segments(both, "_k", "_t", target_rows)
+    ords = [F.col("_t").isNull(), F.col("_t"), F.col("_side"), F.col("_tie")]
     w = Window.partitionBy("_k", SEG).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
     local = seg.withColumn("_carry", F.last("_right", ignorenulls=True).over(w))
-    ord_struct = F.struct(*[F.col(o) for o in ords])
-    carry = _carry_in(local, ord_struct)
-    out = local.where(F.col("_side") == 1).join(carry, ["_k", SEG], "left")
+
+    # Carry into each hot segment: the last right row of all earlier segments.
+    # Every (hot key, segment) with left rows is listed, even without right rows.
+    seg_last = (
+        seg.where(F.col("_hot"))
+        .groupBy("_k", SEG)
+        .agg(F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_seg_last"))
+    )
+    wc = Window.partitionBy("_k").orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.broadcast(
+        seg_last.select(
+            F.col("_k").alias("_ck"),
+            F.col(SEG).alias("_cs"),
+            F.last("_seg_last", ignorenulls=True).over(wc).alias("_carry_in"),
+        )
+    )
+    out = local.where(F.col("_side") == 1).join(
+        carry, (F.col("_k") == F.col("_ck")) & (F.col(SEG) == F.col("_cs")), "left"
+    )
     value = F.when(F.col("_t").isNotNull(), F.coalesce(F.col("_carry"), F.col("_carry_in")))
     return out.select(
         *[F.col("_left")[c].alias(c) for c in lcols],
         *[value[c].alias(prefix + c) for c in right_cols],
     )
-
-
-def _carry_in(local: DataFrame, ord_struct: Column) -> DataFrame:
-    """Per (key, segment): the last right payload of all earlier segments."""
-    per_seg = local.groupBy("_k", SEG).agg(
-        F.max_by(F.col("_right"), F.when(F.col("_side") == 0, ord_struct)).alias("_seg_last")
-    )
-    we = Window.partitionBy("_k").orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    return per_seg.select("_k", SEG, F.last("_seg_last", ignorenulls=True).over(we).alias("_carry_in"))

@@ -174,7 +174,9 @@ def growth_timeline(t: CareTables, as_of=None) -> DataFrame:
     since the previous measurement and UP / DOWN / FLAT (first rows FLAT).
     The height filter runs before the window, as in the source."""
     m = t.measurements.where(F.col("height_cm").isNotNull())
-    m = with_neighbours(m, "plant_id", measurement_order(), ["height_cm", "measurement_date"], prev=True)
+    m = with_neighbours(
+        m, "plant_id", measurement_order(), ["height_cm", "measurement_date"], "measurement_date", prev=True
+    )
     m = m.join(_plant_names(t), "plant_id")
     return m.select(
         "id",
@@ -268,6 +270,7 @@ def measurements_overview(t: CareTables, as_of) -> DataFrame:
         "plant_id",
         measurement_order(),
         ["height_cm", "leaf_count", "health_status"],
+        "measurement_date",
         prev=True,
         rank_desc="measurement_rank",
     )
@@ -362,7 +365,9 @@ def growth_statistics(t: CareTables, as_of, window_days: int = 30) -> DataFrame:
     )
 
 
-GROWTH_STATISTICS_ORDER = [F.col("total_measurements").desc(), F.col("plant_name").asc(), F.col("plant_id").asc()]
+def growth_statistics_order() -> list[Column]:
+    """The source's ORDER BY total_measurements DESC, name (plus id for ties)."""
+    return [F.col("total_measurements").desc(), F.col("plant_name").asc(), F.col("plant_id").asc()]
 
 
 # --------------------------------------------------------------------- V-9
@@ -373,7 +378,7 @@ def health_alerts(t: CareTables, as_of, stale_days: int = 30) -> DataFrame:
     now = as_ts(as_of)
     latest = latest_per_key(
         t.measurements, "plant_id", ["health_status", "measurement_date", "notes"], "measurement_date"
-    ).withColumn("_has", F.lit(True))
+    ).select("plant_id", "health_status", "measurement_date", F.col("notes").alias("last_notes"), F.lit(True).alias("_has"))
     p = t.plants.where(F.col("is_active")).join(_types(t, F.col("name").alias("plant_type")), "plant_type_id", "left")
     out = p.join(latest, p.id == latest.plant_id, "left")
     h = F.col("health_status")
@@ -402,7 +407,7 @@ def health_alerts(t: CareTables, as_of, stale_days: int = 30) -> DataFrame:
         days.alias("days_since_measurement"),
         level.alias("alert_level"),
         msg.alias("alert_message"),
-        F.col("notes").alias("last_notes"),
+        "last_notes",
     )
 
 
