@@ -425,3 +425,10 @@ def alert_rank(level: Column) -> Column:
 def look_back(col: str, as_of, days: int) -> Column:
     """F-6: ``col >= as_of - days`` (no upper end)."""
     return F.col(col) >= add_days(as_ts(as_of), -days)
+
+
+def reminder_rows(reminders: DataFrame, now: Column) -> DataFrame:
+    """The model's reminder fields: status and calendar days until."""
+    return reminders.withColumn(
+        "status", L.reminder_status("reminder_date", "is_sent", "is_completed", now)
+    ).withColumn("days_until", calendar_days(F.col("reminder_date"), now))

@@ -1 +1,387 @@
-"""Registered queries: functions (FN-*)."""
+"""Registered queries: functions (FN-1 .. FN-20)."""
+
+from __future__ import annotations
+
+from tendril.plans import analytics as A
+from tendril.registry import EV, M_ASC, M_DESC, MS, T, cd, register, rr, wd
+from tendril.sources.roles import EVENTS_AS_OF, MEASURE_AS_OF
+
+
+def fd(a: str, b: str) -> str:
+    """Floored days of a - b (Python timedelta.days)."""
+    return f"CAST(floor((epoch_us({a}) - epoch_us({b})) / 86400000000.0) AS INTEGER)"
+
+
+def latest_m(where: str = "") -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY {M_DESC}) AS rn
+               FROM measurements {where}) x WHERE rn = 1"""
+
+
+def trunc_sql(col: str, n: int) -> str:
+    return f"CASE WHEN length({col}) > {n} THEN substr({col}, 1, {n}) || '...' ELSE {col} END"
+
+
+def due_sql(d: str) -> str:
+    return (
+        f"CASE WHEN {d} < 0 THEN CAST(abs({d}) AS VARCHAR) || ' days late' WHEN {d} = 0 THEN 'today' "
+        f"WHEN {d} = 1 THEN 'tomorrow' ELSE 'in ' || CAST({d} AS VARCHAR) || ' days' END"
+    )
+
+
+HEALTH_APP = """CASE WHEN {h} IS NULL OR {h} = 0 THEN 'NOT_MEASURED' WHEN {h} = 1 THEN 'VERY_POOR'
+     WHEN {h} = 2 THEN 'POOR' WHEN {h} = 3 THEN 'FAIR' WHEN {h} = 4 THEN 'GOOD' WHEN {h} = 5 THEN 'EXCELLENT'
+     ELSE 'UNKNOWN' END"""
+
+REMINDER_STATUS = """CASE WHEN r.is_completed THEN 'DONE'
+     WHEN r.reminder_date < {now} AND NOT r.is_sent THEN 'OVERDUE'
+     WHEN r.reminder_date <= {now} + INTERVAL 1 DAY THEN 'URGENT'
+     WHEN r.reminder_date <= {now} + INTERVAL 3 DAY THEN 'SOON' ELSE 'FUTURE' END"""
+
+
+@register(
+    "active_plants",
+    f"""
+SELECT p.id, p.name, pt.name AS plant_type_name, p.planted_date, p.location,
+       {cd(MS, 'p.planted_date')} AS days_since_planted, p.created_at
+FROM plants p LEFT JOIN plant_types pt ON p.plant_type_id = pt.id WHERE p.is_active = TRUE""",
+)
+def q_active_plants(spark, sf_dir):
+    return A.active_plants(T(spark, sf_dir), MEASURE_AS_OF)
+
+
+@register(
+    "growth_stats",
+    f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY {M_ASC}) AS ra,
+                     row_number() OVER (PARTITION BY plant_id ORDER BY {M_DESC}) AS rd FROM measurements),
+a AS (SELECT plant_id, count(id) AS n, min(measurement_date) AS first_d, max(measurement_date) AS last_d,
+             max(height_cm) AS max_h, max(leaf_count) AS max_l, sum(health_status) AS hs, count(health_status) AS hn
+      FROM measurements GROUP BY plant_id)
+SELECT p.id AS plant_id, p.name AS plant_name, CAST(COALESCE(a.n, 0) AS INTEGER) AS total_measurements,
+       a.first_d AS first_measurement_date, a.last_d AS last_measurement_date, l.height_cm AS current_height_cm,
+       a.max_h AS max_height_cm, COALESCE(l.height_cm - f.height_cm, 0) AS height_growth_cm,
+       l.leaf_count AS current_leaf_count, a.max_l AS max_leaf_count, l.health_status AS current_health_status,
+       {rr('a.hs', 'a.hn', 2)} AS avg_health_status
+FROM plants p LEFT JOIN a ON a.plant_id = p.id
+LEFT JOIN (SELECT * FROM r WHERE ra = 1) f ON f.plant_id = p.id
+LEFT JOIN (SELECT * FROM r WHERE rd = 1) l ON l.plant_id = p.id""",
+)
+def q_growth_stats(spark, sf_dir):
+    return A.growth_stats(T(spark, sf_dir))
+
+
+_ATT_D = wd(EV, "COALESCE(lw.last_water, p.created_at)")
+
+
+@register(
+    "needs_attention",
+    f"""
+WITH lw AS (SELECT e.plant_id, max(e.event_date) AS last_water
+            FROM care_events e JOIN event_types et ON e.event_type_id = et.id
+            WHERE et.name = 'WATER' AND e.is_completed = TRUE GROUP BY e.plant_id),
+a AS (SELECT p.id AS plant_id, p.name AS plant_name, lw.last_water, {_ATT_D} AS d
+      FROM plants p LEFT JOIN lw ON p.id = lw.plant_id WHERE p.is_active = TRUE),
+lh AS ({latest_m('WHERE health_status IS NOT NULL')})
+SELECT plant_id, plant_name, 'Not watered for ' || CAST(d AS VARCHAR) || ' days' AS reason,
+       CASE WHEN d > 14 THEN 3 WHEN d > 7 THEN 2 ELSE 1 END AS urgency, last_water AS last_event_date
+FROM a WHERE d > 5
+UNION ALL
+SELECT p.id, p.name, 'Poor health - ' || CAST(lh.health_status AS VARCHAR) || '/5',
+       CASE WHEN lh.health_status <= 2 THEN 3 WHEN lh.health_status = 3 THEN 2 ELSE 1 END, lh.measurement_date
+FROM plants p JOIN lh ON p.id = lh.plant_id WHERE p.is_active = TRUE AND lh.health_status <= 3""",
+)
+def q_needs_attention(spark, sf_dir):
+    return A.needs_attention(T(spark, sf_dir), EVENTS_AS_OF)
+
+
+@register(
+    "upcoming_reminders",
+    f"""
+SELECT r.id AS reminder_id, p.name AS plant_name, et.name AS event_type_name, r.reminder_date, r.message,
+       {wd('r.reminder_date', EV)} AS days_until
+FROM reminders r JOIN plants p ON r.plant_id = p.id JOIN event_types et ON r.event_type_id = et.id
+WHERE r.is_sent = FALSE AND r.is_completed = FALSE
+  AND r.reminder_date <= {EV} + INTERVAL 7 DAY AND r.reminder_date >= {EV}""",
+)
+def q_upcoming_reminders(spark, sf_dir):
+    return A.upcoming_reminders(T(spark, sf_dir), EVENTS_AS_OF, 7)
+
+
+@register(
+    "measurement_trend",
+    f"""
+SELECT plant_id, id, measurement_date, height_cm, width_cm, leaf_count, health_status, notes,
+       {wd(MS, 'measurement_date')} AS days_ago
+FROM measurements WHERE measurement_date >= {MS} - INTERVAL 30 DAY""",
+)
+def q_measurement_trend(spark, sf_dir):
+    return A.measurement_trend(T(spark, sf_dir), MEASURE_AS_OF, 30)
+
+
+@register(
+    "health_analysis",
+    f"""
+WITH lm AS ({latest_m()}),
+ha AS (SELECT plant_id, sum(health_status) AS s, count(health_status) AS n FROM measurements
+       WHERE measurement_date >= {MS} - INTERVAL 90 DAY GROUP BY plant_id)
+SELECT p.id AS plant_id, p.name AS plant_name, pt.name AS plant_type,
+       lm.health_status AS current_health_status, {rr('ha.s', 'ha.n', 2)} AS avg_health_status,
+       CASE WHEN lm.health_status > ha.s / NULLIF(ha.n, 0) THEN 'IMPROVING'
+            WHEN lm.health_status < ha.s / NULLIF(ha.n, 0) THEN 'WORSENING' ELSE 'STABLE' END AS health_trend,
+       lm.measurement_date AS last_measurement_date,
+       {wd(MS, 'lm.measurement_date')} AS days_since_measurement,
+       CASE WHEN lm.health_status <= 2 THEN TRUE WHEN {wd(MS, 'lm.measurement_date')} > 30 THEN TRUE
+            ELSE FALSE END AS needs_attention
+FROM plants p LEFT JOIN plant_types pt ON p.plant_type_id = pt.id
+LEFT JOIN lm ON lm.plant_id = p.id LEFT JOIN ha ON ha.plant_id = p.id
+WHERE p.is_active = TRUE""",
+)
+def q_health_analysis(spark, sf_dir):
+    return A.health_analysis(T(spark, sf_dir), MEASURE_AS_OF)
+
+
+_FD = fd(MS, "lm.measurement_date")
+_POOR = "lm.health_status IS NOT NULL AND lm.health_status <> 0 AND lm.health_status <= 2"
+
+
+@register(
+    "plant_card_flags",
+    f"""
+WITH lm AS ({latest_m()})
+SELECT p.id AS plant_id, p.name AS plant_name,
+       CASE WHEN lm.plant_id IS NULL THEN TRUE WHEN {_FD} > 30 THEN TRUE WHEN {_POOR} THEN TRUE
+            ELSE FALSE END AS needs_attention,
+       CASE WHEN lm.plant_id IS NULL THEN 'No measurements'
+            WHEN {_FD} > 30 THEN 'Last measurement ' || CAST({_FD} AS VARCHAR) || ' days ago'
+            WHEN {_POOR} THEN 'Poor health (' || {HEALTH_APP.format(h='lm.health_status')} || ')'
+            ELSE 'In good condition' END AS reason
+FROM plants p LEFT JOIN lm ON lm.plant_id = p.id WHERE p.is_active = TRUE""",
+)
+def q_plant_card_flags(spark, sf_dir):
+    return A.plant_card_flags(T(spark, sf_dir), MEASURE_AS_OF)
+
+
+@register(
+    "height_trends",
+    f"""
+WITH m AS (SELECT * FROM measurements WHERE height_cm IS NOT NULL),
+r AS (SELECT plant_id, height_cm, row_number() OVER (PARTITION BY plant_id ORDER BY {M_ASC}) AS ra,
+             row_number() OVER (PARTITION BY plant_id ORDER BY {M_DESC}) AS rd,
+             count(*) OVER (PARTITION BY plant_id) AS n FROM m),
+w AS (SELECT plant_id, height_cm, row_number() OVER (PARTITION BY plant_id ORDER BY measurement_date, id) AS ra,
+             row_number() OVER (PARTITION BY plant_id ORDER BY measurement_date DESC, id DESC) AS rd,
+             count(*) OVER (PARTITION BY plant_id) AS wn
+      FROM m WHERE measurement_date >= {MS} - INTERVAL 30 DAY)
+SELECT p.id AS plant_id,
+       CASE WHEN COALESCE(wf.wn, 0) < 2 THEN 'INSUFFICIENT' WHEN wl.height_cm > wf.height_cm THEN 'UP'
+            WHEN wl.height_cm < wf.height_cm THEN 'DOWN' ELSE 'STABLE' END AS growth_trend,
+       CASE WHEN f.n >= 2 THEN l.height_cm - f.height_cm END AS total_growth
+FROM plants p
+LEFT JOIN (SELECT * FROM r WHERE ra = 1) f ON f.plant_id = p.id
+LEFT JOIN (SELECT * FROM r WHERE rd = 1) l ON l.plant_id = p.id
+LEFT JOIN (SELECT * FROM w WHERE ra = 1) wf ON wf.plant_id = p.id
+LEFT JOIN (SELECT * FROM w WHERE rd = 1) wl ON wl.plant_id = p.id""",
+)
+def q_height_trends(spark, sf_dir):
+    return A.height_trends(T(spark, sf_dir), MEASURE_AS_OF)
+
+
+@register(
+    "latest_measurement",
+    f"""
+WITH lm AS ({latest_m()})
+SELECT p.id AS plant_id, lm.id AS measurement_id, lm.measurement_date,
+       CASE WHEN lm.height_cm <> 0 THEN lm.height_cm END AS current_height,
+       lm.health_status AS current_health_status,
+       CASE WHEN lm.plant_id IS NULL THEN 'NO_MEASUREMENT' ELSE {HEALTH_APP.format(h='lm.health_status')} END
+         AS current_health_text
+FROM plants p LEFT JOIN lm ON lm.plant_id = p.id""",
+)
+def q_latest_measurement(spark, sf_dir):
+    return A.latest_measurement(T(spark, sf_dir))
+
+
+@register(
+    "dashboard_metrics",
+    f"""
+WITH lw AS (SELECT e.plant_id, max(e.event_date) AS last_water
+            FROM care_events e JOIN event_types et ON e.event_type_id = et.id
+            WHERE et.name = 'WATER' AND e.is_completed = TRUE GROUP BY e.plant_id),
+a AS (SELECT p.id FROM plants p LEFT JOIN lw ON p.id = lw.plant_id
+      WHERE p.is_active = TRUE AND {_ATT_D} > 5),
+lh AS ({latest_m('WHERE health_status IS NOT NULL')}),
+b AS (SELECT p.id FROM plants p JOIN lh ON p.id = lh.plant_id WHERE p.is_active = TRUE AND lh.health_status <= 3)
+SELECT (SELECT count(*) FROM plants WHERE is_active = TRUE) AS total_plants,
+       (SELECT count(*) FROM care_events) AS total_events,
+       (SELECT count(*) FROM reminders r JOIN plants p ON r.plant_id = p.id JOIN event_types et
+          ON r.event_type_id = et.id WHERE r.is_sent = FALSE AND r.is_completed = FALSE
+          AND r.reminder_date <= {EV} + INTERVAL 7 DAY AND r.reminder_date >= {EV}) AS upcoming_reminders,
+       (SELECT count(*) FROM a) + (SELECT count(*) FROM b) AS plants_needing_attention""",
+)
+def q_dashboard_metrics(spark, sf_dir):
+    return A.dashboard_metrics(T(spark, sf_dir), EVENTS_AS_OF)
+
+
+@register(
+    "recent_events",
+    """
+SELECT e.id, e.plant_id, p.name AS plant_name, et.name AS event_type_name, e.event_date, e.description, e.created_at
+FROM care_events e JOIN plants p ON e.plant_id = p.id JOIN event_types et ON e.event_type_id = et.id
+WHERE p.is_active = TRUE ORDER BY e.created_at DESC NULLS FIRST, e.id DESC LIMIT 5""",
+)
+def q_recent_events(spark, sf_dir):
+    return A.recent_events(T(spark, sf_dir), 5)
+
+
+@register(
+    "recent_images",
+    """
+SELECT i.id, i.plant_id, p.name AS plant_name, i.filename, i.upload_date, i.file_size
+FROM plant_images i JOIN plants p ON i.plant_id = p.id
+WHERE p.is_active = TRUE ORDER BY i.upload_date DESC NULLS FIRST, i.id DESC LIMIT 6""",
+)
+def q_recent_images(spark, sf_dir):
+    return A.recent_images(T(spark, sf_dir), 6)
+
+
+def _plant_cards_sql(page_no: int, search: str, type_id: int) -> str:
+    cond = "is_active = TRUE"
+    if search:
+        cond += f" AND name LIKE '%{search}%'"
+    if type_id > 0:
+        cond += f" AND plant_type_id = {type_id}"
+    return f"""
+WITH pg AS (SELECT * FROM plants WHERE {cond} ORDER BY created_at DESC NULLS FIRST, id DESC
+            LIMIT 12 OFFSET {(max(page_no, 1) - 1) * 12}),
+ev AS (SELECT plant_id, count(*) AS c FROM care_events GROUP BY plant_id),
+im AS (SELECT plant_id, count(*) AS c,
+              min(CASE WHEN r = 1 THEN filename END) AS first_image
+       FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY upload_date IS NULL, upload_date, id) AS r
+             FROM plant_images) x GROUP BY plant_id),
+ms AS (SELECT plant_id, count(*) AS c, min(CASE WHEN r = 1 THEN health_status END) AS latest_health
+       FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY {M_DESC}) AS r FROM measurements) x
+       GROUP BY plant_id)
+SELECT pg.id, pg.name, pg.plant_type_id, pg.location, pg.created_at, COALESCE(ev.c, 0) AS event_count,
+       COALESCE(im.c, 0) AS image_count, COALESCE(ms.c, 0) AS measurement_count, ms.latest_health, im.first_image
+FROM pg LEFT JOIN ev ON ev.plant_id = pg.id LEFT JOIN im ON im.plant_id = pg.id LEFT JOIN ms ON ms.plant_id = pg.id"""
+
+
+@register("plant_cards", _plant_cards_sql(1, "", 0))
+def q_plant_cards(spark, sf_dir):
+    return A.plant_cards(T(spark, sf_dir), 1)
+
+
+@register("plant_cards_search", _plant_cards_sql(2, "Customer#0000001", 0))
+def q_plant_cards_search(spark, sf_dir):
+    return A.plant_cards(T(spark, sf_dir), 2, search="Customer#0000001")
+
+
+@register(
+    "plant_detail_events",
+    """
+SELECT * FROM (SELECT id, plant_id, event_type_id, event_date, description, is_completed,
+                      CAST(row_number() OVER (PARTITION BY plant_id ORDER BY event_date DESC, id DESC) AS INTEGER)
+                        AS rank
+               FROM care_events) x WHERE rank <= 10""",
+)
+def q_plant_detail_events(spark, sf_dir):
+    return A.detail_events(T(spark, sf_dir), 10)
+
+
+@register(
+    "plant_detail_measurements",
+    f"""
+SELECT * FROM (SELECT id, plant_id, measurement_date, height_cm, leaf_count, health_status,
+                      CAST(row_number() OVER (PARTITION BY plant_id ORDER BY {M_DESC}) AS INTEGER) AS rank
+               FROM measurements) x WHERE rank <= 5""",
+)
+def q_plant_detail_measurements(spark, sf_dir):
+    return A.detail_measurements(T(spark, sf_dir), 5)
+
+
+@register(
+    "plant_detail_reminders",
+    """
+SELECT id, plant_id, event_type_id, reminder_date, message, is_sent FROM reminders WHERE is_completed = FALSE""",
+)
+def q_plant_detail_reminders(spark, sf_dir):
+    return A.detail_reminders(T(spark, sf_dir))
+
+
+def _event_list_sql(page_no: int, plant_id: int, type_id: int) -> str:
+    cond = "p.is_active = TRUE"
+    if plant_id > 0:
+        cond += f" AND e.plant_id = {plant_id}"
+    if type_id > 0:
+        cond += f" AND e.event_type_id = {type_id}"
+    d = cd("pg.event_date", EV)
+    return f"""
+WITH pg AS (SELECT e.*, p.name AS plant_name FROM care_events e JOIN plants p ON e.plant_id = p.id
+            WHERE {cond} ORDER BY e.event_date DESC, e.id DESC LIMIT 20 OFFSET {(max(page_no, 1) - 1) * 20})
+SELECT pg.id, pg.plant_id, pg.plant_name, pg.event_type_id, pg.event_date,
+       {trunc_sql('pg.description', 30)} AS description_short, pg.is_completed, {d} AS days_until,
+       {due_sql(d)} AS due_label,
+       CASE WHEN pg.is_completed THEN 'DONE' WHEN {d} < 0 THEN 'OVERDUE' WHEN {d} <= 1 THEN 'URGENT'
+            ELSE 'PLANNED' END AS status
+FROM pg"""
+
+
+@register("event_list", _event_list_sql(1, 0, 0))
+def q_event_list(spark, sf_dir):
+    return A.event_list(T(spark, sf_dir), EVENTS_AS_OF, 1)
+
+
+@register("event_list_filtered", _event_list_sql(2, 0, 1))
+def q_event_list_filtered(spark, sf_dir):
+    return A.event_list(T(spark, sf_dir), EVENTS_AS_OF, 2, event_type_id=1)
+
+
+@register(
+    "measurement_list",
+    f"""
+WITH pg AS (SELECT m.*, p.name AS plant_name FROM measurements m JOIN plants p ON m.plant_id = p.id
+            WHERE p.is_active = TRUE ORDER BY m.measurement_date DESC NULLS FIRST, m.id DESC LIMIT 20)
+SELECT id, plant_id, plant_name, measurement_date, height_cm, leaf_count, health_status,
+       {HEALTH_APP.format(h='health_status')} AS health_text, {trunc_sql('notes', 50)} AS notes_short
+FROM pg""",
+)
+def q_measurement_list(spark, sf_dir):
+    return A.measurement_list(T(spark, sf_dir), 1)
+
+
+@register(
+    "image_list",
+    """
+SELECT i.id, i.plant_id, p.name AS plant_name, i.filename, i.upload_date, i.file_size,
+       round(i.file_size / 1048576.0, 1) AS size_mb
+FROM plant_images i JOIN plants p ON i.plant_id = p.id
+WHERE p.is_active = TRUE ORDER BY i.upload_date DESC NULLS FIRST, i.id DESC LIMIT 24""",
+)
+def q_image_list(spark, sf_dir):
+    return A.image_list(T(spark, sf_dir), 1)
+
+
+_BOARD = f"""
+SELECT r.id, r.plant_id, p.name AS plant_name, r.event_type_id, r.reminder_date, r.message, r.is_sent,
+       {REMINDER_STATUS.format(now=EV)} AS status, {cd('r.reminder_date', EV)} AS days_until,
+       {due_sql(cd('r.reminder_date', EV))} AS due_label
+FROM reminders r JOIN plants p ON r.plant_id = p.id
+WHERE r.is_completed = FALSE AND p.is_active = TRUE"""
+
+
+@register("reminder_board", _BOARD)
+def q_reminder_board(spark, sf_dir):
+    return A.reminder_board(T(spark, sf_dir), EVENTS_AS_OF)
+
+
+@register(
+    "reminder_status_counts",
+    f"""
+WITH b AS ({_BOARD})
+SELECT count(*) FILTER (WHERE status = 'OVERDUE') AS overdue, count(*) FILTER (WHERE status = 'URGENT') AS urgent,
+       count(*) FILTER (WHERE status = 'SOON') AS soon, count(*) FILTER (WHERE status = 'FUTURE') AS future,
+       count(*) AS total
+FROM b""",
+)
+def q_reminder_status_counts(spark, sf_dir):
+    return A.reminder_status_counts(T(spark, sf_dir), EVENTS_AS_OF)
