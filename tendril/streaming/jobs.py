@@ -26,7 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BooleanType,
+    DoubleType,
+    LongType,
+    StructField,
+    StructType,
+    TimestampNTZType,
+)
 
 from tendril.operators.latest import time_order
 from tendril.plans import rules as R
@@ -79,11 +86,20 @@ def dedup_replays(df: DataFrame, id_col: str, time_col: str, delay: str = "1 day
 
 
 # ------------------------------------------------------------------ ST-6
-DELTA_SCHEMA = StructType.fromDDL(
-    "id long, plant_id long, measurement_date timestamp_ntz, height_cm double, "
-    "prev_height double, height_growth double, prev_measurement_date timestamp_ntz"
+def _struct(*fields) -> StructType:
+    return StructType([StructField(n, t, True) for n, t in fields])
+
+
+DELTA_SCHEMA = _struct(
+    ("id", LongType()),
+    ("plant_id", LongType()),
+    ("measurement_date", TimestampNTZType()),
+    ("height_cm", DoubleType()),
+    ("prev_height", DoubleType()),
+    ("height_growth", DoubleType()),
+    ("prev_measurement_date", TimestampNTZType()),
 )
-DELTA_STATE = StructType.fromDDL("last_date timestamp_ntz, last_height double")
+DELTA_STATE = _struct(("last_date", TimestampNTZType()), ("last_height", DoubleType()))
 
 
 def _delta_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -157,8 +173,10 @@ def stream_audit_rows(changes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ST-3
-TRANSITION_SCHEMA = StructType.fromDDL("id long, plant_id long, event_type_id long, event_date timestamp_ntz")
-TRANSITION_STATE = StructType.fromDDL("was_completed boolean, seen boolean")
+TRANSITION_SCHEMA = _struct(
+    ("id", LongType()), ("plant_id", LongType()), ("event_type_id", LongType()), ("event_date", TimestampNTZType())
+)
+TRANSITION_STATE = _struct(("was_completed", BooleanType()), ("seen", BooleanType()))
 
 
 def _transition_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
