@@ -13,7 +13,8 @@ third of the data.  The operators here split the timeline of such keys:
    (e.g. after a lost executor) gives the same segment.  (A range exchange
    would not do: its sampling is seeded per RDD, so two plan branches would
    cut different ranges.)
-3. The windows run per ``(key, segment)``.
+3. The windows run per ``(key, segment)``.  When no key is hot (checked by
+   one small job) the plan is the plain one: windows per key, one shuffle.
 4. Only the first/last row of a hot key's segment needs a value from another
    segment: one row per (hot key, segment) is aggregated, a small window over
    those hands each segment the tail of the previous one, the head of the next
@@ -39,10 +40,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int) -> DataFrame:
-    """Add ``_seg`` (0 for ordinary keys, a time slice for hot keys) and ``_hot``."""
+def hot_keys(df: DataFrame, key: str, time_col: str, target_rows: int) -> DataFrame:
+    """Keys with more than ``target_rows`` rows, their first time and slice width.
+
+    At most ``total_rows / target_rows`` rows: bounded, so it is broadcast."""
     t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    hot = (
+    return (
         df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
         .where(F.col("_n") > target_rows)
@@ -56,13 +59,26 @@ def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int) -> D
             ).alias("_w"),
         )
     )
+
+
+def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int) -> tuple[DataFrame, bool]:
+    """Add ``_seg`` (0 for ordinary keys, a time slice for hot keys) and ``_hot``.
+
+    Returns the frame and whether any key is hot.  The check is one small job
+    (a partial aggregate and ``limit(1)``); without hot keys the caller keeps
+    the plain one-shuffle plan."""
+    hot = hot_keys(df, key, time_col, target_rows)
+    if hot.limit(1).count() == 0:
+        return df.withColumn(SEG, F.lit(0)).withColumn("_hot", F.lit(False)), False
+    t = F.unix_micros(F.col(time_col).cast("timestamp"))
     joined = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     seg = (
         F.when(F.col("_hk").isNull(), F.lit(0))
         .when(t.isNull(), F.lit(_LAST_SEG))
         .otherwise(F.floor((t - F.col("_t0")) / F.col("_w")).cast("int"))
     )
-    return joined.withColumn(SEG, seg).withColumn("_hot", F.col("_hk").isNotNull()).drop("_hk", "_t0", "_w")
+    out = joined.withColumn(SEG, seg).withColumn("_hot", F.col("_hk").isNotNull()).drop("_hk", "_t0", "_w")
+    return out, True
 
 
 def with_neighbours(
@@ -86,17 +102,28 @@ def with_neighbours(
     """
     ord_names = [f"_o{i}" for i in range(len(order))]
     base = df.select("*", *[_col(o).alias(n) for o, n in zip(order, ord_names)])
-    seg = time_segments(base, key, time_col, target_rows)
+    seg, skewed = time_segments(base, key, time_col, target_rows)
+    parts = [key, SEG] if skewed else [key]
 
-    w = Window.partitionBy(key, SEG).orderBy(*ord_names)
+    w = Window.partitionBy(*parts).orderBy(*ord_names)
     payload = F.struct(*[F.col(v).alias(v) for v in values])
-    local = seg.withColumn("_rn", F.row_number().over(w)).withColumn(
-        "_cnt", F.count(F.lit(1)).over(Window.partitionBy(key, SEG))
-    )
+    local = seg.withColumn("_rn", F.row_number().over(w))
+    if rank_desc or (next_ and skewed):
+        local = local.withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*parts)))
     if prev:
         local = local.withColumn("_lag", F.lag(payload).over(w))
     if next_:
         local = local.withColumn("_lead", F.lead(payload).over(w))
+    if not skewed:
+        adds = []
+        for v in values:
+            if prev:
+                adds.append(F.col("_lag")[v].alias(prev_prefix + v))
+            if next_:
+                adds.append(F.col("_lead")[v].alias(next_prefix + v))
+        if rank_desc:
+            adds.append((F.col("_cnt") - F.col("_rn") + 1).cast("int").alias(rank_desc))
+        return local.select(*[F.col(c) for c in df.columns], *adds)
 
     # Edges of hot keys only: one row per (hot key, segment).
     ord_struct = F.struct(*[F.col(n) for n in ord_names])
@@ -181,10 +208,17 @@ def asof_join(
     r_part = r_part.withColumn("_left", F.lit(None).cast(l_part.schema["_left"].dataType))
     both = l_part.unionByName(r_part)
 
-    seg = time_segments(both, "_k", "_t", target_rows)
+    seg, skewed = time_segments(both, "_k", "_t", target_rows)
     ords = [F.col("_t").isNull(), F.col("_t"), F.col("_side"), F.col("_tie")]
-    w = Window.partitionBy("_k", SEG).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
+    parts = ["_k", SEG] if skewed else ["_k"]
+    w = Window.partitionBy(*parts).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
     local = seg.withColumn("_carry", F.last("_right", ignorenulls=True).over(w))
+    if not skewed:
+        value = F.when(F.col("_t").isNotNull(), F.col("_carry"))
+        return local.where(F.col("_side") == 1).select(
+            *[F.col("_left")[c].alias(c) for c in lcols],
+            *[value[c].alias(prefix + c) for c in right_cols],
+        )
 
     # Carry into each hot segment: the last right row of all earlier segments.
     # Every (hot key, segment) with left rows is listed, even without right rows.
