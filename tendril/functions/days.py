@@ -70,3 +70,14 @@ def add_days(ts, n) -> Column:
 def add_hours(ts, n) -> Column:
     n = F.lit(n) if not isinstance(n, Column) else n
     return _col(ts) + F.make_dt_interval(hours=n.cast("int"))
+
+
+def format_date(c, with_time: bool = False, seconds: bool = False) -> Column:
+    """D-6: ``dd.MM.yyyy`` or ``dd.MM.yyyy HH:mm(:ss)``."""
+    fmt = "dd.MM.yyyy" + (" HH:mm" if with_time else "") + (":ss" if with_time and seconds else "")
+    return F.date_format(_col(c), fmt)
+
+
+def parse_form_datetime(c) -> Column:
+    """D-7: parse ``yyyy-MM-dd HH:mm`` form input; bad input -> NULL."""
+    return F.try_to_timestamp(_col(c), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")

@@ -32,3 +32,19 @@ def top_k_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, rank
     """
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def page_after(df: DataFrame, keys: Sequence[str], last: Sequence | None, size: int, descending: bool = True) -> DataFrame:
+    """Seek pagination: the ``size`` rows after the row whose sort key was
+    ``last`` (None = first page).  Unlike OFFSET, deep pages do not make every
+    task keep all earlier rows; the predicate is pushed to the scan."""
+    out = df
+    if last is not None:
+        cond = None
+        for i in range(len(keys) - 1, -1, -1):
+            k, v = F.col(keys[i]), F.lit(last[i])
+            step = (k < v) if descending else (k > v)
+            cond = step if cond is None else (step | ((k == v) & cond))
+        out = out.where(cond)
+    order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+    return out.orderBy(*order).limit(size)

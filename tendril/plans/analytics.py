@@ -111,7 +111,8 @@ def needs_attention(
         F.when(F.col("health_status") <= 2, 3).when(F.col("health_status") == 3, 2).otherwise(1).alias("urgency"),
         F.col("measurement_date").alias("last_event_date"),
     )
-    return water.unionByName(health)
+    out = water.unionByName(health)
+    return out.withColumn("urgency_label", L.urgency_label("urgency"))
 
 
 def needs_attention_order() -> list[Column]:
@@ -462,3 +463,46 @@ def reminder_status_counts(t: CareTables, as_of) -> DataFrame:
         F.count_if(s == L.REMINDER_FUTURE).alias("future"),
         F.count(F.lit(1)).alias("total"),
     )
+
+
+# --------------------------------------------------------------------- F-10
+def event_search(
+    t: CareTables,
+    date_from=None,
+    date_to=None,
+    text: str = "",
+    event_type_id: int = 0,
+    plant_id: int = 0,
+) -> DataFrame:
+    """The search form: event date within ``[date_from, date_to]`` (whole
+    days, both inclusive), description containing ``text`` (``%``/``_`` act
+    as wildcards, as in the source), optional type and plant."""
+    e = t.events
+    if date_from is not None:
+        e = e.where(F.col("event_date") >= as_ts(date_from))
+    if date_to is not None:
+        e = e.where(F.col("event_date") < add_days(as_ts(date_to), 1))
+    if text:
+        e = e.where(F.col("description").like(f"%{text}%"))
+    if event_type_id and event_type_id > 0:
+        e = e.where(F.col("event_type_id") == event_type_id)
+    if plant_id and plant_id > 0:
+        e = e.where(F.col("plant_id") == plant_id)
+    return e.select("id", "plant_id", "event_type_id", "event_date", "description", "is_completed")
+
+
+# ---------------------------------------------------------------- D-3, D-6
+def plant_age_labels(t: CareTables, as_of) -> DataFrame:
+    """Per plant: calendar days since planting, the age text and the
+    planting / creation dates formatted for display."""
+    from tendril.functions.days import format_date
+
+    now = as_ts(as_of)
+    days = calendar_days(now, F.col("planted_date"))
+    return t.plants.select(
+        "id",
+        days.alias("days_since_planted"),
+        L.age_text(days).alias("age_text"),
+        format_date("planted_date").alias("planted_text"),
+        format_date("created_at", with_time=True).alias("created_text"),
+    )

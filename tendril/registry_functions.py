@@ -82,13 +82,16 @@ WITH lw AS (SELECT e.plant_id, max(e.event_date) AS last_water
 a AS (SELECT p.id AS plant_id, p.name AS plant_name, lw.last_water, {_ATT_D} AS d
       FROM plants p LEFT JOIN lw ON p.id = lw.plant_id WHERE p.is_active = TRUE),
 lh AS ({latest_m('WHERE health_status IS NOT NULL')})
+SELECT u.*, CASE WHEN urgency = 3 THEN 'HIGH' WHEN urgency = 2 THEN 'MEDIUM' ELSE 'LOW' END AS urgency_label
+FROM (
 SELECT plant_id, plant_name, 'Not watered for ' || CAST(d AS VARCHAR) || ' days' AS reason,
        CASE WHEN d > 14 THEN 3 WHEN d > 7 THEN 2 ELSE 1 END AS urgency, last_water AS last_event_date
 FROM a WHERE d > 5
 UNION ALL
 SELECT p.id, p.name, 'Poor health - ' || CAST(lh.health_status AS VARCHAR) || '/5',
        CASE WHEN lh.health_status <= 2 THEN 3 WHEN lh.health_status = 3 THEN 2 ELSE 1 END, lh.measurement_date
-FROM plants p JOIN lh ON p.id = lh.plant_id WHERE p.is_active = TRUE AND lh.health_status <= 3""",
+FROM plants p JOIN lh ON p.id = lh.plant_id WHERE p.is_active = TRUE AND lh.health_status <= 3
+) u""",
 )
 def q_needs_attention(spark, sf_dir):
     return A.needs_attention(T(spark, sf_dir), EVENTS_AS_OF)
@@ -385,3 +388,33 @@ FROM b""",
 )
 def q_reminder_status_counts(spark, sf_dir):
     return A.reminder_status_counts(T(spark, sf_dir), EVENTS_AS_OF)
+
+
+@register(
+    "event_search",
+    """
+SELECT id, plant_id, event_type_id, event_date, description, is_completed FROM care_events
+WHERE event_date >= TIMESTAMP '1996-01-01 00:00:00' AND event_date < TIMESTAMP '1997-01-01 00:00:00'
+  AND description LIKE '%URGENT%'""",
+)
+def q_event_search(spark, sf_dir):
+    return A.event_search(T(spark, sf_dir), "1996-01-01", "1996-12-31", text="URGENT")
+
+
+_AGE_D = cd(MS, "planted_date")
+
+
+@register(
+    "plant_age_labels",
+    f"""
+SELECT id, {_AGE_D} AS days_since_planted,
+       CASE WHEN {_AGE_D} < 30 THEN CAST({_AGE_D} AS VARCHAR) || ' days'
+            WHEN {_AGE_D} < 365 THEN CAST({_AGE_D} // 30 AS VARCHAR) || ' months'
+            WHEN ({_AGE_D} % 365) // 30 > 0
+              THEN CAST({_AGE_D} // 365 AS VARCHAR) || ' years, ' || CAST(({_AGE_D} % 365) // 30 AS VARCHAR) || ' months'
+            ELSE CAST({_AGE_D} // 365 AS VARCHAR) || ' years' END AS age_text,
+       strftime(planted_date, '%d.%m.%Y') AS planted_text, strftime(created_at, '%d.%m.%Y %H:%M') AS created_text
+FROM plants""",
+)
+def q_plant_age_labels(spark, sf_dir):
+    return A.plant_age_labels(T(spark, sf_dir), MEASURE_AS_OF)

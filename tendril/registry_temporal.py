@@ -90,6 +90,20 @@ def q_plant_history(spark, sf_dir):
     return TM.plant_history(_audit(spark, sf_dir))
 
 
+@register(
+    "plant_history_labeled",
+    f"""
+WITH a AS ({AUDIT_SQL})
+SELECT id, name, location, valid_from, valid_to, operation_type, changed_at, seq,
+       CASE operation_type WHEN 'INSERT' THEN 'CREATED' WHEN 'UPDATE' THEN 'UPDATED' WHEN 'DELETE' THEN 'DELETED'
+            ELSE operation_type END AS operation_label,
+       year(valid_to) < 9999 AS is_closed
+FROM a""",
+)
+def q_plant_history_labeled(spark, sf_dir):
+    return TM.history_labeled(_audit(spark, sf_dir))
+
+
 @register(
     "history_summary",
     f"""
