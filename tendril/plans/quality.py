@@ -60,12 +60,31 @@ def length_between(col: str, lo: int, hi: int) -> Rule:
     return Rule("length", col, F.col(col).isNotNull() & ((n < lo) | (n > hi)))
 
 
-def row_violations(df: DataFrame, table: str, key: str, rules: Sequence[Rule]) -> DataFrame:
-    """One row per (row, broken rule): table_name, rule, column_name, row_key."""
+def row_violations(
+    df: DataFrame,
+    table: str,
+    key: str,
+    rules: Sequence[Rule],
+    foreign_keys: Sequence[tuple] = (),
+) -> DataFrame:
+    """One row per (row, broken rule): table_name, rule, column_name, row_key.
+
+    ``foreign_keys`` = (column, parent, parent_column[, rule name]): checked in
+    the same pass through a left join to the parent's distinct keys, so a
+    child table is scanned once whatever the number of rules."""
+    checked = df
+    rules = list(rules)
+    for i, fk in enumerate(foreign_keys):
+        col, parent, parent_col = fk[:3]
+        name = fk[3] if len(fk) > 3 else "foreign_key"
+        flag = f"_fk{i}"
+        keys = parent.select(F.col(parent_col).alias(flag)).where(F.col(flag).isNotNull()).distinct()
+        checked = checked.join(keys, F.col(col) == F.col(flag), "left")
+        rules.append(Rule(name, col, F.col(col).isNotNull() & F.col(flag).isNull()))
     hits = F.array_compact(
         F.array(*[F.when(r.violates, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"))) for r in rules])
     )
-    return df.select(F.col(key).cast("long").alias("row_key"), F.explode(hits).alias("_v")).select(
+    return checked.select(F.col(key).cast("long").alias("row_key"), F.explode(hits).alias("_v")).select(
         F.lit(table).alias("table_name"), "_v.rule", "_v.column_name", "row_key"
     )
 
@@ -142,6 +161,7 @@ def plant_rules() -> list[Rule]:
 
 def care_table_violations(t, extra: dict[str, DataFrame] | None = None) -> DataFrame:
     """Every check of the care tables as one violation table."""
+    plants, etypes = t.plants, t.dim("event_types")
     parts = [
         row_violations(t.plants, "plants", "id", plant_rules()),
         unique(t.plant_types, "plant_types", "name"),
@@ -154,21 +174,27 @@ def care_table_violations(t, extra: dict[str, DataFrame] | None = None) -> DataF
             + [in_range(c, *FREQUENCY_RANGE) for c in ("watering_frequency_days", "fertilizing_frequency_days")],
         ),
         unique(t.event_types, "event_types", "name"),
-        row_violations(t.events, "events", "id", not_null(["event_date"])),
-        foreign_key(t.events, "events", "plant_id", t.plants),
-        foreign_key(t.events, "events", "event_type_id", t.event_types),
-        row_violations(t.reminders, "reminders", "id", not_null(["reminder_date", "message"])),
-        foreign_key(t.reminders, "reminders", "plant_id", t.plants),
-        row_violations(t.measurements, "measurements", "id", measurement_rules()),
-        foreign_key(t.measurements, "measurements", "plant_id", t.plants),
         row_violations(
-            t.plant_images, "plant_images", "id", not_null(["filename"]) + [extension_allowed("original_filename", ALLOWED_EXTENSIONS)]
+            t.events, "events", "id", not_null(["event_date"]),
+            [("plant_id", plants, "id"), ("event_type_id", etypes, "id")],
+        ),
+        row_violations(
+            t.reminders, "reminders", "id", not_null(["reminder_date", "message"]), [("plant_id", plants, "id")]
+        ),
+        row_violations(t.measurements, "measurements", "id", measurement_rules(), [("plant_id", plants, "id")]),
+        row_violations(
+            t.plant_images,
+            "plant_images",
+            "id",
+            not_null(["filename"]) + [extension_allowed("original_filename", ALLOWED_EXTENSIONS)],
+            [("plant_id", plants, "id")],
         ),
-        foreign_key(t.plant_images, "plant_images", "plant_id", t.plants),
     ]
     for name, df in (extra or {}).items():
-        parts.append(row_violations(df, name, "request_id", measurement_rules()))
-        parts.append(choice(df, name, "plant_id", t.plants.where(F.col("is_active")).select("id"), key="request_id"))
+        active = t.plants.where(F.col("is_active"))
+        parts.append(
+            row_violations(df, name, "request_id", measurement_rules(), [("plant_id", active, "id", "choice")])
+        )
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
