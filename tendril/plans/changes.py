@@ -107,9 +107,12 @@ def cascade_delete(children: Mapping[str, DataFrame], deleted: DataFrame, key: s
 
 def complete(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """SNK-5: set ``is_completed`` for the listed ids (bulk complete)."""
-    done = ids.select(F.col(key).alias("_done_id")).distinct().withColumn("_done", F.lit(True))
-    out = rows.join(done, F.col(key) == F.col("_done_id"), "left")
-    return out.withColumn("is_completed", F.coalesce(F.col("_done"), F.col("is_completed"))).select(*rows.columns)
+    from tendril.plans.quality import with_match_flag
+
+    out = with_match_flag(rows, key, ids, key, "_done")
+    return out.withColumn("is_completed", F.when(F.col("_done"), F.lit(True)).otherwise(F.col("is_completed"))).drop(
+        "_done"
+    )
 
 
 def active_children(child: DataFrame, plants: DataFrame) -> DataFrame:

@@ -60,6 +60,19 @@ def length_between(col: str, lo: int, hi: int) -> Rule:
     return Rule("length", col, F.col(col).isNotNull() & ((n < lo) | (n > hi)))
 
 
+def with_match_flag(df: DataFrame, col: str, other: DataFrame, other_col: str, flag: str) -> DataFrame:
+    """Add ``flag`` = EXISTS (SELECT 1 FROM other WHERE other_col = col).
+
+    Planned as an existence join: no row is duplicated even if a key repeats
+    in ``other``, no DISTINCT is needed.  The correlation goes through a fresh
+    column name, so it cannot bind to a same-named column inside ``other``'s
+    lineage."""
+    probe, key = f"__{flag}_probe", f"__{flag}_key"
+    d = df.withColumn(probe, F.col(col))
+    o = other.select(F.col(other_col).alias(key))
+    return d.withColumn(flag, o.where(F.col(key) == F.col(probe).outer()).exists()).drop(probe)
+
+
 def row_violations(
     df: DataFrame,
     table: str,
@@ -70,17 +83,16 @@ def row_violations(
     """One row per (row, broken rule): table_name, rule, column_name, row_key.
 
     ``foreign_keys`` = (column, parent, parent_column[, rule name]): checked in
-    the same pass through a left join to the parent's distinct keys, so a
-    child table is scanned once whatever the number of rules."""
-    checked = df
+    the same pass as an EXISTS flag (planned as an existence join: no row is
+    duplicated even if a parent key repeats, no DISTINCT needed), so a child
+    table is scanned once whatever the number of rules."""
     rules = list(rules)
+    checked = df
     for i, fk in enumerate(foreign_keys):
         col, parent, parent_col = fk[:3]
         name = fk[3] if len(fk) > 3 else "foreign_key"
-        flag = f"_fk{i}"
-        keys = parent.select(F.col(parent_col).alias(flag)).where(F.col(flag).isNotNull()).distinct()
-        checked = checked.join(keys, F.col(col) == F.col(flag), "left")
-        rules.append(Rule(name, col, F.col(col).isNotNull() & F.col(flag).isNull()))
+        checked = with_match_flag(checked, col, parent, parent_col, f"_fk{i}")
+        rules.append(Rule(name, col, F.col(col).isNotNull() & ~F.col(f"_fk{i}")))
     hits = F.array_compact(
         F.array(*[F.when(r.violates, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"))) for r in rules])
     )

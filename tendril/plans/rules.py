@@ -180,13 +180,15 @@ def record_measurements(requests: DataFrame, t: CareTables, as_of, measure: str
     completed "measuring" events, RULE-4 warnings, and rejected requests with
     the first failing reason (plant missing / inactive, then health range)."""
     now = as_ts(as_of)
-    active = t.plants.where(F.col("is_active")).select(F.col("id").alias("_aid"))
-    r = requests.join(active, F.col("plant_id") == F.col("_aid"), "left")
+    from tendril.plans.quality import with_match_flag
+
+    # J-7: EXISTS gate on active plants (an existence join, rows never duplicate)
+    r = with_match_flag(requests, "plant_id", t.plants.where(F.col("is_active")), "id", "_active")
     h = F.col("health_status")
-    reason = F.when(F.col("_aid").isNull(), F.lit(REJECT_PLANT)).when(
+    reason = F.when(~F.col("_active"), F.lit(REJECT_PLANT)).when(
         h.isNotNull() & ((h < 1) | (h > 5)), F.lit(REJECT_HEALTH)
     )
-    r = r.withColumn("reject_reason", reason).drop("_aid")
+    r = r.withColumn("reject_reason", reason).drop("_active")
     accepted = r.where(F.col("reject_reason").isNull())
     measurements = accepted.select(
         F.col("request_id").alias("id"),

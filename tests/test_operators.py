@@ -93,3 +93,13 @@ def test_asof_join_equals_range_join(spark):
         got = got.select("fid", F.when(F.col("vt") > F.col("t"), F.col("val")).alias("val"))
         assert got.count() == facts.count()
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, brute.collect()), key=repr)
+
+
+def test_match_flag_same_lineage_and_duplicate_keys(spark):
+    from tendril.plans.quality import with_match_flag
+
+    base = spark.createDataFrame([(i, i % 3 == 0) for i in range(30)], "id long, sent boolean")
+    ids = base.where("sent").select("id").unionByName(base.where("sent").select("id"))  # repeated keys
+    out = with_match_flag(base, "id", ids, "id", "hit")
+    assert out.count() == 30
+    assert {r.id for r in out.where("hit").collect()} == {i for i in range(30) if i % 3 == 0}
