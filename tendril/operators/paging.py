@@ -48,3 +48,10 @@ def page_after(df: DataFrame, keys: Sequence[str], last: Sequence | None, size:
         out = out.where(cond)
     order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
     return out.orderBy(*order).limit(size)
+
+
+def lookup_keys(df: DataFrame, keys: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """F-4, batch form: rows of the requested keys, and the requested keys
+    that do not exist ("not found")."""
+    k = keys.select(F.col(keys.columns[0]).alias(key))
+    return df.join(k, key, "left_semi"), k.join(df.select(key), key, "left_anti")

@@ -506,3 +506,12 @@ def plant_age_labels(t: CareTables, as_of) -> DataFrame:
         format_date("planted_date").alias("planted_text"),
         format_date("created_at", with_time=True).alias("created_text"),
     )
+
+
+def detail_images(t: CareTables) -> DataFrame:
+    """FN-15: every image per plant, newest first (rank 1 = newest)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("plant_id").orderBy(F.col("upload_date").desc_nulls_first(), F.col("id").desc())
+    i = t.plant_images.select("id", "plant_id", "filename", "upload_date", "file_size")
+    return i.withColumn("rank", F.row_number().over(w))

@@ -30,6 +30,7 @@ NOW_COLUMNS = {
     "plant_images": ["upload_date"],
     "reminders": ["created_at"],
     "measurements": ["measurement_date"],
+    "plants_history": ["changed_at"],
 }
 
 
@@ -45,6 +46,8 @@ def append_rows(new: DataFrame, table: str, as_of) -> DataFrame:
     for c in NOW_COLUMNS.get(table, []):
         if c in new.columns:
             fills[c] = F.coalesce(F.col(c), now.cast(new.schema[c].dataType))
+    if table == "plants_history" and "changed_by" in new.columns:  # S-1
+        fills["changed_by"] = F.coalesce(F.col("changed_by"), F.current_user())
     return new.withColumns(fills) if fills else new
 
 

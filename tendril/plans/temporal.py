@@ -120,3 +120,14 @@ def history_summary(history: DataFrame) -> DataFrame:
         F.count_if(op == "DELETE").alias("n_deletes"),
         F.count_if(F.year("valid_to") < 9999).alias("n_closed"),
     )
+
+
+def point_in_time(current: DataFrame, history: DataFrame, t) -> DataFrame:
+    """U-3: the source's point-in-time function as written - current rows
+    valid at ``t`` UNION ALL history rows valid at ``t``.  With history rows
+    as the trigger writes them (``audit_rows``), a never-changed plant can be
+    found twice; ``as_of_lookup`` on ``scd2_build`` versions is the exact form."""
+    at = as_ts(t)
+    cols = ["id", "name", "plant_type_id", "location", "notes"]
+    valid = (F.col("valid_from") <= at) & (F.col("valid_to") > at)
+    return current.where(valid).select(*cols).unionByName(history.where(valid).select(*cols))

@@ -418,3 +418,14 @@ FROM plants""",
 )
 def q_plant_age_labels(spark, sf_dir):
     return A.plant_age_labels(T(spark, sf_dir), MEASURE_AS_OF)
+
+
+@register(
+    "plant_detail_images",
+    """
+SELECT id, plant_id, filename, upload_date, file_size,
+       CAST(row_number() OVER (PARTITION BY plant_id ORDER BY upload_date DESC NULLS FIRST, id DESC) AS INTEGER) AS rank
+FROM plant_images""",
+)
+def q_plant_detail_images(spark, sf_dir):
+    return A.detail_images(T(spark, sf_dir))

@@ -75,6 +75,18 @@ def q_events_plant_location(spark, sf_dir):
     return TM.temporal_join(facts, _versions(spark, sf_dir), "plant_id", "event_date", ["location", "name"])
 
 
+@register(
+    "plant_at_time_union",
+    f"""
+WITH a AS ({AUDIT_SQL})
+SELECT id, name, plant_type_id, location, notes FROM plants WHERE valid_from <= {CH} AND valid_to > {CH}
+UNION ALL
+SELECT id, name, plant_type_id, location, notes FROM a WHERE valid_from <= {CH} AND valid_to > {CH}""",
+)
+def q_plant_at_time_union(spark, sf_dir):
+    return TM.point_in_time(T(spark, sf_dir).plants, _audit(spark, sf_dir), CHANGES_AS_OF)
+
+
 @register("audit_rows", AUDIT_SQL)
 def q_audit_rows(spark, sf_dir):
     return _audit(spark, sf_dir)

@@ -123,3 +123,15 @@ def test_quarantine_split(spark):
     good, bad = Q.quarantine(req, Q.measurement_rules())
     assert good.count() + bad.count() == req.count()
     assert bad.where(F.array_contains("reasons", "range:health_status")).count() == bad.count() > 0
+
+
+def test_sql_surface_and_lookup(spark, demo):
+    from tendril.operators.paging import lookup_keys
+    from tendril.plans.sql import register_views
+
+    names = register_views(spark, demo, "2024-07-01 00:00:00")
+    assert "v_growth_statistics" in names
+    rows = spark.sql("SELECT plant_id, total_measurements FROM v_growth_statistics ORDER BY plant_id").collect()
+    assert [(r.plant_id, r.total_measurements) for r in rows] == [(1, 6), (2, 6), (3, 4)]
+    found, missing = lookup_keys(demo.plants, spark.createDataFrame([(1,), (7,)], "id long"))
+    assert [r.id for r in found.collect()] == [1] and [r.id for r in missing.collect()] == [7]
