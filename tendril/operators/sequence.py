@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 SEG = "_seg"
 DEFAULT_TARGET_ROWS = 2_000_000
+TARGET_ROWS_CONF = "spark.tendril.skew.targetRows"  # session setting, rows per key above which a key is split
 _LAST_SEG = 2_000_000_000  # segment of rows without a time (sorted last)
 
 
@@ -61,12 +62,19 @@ def hot_keys(df: DataFrame, key: str, time_col: str, target_rows: int) -> DataFr
     )
 
 
-def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int) -> tuple[DataFrame, bool]:
+def _target(df: DataFrame, target_rows: int | None) -> int:
+    if target_rows:
+        return int(target_rows)
+    return int(df.sparkSession.conf.get(TARGET_ROWS_CONF, str(DEFAULT_TARGET_ROWS)))
+
+
+def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int | None) -> tuple[DataFrame, bool]:
     """Add ``_seg`` (0 for ordinary keys, a time slice for hot keys) and ``_hot``.
 
     Returns the frame and whether any key is hot.  The check is one small job
     (a partial aggregate and ``limit(1)``); without hot keys the caller keeps
     the plain one-shuffle plan."""
+    target_rows = _target(df, target_rows)
     hot = hot_keys(df, key, time_col, target_rows)
     if hot.limit(1).count() == 0:
         return df.withColumn(SEG, F.lit(0)).withColumn("_hot", F.lit(False)), False
@@ -92,7 +100,7 @@ def with_neighbours(
     rank_desc: str | None = None,
     prev_prefix: str = "prev_",
     next_prefix: str = "next_",
-    target_rows: int = DEFAULT_TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Add ``prev_<v>`` / ``next_<v>`` (the adjacent row of the same key under
     ``order``) and optionally a descending row number ``rank_desc``.
@@ -176,7 +184,7 @@ def asof_join(
     right_cols: Sequence[str],
     right_order: str | None = None,
     prefix: str = "",
-    target_rows: int = DEFAULT_TARGET_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """For every left row, the values of the last right row of the same key
     with ``right_time <= left_time`` (NULL if none); every left row is kept

@@ -19,3 +19,18 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF001)
+
+
+SKEW_PATH = ["growth_timeline", "measurements_overview", "scd2_versions", "audit_rows", "events_plant_location"]
+
+
+@pytest.mark.parametrize("name", SKEW_PATH)
+def test_segmented_path_matches_oracle(spark, con, name):
+    """Every key forced hot (split into time slices): results stay exact."""
+    from tendril.operators.sequence import TARGET_ROWS_CONF
+
+    spark.conf.set(TARGET_ROWS_CONF, "4")
+    try:
+        assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF001)
+    finally:
+        spark.conf.unset(TARGET_ROWS_CONF)
