@@ -509,9 +509,11 @@ def plant_age_labels(t: CareTables, as_of) -> DataFrame:
 
 
 def detail_images(t: CareTables) -> DataFrame:
-    """FN-15: every image per plant, newest first (rank 1 = newest)."""
-    from pyspark.sql import Window
+    """FN-15: every image per plant, newest first (rank 1 = newest, NULL
+    dates first).  Unbounded per plant, so the rank goes through the
+    skew-safe ordered-neighbours operator rather than one window per key."""
+    from tendril.operators.sequence import with_neighbours
 
-    w = Window.partitionBy("plant_id").orderBy(F.col("upload_date").desc_nulls_first(), F.col("id").desc())
     i = t.plant_images.select("id", "plant_id", "filename", "upload_date", "file_size")
-    return i.withColumn("rank", F.row_number().over(w))
+    order = [F.col("upload_date").isNull(), F.col("upload_date"), F.col("id")]
+    return with_neighbours(i, "plant_id", order, ["id"], "upload_date", prev=False, rank_desc="rank")

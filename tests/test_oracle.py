@@ -21,7 +21,14 @@ def test_query_matches_oracle(spark, con, name):
     assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF001)
 
 
-SKEW_PATH = ["growth_timeline", "measurements_overview", "scd2_versions", "audit_rows", "events_plant_location"]
+SKEW_PATH = [
+    "growth_timeline",
+    "measurements_overview",
+    "scd2_versions",
+    "audit_rows",
+    "events_plant_location",
+    "plant_detail_images",
+]
 
 
 @pytest.mark.parametrize("name", SKEW_PATH)
