@@ -56,9 +56,14 @@ def calendar_days(a, b) -> Column:
 
 
 def floor_days(a, b) -> Column:
-    """Python ``(a - b).days``: floor of the day count (int)."""
-    micros = F.unix_micros(_col(a).cast("timestamp")) - F.unix_micros(_col(b).cast("timestamp"))
-    return F.floor(micros / F.lit(_MICROS_PER_DAY)).cast("int")
+    """Python ``(a - b).days``: floor of the day count (int).
+
+    Computed on the timestamp_ntz interval itself, so no session time zone
+    (and no daylight-saving hour) enters."""
+    iv = _col(a) - _col(b)
+    d = F.extract(F.lit("DAY"), iv).cast("int")
+    partial = iv != F.make_dt_interval(days=d)
+    return F.when((iv < F.make_dt_interval(days=F.lit(0))) & partial, d - 1).otherwise(d)
 
 
 def add_days(ts, n) -> Column:

@@ -41,3 +41,12 @@ def test_segmented_path_matches_oracle(spark, con, name):
         assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF001)
     finally:
         spark.conf.unset(TARGET_ROWS_CONF)
+
+
+@pytest.mark.parametrize("name", ["plant_card_flags", "health_alerts", "growth_timeline", "upcoming_reminders"])
+def test_results_do_not_depend_on_session_time_zone(spark, con, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF001)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
