@@ -68,6 +68,20 @@ def _target(df: DataFrame, target_rows: int | None) -> int:
     return int(df.sparkSession.conf.get(TARGET_ROWS_CONF, str(DEFAULT_TARGET_ROWS)))
 
 
+_HOT_SEEN: dict = {}
+
+
+def _any_hot(df: DataFrame, hot: DataFrame, key: str, time_col: str, target_rows: int) -> bool:
+    """Whether any key is hot; remembered per input plan within a session.
+
+    A stale answer can only cost speed, never correctness: without the split
+    the plain window is still exact."""
+    memo = (id(df.sparkSession), df.semanticHash(), key, time_col, target_rows)
+    if memo not in _HOT_SEEN:
+        _HOT_SEEN[memo] = hot.limit(1).count() > 0
+    return _HOT_SEEN[memo]
+
+
 def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int | None) -> tuple[DataFrame, bool]:
     """Add ``_seg`` (0 for ordinary keys, a time slice for hot keys) and ``_hot``.
 
@@ -76,7 +90,7 @@ def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int | Non
     the plain one-shuffle plan."""
     target_rows = _target(df, target_rows)
     hot = hot_keys(df, key, time_col, target_rows)
-    if hot.limit(1).count() == 0:
+    if not _any_hot(df, hot, key, time_col, target_rows):
         return df.withColumn(SEG, F.lit(0)).withColumn("_hot", F.lit(False)), False
     t = F.unix_micros(F.col(time_col).cast("timestamp"))
     joined = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
