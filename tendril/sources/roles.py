@@ -129,8 +129,12 @@ def reminders_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measurements_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
+    # Parse the JSON field once (a separate projection keeps Catalyst from
+    # inlining the parse into every column that uses it).
+    e = _read(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("_k")
+    )
+    k = F.col("_k")
     df = e.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("plant_id"),
