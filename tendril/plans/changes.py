@@ -121,3 +121,23 @@ def complete(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 def active_children(child: DataFrame, plants: DataFrame) -> DataFrame:
     """SNK-7 / F-1: rows of a child table whose plant is active."""
     return child.join(plants.where(F.col("is_active")).select(F.col("id").alias("plant_id")), "plant_id", "left_semi")
+
+
+def write_snapshot(df: DataFrame, name: str, version: int) -> DataFrame:
+    """Write a snapshot as a table under the shared checkpoint folder and read
+    it back: cuts the lineage when change batches are applied one after the
+    other (each version is its own folder, so a rerun overwrites only itself)."""
+    from tendril.session import checkpoint_path
+
+    path = f"{checkpoint_path(df.sparkSession, name)}/v={version}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def apply_change_batches(current: DataFrame, batches: Sequence[DataFrame], name: str = "snapshots") -> DataFrame:
+    """SNK-2 over a sequence of change batches (e.g. one per day); every
+    intermediate snapshot is written, so the plan stays one step deep."""
+    snap = current
+    for i, batch in enumerate(batches):
+        snap = write_snapshot(apply_changes(snap, batch), name, i)
+    return snap

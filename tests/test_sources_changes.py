@@ -135,3 +135,14 @@ def test_sql_surface_and_lookup(spark, demo):
     assert [(r.plant_id, r.total_measurements) for r in rows] == [(1, 6), (2, 6), (3, 4)]
     found, missing = lookup_keys(demo.plants, spark.createDataFrame([(1,), (7,)], "id long"))
     assert [r.id for r in found.collect()] == [1] and [r.id for r in missing.collect()] == [7]
+
+
+def test_apply_change_batches_equals_one_shot(spark):
+    t = role_tables(spark, SF001)
+    ch = t.plant_changes
+    years = [r.y for r in ch.select(F.year("changed_at").alias("y")).distinct().orderBy("y").collect()]
+    batches = [ch.where(F.year("changed_at") == y) for y in years]
+    stepwise = C.apply_change_batches(t.plants, batches, name=f"snap-{os.getpid()}")
+    once = C.apply_changes(t.plants, ch)
+    assert stepwise.count() == once.count()
+    assert stepwise.exceptAll(once.select(*stepwise.columns)).count() == 0
