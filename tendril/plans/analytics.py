@@ -123,12 +123,11 @@ def needs_attention_order() -> list[Column]:
 def upcoming_reminders(t: CareTables, as_of, days_ahead: int = 7) -> DataFrame:
     """Unsent, open reminders with ``as_of <= date <= as_of + days_ahead``
     (both ends closed); inactive plants are not filtered (as the source)."""
+    from tendril.sources.layout import between
+
     now = as_ts(as_of)
-    r = t.reminders.where(
-        (F.col("is_sent") == False)  # noqa: E712
-        & (F.col("is_completed") == False)  # noqa: E712
-        & (F.col("reminder_date") >= now)
-        & (F.col("reminder_date") <= add_days(now, days_ahead))
+    r = between(t.reminders, "reminder_date", now, days_ahead).where(
+        (F.col("is_sent") == False) & (F.col("is_completed") == False)  # noqa: E712
     )
     r = r.join(_plant_names(t), "plant_id").join(_event_types(t), "event_type_id")
     return r.select(
@@ -144,8 +143,10 @@ def upcoming_reminders(t: CareTables, as_of, days_ahead: int = 7) -> DataFrame:
 # --------------------------------------------------------------------- FN-7
 def measurement_trend(t: CareTables, as_of, days_back: int = 30, plant_ids: DataFrame | None = None) -> DataFrame:
     """Measurements of the last ``days_back`` days (no upper end), whole days ago."""
+    from tendril.sources.layout import since
+
     now = as_ts(as_of)
-    m = t.measurements.where(F.col("measurement_date") >= add_days(now, -days_back))
+    m = since(t.measurements, "measurement_date", add_days(now, -days_back))
     if plant_ids is not None:
         m = m.join(plant_ids, "plant_id", "left_semi")
     return m.select(

@@ -36,11 +36,20 @@ class CareTables:
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> CareTables:
-    """Read the eight tables from ``{path}/{table}`` with their declared schema."""
+    """Read the eight tables from ``{path}/{table}`` with their declared schema
+    (partition folders of the storage layout add their column, e.g. ``_month``)."""
 
     def read(name: str) -> DataFrame:
         return spark.read.schema(schemas.TABLES[name]).format(fmt).load(f"{path}/{name}")
 
+    def optional(name: str) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return read(name)
+        except AnalysisException:  # table folder not written (e.g. no history yet)
+            return None
+
     return CareTables(
         plant_types=read("plant_types"),
         plants=read("plants"),
@@ -49,5 +58,5 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> CareTab
         reminders=read("reminders"),
         measurements=read("measurements"),
         plant_images=read("plant_images"),
-        plants_history=read("plants_history"),
+        plants_history=optional("plants_history"),
     )

@@ -146,3 +146,24 @@ def test_apply_change_batches_equals_one_shot(spark):
     once = C.apply_changes(t.plants, ch)
     assert stepwise.count() == once.count()
     assert stepwise.exceptAll(once.select(*stepwise.columns)).count() == 0
+
+
+def test_storage_layout_prunes_months_and_keeps_results(spark, scratch):
+    from tendril.plans import views as V
+    from tendril.sources.layout import write_tables
+    from tests.plan_tools import plan_text
+
+    t = role_tables(spark, SF001)
+    write_tables(t, f"{scratch}/lay", files_per_month=2)
+    b = load_tables(spark, f"{scratch}/lay")
+    assert "_month" in b.measurements.columns
+    trend = __import__("tendril.plans.analytics", fromlist=["x"]).measurement_trend
+    x = trend(b, "2024-02-15 00:00:00")
+    assert "PartitionFilters: [isnotnull(_month" in plan_text(x)
+    pairs = [
+        (x, trend(t, "2024-02-15 00:00:00")),
+        (V.growth_statistics(b, "2024-02-15 00:00:00"), V.growth_statistics(t, "2024-02-15 00:00:00")),
+        (V.events_detailed(b, "2001-06-01 00:00:00"), V.events_detailed(t, "2001-06-01 00:00:00")),
+    ]
+    for got, exp in pairs:
+        assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
