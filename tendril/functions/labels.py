@@ -134,3 +134,11 @@ def round_ratio(num, den, digits: int) -> Column:
     n, d = _col(num).cast("long"), _col(den).cast("long")
     mag = F.floor((F.abs(n) * F.lit(2 * scale) + d) / (d * 2))
     return F.when(d > 0, F.signum(n) * mag.cast("double") / F.lit(float(scale)))
+
+
+def round_half_up(x, digits: int) -> Column:
+    """ROUND for a non-negative double that is not a ratio of integers (e.g. a
+    mean of means): ``floor(x * 10^d + 0.5) / 10^d``.  Written out so that any
+    engine evaluating the same IEEE operations gets the same bits."""
+    scale = float(10**digits)
+    return F.floor(_col(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)

@@ -164,7 +164,7 @@ def plant_type_stats(t: CareTables, as_of) -> DataFrame:
         F.coalesce("active_plants", F.lit(0)).alias("active_plants"),
         L.round_ratio(F.col("_age_sum"), F.col("_age_n"), 0).cast("int").alias("avg_age_days"),
         L.round_ratio(F.col("_ev_sum"), F.col("_ev_n"), 2).alias("avg_events_per_plant"),
-        F.round("_health", 2).alias("avg_health_status"),
+        L.round_half_up(F.col("_health"), 2).alias("avg_health_status"),
     )
 
 
