@@ -31,6 +31,19 @@ def duck(sf_dir: str):
     return con
 
 
+SPARK2DUCK = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "smallint": "SMALLINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+    "array<string>": "VARCHAR[]",
+}
+
+
 def norm(v):
     if v is None:
         return None
@@ -57,11 +70,18 @@ def compare(spark, con, name, fn, sql, sf_dir):
     s_cols = sdf.columns
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
-    res = con.execute(sql)
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(sql)
+    d_cols = list(rel.columns)
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
+    d_rows = rel.fetchall()
     t2 = time.time()
     problems = []
+    s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    bad_types = [
+        (c, s_types[c], d_types.get(c)) for c in s_types if c in d_types and SPARK2DUCK.get(s_types[c]) != d_types[c]
+    ]
+    if bad_types:
+        problems.append(f"types differ: {bad_types[:4]}")
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns differ: spark-only={sorted(set(s_cols)-set(d_cols))} oracle-only={sorted(set(d_cols)-set(s_cols))}")
     if len(s_rows) != len(d_rows):
