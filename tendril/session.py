@@ -22,6 +22,19 @@ SQL_DEFAULTS = {
 }
 
 
+# Suggested settings for a large cluster (about 100 TB of facts): many initial
+# shuffle partitions that AQE coalesces to ~256 MB, larger file splits, skew
+# splitting on.  Library code does not set these; pass them to spark-submit.
+CLUSTER_SUGGESTED = {
+    **SQL_DEFAULTS,
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.tendril.skew.targetRows": "2000000",
+}
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "tendril") -> SparkSession:
     """A local[N] session for tests and the bench (UI off, UTC)."""
     builder = (

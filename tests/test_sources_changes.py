@@ -167,3 +167,16 @@ def test_storage_layout_prunes_months_and_keeps_results(spark, scratch):
     ]
     for got, exp in pairs:
         assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
+
+
+def test_job_runner_over_stored_tables(spark, scratch):
+    from tendril.jobs import run
+    from tendril.plans import views as V
+    from tendril.sources.layout import write_tables
+
+    t = role_tables(spark, SF001)
+    write_tables(t, f"{scratch}/store", files_per_month=2)
+    run(spark, "growth_statistics", f"{scratch}/store", f"{scratch}/out", "2024-02-15 00:00:00")
+    got = spark.read.parquet(f"{scratch}/out")
+    exp = V.growth_statistics(t, "2024-02-15 00:00:00")
+    assert got.count() == exp.count() and got.exceptAll(exp.select(*got.columns)).count() == 0
