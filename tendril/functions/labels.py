@@ -142,3 +142,43 @@ def round_half_up(x, digits: int) -> Column:
     engine evaluating the same IEEE operations gets the same bits."""
     scale = float(10**digits)
     return F.floor(_col(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+
+
+# The source's display texts for the codes above, in the
+# source's order (growth trend, reminder status, alert level, health text,
+# health trend).
+SOURCE_LABELS = {
+    "UP": "Raste",
+    "DOWN": "Opada",
+    "FLAT": "Stagnira",
+    "STABLE": "Stabilno",
+    "INSUFFICIENT": "Nedovoljno podataka",
+    "DONE": "Završeno",
+    "OVERDUE": "Zakasnilo",
+    "URGENT": "Hitno",
+    "SOON": "Uskoro",
+    "FUTURE": "Budućnost",
+    "CRITICAL": "KRITIČNO",
+    "BAD": "LOŠE",
+    "WARNING": "UPOZORENJE",
+    "STALE": "ZASTARJELI PODACI",
+    "OK": "OK",
+    "VERY_POOR": "Vrlo loše",
+    "POOR": "Loše",
+    "FAIR": "Osrednje",
+    "GOOD": "Dobro",
+    "EXCELLENT": "Izvrsno",
+    "UNKNOWN": "Nepoznato",
+    "NOT_MEASURED": "Nije izmjereno",
+    "IMPROVING": "Poboljšava se",
+    "WORSENING": "Pogoršava se",
+}
+
+
+def source_label(code, labels: dict[str, str] | None = None) -> Column:
+    """The display text of a code (a literal map lookup, no join); codes
+    without an entry pass through unchanged."""
+    pairs = []
+    for k, v in (labels or SOURCE_LABELS).items():
+        pairs += [F.lit(k), F.lit(v)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), _col(code)), _col(code))

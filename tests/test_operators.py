@@ -103,3 +103,11 @@ def test_match_flag_same_lineage_and_duplicate_keys(spark):
     out = with_match_flag(base, "id", ids, "id", "hit")
     assert out.count() == 30
     assert {r.id for r in out.where("hit").collect()} == {i for i in range(30) if i % 3 == 0}
+
+
+def test_source_labels(spark):
+    from tendril.functions.labels import source_label
+
+    df = spark.createDataFrame([("UP",), ("STALE",), ("not-a-code",), (None,)], "c string")
+    got = [r.l for r in df.select(source_label("c").alias("l")).collect()]
+    assert got == ["Raste", "ZASTARJELI PODACI", "not-a-code", None]
