@@ -109,3 +109,12 @@ def test_future_measurement_and_alert_rules(edge):
     assert any(r.plant_id == 5 and r.urgency == 3 and r.reason == "Poor health - 1/5" for r in att)
     # plant 3 never watered: created 2024-06-28 -> 3 days, not listed
     assert not any(r.plant_id == 3 for r in att)
+
+
+def test_status_counts_add_up(spark):
+    from tests.conftest import SF001
+    from tendril.sources.roles import EVENTS_AS_OF, role_tables
+
+    t = role_tables(spark, SF001)
+    c = A.reminder_status_counts(t, EVENTS_AS_OF).first()
+    assert c.overdue + c.urgent + c.soon + c.future == c.total == A.reminder_board(t, EVENTS_AS_OF).count()
