@@ -2,14 +2,16 @@
 validators and function guards as violation rows and good/rejected splits.
 
 Row rules run in one pass per table: each rule is a boolean "violates"
-column; the failing rule names are collected with ``array_compact`` and
-exploded, so there is one scan whatever the number of rules.
+column; the failing rules are exploded (NULL entries dropped), so there is one
+scan whatever the number of rules.  No higher-order functions (lambdas) are
+used: they would take the rules out of whole-stage code generation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,14 +95,22 @@ def row_violations(
         name = fk[3] if len(fk) > 3 else "foreign_key"
         checked = with_match_flag(checked, col, parent, parent_col, f"_fk{i}")
         rules.append(Rule(name, col, F.col(col).isNotNull() & ~F.col(f"_fk{i}")))
-    hits = F.array_compact(
-        F.array(*[F.when(r.violates, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"))) for r in rules])
+    hits = F.array(
+        *[F.when(r.violates, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"))) for r in rules]
     )
-    return checked.select(F.col(key).cast("long").alias("row_key"), F.explode(hits).alias("_v")).select(
-        F.lit(table).alias("table_name"), "_v.rule", "_v.column_name", "row_key"
+    return (
+        checked.where(any_violation(rules))
+        .select(F.col(key).cast("long").alias("row_key"), F.explode(hits).alias("_v"))
+        .where(F.col("_v").isNotNull())
+        .select(F.lit(table).alias("table_name"), "_v.rule", "_v.column_name", "row_key")
     )
 
 
+def any_violation(rules: Sequence[Rule]) -> Column:
+    """TRUE if the row breaks at least one rule (NULL checks count as passing)."""
+    return reduce(lambda a, b: a | b, [F.coalesce(r.violates, F.lit(False)) for r in rules])
+
+
 def unique(df: DataFrame, table: str, col: str, key: str = "id") -> DataFrame:
     """DQ-2: rows whose ``col`` value occurs more than once (NULLs ignored).
     A count per value (partial aggregate), then a semi-join back."""
@@ -140,10 +150,10 @@ def choice(df: DataFrame, table: str, col: str, allowed_keys: DataFrame, key: st
 def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """DQ-6: split a batch into good rows and rejected rows (+ ``reasons``,
     the names ``rule:column`` of every broken rule)."""
-    reasons = F.array_compact(F.array(*[F.when(r.violates, F.lit(f"{r.rule}:{r.column}")) for r in rules]))
-    tagged = df.withColumn("reasons", reasons)
-    good = tagged.where(F.size("reasons") == 0).drop("reasons")
-    bad = tagged.where(F.size("reasons") > 0)
+    joined = F.concat_ws(",", *[F.when(r.violates, F.lit(f"{r.rule}:{r.column}")) for r in rules])
+    broken = any_violation(rules)
+    good = df.where(~broken)
+    bad = df.where(broken).withColumn("reasons", F.split(joined, ","))
     return good, bad
 
 
