@@ -23,7 +23,12 @@ _MICROS_PER_DAY = 86_400_000_000
 
 
 def as_ts(value) -> Column:
-    """A timestamp_ntz literal from a string, date or naive datetime."""
+    """A timestamp_ntz literal from a string, date or naive datetime.
+
+    ``None`` means "now": the session's local time as timestamp_ntz, fixed
+    for one query (one micro-batch in a stream)."""
+    if value is None:
+        return F.localtimestamp()
     if isinstance(value, Column):
         return value.cast("timestamp_ntz")
     if isinstance(value, _dt.datetime):

@@ -58,7 +58,7 @@ JOBS: dict[str, Callable[[CareTables, str], DataFrame]] = {
 }
 
 
-def run(spark: SparkSession, job: str, tables: str, out: str, as_of: str, mode: str = "overwrite") -> None:
+def run(spark: SparkSession, job: str, tables: str, out: str, as_of: str | None, mode: str = "overwrite") -> None:
     t = load_tables(spark, tables)
     JOBS[job](t, as_of).write.mode(mode).parquet(out)
 
@@ -70,7 +70,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("job", choices=sorted(JOBS))
     r.add_argument("--tables", required=True)
     r.add_argument("--out", required=True)
-    r.add_argument("--as-of", required=True, help="'yyyy-MM-dd HH:mm:ss' (timestamp without zone)")
+    r.add_argument("--as-of", default=None, help="'yyyy-MM-dd HH:mm:ss' (timestamp without zone); default: now")
     sub.add_parser("list", help="list the jobs")
     a = p.parse_args(argv)
     if a.cmd == "list":

@@ -220,3 +220,18 @@ def run_next_events(event_images: DataFrame, t: CareTables, as_of, out_path: str
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint_path(t.spark, name))
     )
+
+
+def to_parquet(stream: DataFrame, out_path: str, name: str, mode: str = "append", once: bool = False):
+    """Start a stream into a parquet folder; its checkpoint lives under the
+    shared ``spark.checkpoint.dir`` (``<dir>/<name>``), so a restarted or
+    moved driver resumes exactly where it stopped."""
+    w = (
+        stream.writeStream.format("parquet")
+        .outputMode(mode)
+        .option("path", out_path)
+        .option("checkpointLocation", checkpoint_path(stream.sparkSession, name))
+    )
+    if once:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -96,3 +96,24 @@ def test_dedup_replays(spark, scratch):
     ms = S.read_stream(spark, _as_files(twice, f"{scratch}/dup"), schemas.MEASUREMENTS)
     got = _run(S.dedup_replays(ms, "id", "measurement_date"), "st_dedup")
     assert got.count() == t.measurements.count()
+
+
+def test_reminder_stream_to_parquet_resumes(spark, scratch):
+    t = role_tables(spark, SF001)
+    src = f"{scratch}/in"
+    t.events.where("id % 2 = 0").write.parquet(f"{src}/part1")
+    ev = spark.readStream.schema(schemas.EVENTS).parquet(f"{src}/*")
+    name = f"st_sink{os.getpid()}"
+    S.to_parquet(S.stream_reminders(ev, t, EVENTS_AS_OF), f"{scratch}/out", name, once=True).awaitTermination()
+    t.events.where("id % 2 = 1").write.parquet(f"{src}/part2")  # new files arrive
+    ev = spark.readStream.schema(schemas.EVENTS).parquet(f"{src}/*")
+    S.to_parquet(S.stream_reminders(ev, t, EVENTS_AS_OF), f"{scratch}/out", name, once=True).awaitTermination()
+    got = spark.read.parquet(f"{scratch}/out")
+    assert _same(got, R.event_reminders(t.events, t, EVENTS_AS_OF))  # each event exactly once
+
+
+def test_now_is_local_time(spark):
+    from tendril.functions.days import as_ts
+
+    v = spark.range(1).select(as_ts(None).alias("t")).first().t
+    assert v is not None
