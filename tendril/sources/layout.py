@@ -74,3 +74,40 @@ def between(df: DataFrame, time_col: str, start, days: int) -> DataFrame:
     if MONTH in df.columns:
         out = out.where(F.col(MONTH).between(F.date_format(lo, "yyyy-MM"), F.date_format(hi, "yyyy-MM")))
     return out
+
+
+def save_bucketed(t: CareTables, database: str, buckets: int, mode: str = "overwrite") -> None:
+    """Catalog tables for co-located joins: plants bucketed by ``id`` and the
+    fact tables bucketed by ``plant_id`` into the same number of buckets (and
+    month-partitioned).  Per-plant aggregates and fact -> plant joins then
+    read matching buckets and skip the shuffle.  A hot plant makes its bucket
+    large; its aggregates are still partial, and the windowed operators split
+    it by time."""
+    spark = t.spark
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    t.plants.write.mode(mode).bucketBy(buckets, "id").sortBy("id").saveAsTable(f"{database}.plants")
+    for name in ("plant_types", "event_types"):
+        getattr(t, name).write.mode(mode).saveAsTable(f"{database}.{name}")
+    for name, time_col in FACT_TIME.items():
+        (
+            getattr(t, name)
+            .withColumn(MONTH, _month_of(F.col(time_col)))
+            .write.mode(mode)
+            .partitionBy(MONTH)
+            .bucketBy(buckets, "plant_id")
+            .sortBy("plant_id", time_col)
+            .saveAsTable(f"{database}.{name}")
+        )
+
+
+def load_catalog(spark, database: str) -> CareTables:
+    """The care tables saved by ``save_bucketed``."""
+    return CareTables(
+        plant_types=spark.table(f"{database}.plant_types"),
+        plants=spark.table(f"{database}.plants"),
+        event_types=spark.table(f"{database}.event_types"),
+        events=spark.table(f"{database}.events"),
+        reminders=spark.table(f"{database}.reminders"),
+        measurements=spark.table(f"{database}.measurements"),
+        plant_images=spark.table(f"{database}.plant_images"),
+    )

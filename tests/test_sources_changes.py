@@ -180,3 +180,26 @@ def test_job_runner_over_stored_tables(spark, scratch):
     got = spark.read.parquet(f"{scratch}/out")
     exp = V.growth_statistics(t, "2024-02-15 00:00:00")
     assert got.count() == exp.count() and got.exceptAll(exp.select(*got.columns)).count() == 0
+
+
+def test_bucketed_tables_join_and_aggregate_without_shuffle(spark):
+    import re
+
+    from tendril.plans import views as V
+    from tendril.sources.layout import load_catalog, save_bucketed
+    from tests.plan_tools import plan_text
+
+    t = role_tables(spark, SF001)
+    db = f"care_{os.getpid()}"
+    save_bucketed(t, db, 8)
+    b = load_catalog(spark, db)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the plan a large plants table gets
+    try:
+        for fn, at in [(V.growth_statistics, "2024-02-15 00:00:00"), (V.events_detailed, "2001-06-01 00:00:00")]:
+            got = fn(b, at)
+            assert not re.search(r"Exchange hashpartitioning", plan_text(got, "simple"))
+            exp = fn(t, at)
+            assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
