@@ -76,28 +76,47 @@ def between(df: DataFrame, time_col: str, start, days: int) -> DataFrame:
     return out
 
 
-def save_bucketed(t: CareTables, database: str, buckets: int, mode: str = "overwrite") -> None:
+def largest_key_share(df: DataFrame, key: str) -> float:
+    """Share of the rows held by the most frequent key (one partial aggregate;
+    one number comes back to the driver)."""
+    counts = df.groupBy(key).count()
+    r = counts.agg(F.max("count").alias("m"), F.sum("count").alias("n")).first()
+    return 0.0 if not r or not r.n else r.m / r.n
+
+
+def save_bucketed(
+    t: CareTables, database: str, buckets: int, mode: str = "overwrite", max_bucket_load: float = 2.0
+) -> dict[str, bool]:
     """Catalog tables for co-located joins: plants bucketed by ``id`` and the
     fact tables bucketed by ``plant_id`` into the same number of buckets (and
     month-partitioned).  Per-plant aggregates and fact -> plant joins then
-    read matching buckets and skip the shuffle.  A hot plant makes its bucket
-    large; its aggregates are still partial, and the windowed operators split
-    it by time."""
+    read matching buckets and skip the shuffle.
+
+    A bucketed scan reads each bucket in one task, so a hot plant would put
+    its whole share into one task, where no shuffle (and no AQE skew split)
+    can help.  A fact table whose largest plant holds more than
+    ``max_bucket_load / buckets`` of its rows is therefore written without
+    buckets (still month-partitioned and clustered); its plans shuffle, with
+    AQE skew splitting.  Returns which tables were bucketed."""
     spark = t.spark
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     t.plants.write.mode(mode).bucketBy(buckets, "id").sortBy("id").saveAsTable(f"{database}.plants")
     for name in ("plant_types", "event_types"):
         getattr(t, name).write.mode(mode).saveAsTable(f"{database}.{name}")
+    bucketed = {}
     for name, time_col in FACT_TIME.items():
-        (
-            getattr(t, name)
-            .withColumn(MONTH, _month_of(F.col(time_col)))
-            .write.mode(mode)
-            .partitionBy(MONTH)
-            .bucketBy(buckets, "plant_id")
-            .sortBy("plant_id", time_col)
-            .saveAsTable(f"{database}.{name}")
-        )
+        df = getattr(t, name).withColumn(MONTH, _month_of(F.col(time_col)))
+        ok = largest_key_share(df, "plant_id") <= max_bucket_load / buckets
+        if ok:
+            w = df.write.bucketBy(buckets, "plant_id").sortBy("plant_id", time_col)
+        else:  # clustered like write_tables: range partitions split the hot plant
+            n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+            w = df.repartitionByRange(n, MONTH, "plant_id", time_col).sortWithinPartitions(
+                MONTH, "plant_id", time_col
+            ).write
+        w.mode(mode).partitionBy(MONTH).saveAsTable(f"{database}.{name}")
+        bucketed[name] = ok
+    return bucketed
 
 
 def load_catalog(spark, database: str) -> CareTables:

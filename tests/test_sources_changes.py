@@ -203,3 +203,16 @@ def test_bucketed_tables_join_and_aggregate_without_shuffle(spark):
             assert got.count() == exp.count() and got.exceptAll(exp).count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bucketing_is_refused_for_a_hot_plant(spark):
+    from tendril.sources.layout import load_catalog, save_bucketed
+    from tendril.sources.tables import CareTables
+
+    t = role_tables(spark, SF001)
+    hot = t.measurements.withColumn("plant_id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("plant_id")))
+    skewed = CareTables(t.plant_types, t.plants, t.event_types, t.events, t.reminders, hot, t.plant_images)
+    db = f"care_hot_{os.getpid()}"
+    flags = save_bucketed(skewed, db, 8)
+    assert flags["measurements"] is False and flags["events"] is True
+    assert load_catalog(spark, db).measurements.count() == hot.count()
