@@ -237,6 +237,27 @@ def q_event_with_reminder(spark, sf_dir):
     return R.event_with_reminder(_event_requests(t), t, EVENTS_AS_OF)["reminders"]
 
 
+@register(
+    "event_with_reminder_and_trigger",
+    f"""
+WITH req AS (SELECT id AS request_id, plant_id, event_type_id, event_date, description,
+                    CASE id % 7 WHEN 0 THEN 0 WHEN 1 THEN 2 END AS custom_reminder_days FROM care_events),
+own AS (
+  SELECT r.plant_id, r.event_type_id,
+         r.event_date - to_days(COALESCE(r.custom_reminder_days, et.default_reminder_days)) AS reminder_date,
+         'Reminder: ' || et.name || ' for plant ' || p.name AS message, false AS is_sent, false AS is_completed,
+         {EV} AS created_at, r.request_id AS source_event_id
+  FROM req r LEFT JOIN event_types et ON r.event_type_id = et.id LEFT JOIN plants p ON p.id = r.plant_id
+  WHERE COALESCE(r.custom_reminder_days, et.default_reminder_days) > 0),
+trig AS ({RULE1_SQL.format(now=EV, src="(SELECT request_id AS id, plant_id, event_type_id, event_date FROM req)")})
+SELECT * FROM own UNION ALL SELECT * FROM trig""",
+)
+def q_event_with_reminder_and_trigger(spark, sf_dir):
+    """RULE-2 as the source runs it: the event insert also fires RULE-1 (G10)."""
+    t = T(spark, sf_dir)
+    return R.event_with_reminder(_event_requests(t), t, EVENTS_AS_OF, with_rule_1=True)["reminders"]
+
+
 def _old_new(t):
     return t.events.withColumn("is_completed", F.lit(False)), t.events
 
