@@ -129,12 +129,13 @@ def reminders_role(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measurements_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Parse the JSON field once (a separate projection keeps Catalyst from
-    # inlining the parse into every column that uses it).
+    # Parse the JSON field once: json_tuple is a generator, so filters on its
+    # output are not pushed below it (a projected parse would be inlined into
+    # every pushed-down predicate that uses it).
     e = _read(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("_k")
+        "event_id", "ts", "user_id", "event_type", "value", F.json_tuple("props", "k").alias("_kstr")
     )
-    k = F.col("_k")
+    k = F.col("_kstr").cast("int")
     df = e.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("plant_id"),
