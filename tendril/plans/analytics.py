@@ -308,8 +308,9 @@ def plant_cards(
     if plant_type_id and plant_type_id > 0:
         p = p.where(F.col("plant_type_id") == plant_type_id)
     p = page(p, [F.col("created_at").desc_nulls_first(), F.col("id").desc()], page_no, size)
-    # Counts only for the page's plants: semi-join before aggregating.
-    ids = p.select(F.col("id").alias("plant_id"))
+    # The page holds at most `size` plants: a proven bound, so the page and
+    # everything aggregated for it are broadcast - no fact table is shuffled.
+    ids = F.broadcast(p.select(F.col("id").alias("plant_id")))
     ev = t.events.join(ids, "plant_id", "left_semi").groupBy("plant_id").agg(F.count(F.lit(1)).alias("event_count"))
     im = (
         t.plant_images.join(ids, "plant_id", "left_semi")
@@ -327,9 +328,9 @@ def plant_cards(
             F.max_by("health_status", time_order("measurement_date")).alias("latest_health"),
         )
     )
-    out = p.join(ev, p.id == ev.plant_id, "left").drop("plant_id")
-    out = out.join(im, out.id == im.plant_id, "left").drop("plant_id")
-    out = out.join(ms, out.id == ms.plant_id, "left").drop("plant_id")
+    out = p.join(F.broadcast(ev), p.id == ev.plant_id, "left").drop("plant_id")
+    out = out.join(F.broadcast(im), out.id == im.plant_id, "left").drop("plant_id")
+    out = out.join(F.broadcast(ms), out.id == ms.plant_id, "left").drop("plant_id")
     return out.select(
         "id",
         "name",

@@ -155,7 +155,8 @@ def plant_type_stats(t: CareTables, as_of) -> DataFrame:
         F.avg("avg_health").alias("_health"),
     )
     types = t.dim("plant_types").select(F.col("id").alias("plant_type_id"), "name", "scientific_name")
-    out = types.join(per_type, "plant_type_id", "left")
+    # One row per type (+ the untyped group): bounded by the checked catalog.
+    out = types.join(F.broadcast(per_type), "plant_type_id", "left")
     return out.select(
         F.col("plant_type_id").alias("id"),
         "name",
