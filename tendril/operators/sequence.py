@@ -76,7 +76,8 @@ def _any_hot(df: DataFrame, hot: DataFrame, key: str, time_col: str, target_rows
 
     A stale answer can only cost speed, never correctness: without the split
     the plain window is still exact."""
-    memo = (id(df.sparkSession), df.semanticHash(), key, time_col, target_rows)
+    spark = df.sparkSession
+    memo = (id(spark), spark.sparkContext.applicationId, df.semanticHash(), key, time_col, target_rows)
     if memo not in _HOT_SEEN:
         _HOT_SEEN[memo] = hot.limit(1).count() > 0
     return _HOT_SEEN[memo]

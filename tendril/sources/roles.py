@@ -204,7 +204,7 @@ _CACHE: dict = {}
 
 def role_tables(spark: SparkSession, sf_dir: str) -> CareTables:
     """All roles over the driver tables of ``sf_dir`` (lazy DataFrames)."""
-    key = (id(spark), sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key in _CACHE:
         return _CACHE[key]
     plants = plants_role(spark, sf_dir)
