@@ -62,8 +62,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="tendril-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        path = tempfile.mkdtemp(prefix="tendril-ckpt-")  # local runs only
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # some deployments refuse to change core settings at run time
+            pass
     spark.sparkContext.setCheckpointDir(path)
     return path
 
