@@ -91,3 +91,17 @@ def format_date(c, with_time: bool = False, seconds: bool = False) -> Column:
 def parse_form_datetime(c) -> Column:
     """D-7: parse ``yyyy-MM-dd HH:mm`` form input; bad input -> NULL."""
     return F.try_to_timestamp(_col(c), F.lit("yyyy-MM-dd HH:mm")).cast("timestamp_ntz")
+
+
+def ntz_micros(c) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a timestamp_ntz, computed on the
+    interval itself: monotone and independent of the session time zone (a
+    cast to TIMESTAMP would map wall-clock times in a daylight-saving gap out
+    of order)."""
+    iv = _col(c) - as_ts("1970-01-01 00:00:00")
+    whole = (
+        F.extract(F.lit("DAY"), iv).cast("long") * F.lit(86_400_000_000)
+        + F.extract(F.lit("HOUR"), iv).cast("long") * F.lit(3_600_000_000)
+        + F.extract(F.lit("MINUTE"), iv).cast("long") * F.lit(60_000_000)
+    )
+    return whole + (F.extract(F.lit("SECOND"), iv) * F.lit(1_000_000)).cast("long")

@@ -31,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tendril.functions.days import ntz_micros
+
 SEG = "_seg"
 DEFAULT_TARGET_ROWS = 2_000_000
 TARGET_ROWS_CONF = "spark.tendril.skew.targetRows"  # session setting, rows per key above which a key is split
@@ -45,7 +47,7 @@ def hot_keys(df: DataFrame, key: str, time_col: str, target_rows: int) -> DataFr
     """Keys with more than ``target_rows`` rows, their first time and slice width.
 
     At most ``total_rows / target_rows`` rows: bounded, so it is broadcast."""
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    t = ntz_micros(F.col(time_col))
     return (
         df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
@@ -93,7 +95,7 @@ def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int | Non
     hot = hot_keys(df, key, time_col, target_rows)
     if not _any_hot(df, hot, key, time_col, target_rows):
         return df.withColumn(SEG, F.lit(0)).withColumn("_hot", F.lit(False)), False
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    t = ntz_micros(F.col(time_col))
     joined = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     seg = (
         F.when(F.col("_hk").isNull(), F.lit(0))

@@ -111,3 +111,22 @@ def test_source_labels(spark):
     df = spark.createDataFrame([("UP",), ("STALE",), ("not-a-code",), (None,)], "c string")
     got = [r.l for r in df.select(source_label("c").alias("l")).collect()]
     assert got == ["Raste", "ZASTARJELI PODACI", "not-a-code", None]
+
+
+def test_slices_are_monotone_in_a_daylight_saving_gap(spark):
+    from tendril.functions.days import ntz_micros
+
+    # 2024-03-10 02:00-03:00 does not exist in America/New_York
+    times = [D(2024, 3, 10, 1, 50), D(2024, 3, 10, 2, 30), D(2024, 3, 10, 3, 0), D(2024, 3, 10, 3, 10)]
+    df = spark.createDataFrame([(i, 1, t, float(i)) for i, t in enumerate(times * 5)], "id long, k long, t timestamp_ntz, v double")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        m = [r.m for r in df.select(ntz_micros("t").alias("m")).orderBy("t").collect()]
+        assert m == sorted(m)
+        order = [F.col("t").isNull(), F.col("t"), F.col("id")]
+        w = Window.partitionBy("k").orderBy(*order)
+        exp = df.select("id", F.lag("v").over(w).alias("prev_v"))
+        got = with_neighbours(df, "k", order, ["v"], "t", target_rows=3).select("id", "prev_v")
+        assert got.exceptAll(exp).count() == 0 and got.count() == exp.count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
