@@ -235,3 +235,43 @@ def to_parquet(stream: DataFrame, out_path: str, name: str, mode: str = "append"
     if once:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def upsert_latest(snapshot: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """Merge a batch of measurements into a latest-per-plant snapshot: per
+    plant the newer of the stored row and the batch's newest row (same order
+    as ``stream_latest``)."""
+    fresh = stream_latest(batch)
+    if snapshot is None:
+        return fresh
+    both = snapshot.unionByName(fresh)
+    payload = F.struct(*[F.col(c) for c in fresh.columns if c != "plant_id"])
+    return (
+        both.groupBy("plant_id")
+        .agg(F.max_by(payload, time_order("measurement_date")).alias("_l"))
+        .select("plant_id", "_l.*")
+    )
+
+
+def run_latest_snapshot(measurements: DataFrame, name: str = "latest_snapshot"):
+    """ST-5 as a maintained table: every micro-batch writes a new version of
+    the latest-per-plant snapshot (``<checkpoint dir>/<name>/v=<batch id>``);
+    a re-run batch rewrites only its own version."""
+    from tendril.plans.changes import write_snapshot
+
+    spark = measurements.sparkSession
+    state = {"snap": None}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        prev = state["snap"]
+        if prev is None and batch_id > 0:  # restarted driver: continue from the stored version
+            path = f"{checkpoint_path(spark, name)}/v={batch_id - 1}"
+            try:
+                prev = spark.read.parquet(path)
+            except Exception:
+                prev = None
+        state["snap"] = write_snapshot(upsert_latest(prev, batch), name, batch_id)
+
+    return measurements.writeStream.foreachBatch(step).option(
+        "checkpointLocation", checkpoint_path(spark, name + "_stream")
+    )

@@ -117,3 +117,16 @@ def test_now_is_local_time(spark):
 
     v = spark.range(1).select(as_ts(None).alias("t")).first().t
     assert v is not None
+
+
+def test_latest_snapshot_stream_equals_batch(spark, scratch):
+    t = role_tables(spark, SF001)
+    src = _as_files(t.measurements, f"{scratch}/m", 4)
+    ms = S.read_stream(spark, src, schemas.MEASUREMENTS, 1)
+    name = f"latest{os.getpid()}"
+    S.run_latest_snapshot(ms, name).trigger(availableNow=True).start().awaitTermination()
+    import glob
+
+    last = max(glob.glob(f"{checkpoint_path(spark, name)}/v=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
+    got = spark.read.parquet(last)
+    assert _same(got, S.stream_latest(t.measurements))
