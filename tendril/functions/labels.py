@@ -69,11 +69,12 @@ def reminder_status(reminder_date, is_sent, is_completed, as_of: Column) -> Colu
     )
 
 
-def event_status(event_date, is_completed, days_until) -> Column:
-    """Event badge: DONE / OVERDUE (negative days) / URGENT (<= 1 day) / PLANNED."""
+def event_status(event_date, is_completed, days_until, as_of: Column) -> Column:
+    """Event badge: DONE / OVERDUE (the event time has passed, compared as
+    timestamps) / URGENT (<= 1 calendar day ahead) / PLANNED."""
     return (
         F.when(_col(is_completed), EVENT_DONE)
-        .when(_col(days_until) < 0, EVENT_OVERDUE)
+        .when(_col(event_date) < as_of, EVENT_OVERDUE)
         .when(_col(days_until) <= 1, EVENT_URGENT)
         .otherwise(EVENT_PLANNED)
     )

@@ -386,11 +386,12 @@ def event_list(
         "plant_name",
         "event_type_id",
         "event_date",
-        L.truncate_text("description", 30).alias("description_short"),
+        L.truncate_text("description", 50).alias("description_short"),
+        L.truncate_text("notes", 30).alias("notes_short"),
         "is_completed",
         days.alias("days_until"),
         L.due_label(days).alias("due_label"),
-        L.event_status("event_date", "is_completed", days).alias("status"),
+        L.event_status("event_date", "is_completed", days, now).alias("status"),
     )
 
 

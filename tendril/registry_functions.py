@@ -322,9 +322,9 @@ def _event_list_sql(page_no: int, plant_id: int, type_id: int) -> str:
 WITH pg AS (SELECT e.*, p.name AS plant_name FROM care_events e JOIN plants p ON e.plant_id = p.id
             WHERE {cond} ORDER BY e.event_date DESC, e.id DESC LIMIT 20 OFFSET {(max(page_no, 1) - 1) * 20})
 SELECT pg.id, pg.plant_id, pg.plant_name, pg.event_type_id, pg.event_date,
-       {trunc_sql('pg.description', 30)} AS description_short, pg.is_completed, {d} AS days_until,
-       {due_sql(d)} AS due_label,
-       CASE WHEN pg.is_completed THEN 'DONE' WHEN {d} < 0 THEN 'OVERDUE' WHEN {d} <= 1 THEN 'URGENT'
+       {trunc_sql('pg.description', 50)} AS description_short, {trunc_sql('pg.notes', 30)} AS notes_short,
+       pg.is_completed, {d} AS days_until, {due_sql(d)} AS due_label,
+       CASE WHEN pg.is_completed THEN 'DONE' WHEN pg.event_date < {EV} THEN 'OVERDUE' WHEN {d} <= 1 THEN 'URGENT'
             ELSE 'PLANNED' END AS status
 FROM pg"""
 

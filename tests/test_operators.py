@@ -130,3 +130,17 @@ def test_slices_are_monotone_in_a_daylight_saving_gap(spark):
         assert got.exceptAll(exp).count() == 0 and got.count() == exp.count()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_event_badge_compares_times_for_overdue(spark):
+    from tendril.functions.days import as_ts, calendar_days
+    from tendril.functions.labels import event_status
+
+    now = as_ts("2024-07-01 12:00:00")
+    df = spark.createDataFrame(
+        [(D(2024, 7, 1, 8), False), (D(2024, 7, 1, 18), False), (D(2024, 7, 3), False), (D(2024, 6, 1), True)],
+        "event_date timestamp_ntz, is_completed boolean",
+    )
+    days = calendar_days(F.col("event_date"), now)
+    got = [r.s for r in df.select(event_status("event_date", "is_completed", days, now).alias("s")).collect()]
+    assert got == ["OVERDUE", "URGENT", "PLANNED", "DONE"]
