@@ -297,11 +297,20 @@ def recent_images(t: CareTables, k: int = 6) -> DataFrame:
 
 # --------------------------------------------------------------------- FN-14
 def plant_cards(
-    t: CareTables, page_no: int = 1, search: str = "", plant_type_id: int = 0, size: int = PLANTS_PAGE
+    t: CareTables,
+    page_no: int = 1,
+    search: str = "",
+    plant_type_id: int = 0,
+    size: int = PLANTS_PAGE,
+    as_of=None,
 ) -> DataFrame:
     """The plant list page: active plants, optional name search (``%``/``_``
     act as wildcards, as in the source) and type filter, newest first, with
-    counts of events / images / measurements, newest health, first image."""
+    type, planting date, age text, counts of events / images / measurements,
+    newest health (+ text) and the first image."""
+    from tendril.functions.days import format_date
+
+    now = as_ts(as_of)
     p = _active(t)
     if search:
         p = p.where(F.col("name").like(f"%{search}%"))
@@ -331,16 +340,23 @@ def plant_cards(
     out = p.join(F.broadcast(ev), p.id == ev.plant_id, "left").drop("plant_id")
     out = out.join(F.broadcast(im), out.id == im.plant_id, "left").drop("plant_id")
     out = out.join(F.broadcast(ms), out.id == ms.plant_id, "left").drop("plant_id")
+    out = out.join(_types(t, F.col("name").alias("plant_type"), "scientific_name"), "plant_type_id", "left")
+    age = calendar_days(now, F.col("planted_date"))
     return out.select(
         "id",
         "name",
         "plant_type_id",
+        "plant_type",
+        "scientific_name",
+        format_date("planted_date").alias("planted_text"),
+        L.age_text(age).alias("age_text"),
         "location",
         "created_at",
         F.coalesce("event_count", F.lit(0)).alias("event_count"),
         F.coalesce("image_count", F.lit(0)).alias("image_count"),
         F.coalesce("measurement_count", F.lit(0)).alias("measurement_count"),
         "latest_health",
+        F.when(F.col("latest_health").isNotNull(), L.health_text_app("latest_health")).alias("latest_health_text"),
         "first_image",
     )
 

@@ -247,6 +247,13 @@ def q_recent_images(spark, sf_dir):
     return A.recent_images(T(spark, sf_dir), 6)
 
 
+AGE_TEXT = """CASE WHEN {d} < 30 THEN CAST({d} AS VARCHAR) || ' days'
+            WHEN {d} < 365 THEN CAST({d} // 30 AS VARCHAR) || ' months'
+            WHEN ({d} % 365) // 30 > 0
+              THEN CAST({d} // 365 AS VARCHAR) || ' years, ' || CAST(({d} % 365) // 30 AS VARCHAR) || ' months'
+            ELSE CAST({d} // 365 AS VARCHAR) || ' years' END"""
+
+
 def _plant_cards_sql(page_no: int, search: str, type_id: int) -> str:
     cond = "is_active = TRUE"
     if search:
@@ -264,19 +271,24 @@ im AS (SELECT plant_id, count(*) AS c,
 ms AS (SELECT plant_id, count(*) AS c, min(CASE WHEN r = 1 THEN health_status END) AS latest_health
        FROM (SELECT *, row_number() OVER (PARTITION BY plant_id ORDER BY {M_DESC}) AS r FROM measurements) x
        GROUP BY plant_id)
-SELECT pg.id, pg.name, pg.plant_type_id, pg.location, pg.created_at, COALESCE(ev.c, 0) AS event_count,
-       COALESCE(im.c, 0) AS image_count, COALESCE(ms.c, 0) AS measurement_count, ms.latest_health, im.first_image
-FROM pg LEFT JOIN ev ON ev.plant_id = pg.id LEFT JOIN im ON im.plant_id = pg.id LEFT JOIN ms ON ms.plant_id = pg.id"""
+SELECT pg.id, pg.name, pg.plant_type_id, pt.name AS plant_type, pt.scientific_name,
+       strftime(pg.planted_date, '%d.%m.%Y') AS planted_text, {AGE_TEXT.format(d=cd(MS, 'pg.planted_date'))} AS age_text,
+       pg.location, pg.created_at, COALESCE(ev.c, 0) AS event_count,
+       COALESCE(im.c, 0) AS image_count, COALESCE(ms.c, 0) AS measurement_count, ms.latest_health,
+       CASE WHEN ms.latest_health IS NOT NULL THEN {HEALTH_APP.format(h='ms.latest_health')} END AS latest_health_text,
+       im.first_image
+FROM pg LEFT JOIN ev ON ev.plant_id = pg.id LEFT JOIN im ON im.plant_id = pg.id LEFT JOIN ms ON ms.plant_id = pg.id
+LEFT JOIN plant_types pt ON pt.id = pg.plant_type_id"""
 
 
 @register("plant_cards", _plant_cards_sql(1, "", 0))
 def q_plant_cards(spark, sf_dir):
-    return A.plant_cards(T(spark, sf_dir), 1)
+    return A.plant_cards(T(spark, sf_dir), 1, as_of=MEASURE_AS_OF)
 
 
 @register("plant_cards_search", _plant_cards_sql(2, "Customer#0000001", 0))
 def q_plant_cards_search(spark, sf_dir):
-    return A.plant_cards(T(spark, sf_dir), 2, search="Customer#0000001")
+    return A.plant_cards(T(spark, sf_dir), 2, search="Customer#0000001", as_of=MEASURE_AS_OF)
 
 
 @register(
