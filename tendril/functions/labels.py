@@ -91,6 +91,16 @@ def due_label(days) -> Column:
     )
 
 
+def due_badge(days) -> Column:
+    """D-8, dashboard variant: <= 0 -> 'today', 1 -> 'tomorrow', else 'n days'."""
+    d = _col(days)
+    return (
+        F.when(d <= 0, F.lit("today"))
+        .when(d == 1, F.lit("tomorrow"))
+        .otherwise(F.concat(d.cast("string"), F.lit(" days")))
+    )
+
+
 def age_text(days) -> Column:
     """D-3: < 30 days -> days; < 365 -> months (days // 30); else years [+ months]."""
     d = _col(days)

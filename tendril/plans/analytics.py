@@ -281,6 +281,18 @@ def dashboard_metrics(t: CareTables, as_of, days_ahead: int = 7) -> DataFrame:
     )
 
 
+def top_attention(t: CareTables, as_of, k: int = 3) -> DataFrame:
+    """Dashboard: the first k attention rows (urgency, then oldest date; ties
+    by plant and reason)."""
+    return top_k(needs_attention(t, as_of), needs_attention_order(), k)
+
+
+def top_upcoming(t: CareTables, as_of, k: int = 5, days_ahead: int = 7) -> DataFrame:
+    """Dashboard: the next k upcoming reminders with the dashboard badge."""
+    up = upcoming_reminders(t, as_of, days_ahead).withColumn("badge", L.due_badge(F.col("days_until")))
+    return top_k(up, [F.col("reminder_date").asc(), F.col("reminder_id").asc()], k)
+
+
 def recent_events(t: CareTables, k: int = 5) -> DataFrame:
     """k newest events (by creation) of active plants that have a type."""
     e = t.events.join(_active_ids(t), "plant_id").join(_event_types(t), "event_type_id")
