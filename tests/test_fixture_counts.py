@@ -40,3 +40,9 @@ def test_versions_before_deletes(spark):
 
     ch = role_tables(spark, SF01).plant_changes
     assert ch.where(F.col("changed_at") <= F.lit("1998-01-01").cast("timestamp_ntz")).select("id").distinct().count() == 1480
+
+
+@pytest.mark.parametrize("sf,expected", [(SF001, {1: 1, 2: 2, 3: 131}), (SF01, {1: 7, 2: 29, 3: 1295})])
+def test_watering_branch_counts(spark, sf, expected):
+    att = QUERIES["needs_attention"](spark, sf).where(F.col("reason").startswith("Not watered"))
+    assert {r.urgency: r["count"] for r in att.groupBy("urgency").count().collect()} == expected
