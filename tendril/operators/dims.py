@@ -12,16 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 100_000
+MAX_ROWS_CONF = "spark.tendril.broadcast.maxRows"  # session setting
 
 
-def is_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def max_rows_for(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
+
+
+def is_bounded(df: DataFrame, max_rows: int | None = None) -> bool:
+    n = max_rows if max_rows is not None else max_rows_for(df)
+    return df.limit(n + 1).count() <= n
 
 
 class Dim:
     """A dimension DataFrame plus the result of its one-time size check."""
 
-    def __init__(self, df: DataFrame, small: bool | None = None, max_rows: int = DEFAULT_MAX_ROWS):
+    def __init__(self, df: DataFrame, small: bool | None = None, max_rows: int | None = None):
         self.df = df
         self.small = is_bounded(df, max_rows) if small is None else small
 

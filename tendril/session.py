@@ -32,6 +32,7 @@ CLUSTER_SUGGESTED = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.tendril.skew.targetRows": "2000000",
+    "spark.tendril.broadcast.maxRows": "100000",
 }
 
 

@@ -144,3 +144,20 @@ def test_event_badge_compares_times_for_overdue(spark):
     days = calendar_days(F.col("event_date"), now)
     got = [r.s for r in df.select(event_status("event_date", "is_completed", days, now).alias("s")).collect()]
     assert got == ["OVERDUE", "URGENT", "PLANNED", "DONE"]
+
+
+def test_dimension_broadcast_only_under_the_bound(spark):
+    from tendril.operators.dims import MAX_ROWS_CONF, Dim
+    from tests.plan_tools import plan_text
+
+    dim = spark.range(50).withColumnRenamed("id", "k")
+    fact = spark.range(1000).withColumn("k", F.col("id") % 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan_text(fact.join(Dim(dim).for_join(), "k"), "simple")
+        spark.conf.set(MAX_ROWS_CONF, "10")
+        d = Dim(dim)
+        assert not d.small and "BroadcastHashJoin" not in plan_text(fact.join(d.for_join(), "k"), "simple")
+    finally:
+        spark.conf.unset(MAX_ROWS_CONF)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
