@@ -1,9 +1,9 @@
 """The nine analytic views (V-1 .. V-9) as DataFrame functions.
 
 Every view takes the table bundle and an explicit ``as_of`` (the source reads
-the clock).  Views return unsorted DataFrames; ``ORDER BY`` of the source is
-available as ``*_ORDER`` column lists for presentation, so no global sort is
-paid unless a caller asks for it.
+the clock).  Views return unsorted DataFrames; the source's ``ORDER BY`` is
+available as ``*_order()`` helpers for presentation (a global sort is a range
+shuffle, paid only when a caller asks for it).
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendril.functions import labels as L
-from tendril.functions.days import add_days, as_ts, calendar_days, whole_days
+from tendril.functions.days import as_ts, calendar_days, whole_days
 from tendril.operators.latest import latest_per_key, time_order
 from tendril.operators.sequence import with_neighbours
 from tendril.sources.tables import CareTables
@@ -423,13 +423,6 @@ def alert_rank(level: Column) -> Column:
     )
 
 
-def look_back(col: str, as_of, days: int) -> Column:
-    """F-6: ``col >= as_of - days`` (no upper end)."""
-    return F.col(col) >= add_days(as_ts(as_of), -days)
-
-
-def reminder_rows(reminders: DataFrame, now: Column) -> DataFrame:
-    """The model's reminder fields: status and calendar days until."""
-    return reminders.withColumn(
-        "status", L.reminder_status("reminder_date", "is_sent", "is_completed", now)
-    ).withColumn("days_until", calendar_days(F.col("reminder_date"), now))
+def health_alerts_order() -> list[Column]:
+    """The source's alert order: severity, then health (plus id for ties)."""
+    return [alert_rank(F.col("alert_level")), F.col("current_health").asc_nulls_last(), F.col("plant_id")]
