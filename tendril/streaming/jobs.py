@@ -275,3 +275,46 @@ def run_latest_snapshot(measurements: DataFrame, name: str = "latest_snapshot"):
     return measurements.writeStream.foreachBatch(step).option(
         "checkpointLocation", checkpoint_path(spark, name + "_stream")
     )
+
+
+def merge_versions(versions: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """One micro-batch of the SCD2 stream: drop replayed changes (same id and
+    seq), close each touched key's open version at its first change in the
+    batch, and add the batch's own versions (the last one stays open)."""
+    from tendril.plans.temporal import scd2_build
+
+    changes = batch.dropDuplicates(["id", "seq"])
+    new = scd2_build(changes)
+    if versions is None:
+        return new
+    first = changes.groupBy("id").agg(
+        F.min_by("changed_at", F.struct(F.col("changed_at").isNull(), "changed_at", "seq")).alias("_first")
+    )
+    end = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
+    v = versions.join(first, "id", "left")
+    closed = v.withColumn(
+        "valid_to",
+        F.when((F.col("valid_to") == end) & F.col("_first").isNotNull(), F.col("_first")).otherwise(F.col("valid_to")),
+    ).drop("_first")
+    return closed.unionByName(new.select(*versions.columns))
+
+
+def run_scd2_stream(changes: DataFrame, name: str = "plant_versions"):
+    """ST-4: change feed -> SCD2 versions table, one snapshot version per
+    micro-batch under the shared checkpoint folder (a re-run batch rewrites
+    only its own version; a restarted driver continues from the last one)."""
+    from tendril.plans.changes import write_snapshot
+
+    spark = changes.sparkSession
+    state = {"v": None}
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        prev = state["v"]
+        if prev is None and batch_id > 0:
+            try:
+                prev = spark.read.parquet(f"{checkpoint_path(spark, name)}/v={batch_id - 1}")
+            except Exception:
+                prev = None
+        state["v"] = write_snapshot(merge_versions(prev, batch), name, batch_id)
+
+    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_path(spark, name + "_stream"))

@@ -130,3 +130,20 @@ def test_latest_snapshot_stream_equals_batch(spark, scratch):
     last = max(glob.glob(f"{checkpoint_path(spark, name)}/v=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
     got = spark.read.parquet(last)
     assert _same(got, S.stream_latest(t.measurements))
+
+
+def test_scd2_stream_equals_batch_versions(spark, scratch):
+    import glob
+
+    t = role_tables(spark, SF001)
+    ch = t.plant_changes
+    years = [r.y for r in ch.select(F.year("changed_at").alias("y")).distinct().orderBy("y").collect()]
+    for i, y in enumerate(years):  # changes arrive in time order, one file per year
+        ch.where(F.year("changed_at") == y).coalesce(1).write.parquet(f"{scratch}/ch/{i:03d}")
+    stream = spark.readStream.schema(schemas.PLANT_CHANGES).option("maxFilesPerTrigger", "1").parquet(f"{scratch}/ch/*")
+    name = f"versions{os.getpid()}"
+    S.run_scd2_stream(stream, name).trigger(availableNow=True).start().awaitTermination()
+    last = max(glob.glob(f"{checkpoint_path(spark, name)}/v=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
+    got = spark.read.parquet(last)
+    exp = TM.scd2_build(ch)
+    assert _same(got.select(*exp.columns), exp)
