@@ -237,6 +237,15 @@ def to_parquet(stream: DataFrame, out_path: str, name: str, mode: str = "append"
     return w.start()
 
 
+def _stored_version(spark: SparkSession, name: str, version: int) -> DataFrame | None:
+    """Snapshot version ``v=<version>`` under the checkpoint folder (None
+    before the first batch).  A name belongs to one stream: start a stream
+    with a fresh checkpoint under a fresh name."""
+    if version < 0:
+        return None
+    return spark.read.parquet(f"{checkpoint_path(spark, name)}/v={version}")
+
+
 def upsert_latest(snapshot: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Merge a batch of measurements into a latest-per-plant snapshot: per
     plant the newer of the stored row and the batch's newest row (same order
@@ -255,22 +264,17 @@ def upsert_latest(snapshot: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 def run_latest_snapshot(measurements: DataFrame, name: str = "latest_snapshot"):
     """ST-5 as a maintained table: every micro-batch writes a new version of
-    the latest-per-plant snapshot (``<checkpoint dir>/<name>/v=<batch id>``);
-    a re-run batch rewrites only its own version."""
+    the latest-per-plant snapshot (``<checkpoint dir>/<name>/v=<batch id>``)
+    from the previous stored version; a re-run batch rewrites only its own
+    version with the same content."""
     from tendril.plans.changes import write_snapshot
 
     spark = measurements.sparkSession
-    state = {"snap": None}
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        prev = state["snap"]
-        if prev is None and batch_id > 0:  # restarted driver: continue from the stored version
-            path = f"{checkpoint_path(spark, name)}/v={batch_id - 1}"
-            try:
-                prev = spark.read.parquet(path)
-            except Exception:
-                prev = None
-        state["snap"] = write_snapshot(upsert_latest(prev, batch), name, batch_id)
+        # v=<id> is a pure function of v=<id-1> and the batch: a re-run batch
+        # (same id) rewrites the same version; nothing is kept on the driver.
+        write_snapshot(upsert_latest(_stored_version(spark, name, batch_id - 1), batch), name, batch_id)
 
     return measurements.writeStream.foreachBatch(step).option(
         "checkpointLocation", checkpoint_path(spark, name + "_stream")
@@ -301,20 +305,14 @@ def merge_versions(versions: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 def run_scd2_stream(changes: DataFrame, name: str = "plant_versions"):
     """ST-4: change feed -> SCD2 versions table, one snapshot version per
-    micro-batch under the shared checkpoint folder (a re-run batch rewrites
-    only its own version; a restarted driver continues from the last one)."""
+    micro-batch under the shared checkpoint folder, each computed from the
+    previous stored version (a re-run batch rewrites its own version with the
+    same content; a restarted driver continues from the stored versions)."""
     from tendril.plans.changes import write_snapshot
 
     spark = changes.sparkSession
-    state = {"v": None}
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        prev = state["v"]
-        if prev is None and batch_id > 0:
-            try:
-                prev = spark.read.parquet(f"{checkpoint_path(spark, name)}/v={batch_id - 1}")
-            except Exception:
-                prev = None
-        state["v"] = write_snapshot(merge_versions(prev, batch), name, batch_id)
+        write_snapshot(merge_versions(_stored_version(spark, name, batch_id - 1), batch), name, batch_id)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_path(spark, name + "_stream"))
