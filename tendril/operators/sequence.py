@@ -20,8 +20,10 @@ third of the data.  The operators here split the timeline of such keys:
    those hands each segment the tail of the previous one, the head of the next
    one and the number of rows after it, and a broadcast join patches the edges.
 
-The result equals the plain window result exactly.  Slices are cut by time,
-so a burst of one key at a single instant stays in one segment (a limit).
+The result equals the plain window result exactly.  A burst of one key at a
+single instant is cut as well: such a hot instant gets its own parts of the
+slice, split into equal ranges of the id that orders rows of one instant
+(``with_neighbours``; the as-of join keeps time slices only).
 """
 
 from __future__ import annotations
@@ -85,25 +87,84 @@ def _any_hot(df: DataFrame, hot: DataFrame, key: str, time_col: str, target_rows
     return _HOT_SEEN[memo]
 
 
-def time_segments(df: DataFrame, key: str, time_col: str, target_rows: int | None) -> tuple[DataFrame, bool]:
-    """Add ``_seg`` (0 for ordinary keys, a time slice for hot keys) and ``_hot``.
+def time_segments(
+    df: DataFrame, key: str, time_col: str, target_rows: int | None, tie_col: str | None = None
+) -> tuple[DataFrame, bool]:
+    """Add ``_seg`` and ``_hot``; returns the frame and whether any key is hot.
 
-    Returns the frame and whether any key is hot.  The check is one small job
-    (a partial aggregate and ``limit(1)``); without hot keys the caller keeps
-    the plain one-shuffle plan."""
+    ``_seg`` is 0 for ordinary keys.  For a hot key it is the struct
+    ``(slice, part, bucket)``, ordered like the rows:
+
+    * ``slice``: an equal time slice (NULL times last);
+    * ``part``: inside a slice, rows before / at / after each *hot instant*
+      (one instant holding more than ``target_rows`` rows of the key);
+    * ``bucket``: at a hot instant, an equal-width range of ``tie_col`` (the
+      column that orders rows of one instant), so a burst at one instant is
+      cut as well.  Without ``tie_col`` bursts stay whole.
+
+    The check is one small job (a partial aggregate and ``limit(1)``);
+    without hot keys the caller keeps the plain one-shuffle plan."""
     target_rows = _target(df, target_rows)
     hot = hot_keys(df, key, time_col, target_rows)
     if not _any_hot(df, hot, key, time_col, target_rows):
         return df.withColumn(SEG, F.lit(0)).withColumn("_hot", F.lit(False)), False
     t = ntz_micros(F.col(time_col))
     joined = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    seg = (
+    slice_ = (
         F.when(F.col("_hk").isNull(), F.lit(0))
         .when(t.isNull(), F.lit(_LAST_SEG))
         .otherwise(F.floor((t - F.col("_t0")) / F.col("_w")).cast("int"))
     )
-    out = joined.withColumn(SEG, seg).withColumn("_hot", F.col("_hk").isNotNull()).drop("_hk", "_t0", "_w")
-    return out, True
+    joined = joined.withColumn("_slice", slice_).withColumn("_tm", t)
+    part = F.lit(0)
+    bucket = F.lit(0).cast("long")
+    if tie_col is not None:
+        hk = joined.where(F.col("_hk").isNotNull())
+        # hot instants: bounded by total_rows / target_rows, so broadcast
+        inst = (
+            hk.groupBy(F.col(key).alias("_ik"), F.col("_tm").alias("_it"), F.col("_slice").alias("_is"))
+            .agg(
+                F.count(F.lit(1)).alias("_in"),
+                F.min(tie_col).cast("long").alias("_imin"),
+                F.max(tie_col).cast("long").alias("_imax"),
+            )
+            .where(F.col("_in") > target_rows)
+            .withColumn(
+                "_iw",
+                F.greatest(
+                    F.lit(1).cast("long"),
+                    F.ceil((F.col("_imax") - F.col("_imin") + 1) / F.ceil(F.col("_in") / F.lit(target_rows))).cast(
+                        "long"
+                    ),
+                ),
+            )
+        )
+        per_slice = (
+            inst.where(F.col("_it").isNotNull())
+            .groupBy("_ik", "_is")
+            .agg(F.array_sort(F.collect_list("_it")).alias("_arr"))
+            .select(F.col("_ik").alias("_sk"), F.col("_is").alias("_ss"), "_arr")
+        )
+        joined = joined.join(
+            F.broadcast(per_slice), (F.col(key) == F.col("_sk")) & (F.col("_slice") == F.col("_ss")), "left"
+        ).join(
+            F.broadcast(inst.select("_ik", "_it", "_imin", "_iw")),
+            (F.col(key) == F.col("_ik")) & F.col("_tm").eqNullSafe(F.col("_it")),
+            "left",
+        )
+        # number of hot instants of the slice before t: position of t in the
+        # sorted union of the instants and t (no lambda, stays in codegen)
+        before = F.array_position(F.array_sort(F.array_union(F.col("_arr"), F.array(F.col("_tm")))), F.col("_tm")) - 1
+        part = F.when(F.col("_arr").isNull() | F.col("_tm").isNull(), F.lit(0)).otherwise(
+            (before * 2 + F.when(F.array_contains(F.col("_arr"), F.col("_tm")), 1).otherwise(0)).cast("int")
+        )
+        bucket = F.when(
+            F.col("_imin").isNotNull(), F.floor((F.col(tie_col).cast("long") - F.col("_imin")) / F.col("_iw"))
+        ).otherwise(F.lit(0)).cast("long")
+    seg = F.struct(F.col("_slice").alias("s"), part.alias("p"), bucket.alias("b"))
+    out = joined.withColumn(SEG, seg).withColumn("_hot", F.col("_hk").isNotNull())
+    drop = ["_hk", "_t0", "_w", "_slice", "_tm", "_sk", "_ss", "_arr", "_ik", "_it", "_imin", "_iw"]
+    return out.drop(*[c for c in drop if c in out.columns]), True
 
 
 def with_neighbours(
@@ -127,7 +188,8 @@ def with_neighbours(
     """
     ord_names = [f"_o{i}" for i in range(len(order))]
     base = df.select("*", *[_col(o).alias(n) for o, n in zip(order, ord_names)])
-    seg, skewed = time_segments(base, key, time_col, target_rows)
+    # rows of one instant are ordered by the last order column (the id)
+    seg, skewed = time_segments(base, key, time_col, target_rows, tie_col=ord_names[-1])
     parts = [key, SEG] if skewed else [key]
 
     w = Window.partitionBy(*parts).orderBy(*ord_names)

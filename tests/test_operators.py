@@ -161,3 +161,28 @@ def test_dimension_broadcast_only_under_the_bound(spark):
     finally:
         spark.conf.unset(MAX_ROWS_CONF)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_burst_at_one_instant_is_split_and_exact(spark):
+    from tendril.operators.sequence import SEG, time_segments
+
+    rows = [(i, 1, D(2024, 1, 1, 12), float(i % 7)) for i in range(900)]  # one instant, 900 rows
+    rows += [(1000 + i, 1, D(2024, 1, 1) + dt.timedelta(minutes=37 * i), 1.0) for i in range(60)]  # around it
+    rows += [(2000 + i, 2, D(2024, 1, 2) + dt.timedelta(hours=i), 2.0) for i in range(30)]  # a normal plant
+    rows += [(3000 + i, 1, None, 3.0) for i in range(5)]  # NULL times last
+    df = spark.createDataFrame(rows, "id long, k long, t timestamp_ntz, v double")
+    seg, skewed = time_segments(df, "k", "t", 50, tie_col="id")
+    assert skewed
+    biggest = seg.where("_hot").groupBy("k", SEG).count().agg(F.max("count")).first()[0]
+    assert biggest <= 100  # the 900-row instant is cut by id
+    order = [F.col("t").isNull(), F.col("t"), F.col("id")]
+    w = Window.partitionBy("k").orderBy(*order)
+    exp = df.select(
+        "id",
+        F.lag("v").over(w).alias("prev_v"),
+        F.lead("v").over(w).alias("next_v"),
+        F.row_number().over(Window.partitionBy("k").orderBy(*[o.desc() for o in order])).alias("rk"),
+    )
+    got = with_neighbours(df, "k", order, ["v"], "t", prev=True, next_=True, rank_desc="rk", target_rows=50)
+    assert got.count() == df.count()
+    assert got.select("id", "prev_v", "next_v", "rk").exceptAll(exp).count() == 0
