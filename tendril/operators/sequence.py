@@ -22,8 +22,8 @@ third of the data.  The operators here split the timeline of such keys:
 
 The result equals the plain window result exactly.  A burst of one key at a
 single instant is cut as well: such a hot instant gets its own parts of the
-slice, split into equal ranges of the id that orders rows of one instant
-(``with_neighbours``; the as-of join keeps time slices only).
+slice, split into equal ranges of the id that orders rows of one instant (in
+the as-of join: right rows by their order column, left rows by a hash).
 """
 
 from __future__ import annotations
@@ -88,7 +88,13 @@ def _any_hot(df: DataFrame, hot: DataFrame, key: str, time_col: str, target_rows
 
 
 def time_segments(
-    df: DataFrame, key: str, time_col: str, target_rows: int | None, tie_col: str | None = None
+    df: DataFrame,
+    key: str,
+    time_col: str,
+    target_rows: int | None,
+    tie_col: str | None = None,
+    side_col: str | None = None,
+    side_hash: Column | None = None,
 ) -> tuple[DataFrame, bool]:
     """Add ``_seg`` and ``_hot``; returns the frame and whether any key is hot.
 
@@ -100,7 +106,10 @@ def time_segments(
       (one instant holding more than ``target_rows`` rows of the key);
     * ``bucket``: at a hot instant, an equal-width range of ``tie_col`` (the
       column that orders rows of one instant), so a burst at one instant is
-      cut as well.  Without ``tie_col`` bursts stay whole.
+      cut as well.  Without ``tie_col`` bursts stay whole.  With ``side_col``
+      (as-of order ``(time, side, tie)``) the bucket is ``(side, sub)``: side-0
+      rows are cut by ``tie_col`` ranges, side-1 rows (unordered among
+      themselves) by ``side_hash`` modulo the number of ranges.
 
     The check is one small job (a partial aggregate and ``limit(1)``);
     without hot keys the caller keeps the plain one-shuffle plan."""
@@ -148,7 +157,7 @@ def time_segments(
         joined = joined.join(
             F.broadcast(per_slice), (F.col(key) == F.col("_sk")) & (F.col("_slice") == F.col("_ss")), "left"
         ).join(
-            F.broadcast(inst.select("_ik", "_it", "_imin", "_iw")),
+            F.broadcast(inst.select("_ik", "_it", "_imin", "_iw", "_in")),
             (F.col(key) == F.col("_ik")) & F.col("_tm").eqNullSafe(F.col("_it")),
             "left",
         )
@@ -158,12 +167,19 @@ def time_segments(
         part = F.when(F.col("_arr").isNull() | F.col("_tm").isNull(), F.lit(0)).otherwise(
             (before * 2 + F.when(F.array_contains(F.col("_arr"), F.col("_tm")), 1).otherwise(0)).cast("int")
         )
-        bucket = F.when(
-            F.col("_imin").isNotNull(), F.floor((F.col(tie_col).cast("long") - F.col("_imin")) / F.col("_iw"))
-        ).otherwise(F.lit(0)).cast("long")
+        by_tie = F.floor((F.col(tie_col).cast("long") - F.col("_imin")) / F.col("_iw"))
+        if side_col is not None:
+            ranges = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_in") / F.lit(target_rows)).cast("long"))
+            sub = F.when(F.col(side_col) == 0, by_tie).otherwise(F.pmod(side_hash, ranges))
+            # only rows at a hot instant are cut; all others keep bucket 0
+            bucket = F.when(F.col("_iw").isNotNull(), F.col(side_col) * F.lit(1 << 40) + sub).otherwise(
+                F.lit(0)
+            ).cast("long")
+        else:
+            bucket = F.when(F.col("_imin").isNotNull(), by_tie).otherwise(F.lit(0)).cast("long")
     seg = F.struct(F.col("_slice").alias("s"), part.alias("p"), bucket.alias("b"))
     out = joined.withColumn(SEG, seg).withColumn("_hot", F.col("_hk").isNotNull())
-    drop = ["_hk", "_t0", "_w", "_slice", "_tm", "_sk", "_ss", "_arr", "_ik", "_it", "_imin", "_iw"]
+    drop = ["_hk", "_t0", "_w", "_slice", "_tm", "_sk", "_ss", "_arr", "_ik", "_it", "_imin", "_iw", "_in"]
     return out.drop(*[c for c in drop if c in out.columns]), True
 
 
@@ -295,7 +311,9 @@ def asof_join(
     r_part = r_part.withColumn("_left", F.lit(None).cast(l_part.schema["_left"].dataType))
     both = l_part.unionByName(r_part)
 
-    seg, skewed = time_segments(both, "_k", "_t", target_rows)
+    seg, skewed = time_segments(
+        both, "_k", "_t", target_rows, tie_col="_tie", side_col="_side", side_hash=F.xxhash64("_left")
+    )
     ords = [F.col("_t").isNull(), F.col("_t"), F.col("_side"), F.col("_tie")]
     parts = ["_k", SEG] if skewed else ["_k"]
     w = Window.partitionBy(*parts).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)

@@ -186,3 +186,21 @@ def test_burst_at_one_instant_is_split_and_exact(spark):
     got = with_neighbours(df, "k", order, ["v"], "t", prev=True, next_=True, rank_desc="rk", target_rows=50)
     assert got.count() == df.count()
     assert got.select("id", "prev_v", "next_v", "rk").exceptAll(exp).count() == 0
+
+
+def test_asof_burst_is_split_and_exact(spark):
+    from tendril.operators.sequence import asof_join
+
+    inst = D(2024, 1, 1, 12)
+    versions = [(1, inst, i, f"v{i}") for i in range(300)]  # 300 versions at one instant
+    versions += [(1, D(2024, 1, 1, 1) + dt.timedelta(minutes=7 * i), 1000 + i, f"w{i}") for i in range(40)]
+    facts = [(i, 1, inst) for i in range(400)]  # 400 facts at the same instant
+    facts += [(1000 + i, 1, D(2024, 1, 1) + dt.timedelta(minutes=13 * i)) for i in range(100)]
+    v = spark.createDataFrame(versions, "k long, vf timestamp_ntz, seq long, val string")
+    f = spark.createDataFrame(facts, "fid long, k long, t timestamp_ntz")
+    got = {r.fid: r.val for r in asof_join(f, v, "k", "t", "vf", ["val"], right_order="seq", target_rows=50).collect()}
+    exp = {}
+    for fid, k, t in facts:
+        cands = [(vf, seq, val) for kk, vf, seq, val in versions if kk == k and vf <= t]
+        exp[fid] = max(cands)[2] if cands else None
+    assert got == exp
