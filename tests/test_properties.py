@@ -97,3 +97,42 @@ def test_scd2_point_in_time_equals_replay(spark, feed, at, target):
     # a change at exactly t is in effect at t, except a zero-length version
     # (another change of the key at the same instant) which no instant sees
     assert got == state
+
+
+burst_rows = st.lists(
+    st.tuples(st.integers(0, 1), st.one_of(st.none(), st.integers(0, 2)), st.floats(-5, 5, allow_nan=False)),
+    min_size=5,
+    max_size=80,
+)
+
+
+@SETTINGS
+@given(rows=burst_rows, target=st.integers(1, 4))
+def test_neighbours_random_bursts(spark, rows, target):
+    """Few instants, many rows each: bursts are cut by id and stay exact."""
+    data = [(i, k, None if h is None else BASE + dt.timedelta(hours=h), v) for i, (k, h, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, k long, t timestamp_ntz, v double")
+    order = [F.col("t").isNull(), F.col("t"), F.col("id")]
+    w = Window.partitionBy("k").orderBy(*order)
+    exp = df.select("id", F.lag("v").over(w).alias("prev_v"), F.lead("v").over(w).alias("next_v"))
+    got = with_neighbours(df, "k", order, ["v"], "t", prev=True, next_=True, target_rows=target)
+    assert sorted(map(tuple, got.select("id", "prev_v", "next_v").collect())) == sorted(map(tuple, exp.collect()))
+
+
+@SETTINGS
+@given(
+    versions=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 2)), max_size=40),
+    facts=st.lists(st.tuples(st.integers(0, 1), st.integers(0, 3)), min_size=1, max_size=60),
+    target=st.integers(1, 4),
+)
+def test_asof_random_bursts(spark, versions, facts, target):
+    vrows = [(k, BASE + dt.timedelta(hours=h), i, f"v{i}") for i, (k, h) in enumerate(versions)]
+    frows = [(i, k, BASE + dt.timedelta(hours=h)) for i, (k, h) in enumerate(facts)]
+    v = spark.createDataFrame(vrows, "k long, vf timestamp_ntz, seq long, val string")
+    f = spark.createDataFrame(frows, "fid long, k long, t timestamp_ntz")
+    got = asof_join(f, v, "k", "t", "vf", ["val"], right_order="seq", target_rows=target).select("fid", "val")
+    exp = []
+    for fid, k, t in frows:
+        cands = [(vf, seq, val) for kk, vf, seq, val in vrows if kk == k and vf <= t]
+        exp.append((fid, max(cands)[2] if cands else None))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(exp, key=repr)
