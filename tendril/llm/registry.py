@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tendril.llm import quality_qda, simhash_bk
+from tendril.llm import budget_mixing, chunked_bpe, quality_qda, secret_structure, simhash_bk
 from tendril.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op6_budget_mixing", budget_mixing.oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget_mixing.epochs(table(spark, sf_dir, "documents"))
+
+
+@register("op7_chunked_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    return chunked_bpe.digests(table(spark, sf_dir, "documents"), path, tokenizers.PATTERN)
+
+
 @register("op8_simhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.simhash_components(table(spark, sf_dir, "documents"))
@@ -31,3 +44,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_secret_structure")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_structure.secret_digests(table(spark, sf_dir, "documents"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
