@@ -65,6 +65,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def code_points(spans: list[tuple[str, int, int]]) -> str:
-    """``kind:start:end`` joined by commas, in the given order."""
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+def joined_spans(spans: Column) -> Column:
+    """``kind:start:end`` of an array of spans, joined by commas in its order."""
+    one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    return F.concat_ws(",", F.transform(spans, one))

@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tendril.llm import budget_mixing, chunked_bpe, quality_qda, secret_structure, simhash_bk
+from tendril.llm import (
+    budget_mixing,
+    chunked_bpe,
+    divergence_rules,
+    pii_anchors,
+    quality_qda,
+    secret_structure,
+    simhash_bk,
+    toxicity_cnn,
+)
 from tendril.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +32,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op2_toxicity_cnn")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op3_divergence_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@register("op5_pii_anchors")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_anchors.personal_data_digests(table(spark, sf_dir, "documents"))
+
+
 @register("op6_budget_mixing", budget_mixing.oracle())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mixing.epochs(table(spark, sf_dir, "documents"))

@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendril.llm.common import fresh, text_udf
+from tendril.llm.common import fresh, joined_spans, text_udf
 
 # Fixed patterns of the base kinds; a match that fails its check is dropped
 # and the search goes on behind it.
@@ -198,12 +198,6 @@ def redact(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def joined(spans: Column) -> Column:
-    return F.concat_ws(
-        ",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
-    )
-
-
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` for every row of ``docs(doc_id, text)``; other columns are ignored,
     null and empty texts have no spans, repeated rows each give a row."""
@@ -217,8 +211,8 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in KINDS],
-        F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.col("spans")).alias("spans"),
+        F.sha2(joined_spans(base), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
     )
 
 
