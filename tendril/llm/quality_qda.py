@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendril.llm.common import fresh, held_out, text_udf
+from tendril.llm.common import cut, fresh, held_out, text_udf
 
 ACCEPT = 0.3
 #: Weights of the pooled covariance and of the scaled identity.
@@ -90,24 +90,29 @@ class Gaussian:
         return self.log_norm - 0.5 * np.einsum("...i,...i->...", z, z)
 
 
+def features_column(text: Column) -> Column:
+    """The features of a text column; null texts count as empty."""
+    return text_udf("array<double>", lambda: features)(text)
+
+
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per task and class: rows, sums of the features and of their products."""
     k = len(FEATURES)
     total = {c: np.zeros(1 + k + k * k) for c in (0, 1)}
     for rows in batches:
-        for c, text in zip(rows["label"], rows["text"]):
-            x = features(text or "")
-            total[int(c)] += np.concatenate([[1.0], x, np.outer(x, x).ravel()])
+        for c, own in rows.groupby("label"):
+            x = np.stack(own["features"].to_numpy())
+            total[int(c)] += np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
     yield pd.DataFrame(
         [(c, i, v) for c, sums in total.items() if sums[0] for i, v in enumerate(sums)], columns=["label", "i", "v"]
     )
 
 
 def fit(learn: DataFrame) -> list[Gaussian] | None:
-    """Class models of ``learn(text, label)`` over all its rows, label 0 or 1.
+    """Class models of ``learn(features, label)`` over all its rows, label 0 or 1.
 
     Without rows of both classes there is no model (None)."""
-    sums = learn.where(F.col("label").isin(0, 1)).select("text", "label").mapInPandas(
+    sums = learn.where(F.col("label").isin(0, 1)).select("features", "label").mapInPandas(
         _moments, "label int, i int, v double"
     )
     k = len(FEATURES)
@@ -130,38 +135,51 @@ def fit(learn: DataFrame) -> list[Gaussian] | None:
     return out
 
 
-def score(model: list[Gaussian] | None, text: str) -> float:
-    """Probability of label 1, bent so that extreme odds do not tie."""
-    if model is None:
-        return 0.5
-    x = features(text)
-    z = float(model[1].log_density(x) - model[0].log_density(x))
-    return float(1 / (1 + np.exp(-BEND * z / (BEND + abs(z)))))
+def score_column(model: list[Gaussian] | None, feats: Column) -> Column:
+    """Probability of label 1 from a column of features, bent so that extreme odds do not tie."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            if model is None or not len(rows):
+                yield pd.Series(np.full(len(rows), 0.5))
+                continue
+            x = np.stack(rows.to_numpy())
+            z = model[1].log_density(x) - model[0].log_density(x)
+            yield pd.Series(1 / (1 + np.exp(-BEND * z / (BEND + np.abs(z)))))
 
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "double")(feats)
 
-def score_column(model: list[Gaussian] | None, text: Column) -> Column:
-    return text_udf("double", lambda: lambda t: score(model, t))(text)
+
+def _learn_rows(feats: DataFrame, labels: DataFrame) -> DataFrame:
+    """``features, label`` of all labelled rows of ``feats(doc_id, features)`` that are
+    not held out; only ids and features are shuffled, never texts."""
+    marks = labels.where(F.col("quality").isin(0, 1)).select(
+        F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("label")
+    )
+    learn = feats.where(~held_out(F.col("doc_id")))
+    return learn.join(marks, F.col("doc_id") == F.col("of")).select("features", "label")
 
 
-def learn_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """``text, label`` of all labelled rows that are not held out."""
-    marks = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("of"), F.col(label).cast("int").alias("label"))
-    return docs.where(~held_out(F.col("doc_id"))).join(marks, F.col("doc_id") == F.col("of")).select("text", "label")
+def _featured(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", features_column(F.col("text")).alias("features"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty, an empty text has a score too; repeated rows
-    each give a row; without labels of both classes every score is 0.5."""
-    model = fit(learn_rows(docs, labels, "quality"))
-    return docs.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, F.col("text")).alias("score")
+    each give a row; without labels of both classes every score is 0.5.  The
+    features are stored once, for learning and for scoring."""
+    feats = cut(_featured(docs))
+    model = fit(_learn_rows(feats, labels))
+    return feats.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, F.col("features")).alias("score")
     ).withColumn("predicted", (F.col("score") >= accept).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns."""
-    model = fit(learn_rows(docs, labels, "quality"))
+    model = fit(_learn_rows(_featured(docs), labels))
     (s,) = fresh(docs, "quality_score")
-    return docs.withColumn(s, score_column(model, F.col("text"))).where(F.col(s) >= accept).drop(s)
+    return docs.withColumn(s, score_column(model, features_column(F.col("text")))).where(F.col(s) >= accept).drop(s)
