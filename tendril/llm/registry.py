@@ -15,6 +15,7 @@ from tendril.llm import (
     secret_structure,
     simhash_bk,
     toxicity_cnn,
+    url_association,
 )
 from tendril.llm.common import table
 
@@ -42,6 +43,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@register("op4_url_association", url_association.oracle())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_association.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @register("op5_pii_anchors")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_anchors.personal_data_digests(table(spark, sf_dir, "documents"))
