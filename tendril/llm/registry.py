@@ -10,6 +10,7 @@ from tendril.llm import (
     budget_mixing,
     chunked_bpe,
     divergence_rules,
+    embedding_forest,
     pii_anchors,
     quality_qda,
     secret_structure,
@@ -33,6 +34,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_embedding_forest", embedding_forest.oracle())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_forest.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 @register("op2_toxicity_cnn")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
