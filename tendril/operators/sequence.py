@@ -2,28 +2,23 @@
 
 ``LAG``/``LEAD``/``ROW_NUMBER`` over ``PARTITION BY key`` put every row of a
 key into one task.  When one plant holds a third of all rows that task gets a
-third of the data.  The operators here split the timeline of such keys:
-
-1. One partial aggregate finds the *hot* keys: more than ``target_rows`` rows.
-   There are at most ``total_rows / target_rows`` of them, so that list has a
-   size bound by construction and is broadcast.
-2. A hot key's rows are cut into ``ceil(n / target_rows)`` equal time slices
-   ("segments"); every other key is one segment.  The segment is a pure
-   function of the row and the key's statistics - recomputing any task
-   (e.g. after a lost executor) gives the same segment.  (A range exchange
-   would not do: its sampling is seeded per RDD, so two plan branches would
-   cut different ranges.)
-3. The windows run per ``(key, segment)``.  When no key is hot (checked by
-   one small job) the plan is the plain one: windows per key, one shuffle.
-4. Only the first/last row of a hot key's segment needs a value from another
-   segment: one row per (hot key, segment) is aggregated, a small window over
-   those hands each segment the tail of the previous one, the head of the next
-   one and the number of rows after it, and a broadcast join patches the edges.
-
-The result equals the plain window result exactly.  A burst of one key at a
-single instant is cut as well: such a hot instant gets its own parts of the
-slice, split into equal ranges of the id that orders rows of one instant (in
-the as-of join: right rows by their order column, left rows by a hash).
+third of the data.  The operators here cut such keys by *row counts*:
+
+1. One aggregate over the key column finds the hot keys, those with more than
+   ``target_rows`` rows.  At most ``MAX_HOT_KEYS`` are taken, the largest, so
+   their list is bounded whatever the data; it is stored in the shared
+   checkpoint folder and broadcast.
+2. Rows of all other keys take the plain plan: windows per key, one shuffle.
+3. Rows of hot keys are range-partitioned by (key, order) into parts of about
+   half the target and stored with their part number.  The order is total (it
+   ends with the id), so bursts at one instant, stray dates and rows without a
+   time are cut like any others.  Storing them once means that every later
+   step, and every recomputed task, sees the same parts.
+4. The windows run per (key, part).  Only the first and last row of a part
+   need a value from another part: one row per (hot key, part) is aggregated
+   and handed on to its neighbours by a small window, then joined back.
+
+The result equals the plain window result exactly.
 """
 
 from __future__ import annotations
@@ -33,154 +28,72 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendril.functions.days import ntz_micros
+from tendril.session import ensure_checkpoint_dir
 
-SEG = "_seg"
 DEFAULT_TARGET_ROWS = 2_000_000
 TARGET_ROWS_CONF = "spark.tendril.skew.targetRows"  # session setting, rows per key above which a key is split
-_LAST_SEG = 2_000_000_000  # segment of rows without a time (sorted last)
+#: Hot keys that are split at most, the largest first: each further key has
+#: less than a 100,000th of all rows.  Bounds every broadcast here.
+MAX_HOT_KEYS = 100_000
+PART = "_part"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def hot_keys(df: DataFrame, key: str, time_col: str, target_rows: int) -> DataFrame:
-    """Keys with more than ``target_rows`` rows, their first time and slice width.
-
-    At most ``total_rows / target_rows`` rows: bounded, so it is broadcast."""
-    t = ntz_micros(F.col(time_col))
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"))
-        .where(F.col("_n") > target_rows)
-        .select(
-            F.col(key).alias("_hk"),
-            "_t0",
-            # slice width in micros, at least 1
-            F.greatest(
-                F.lit(1).cast("long"),
-                F.ceil((F.col("_t1") - F.col("_t0") + 1) / F.ceil(F.col("_n") / F.lit(target_rows))).cast("long"),
-            ).alias("_w"),
-        )
-    )
-
-
 def _target(df: DataFrame, target_rows: int | None) -> int:
     if target_rows:
         return int(target_rows)
     return int(df.sparkSession.conf.get(TARGET_ROWS_CONF, str(DEFAULT_TARGET_ROWS)))
 
 
-_HOT_SEEN: dict = {}
+def _stored(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def _any_hot(df: DataFrame, hot: DataFrame, key: str, time_col: str, target_rows: int) -> bool:
-    """Whether any key is hot; remembered per input plan within a session.
+def hot_keys(df: DataFrame, key: str, target_rows: int) -> DataFrame:
+    """``_hk, _n``: the keys with more than ``target_rows`` rows, at most MAX_HOT_KEYS
+    of them (a NULL key counts as a key), stored."""
+    counts = df.groupBy(F.col(key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n"))
+    return _stored(counts.where(F.col("_n") > target_rows).orderBy(F.desc("_n"), "_hk").limit(MAX_HOT_KEYS))
 
-    A stale answer can only cost speed, never correctness: without the split
-    the plain window is still exact."""
-    spark = df.sparkSession
-    memo = (id(spark), spark.sparkContext.applicationId, df.semanticHash(), key, time_col, target_rows)
-    if memo not in _HOT_SEEN:
-        _HOT_SEEN[memo] = hot.limit(1).count() > 0
-    return _HOT_SEEN[memo]
 
+def split_hot(
+    df: DataFrame, key: str, order: Sequence[str], target_rows: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, stored rows of hot keys with their ``_part`` or None).
 
-def time_segments(
-    df: DataFrame,
-    key: str,
-    time_col: str,
-    target_rows: int | None,
-    tie_col: str | None = None,
-    side_col: str | None = None,
-    side_hash: Column | None = None,
-) -> tuple[DataFrame, bool]:
-    """Add ``_seg`` and ``_hot``; returns the frame and whether any key is hot.
-
-    ``_seg`` is 0 for ordinary keys.  For a hot key it is the struct
-    ``(slice, part, bucket)``, ordered like the rows:
-
-    * ``slice``: an equal time slice (NULL times last);
-    * ``part``: inside a slice, rows before / at / after each *hot instant*
-      (one instant holding more than ``target_rows`` rows of the key);
-    * ``bucket``: at a hot instant, an equal-width range of ``tie_col`` (the
-      column that orders rows of one instant), so a burst at one instant is
-      cut as well.  Without ``tie_col`` bursts stay whole.  With ``side_col``
-      (as-of order ``(time, side, tie)``) the bucket is ``(side, sub)``: side-0
-      rows are cut by ``tie_col`` ranges, side-1 rows (unordered among
-      themselves) by ``side_hash`` modulo the number of ranges.
-
-    The check is one small job (a partial aggregate and ``limit(1)``);
-    without hot keys the caller keeps the plain one-shuffle plan."""
+    Parts are numbered along (key, order) and hold at most about
+    ``target_rows`` rows each; rows of one key and part lie in one partition."""
     target_rows = _target(df, target_rows)
-    hot = hot_keys(df, key, time_col, target_rows)
-    if not _any_hot(df, hot, key, time_col, target_rows):
-        return df.withColumn(SEG, F.lit(0)).withColumn("_hot", F.lit(False)), False
-    t = ntz_micros(F.col(time_col))
-    joined = df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    slice_ = (
-        F.when(F.col("_hk").isNull(), F.lit(0))
-        .when(t.isNull(), F.lit(_LAST_SEG))
-        .otherwise(F.floor((t - F.col("_t0")) / F.col("_w")).cast("int"))
-    )
-    joined = joined.withColumn("_slice", slice_).withColumn("_tm", t)
-    part = F.lit(0)
-    bucket = F.lit(0).cast("long")
-    if tie_col is not None:
-        hk = joined.where(F.col("_hk").isNotNull())
-        # hot instants: bounded by total_rows / target_rows, so broadcast
-        inst = (
-            hk.groupBy(F.col(key).alias("_ik"), F.col("_tm").alias("_it"), F.col("_slice").alias("_is"))
-            .agg(
-                F.count(F.lit(1)).alias("_in"),
-                F.min(tie_col).cast("long").alias("_imin"),
-                F.max(tie_col).cast("long").alias("_imax"),
-            )
-            .where(F.col("_in") > target_rows)
-            .withColumn(
-                "_iw",
-                F.greatest(
-                    F.lit(1).cast("long"),
-                    F.ceil((F.col("_imax") - F.col("_imin") + 1) / F.ceil(F.col("_in") / F.lit(target_rows))).cast(
-                        "long"
-                    ),
-                ),
-            )
-        )
-        per_slice = (
-            inst.where(F.col("_it").isNotNull())
-            .groupBy("_ik", "_is")
-            .agg(F.array_sort(F.collect_list("_it")).alias("_arr"))
-            .select(F.col("_ik").alias("_sk"), F.col("_is").alias("_ss"), "_arr")
-        )
-        joined = joined.join(
-            F.broadcast(per_slice), (F.col(key) == F.col("_sk")) & (F.col("_slice") == F.col("_ss")), "left"
-        ).join(
-            F.broadcast(inst.select("_ik", "_it", "_imin", "_iw", "_in")),
-            (F.col(key) == F.col("_ik")) & F.col("_tm").eqNullSafe(F.col("_it")),
-            "left",
-        )
-        # number of hot instants of the slice before t: position of t in the
-        # sorted union of the instants and t (no lambda, stays in codegen)
-        before = F.array_position(F.array_sort(F.array_union(F.col("_arr"), F.array(F.col("_tm")))), F.col("_tm")) - 1
-        part = F.when(F.col("_arr").isNull() | F.col("_tm").isNull(), F.lit(0)).otherwise(
-            (before * 2 + F.when(F.array_contains(F.col("_arr"), F.col("_tm")), 1).otherwise(0)).cast("int")
+    hot = hot_keys(df, key, target_rows)
+    rows = hot.agg(F.sum("_n").alias("n")).first()["n"]
+    if not rows:
+        return df, None
+    keys = F.broadcast(hot.select("_hk"))
+    same = F.col(key).eqNullSafe(F.col("_hk"))
+    parts = max(1, -(-2 * rows // target_rows))
+    ranged = df.join(keys, same, "left_semi").repartitionByRange(parts, F.col(key), *[F.col(o) for o in order])
+    return df.join(keys, same, "left_anti"), _stored(ranged.withColumn(PART, F.spark_partition_id()))
+
+
+def _neighbours(
+    df: DataFrame, parts: list[str], ords: list[str], payload: Column, prev: bool, next_: bool, rank: bool
+) -> DataFrame:
+    """Adds ``_lag``, ``_lead``, ``_rn`` and ``_cnt`` within ``parts`` as far as asked for."""
+    w = Window.partitionBy(*parts).orderBy(*ords)
+    out = df
+    if prev:
+        out = out.withColumn("_lag", F.lag(payload).over(w))
+    if next_:
+        out = out.withColumn("_lead", F.lead(payload).over(w))
+    if rank:
+        out = out.withColumn("_rn", F.row_number().over(w)).withColumn(
+            "_cnt", F.count(F.lit(1)).over(Window.partitionBy(*parts))
         )
-        by_tie = F.floor((F.col(tie_col).cast("long") - F.col("_imin")) / F.col("_iw"))
-        if side_col is not None:
-            ranges = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_in") / F.lit(target_rows)).cast("long"))
-            sub = F.when(F.col(side_col) == 0, by_tie).otherwise(F.pmod(side_hash, ranges))
-            # only rows at a hot instant are cut; all others keep bucket 0
-            bucket = F.when(F.col("_iw").isNotNull(), F.col(side_col) * F.lit(1 << 40) + sub).otherwise(
-                F.lit(0)
-            ).cast("long")
-        else:
-            bucket = F.when(F.col("_imin").isNotNull(), by_tie).otherwise(F.lit(0)).cast("long")
-    seg = F.struct(F.col("_slice").alias("s"), part.alias("p"), bucket.alias("b"))
-    out = joined.withColumn(SEG, seg).withColumn("_hot", F.col("_hk").isNotNull())
-    drop = ["_hk", "_t0", "_w", "_slice", "_tm", "_sk", "_ss", "_arr", "_ik", "_it", "_imin", "_iw", "_in"]
-    return out.drop(*[c for c in drop if c in out.columns]), True
+    return out
 
 
 def with_neighbours(
@@ -199,74 +112,49 @@ def with_neighbours(
     """Add ``prev_<v>`` / ``next_<v>`` (the adjacent row of the same key under
     ``order``) and optionally a descending row number ``rank_desc``.
 
-    ``order`` is a list of columns or expressions that must be monotone in
-    ``time_col`` (NULL times last) and total (break ties by ``id``).
+    ``order`` is a list of columns or expressions (NULL times last) and total
+    (break ties by ``id``, of any orderable type).
     """
-    ord_names = [f"_o{i}" for i in range(len(order))]
-    base = df.select("*", *[_col(o).alias(n) for o, n in zip(order, ord_names)])
-    # rows of one instant are ordered by the last order column (the id)
-    seg, skewed = time_segments(base, key, time_col, target_rows, tie_col=ord_names[-1])
-    parts = [key, SEG] if skewed else [key]
-
-    w = Window.partitionBy(*parts).orderBy(*ord_names)
+    ords = [f"_o{i}" for i in range(len(order))]
+    base = df.select("*", *[_col(o).alias(n) for o, n in zip(order, ords)])
     payload = F.struct(*[F.col(v).alias(v) for v in values])
-    local = seg.withColumn("_rn", F.row_number().over(w))
-    if rank_desc or (next_ and skewed):
-        local = local.withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*parts)))
-    if prev:
-        local = local.withColumn("_lag", F.lag(payload).over(w))
-    if next_:
-        local = local.withColumn("_lead", F.lead(payload).over(w))
-    if not skewed:
-        adds = []
-        for v in values:
-            if prev:
-                adds.append(F.col("_lag")[v].alias(prev_prefix + v))
-            if next_:
-                adds.append(F.col("_lead")[v].alias(next_prefix + v))
+    cold, hot = split_hot(base, key, ords, target_rows)
+    names = [c for c, on in (("_lag", prev), ("_lead", next_), ("_rank", bool(rank_desc))) if on]
+
+    def shaped(part: DataFrame) -> DataFrame:
         if rank_desc:
-            adds.append((F.col("_cnt") - F.col("_rn") + 1).cast("int").alias(rank_desc))
-        return local.select(*[F.col(c) for c in df.columns], *adds)
-
-    # Edges of hot keys only: one row per (hot key, segment).
-    ord_struct = F.struct(*[F.col(n) for n in ord_names])
-    edges = (
-        seg.where(F.col("_hot"))
-        .groupBy(key, SEG)
-        .agg(
-            F.min_by(payload, ord_struct).alias("_head"),
-            F.max_by(payload, ord_struct).alias("_tail"),
-            F.count(F.lit(1)).alias("_n"),
+            part = part.withColumn("_rank", (F.col("_cnt") - F.col("_rn") + 1).cast("int"))
+        return part.select(*[F.col(c) for c in df.columns], *names)
+
+    out = shaped(_neighbours(cold, [key], ords, payload, prev, next_, bool(rank_desc)))
+    if hot is not None:
+        local = _neighbours(hot, [key, PART], ords, payload, prev, next_, True)
+        at = F.struct(*[F.col(n) for n in ords])
+        edges = hot.groupBy(key, PART).agg(
+            F.min_by(payload, at).alias("_head"), F.max_by(payload, at).alias("_tail"), F.count(F.lit(1)).alias("_n")
         )
-    )
-    we = Window.partitionBy(key).orderBy(SEG)
-    cols = [F.col(key).alias("_ek"), F.col(SEG).alias("_es")]
-    if prev:
-        cols.append(F.lag("_tail").over(we).alias("_prev_tail"))
-    if next_:
-        cols.append(F.lead("_head").over(we).alias("_next_head"))
-    if rank_desc:
-        after = F.sum("_n").over(we.rowsBetween(1, Window.unboundedFollowing))
-        cols.append(F.coalesce(after, F.lit(0)).alias("_after"))
-    # At most (total_rows / target_rows) hot keys times their segments: bounded.
-    edges = F.broadcast(edges.select(*cols))
-
-    out = local.join(edges, (F.col(key) == F.col("_ek")) & (F.col(SEG) == F.col("_es")), "left")
-    adds = []
-    for v in values:
+        along = Window.partitionBy(key).orderBy(PART)
+        behind = F.sum("_n").over(along.rowsBetween(1, Window.unboundedFollowing))
+        edges = edges.select(
+            F.col(key).alias("_ek"),
+            F.col(PART).alias("_ep"),
+            F.lag("_tail").over(along).alias("_before"),
+            F.lead("_head").over(along).alias("_after"),
+            F.coalesce(behind, F.lit(0)).alias("_behind"),
+        )
+        # one row per (hot key, part); the planner picks the join, the rows are already dealt by it
+        local = local.join(edges, F.col(key).eqNullSafe(F.col("_ek")) & (F.col(PART) == F.col("_ep")), "left")
         if prev:
-            adds.append(
-                F.when(F.col("_rn") == 1, F.col("_prev_tail")[v]).otherwise(F.col("_lag")[v]).alias(prev_prefix + v)
-            )
+            local = local.withColumn("_lag", F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_lag")))
         if next_:
-            adds.append(
-                F.when(F.col("_rn") == F.col("_cnt"), F.col("_next_head")[v])
-                .otherwise(F.col("_lead")[v])
-                .alias(next_prefix + v)
-            )
+            last = F.col("_rn") == F.col("_cnt")
+            local = local.withColumn("_lead", F.when(last, F.col("_after")).otherwise(F.col("_lead")))
+        out = out.unionByName(shaped(local.withColumn("_cnt", F.col("_cnt") + F.col("_behind"))))
+
+    adds = [F.col("_lag")[v].alias(prev_prefix + v) for v in values if prev]
+    adds += [F.col("_lead")[v].alias(next_prefix + v) for v in values if next_]
     if rank_desc:
-        after = F.coalesce(F.col("_after"), F.lit(0))
-        adds.append((after + F.col("_cnt") - F.col("_rn") + 1).cast("int").alias(rank_desc))
+        adds.append(F.col("_rank").alias(rank_desc))
     return out.select(*[F.col(c) for c in df.columns], *adds)
 
 
@@ -288,18 +176,20 @@ def asof_join(
     Runs as one ordered scan over the union of both sides - no pairs are ever
     formed, so a key with many versions and many facts costs linear work.  A
     right row at the same time as a left row counts as before it; right rows
-    at one time are ordered by ``right_order``.  Skew-safe through the same
-    time segments as ``with_neighbours``.
+    at one time are ordered by ``right_order`` (of any orderable type).
+    Skew-safe through the same parts as ``with_neighbours``; left rows of one
+    instant, which have no order among themselves, are cut by a hash.
     """
     lcols = left.columns
+    tie_type = right.schema[right_order].dataType if right_order else "long"
     l_part = left.select(
         F.struct(*[F.col(c) for c in lcols]).alias("_left"),
         F.col(key).alias("_k"),
         F.col(left_time).alias("_t"),
         F.lit(1).alias("_side"),
-        F.lit(None).cast("long").alias("_tie"),
+        F.lit(None).cast(tie_type).alias("_tie"),
     )
-    tie = F.col(right_order).cast("long") if right_order else F.lit(None).cast("long")
+    tie = F.col(right_order) if right_order else F.lit(None).cast("long")
     r_part = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(
         F.col(key).alias("_k"),
         F.col(right_time).alias("_t"),
@@ -309,41 +199,32 @@ def asof_join(
     )
     l_part = l_part.withColumn("_right", F.lit(None).cast(r_part.schema["_right"].dataType))
     r_part = r_part.withColumn("_left", F.lit(None).cast(l_part.schema["_left"].dataType))
-    both = l_part.unionByName(r_part)
-
-    seg, skewed = time_segments(
-        both, "_k", "_t", target_rows, tie_col="_tie", side_col="_side", side_hash=F.xxhash64("_left")
-    )
-    ords = [F.col("_t").isNull(), F.col("_t"), F.col("_side"), F.col("_tie")]
-    parts = ["_k", SEG] if skewed else ["_k"]
-    w = Window.partitionBy(*parts).orderBy(*ords).rowsBetween(Window.unboundedPreceding, 0)
-    local = seg.withColumn("_carry", F.last("_right", ignorenulls=True).over(w))
-    if not skewed:
-        value = F.when(F.col("_t").isNotNull(), F.col("_carry"))
-        return local.where(F.col("_side") == 1).select(
-            *[F.col("_left")[c].alias(c) for c in lcols],
-            *[value[c].alias(prefix + c) for c in right_cols],
-        )
-
-    # Carry into each hot segment: the last right row of all earlier segments.
-    # Every (hot key, segment) with left rows is listed, even without right rows.
-    seg_last = (
-        seg.where(F.col("_hot"))
-        .groupBy("_k", SEG)
-        .agg(F.max_by("_right", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_seg_last"))
+    both = l_part.unionByName(r_part).select(
+        "*", F.col("_t").isNull().alias("_late"), F.xxhash64("_left").alias("_hash")
     )
-    wc = Window.partitionBy("_k").orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carry = F.broadcast(
-        seg_last.select(
+    ords = ["_late", "_t", "_side", "_tie", "_hash"]
+    cold, hot = split_hot(both, "_k", ords, target_rows)
+
+    def carried(part: DataFrame, parts: list[str]) -> DataFrame:
+        upto = Window.partitionBy(*parts).orderBy(*ords[:-1]).rowsBetween(Window.unboundedPreceding, 0)
+        return part.withColumn("_carry", F.last("_right", ignorenulls=True).over(upto)).where(F.col("_side") == 1)
+
+    out = carried(cold, ["_k"]).select("_left", "_t", "_carry")
+    if hot is not None:
+        # into each part: the last right row of all earlier parts of the key
+        at = F.when(F.col("_side") == 0, F.struct("_t", "_tie"))
+        last = hot.groupBy("_k", PART).agg(F.max_by("_right", at).alias("_last"))
+        earlier = Window.partitionBy("_k").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+        entry = last.select(
             F.col("_k").alias("_ck"),
-            F.col(SEG).alias("_cs"),
-            F.last("_seg_last", ignorenulls=True).over(wc).alias("_carry_in"),
+            F.col(PART).alias("_cp"),
+            F.last("_last", ignorenulls=True).over(earlier).alias("_entry"),
         )
-    )
-    out = local.where(F.col("_side") == 1).join(
-        carry, (F.col("_k") == F.col("_ck")) & (F.col(SEG) == F.col("_cs")), "left"
-    )
-    value = F.when(F.col("_t").isNotNull(), F.coalesce(F.col("_carry"), F.col("_carry_in")))
+        local = carried(hot, ["_k", PART]).join(
+            entry, F.col("_k").eqNullSafe(F.col("_ck")) & (F.col(PART) == F.col("_cp")), "left"
+        )
+        out = out.unionByName(local.select("_left", "_t", F.coalesce("_carry", "_entry").alias("_carry")))
+    value = F.when(F.col("_t").isNotNull(), F.col("_carry"))
     return out.select(
         *[F.col("_left")[c].alias(c) for c in lcols],
         *[value[c].alias(prefix + c) for c in right_cols],

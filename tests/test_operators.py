@@ -164,17 +164,17 @@ def test_dimension_broadcast_only_under_the_bound(spark):
 
 
 def test_burst_at_one_instant_is_split_and_exact(spark):
-    from tendril.operators.sequence import SEG, time_segments
+    from tendril.operators.sequence import PART, split_hot
 
     rows = [(i, 1, D(2024, 1, 1, 12), float(i % 7)) for i in range(900)]  # one instant, 900 rows
     rows += [(1000 + i, 1, D(2024, 1, 1) + dt.timedelta(minutes=37 * i), 1.0) for i in range(60)]  # around it
     rows += [(2000 + i, 2, D(2024, 1, 2) + dt.timedelta(hours=i), 2.0) for i in range(30)]  # a normal plant
     rows += [(3000 + i, 1, None, 3.0) for i in range(5)]  # NULL times last
     df = spark.createDataFrame(rows, "id long, k long, t timestamp_ntz, v double")
-    seg, skewed = time_segments(df, "k", "t", 50, tie_col="id")
-    assert skewed
-    biggest = seg.where("_hot").groupBy("k", SEG).count().agg(F.max("count")).first()[0]
-    assert biggest <= 100  # the 900-row instant is cut by id
+    late = df.withColumn("late", F.col("t").isNull())
+    cold, hot = split_hot(late, "k", ["late", "t", "id"], 50)
+    assert {r.k for r in cold.select("k").distinct().collect()} == {2}
+    assert hot.groupBy("k", PART).count().agg(F.max("count")).first()[0] <= 100  # the 900-row instant is cut by id
     order = [F.col("t").isNull(), F.col("t"), F.col("id")]
     w = Window.partitionBy("k").orderBy(*order)
     exp = df.select(
@@ -204,3 +204,36 @@ def test_asof_burst_is_split_and_exact(spark):
         cands = [(vf, seq, val) for kk, vf, seq, val in versions if kk == k and vf <= t]
         exp[fid] = max(cands)[2] if cands else None
     assert got == exp
+
+
+def test_stray_dates_do_not_keep_a_hot_key_whole(spark):
+    """Parts are cut by row counts: one row of 1970, rows without a time and a
+    burst in one day leave no part above twice the target, results stay exact."""
+    from tendril.operators.sequence import PART, split_hot
+
+    rows = [(f"r{i:05d}", "a", D(2024, 1, 1) + dt.timedelta(seconds=i // 3), float(i % 11)) for i in range(4000)]
+    rows += [("x1", "a", D(1970, 1, 1), 1.0), ("x2", "a", D(9999, 1, 1), 2.0), ("x3", "a", None, 3.0), ("x4", None, None, 4.0)]
+    rows += [(f"n{i}", None, D(2024, 1, 1), 5.0) for i in range(300)]  # a hot NULL key
+    df = spark.createDataFrame(rows, "id string, k string, t timestamp_ntz, v double")
+    late = df.withColumn("late", F.col("t").isNull())
+    _, hot = split_hot(late, "k", ["late", "t", "id"], 100)
+    assert hot.groupBy("k", PART).count().agg(F.max("count")).first()[0] <= 200
+    order = [F.col("t").isNull(), F.col("t"), F.col("id")]
+    w = Window.partitionBy("k").orderBy(*order)
+    exp = df.select("id", F.lag("v").over(w).alias("prev_v"), F.lead("v").over(w).alias("next_v"))
+    got = with_neighbours(df, "k", order, ["v"], "t", prev=True, next_=True, target_rows=100)
+    assert got.count() == df.count()
+    assert got.select("id", "prev_v", "next_v").exceptAll(exp).count() == 0
+
+
+def test_hot_answer_is_not_remembered(spark, scratch):
+    """A table that grows a hot key under the same path is split on the next call."""
+    from tendril.operators.sequence import split_hot
+
+    def write(n):
+        spark.range(n).selectExpr("id", "1 k", "cast('2024-01-01' as timestamp_ntz) t").write.mode("overwrite").parquet(scratch)
+
+    write(5)
+    assert split_hot(spark.read.parquet(scratch), "k", ["t", "id"], 10)[1] is None
+    write(50)
+    assert split_hot(spark.read.parquet(scratch), "k", ["t", "id"], 10)[1] is not None
