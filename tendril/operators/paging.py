@@ -34,20 +34,43 @@ def top_k_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, rank
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
+def seek_order(keys: Sequence[str], descending: bool = True) -> list[Column]:
+    """The lists' order: newest first with NULLs before all values, or oldest
+    first with NULLs behind them (both as PostgreSQL places NULLs)."""
+    return [F.col(k).desc_nulls_first() if descending else F.col(k).asc_nulls_last() for k in keys]
+
+
 def page_after(df: DataFrame, keys: Sequence[str], last: Sequence | None, size: int, descending: bool = True) -> DataFrame:
     """Seek pagination: the ``size`` rows after the row whose sort key was
-    ``last`` (None = first page).  Unlike OFFSET, deep pages do not make every
-    task keep all earlier rows; the predicate is pushed to the scan."""
+    ``last`` (None = first page; its values may be None).  Unlike OFFSET, deep
+    pages do not make every task keep all earlier rows.  With a total order
+    (ending in the id) the pages together are the full list."""
     out = df
     if last is not None:
-        cond = None
-        for i in range(len(keys) - 1, -1, -1):
-            k, v = F.col(keys[i]), F.lit(last[i])
-            step = (k < v) if descending else (k > v)
-            cond = step if cond is None else (step | ((k == v) & cond))
-        out = out.where(cond)
-    order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
-    return out.orderBy(*order).limit(size)
+        after = F.lit(False)  # nothing is after an equal row
+        for name, value in zip(reversed(keys), reversed(list(last))):
+            k = F.col(name)
+            if value is None:
+                after = (k.isNotNull() if descending else F.lit(False)) | (k.isNull() & after)
+            else:
+                v = F.lit(value)
+                beyond = (k < v) if descending else ((k > v) | k.isNull())
+                after = beyond | ((k == v) & after)
+        out = out.where(after)
+    return out.orderBy(*seek_order(keys, descending)).limit(size)
+
+
+def page_totals(df: DataFrame, page_no: int, size: int) -> DataFrame:
+    """One row for a list's footer: page, pages, total rows, has_prev, has_next."""
+    page_no = max(int(page_no), 1)
+    pages = F.ceil(F.col("total") / size).cast("int")
+    return df.agg(F.count(F.lit(1)).alias("total")).select(
+        F.lit(page_no).alias("page"),
+        pages.alias("pages"),
+        "total",
+        F.lit(page_no > 1).alias("has_prev"),
+        (F.lit(page_no) < pages).alias("has_next"),
+    )
 
 
 def lookup_keys(df: DataFrame, keys: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

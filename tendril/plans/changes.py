@@ -78,19 +78,61 @@ def apply_changes(
     plants table.  The last change of a key (by time, then seq) wins; a final
     DELETE removes the key; updated rows get ``updated_at`` and a new
     ``valid_from`` = change time.  One aggregate (partial before the shuffle)
-    and one anti-join - no per-key loop."""
+    and one full outer join - no per-key loop."""
     order = F.struct(F.col(time_col).isNull(), F.col(time_col), F.col(seq_col))
     payload = F.struct(*[F.col(c) for c in STATE_COLS + ["operation_type", time_col]])
-    last = changes.groupBy(key).agg(F.max_by(payload, order).alias("_c")).select(key, "_c.*")
-    kept = current.join(last.select(key), key, "left_anti")
-    upserts = last.where(F.col("operation_type") != "DELETE").select(
-        key,
-        *[c for c in STATE_COLS if c != "updated_at"],
-        F.col(time_col).alias("updated_at"),
-        F.col(time_col).alias("valid_from"),
-        as_ts(END_OF_TIME).alias("valid_to"),
+    last = changes.groupBy(F.col(key).alias("_key")).agg(F.max_by(payload, order).alias("_c"))
+    new = {c: F.col(f"_c.{c}") for c in STATE_COLS if c != "updated_at"}
+    new |= {"updated_at": F.col(f"_c.{time_col}"), "valid_from": F.col(f"_c.{time_col}"), "valid_to": as_ts(END_OF_TIME)}
+    joined = current.join(last, F.col(key) == F.col("_key"), "full_outer").where(
+        F.col("_key").isNull() | (F.col("_c.operation_type") != "DELETE")
     )
-    return kept.unionByName(upserts.select(*current.columns))
+    cols = [
+        F.coalesce(F.col("_key"), F.col(key)).alias(key)
+        if c == key
+        else F.when(F.col("_key").isNotNull(), new[c].cast(current.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+        for c in current.columns
+    ]
+    return joined.select(*cols)
+
+
+def apply_table_changes(
+    current: DataFrame,
+    changes: DataFrame,
+    key: str = "id",
+    time_col: str = "changed_at",
+    seq_col: str = "seq",
+    op_col: str = "operation_type",
+) -> DataFrame:
+    """Edit and delete for any care table: a batch of changes -> new snapshot.
+
+    The last change of a key (by time, then seq) wins.  A DELETE removes the
+    row; an INSERT or UPDATE sets every column that the batch carries, columns
+    it does not carry keep their value (NULL in a new row).  ``updated_at``
+    becomes the change time where the table has it, ``created_at`` of a new
+    row too.  One aggregate and one full outer join."""
+    carried = [c for c in current.columns if c != key and c in changes.columns]
+    order = F.struct(F.col(time_col).isNull(), F.col(time_col), F.col(seq_col))
+    payload = F.struct(*carried, F.col(op_col).alias("_op"), F.col(time_col).alias("_at"))
+    last = changes.groupBy(F.col(key).alias("_key")).agg(F.max_by(payload, order).alias("_c"))
+    old = current.withColumn("_old", F.lit(True))
+    joined = old.join(last, F.col(key) == F.col("_key"), "full_outer").where(
+        F.col("_key").isNull() | (F.col("_c._op") != "DELETE")
+    )
+    touched, is_new = F.col("_key").isNotNull(), F.col("_old").isNull()
+    cols = []
+    for c in current.columns:
+        value = F.col(c)
+        if c == key:
+            value = F.coalesce(F.col(key), F.col("_key"))
+        elif c in carried:
+            value = F.when(touched, F.col(f"_c.{c}").cast(current.schema[c].dataType)).otherwise(value)
+        elif c == "updated_at":
+            value = F.when(touched, F.col("_c._at")).otherwise(value)
+        elif c == "created_at":
+            value = F.when(is_new, F.col("_c._at")).otherwise(value)
+        cols.append(value.alias(c))
+    return joined.select(*cols)
 
 
 def deleted_keys(changes: DataFrame, key: str = "id", time_col: str = "changed_at", seq_col: str = "seq") -> DataFrame:

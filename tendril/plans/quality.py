@@ -62,17 +62,18 @@ def length_between(col: str, lo: int, hi: int) -> Rule:
     return Rule("length", col, F.col(col).isNotNull() & ((n < lo) | (n > hi)))
 
 
-def with_match_flag(df: DataFrame, col: str, other: DataFrame, other_col: str, flag: str) -> DataFrame:
-    """Add ``flag`` = EXISTS (SELECT 1 FROM other WHERE other_col = col).
+def with_match_flag(
+    df: DataFrame, col: str, other: DataFrame, other_col: str, flag: str, unique: bool = False
+) -> DataFrame:
+    """Add ``flag``: whether ``other`` has a row with ``other_col = col`` (FALSE for NULL).
 
-    Planned as an existence join: no row is duplicated even if a key repeats
-    in ``other``, no DISTINCT is needed.  The correlation goes through a fresh
-    column name, so it cannot bind to a same-named column inside ``other``'s
-    lineage."""
-    probe, key = f"__{flag}_probe", f"__{flag}_key"
-    d = df.withColumn(probe, F.col(col))
-    o = other.select(F.col(other_col).alias(key))
-    return d.withColumn(flag, o.where(F.col(key) == F.col(probe).outer()).exists()).drop(probe)
+    A left join to a unique key, which AQE can split where a key of ``df`` is
+    hot.  ``unique=True`` promises that ``other_col`` has no repeated values
+    (a primary key); else they are made distinct first."""
+    key, hit = f"__{flag}_key", f"__{flag}_hit"
+    o = other.where(F.col(other_col).isNotNull()).select(F.col(other_col).alias(key))
+    o = (o if unique else o.distinct()).withColumn(hit, F.lit(True))
+    return df.join(o, F.col(col) == F.col(key), "left").withColumn(flag, F.col(hit).isNotNull()).drop(key, hit)
 
 
 def row_violations(
@@ -85,15 +86,14 @@ def row_violations(
     """One row per (row, broken rule): table_name, rule, column_name, row_key.
 
     ``foreign_keys`` = (column, parent, parent_column[, rule name]): checked in
-    the same pass as an EXISTS flag (planned as an existence join: no row is
-    duplicated even if a parent key repeats, no DISTINCT needed), so a child
-    table is scanned once whatever the number of rules."""
+    the same pass by a left join to the parent's primary key, so a child table
+    is scanned once whatever the number of rules."""
     rules = list(rules)
     checked = df
     for i, fk in enumerate(foreign_keys):
         col, parent, parent_col = fk[:3]
         name = fk[3] if len(fk) > 3 else "foreign_key"
-        checked = with_match_flag(checked, col, parent, parent_col, f"_fk{i}")
+        checked = with_match_flag(checked, col, parent, parent_col, f"_fk{i}", unique=True)
         rules.append(Rule(name, col, F.col(col).isNotNull() & ~F.col(f"_fk{i}")))
     hits = F.array(
         *[F.when(r.violates, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"))) for r in rules]
@@ -121,32 +121,6 @@ def unique(df: DataFrame, table: str, col: str, key: str = "id") -> DataFrame:
     )
 
 
-def foreign_key(child: DataFrame, table: str, col: str, parent: DataFrame, parent_col: str = "id", key: str = "id") -> DataFrame:
-    """DQ-2: non-NULL child keys without a parent row (anti-join)."""
-    parents = parent.select(F.col(parent_col).alias("_pk"))
-    return (
-        child.where(F.col(col).isNotNull())
-        .join(parents, F.col(col) == F.col("_pk"), "left_anti")
-        .select(
-            F.lit(table).alias("table_name"), F.lit("foreign_key").alias("rule"), F.lit(col).alias("column_name"),
-            F.col(key).cast("long").alias("row_key"),
-        )
-    )
-
-
-def choice(df: DataFrame, table: str, col: str, allowed_keys: DataFrame, key: str = "id") -> DataFrame:
-    """DQ-5: the chosen key must be one of ``allowed_keys`` (e.g. active plants)."""
-    ok = allowed_keys.select(F.col(allowed_keys.columns[0]).alias("_ok"))
-    return (
-        df.where(F.col(col).isNotNull())
-        .join(ok, F.col(col) == F.col("_ok"), "left_anti")
-        .select(
-            F.lit(table).alias("table_name"), F.lit("choice").alias("rule"), F.lit(col).alias("column_name"),
-            F.col(key).cast("long").alias("row_key"),
-        )
-    )
-
-
 def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """DQ-6: split a batch into good rows and rejected rows (+ ``reasons``,
     the names ``rule:column`` of every broken rule)."""

@@ -174,16 +174,20 @@ def health_warnings(measurements: DataFrame, t: CareTables, as_of, spray: str =
 
 
 # ------------------------------------------------------------------- RULE-5
-def record_measurements(requests: DataFrame, t: CareTables, as_of, measure: str = MEASURE) -> dict[str, DataFrame]:
+def record_measurements(
+    requests: DataFrame, t: CareTables, as_of, measure: str = MEASURE, with_rule_1: bool = False
+) -> dict[str, DataFrame]:
     """Requests (request_id, plant_id, height_cm, width_cm, leaf_count,
     flower_count, health_status, notes) -> accepted measurements, their
     completed "measuring" events, RULE-4 warnings, and rejected requests with
-    the first failing reason (plant missing / inactive, then health range)."""
+    the first failing reason (plant missing / inactive, then health range).
+    In the source the event insert also fires RULE-1; its reminders are added
+    as ``reminders`` with ``with_rule_1=True``."""
     now = as_ts(as_of)
     from tendril.plans.quality import with_match_flag
 
-    # J-7: EXISTS gate on active plants (an existence join, rows never duplicate)
-    r = with_match_flag(requests, "plant_id", t.plants.where(F.col("is_active")), "id", "_active")
+    # J-7: EXISTS gate on active plants (a left join to their primary key)
+    r = with_match_flag(requests, "plant_id", t.plants.where(F.col("is_active")), "id", "_active", unique=True)
     h = F.col("health_status")
     reason = F.when(~F.col("_active"), F.lit(REJECT_PLANT)).when(
         h.isNotNull() & ((h < 1) | (h > 5)), F.lit(REJECT_HEALTH)
@@ -213,19 +217,49 @@ def record_measurements(requests: DataFrame, t: CareTables, as_of, measure: str
         F.coalesce(F.concat(F.lit(", Leaves "), F.col("leaf_count").cast("string")), F.lit("")),
         F.coalesce(F.concat(F.lit(", Health "), h.cast("string"), F.lit("/5")), F.lit("")),
     )
-    events = accepted.select(
+    # an inner join: without the measuring type no event is written
+    types = t.dim("event_types").where(F.col("name") == measure).select(
+        F.col("id").alias("event_type_id"), F.col("name").alias("_tname")
+    )
+    events = accepted.withColumn("_measure", F.lit(measure)).join(types, F.col("_measure") == F.col("_tname")).select(
         F.col("request_id").alias("id"),
         "plant_id",
-        _type_id(t, measure).alias("event_type_id"),
+        "event_type_id",
         now.alias("event_date"),
         text.alias("description"),
         F.lit(True).alias("is_completed"),
         now.alias("created_at"),
     )
     rejected = r.where(F.col("reject_reason").isNotNull()).select("request_id", "plant_id", "health_status", "reject_reason")
-    return {
+    out = {
         "measurements": measurements,
         "events": events,
         "warnings": health_warnings(measurements, t, as_of),
         "rejected": rejected,
     }
+    if with_rule_1:
+        out["reminders"] = event_reminders(events, t, as_of)
+    return out
+
+
+# ----------------------------------------------------------- rows for a table
+def table_rows(produced: DataFrame, table: DataFrame, source: str, slots: int = 1, slot: int = 0) -> DataFrame:
+    """Produced rows in the shape of ``table``, ready to append: its columns and
+    order, NULL where the rule gives none, and an ``id`` of their own.
+
+    Ids follow the table's greatest one: each source id (the request or event a
+    row stems from, unique within the batch and not negative) owns ``slots`` of
+    them, ``slot`` tells rules apart that write several rows per source.  Like
+    a sequence this leaves gaps, and like none needs rows to be numbered in
+    one place."""
+    start = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("start")).scalar()
+    new_id = start + F.col(source) * slots + (slot + 1)
+    cols = []
+    for f in table.schema.fields:
+        if f.name == "id":
+            cols.append(new_id.cast(f.dataType).alias("id"))
+        elif f.name in produced.columns:
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        else:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    return produced.select(*cols)

@@ -47,8 +47,10 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet") -> CareTab
 
         try:
             return read(name)
-        except AnalysisException:  # table folder not written (e.g. no history yet)
-            return None
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # table folder not written (no history yet)
 
     return CareTables(
         plant_types=read("plant_types"),

@@ -6,28 +6,30 @@ Here the same rules run on micro-batches:
 * ST-1 / ST-2 are stateless: the batch rule applied to a stream (stream to
   static joins against the type catalogs and plants).
 * ST-5 keeps the newest measurement per plant with a streaming aggregate.
-* ST-3 / ST-4 / ST-6 need the previous row of a key, which windows cannot
-  give on a stream (``lag`` is refused there), so they keep one small state
-  row per key with ``applyInPandasWithState``.  A key's rows of one
-  micro-batch are bounded by the trigger size (``maxFilesPerTrigger``).
+* ST-6 needs the previous row of a key, which windows cannot give on a stream
+  (``lag`` is refused there), so it keeps one small state row per key with
+  ``applyInPandasWithState``.  A key's rows of one micro-batch are bounded by
+  the trigger size (``maxFilesPerTrigger``).
+* ST-3 / ST-4 keep their history in stored tables instead of state: each
+  micro-batch appends its new changes to a log and rebuilds only the keys it
+  touches, so replays, late changes and any order of arrival are right.
 * ST-7 drops replayed rows by id within a watermark (timestamp_ntz is cast
   to TIMESTAMP first; watermarks refuse NTZ columns).
 
-Rows of one key are expected in time order across micro-batches; within a
+ST-6 expects the rows of one key in time order across micro-batches; within a
 batch they are sorted.  Checkpoints go under the shared folder named by
 ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import (
-    BooleanType,
     DoubleType,
     LongType,
     StructField,
@@ -37,15 +39,17 @@ from pyspark.sql.types import (
 
 from tendril.operators.latest import time_order
 from tendril.plans import rules as R
-from tendril.plans.temporal import STATE_COLS
 from tendril.session import checkpoint_path
-from tendril.sources import schemas
 from tendril.sources.tables import CareTables
 
-END_OF_TIME = pd.Timestamp("9999-12-31 23:59:59")
+#: Files of a micro-batch at most, unless a job says otherwise: a first
+#: ``availableNow`` run then never holds a whole history at once.
+FILES_PER_TRIGGER = 100
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, max_files_per_trigger: int | None = None) -> DataFrame:
+def read_stream(
+    spark: SparkSession, path: str, schema: StructType, max_files_per_trigger: int | None = FILES_PER_TRIGGER
+) -> DataFrame:
     r = spark.readStream.schema(schema).format("parquet")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -103,27 +107,21 @@ DELTA_STATE = _struct(("last_date", TimestampNTZType()), ("last_height", DoubleT
 
 
 def _delta_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One key's rows of a micro-batch: each row's predecessor by a shift, the
+    first one's from the state.  Bounded by the trigger size."""
     rows = pd.concat(list(pdfs), ignore_index=True)
-    rows = rows.sort_values(["measurement_date", "id"], na_position="last", kind="mergesort")
-    prev_date, prev_h = (state.get if state.exists else (None, None))
-    out_prev_h, out_prev_d = [], []
-    for d, h in zip(rows["measurement_date"], rows["height_cm"]):
-        out_prev_h.append(prev_h)
-        out_prev_d.append(prev_date)
-        prev_date, prev_h = d, (None if pd.isna(h) else float(h))
-    state.update((prev_date, prev_h))
-    prev_hs = pd.Series(out_prev_h, dtype="float64")
-    yield pd.DataFrame(
-        {
-            "id": rows["id"].to_numpy(),
-            "plant_id": rows["plant_id"].to_numpy(),
-            "measurement_date": rows["measurement_date"].to_numpy(),
-            "height_cm": rows["height_cm"].to_numpy(dtype="float64"),
-            "prev_height": prev_hs.to_numpy(),
-            "height_growth": rows["height_cm"].to_numpy(dtype="float64") - prev_hs.to_numpy(),
-            "prev_measurement_date": pd.to_datetime(pd.Series(out_prev_d)).to_numpy(),
-        }
-    )
+    rows = rows.sort_values(["measurement_date", "id"], na_position="last", kind="mergesort").reset_index(drop=True)
+    out = rows[["id", "plant_id", "measurement_date", "height_cm"]].copy()
+    out["prev_height"] = rows["height_cm"].astype("float64").shift(1)
+    out["prev_measurement_date"] = rows["measurement_date"].shift(1)
+    if state.exists:
+        last_date, last_height = state.get
+        out.loc[0, "prev_height"] = last_height
+        out.loc[0, "prev_measurement_date"] = last_date
+    out["height_growth"] = out["height_cm"].astype("float64") - out["prev_height"]
+    date, height = rows["measurement_date"].iloc[-1], rows["height_cm"].iloc[-1]
+    state.update((None if pd.isna(date) else date, None if pd.isna(height) else float(height)))
+    yield out[DELTA_SCHEMA.fieldNames()]
 
 
 def stream_delta(measurements: DataFrame) -> DataFrame:
@@ -135,70 +133,112 @@ def stream_delta(measurements: DataFrame) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ ST-4
-AUDIT_SCHEMA = StructType(
-    [schemas.PLANTS[c] for c in ["id"] + STATE_COLS + ["valid_from", "valid_to"]]
-    + [schemas.PLANT_CHANGES[c] for c in ["operation_type", "changed_by", "changed_at", "seq"]]
-)
-AUDIT_STATE = StructType([schemas.PLANTS[c] for c in STATE_COLS] + [schemas.PLANT_CHANGES["changed_at"]])
+# ------------------------------------------------- ST-3 / ST-4: stored change log
+def _stored(spark: SparkSession, path: str, schema: StructType, before: int) -> DataFrame | None:
+    """Rows of the batches below ``before`` (None before the first one)."""
+    if before <= 0:
+        return None
+    stored = StructType(schema.fields + [StructField("batch", LongType(), True)])
+    return spark.read.schema(stored).parquet(path).where(F.col("batch") < before).drop("batch")
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Write one batch's own folder (a re-run overwrites it) and read it back."""
+    at = f"{path}/batch={batch_id}"
+    df.write.mode("overwrite").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def rebuild_touched(
+    batch: DataFrame, batch_id: int, base: str, key: str, seq: str, build: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """One micro-batch of a table that ``build`` derives from all changes of a key.
+
+    New changes - those whose (key, seq) is not stored yet, so replays add
+    nothing - are appended to the change log ``<base>/log``.  ``build`` then
+    runs over *all* stored changes of the touched keys, so a change that comes
+    late takes its place in time, and the result is written as
+    ``<base>/rows/batch=<id>``.  Rows of other keys are not read or rewritten."""
+    spark = batch.sparkSession
+    new = batch.dropDuplicates([key, seq])
+    prior = _stored(spark, f"{base}/log", batch.schema, batch_id)
+    if prior is not None:
+        known = prior.join(new.select(key).distinct(), key, "left_semi")
+        new = new.join(known.select(key, seq), [key, seq], "left_anti").select(*batch.columns)
+    new = _write_batch(new, f"{base}/log", batch_id)
+    changes = new
+    if prior is not None:
+        changes = prior.join(new.select(key).distinct(), key, "left_semi").select(*batch.columns).unionByName(new)
+    return _write_batch(build(changes), f"{base}/rows", batch_id)
+
+
+def current_rows(spark: SparkSession, name: str, key: str = "id") -> DataFrame:
+    """The table that ``rebuild_touched`` maintains: of every key the rows of its newest batch."""
+    rows = spark.read.parquet(f"{checkpoint_path(spark, name)}/rows")
+    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max("batch").alias("_batch"))
+    return rows.join(newest, (F.col(key) == F.col("_key")) & (F.col("batch") == F.col("_batch"))).drop(
+        "_key", "_batch", "batch"
+    )
 
 
-def _audit_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(pdfs), ignore_index=True)
-    rows = rows.sort_values(["changed_at", "seq"], na_position="last", kind="mergesort")
-    prev = state.get if state.exists else tuple([None] * (len(STATE_COLS) + 1))
-    out = []
-    for rec in rows.itertuples(index=False):
-        r = rec._asdict()
-        if r["operation_type"] == "INSERT":
-            image = [r[c] for c in STATE_COLS]
-            vf, vt = r["changed_at"], END_OF_TIME
-        else:
-            image = list(prev[: len(STATE_COLS)])
-            vf, vt = prev[len(STATE_COLS)], r["changed_at"]
-        out.append(
-            [r["id"], *image, vf, vt, r["operation_type"], r["changed_by"], r["changed_at"], r["seq"]]
-        )
-        prev = tuple([r[c] for c in STATE_COLS] + [r["changed_at"]])
-    state.update(prev)
-    yield pd.DataFrame(out, columns=AUDIT_SCHEMA.fieldNames())
-
-
-def stream_audit_rows(changes: DataFrame) -> DataFrame:
-    """ST-4: plant change feed -> history rows (the streaming TMP-3).  The
-    history table is append-only, so the output is appended as it comes."""
-    return changes.groupBy("id").applyInPandasWithState(
-        _audit_fn, AUDIT_SCHEMA, AUDIT_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+def compact(spark: SparkSession, name: str, key: str = "id") -> DataFrame:
+    """The maintained table as one stored snapshot (``<name>/compact``), for readers
+    that should not look through many batches."""
+    path = f"{checkpoint_path(spark, name)}/compact"
+    current_rows(spark, name, key).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
-# ------------------------------------------------------------------ ST-3
-TRANSITION_SCHEMA = _struct(
-    ("id", LongType()), ("plant_id", LongType()), ("event_type_id", LongType()), ("event_date", TimestampNTZType())
-)
-TRANSITION_STATE = _struct(("was_completed", BooleanType()), ("seen", BooleanType()))
+def run_rebuilt(changes: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, key: str = "id", seq: str = "seq"):
+    """A stream of changes kept as the table ``build`` derives from them; changes may
+    come late, out of order and more than once."""
+    spark = changes.sparkSession
+    base = checkpoint_path(spark, name)
 
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rebuild_touched(batch.drop("batch"), batch_id, base, key, seq, build)
 
-def _transition_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(pdfs), ignore_index=True)
-    rows = rows.sort_values(["version"], kind="mergesort")
-    was, seen = state.get if state.exists else (None, False)
-    out = []
-    for rec in rows.itertuples(index=False):
-        now = None if pd.isna(rec.is_completed) else bool(rec.is_completed)
-        if seen and was is False and now is True:
-            out.append([rec.id, rec.plant_id, rec.event_type_id, rec.event_date])
-        was, seen = now, True
-    state.update((was, seen))
-    yield pd.DataFrame(out, columns=TRANSITION_SCHEMA.fieldNames())
-
-
-def stream_completions(event_images: DataFrame) -> DataFrame:
-    """Completion transitions (FALSE -> TRUE exactly) from a stream of event
-    images ``(id, plant_id, event_type_id, event_date, is_completed, version)``."""
-    return event_images.groupBy("id").applyInPandasWithState(
-        _transition_fn, TRANSITION_SCHEMA, TRANSITION_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_path(spark, name + "_stream"))
+
+
+def run_audit_stream(changes: DataFrame, name: str = "plant_history"):
+    """ST-4: plant change feed -> history rows (the streaming TMP-3)."""
+    from tendril.plans.temporal import audit_rows
+
+    return run_rebuilt(changes, audit_rows, name)
+
+
+def run_scd2_stream(changes: DataFrame, name: str = "plant_versions"):
+    """ST-4: plant change feed -> SCD2 versions."""
+    from tendril.plans.temporal import scd2_build
+
+    return run_rebuilt(changes, scd2_build, name)
+
+
+# ------------------------------------------------------------------ ST-3
+def transitions(batch: DataFrame, batch_id: int, base: str) -> DataFrame:
+    """Completions (FALSE -> TRUE exactly) in a micro-batch of event images
+    ``(id, plant_id, event_type_id, event_date, is_completed, version)``.
+
+    What went before is the event's newest stored image; each batch stores the
+    newest image of its own events only.  Images at or below a stored version
+    are replays and ignored."""
+    spark = batch.sparkSession
+    newest = F.max_by(F.struct("is_completed", "version"), F.col("version")).alias("_l")
+    seen = _stored(spark, f"{base}/images", StructType([batch.schema[c] for c in ("id", "is_completed", "version")]), batch_id)
+    rows = batch.dropDuplicates(["id", "version"])
+    if seen is not None:
+        seen = seen.join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(newest)
+        seen = seen.select(F.col("id").alias("_id"), F.col("_l.is_completed").alias("_was"), F.col("_l.version").alias("_v"))
+        rows = rows.join(seen, F.col("id") == F.col("_id"), "left").where(F.col("_v").isNull() | (F.col("version") > F.col("_v")))
+    else:
+        rows = rows.withColumns({"_was": F.lit(None).cast("boolean")})
+    by_version = Window.partitionBy("id").orderBy("version")
+    first = F.row_number().over(by_version) == 1
+    before = F.when(first, F.col("_was")).otherwise(F.lag("is_completed").over(by_version))
+    done = rows.withColumn("_before", before).where((F.col("_before") == False) & (F.col("is_completed") == True))  # noqa: E712
+    _write_batch(rows.groupBy("id").agg(newest).select("id", "_l.*"), f"{base}/images", batch_id)
+    return done.select("id", "plant_id", "event_type_id", "event_date")
 
 
 def next_events_batch(done: DataFrame, t: CareTables, as_of) -> DataFrame:
@@ -208,18 +248,28 @@ def next_events_batch(done: DataFrame, t: CareTables, as_of) -> DataFrame:
     return R.next_events(old, new, t, as_of)
 
 
-def run_next_events(event_images: DataFrame, t: CareTables, as_of, out_path: str, name: str = "next_events"):
-    """ST-3: transitions by state, then the rule per micro-batch, appended to
-    ``out_path`` once per batch id (a re-run batch overwrites its own folder)."""
+def run_next_events(
+    event_images: DataFrame,
+    t: CareTables,
+    as_of,
+    out_path: str,
+    name: str = "next_events",
+    reminders_path: str | None = None,
+):
+    """ST-3: transitions, then RULE-3 per micro-batch, appended to ``out_path``
+    once per batch id (a re-run batch overwrites its own folder).  With
+    ``reminders_path`` the new events also fire RULE-1, as in the source."""
+    spark = t.spark
+    base = checkpoint_path(spark, f"{name}_images")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        next_events_batch(batch, t, as_of).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        done = transitions(batch, batch_id, base)
+        nxt = _write_batch(next_events_batch(done, t, as_of), out_path, batch_id)
+        if reminders_path:
+            events = nxt.withColumnRenamed("source_event_id", "id")
+            _write_batch(R.event_reminders(events, t, as_of), reminders_path, batch_id)
 
-    return (
-        stream_completions(event_images)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint_path(t.spark, name))
-    )
+    return event_images.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path(spark, name))
 
 
 def to_parquet(stream: DataFrame, out_path: str, name: str, mode: str = "append", once: bool = False):
@@ -279,40 +329,3 @@ def run_latest_snapshot(measurements: DataFrame, name: str = "latest_snapshot"):
     return measurements.writeStream.foreachBatch(step).option(
         "checkpointLocation", checkpoint_path(spark, name + "_stream")
     )
-
-
-def merge_versions(versions: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """One micro-batch of the SCD2 stream: drop replayed changes (same id and
-    seq), close each touched key's open version at its first change in the
-    batch, and add the batch's own versions (the last one stays open)."""
-    from tendril.plans.temporal import scd2_build
-
-    changes = batch.dropDuplicates(["id", "seq"])
-    new = scd2_build(changes)
-    if versions is None:
-        return new
-    first = changes.groupBy("id").agg(
-        F.min_by("changed_at", F.struct(F.col("changed_at").isNull(), "changed_at", "seq")).alias("_first")
-    )
-    end = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")
-    v = versions.join(first, "id", "left")
-    closed = v.withColumn(
-        "valid_to",
-        F.when((F.col("valid_to") == end) & F.col("_first").isNotNull(), F.col("_first")).otherwise(F.col("valid_to")),
-    ).drop("_first")
-    return closed.unionByName(new.select(*versions.columns))
-
-
-def run_scd2_stream(changes: DataFrame, name: str = "plant_versions"):
-    """ST-4: change feed -> SCD2 versions table, one snapshot version per
-    micro-batch under the shared checkpoint folder, each computed from the
-    previous stored version (a re-run batch rewrites its own version with the
-    same content; a restarted driver continues from the stored versions)."""
-    from tendril.plans.changes import write_snapshot
-
-    spark = changes.sparkSession
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        write_snapshot(merge_versions(_stored_version(spark, name, batch_id - 1), batch), name, batch_id)
-
-    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_path(spark, name + "_stream"))

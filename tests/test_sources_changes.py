@@ -216,3 +216,111 @@ def test_bucketing_is_refused_for_a_hot_plant(spark):
     flags = save_bucketed(skewed, db, 8)
     assert flags["measurements"] is False and flags["events"] is True
     assert load_catalog(spark, db).measurements.count() == hot.count()
+
+
+def _nullable(spark):
+    import datetime as dt
+
+    days = [dt.datetime(2024, 1, d) for d in (1, 2, 2, 3, 5, 5)]
+    rows = [(i, d) for i, d in enumerate([*days, None, None, None])]
+    return spark.createDataFrame(rows, "id long, measurement_date timestamp_ntz")
+
+
+def test_seek_pages_with_null_keys_are_the_whole_list(spark):
+    from tendril.operators.paging import seek_order
+
+    df = _nullable(spark)
+    for descending in (True, False):
+        want = [tuple(r) for r in df.orderBy(*seek_order(["measurement_date", "id"], descending)).collect()]
+        got, last = [], None
+        while rows := page_after(df, ["measurement_date", "id"], last, 2, descending).collect():
+            got += [tuple(r) for r in rows]
+            last = (rows[-1].measurement_date, rows[-1].id)
+        assert got == want and len(got) == 9
+
+
+def test_page_totals(spark):
+    from tendril.operators.paging import page_totals
+
+    row = page_totals(_nullable(spark), 2, 4).first()
+    assert (row.page, row.pages, row.total, row.has_prev, row.has_next) == (2, 3, 9, True, True)
+    assert not page_totals(_nullable(spark), 3, 4).first().has_next
+    assert page_totals(_nullable(spark).limit(0), 1, 4).first().pages == 0
+
+
+def test_rule_5_without_its_type_writes_no_event(spark):
+    from dataclasses import replace
+
+    from tendril.plans import rules as R
+    from tendril.registry_temporal import _measurement_requests
+    from tendril.sources.roles import MEASURE_AS_OF, role_tables
+    from tests.conftest import SF001
+
+    t = role_tables(spark, SF001)
+    bare = replace(t, event_types=t.event_types.where("name <> 'MEASURE'"), _dims={}) if hasattr(t, "_dims") else None
+    bare = bare or replace(t, event_types=t.event_types.where("name <> 'MEASURE'"))
+    got = R.record_measurements(_measurement_requests(t), bare, MEASURE_AS_OF)
+    assert got["events"].count() == 0 and got["measurements"].count() > 0
+    both = R.record_measurements(_measurement_requests(t), t, MEASURE_AS_OF, with_rule_1=True)
+    types = {r.name: r.default_reminder_days for r in t.event_types.collect()}
+    assert (both["reminders"].count() > 0) == (types["MEASURE"] > 0)
+
+
+def test_match_flag_is_split_under_skew(spark):
+    from pyspark.sql import functions as F
+
+    from tendril.plans.quality import with_match_flag
+    from tests.plan_tools import plan_text
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    df = spark.range(0, 200_000, numPartitions=8).select("id", F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id")).alias("k"))
+    parents = spark.range(0, 100_000).repartition(8)
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        out = with_match_flag(df, "k", parents, "id", "ok", unique=True)
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        assert "skew=true" in plan_text(out, "simple")
+        assert out.where("ok").count() == df.where("k < 100000").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_table_changes_and_ids_of_new_rows(spark):
+    import datetime as dt
+
+    from tendril.plans.changes import apply_table_changes
+    from tendril.plans.rules import table_rows
+
+    D = dt.datetime
+    table = spark.createDataFrame(
+        [(1, "a", 1, D(2024, 1, 1), D(2024, 1, 1)), (2, "b", 2, D(2024, 1, 1), D(2024, 1, 1)), (3, "c", 3, None, None)],
+        "id long, name string, n int, created_at timestamp_ntz, updated_at timestamp_ntz",
+    )
+    changes = spark.createDataFrame(
+        [
+            (1, "x", "UPDATE", D(2024, 2, 1), 1),
+            (1, None, "UPDATE", D(2024, 2, 1), 2),
+            (2, "y", "UPDATE", D(2024, 2, 3), 3),
+            (2, None, "DELETE", D(2024, 2, 4), 4),
+            (9, "new", "INSERT", D(2024, 2, 5), 5),
+        ],
+        "id long, name string, operation_type string, changed_at timestamp_ntz, seq long",
+    )
+    got = {r.id: tuple(r)[1:] for r in apply_table_changes(table, changes).collect()}
+    assert got == {
+        1: (None, 1, D(2024, 1, 1), D(2024, 2, 1)),
+        3: ("c", 3, None, None),
+        9: ("new", None, D(2024, 2, 5), D(2024, 2, 5)),
+    }
+    made = spark.createDataFrame([(0, "p"), (4, "q")], "source_event_id long, name string")
+    first, second = (table_rows(made, table, "source_event_id", 2, slot) for slot in (0, 1))
+    ids = [r.id for r in table.unionByName(first).unionByName(second).collect()]
+    assert len(ids) == len(set(ids)) == 7 and min(set(ids) - {1, 2, 3}) > 3

@@ -66,12 +66,52 @@ def test_stream_delta_equals_window(spark, scratch):
     assert _same(got, exp)
 
 
+def _shuffled(spark, df, path, files=5):
+    """Micro-batches in an order that has nothing to do with time; every change twice."""
+    twice = df.withColumn("_f", F.pmod(F.xxhash64("id", "seq"), F.lit(files))).unionByName(
+        df.withColumn("_f", F.pmod(F.xxhash64("seq", F.lit(7)), F.lit(files)))
+    )
+    for i in range(files):
+        twice.where(F.col("_f") == i).drop("_f").coalesce(1).write.parquet(f"{path}/{i:03d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/*")
+
+
 def test_stream_audit_rows_equal_batch(spark, scratch):
     t = role_tables(spark, SF001)
-    ch = S.read_stream(spark, _as_files(t.plant_changes, f"{scratch}/ch", 1), schemas.PLANT_CHANGES)
-    got = _run(S.stream_audit_rows(ch), "st_audit")
+    name = f"audit{os.getpid()}"
+    S.run_audit_stream(_shuffled(spark, t.plant_changes, f"{scratch}/ch", 3), name).trigger(
+        availableNow=True
+    ).start().awaitTermination()
     exp = TM.audit_rows(t.plant_changes)
-    assert _same(got.select(*exp.columns), exp)
+    assert _same(S.current_rows(spark, name).select(*exp.columns), exp)
+
+
+def test_scd2_stream_with_replays_and_late_changes(spark, scratch):
+    t = role_tables(spark, SF001)
+    name = f"versions{os.getpid()}"
+    S.run_scd2_stream(_shuffled(spark, t.plant_changes, f"{scratch}/ch"), name).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    exp = TM.scd2_build(t.plant_changes)
+    assert _same(S.current_rows(spark, name).select(*exp.columns), exp)
+    assert _same(S.compact(spark, name).select(*exp.columns), exp)
+
+
+def test_late_change_and_replay_by_hand(spark, scratch):
+    import datetime as dt
+
+    D = dt.datetime
+
+    def change(loc, day, seq, op="UPDATE"):
+        return (1, "p", None, None, loc, None, True, None, None, op, "u", D(2024, 1, day), seq)
+
+    base = f"{scratch}/v"
+    batches = [[change("A", 1, 1, "INSERT")], [change("B", 3, 3)], [change("A", 1, 1, "INSERT")], [change("C", 2, 2)]]
+    for i, rows in enumerate(batches):
+        S.rebuild_touched(spark.createDataFrame(rows, schemas.PLANT_CHANGES), i, base, "id", "seq", TM.scd2_build)
+    rows = spark.read.parquet(f"{base}/rows").where("batch = 3").orderBy("valid_from").collect()
+    assert [(r.location, r.valid_from.day, r.valid_to.year) for r in rows] == [("A", 1, 2024), ("C", 2, 2024), ("B", 3, 9999)]
+    assert spark.read.parquet(f"{base}/rows").where("batch = 2").count() == 0  # a replay rebuilds nothing
 
 
 def test_stream_next_events(spark, scratch):
@@ -80,14 +120,17 @@ def test_stream_next_events(spark, scratch):
     images = ev.withColumn("is_completed", F.lit(False)).withColumn("version", F.lit(1)).unionByName(
         ev.withColumn("version", F.lit(2))
     )
-    stream = S.read_stream(spark, _as_files(images, f"{scratch}/img", 2), images.schema)
-    out = f"{scratch}/next"
-    q = S.run_next_events(stream, t, EVENTS_AS_OF, out, name=f"st_next{os.getpid()}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.read.parquet(out).drop("batch")
+    for i, rows in enumerate([images, images.where("id % 3 = 0"), ev.withColumn("version", F.lit(3))]):
+        rows.repartition(2).write.parquet(f"{scratch}/img/{i}")  # replays, and images without a transition
+    stream = spark.readStream.schema(images.schema).option("maxFilesPerTrigger", "2").parquet(f"{scratch}/img/*")
+    out, rem = f"{scratch}/next", f"{scratch}/rem"
+    q = S.run_next_events(stream, t, EVENTS_AS_OF, out, name=f"st_next{os.getpid()}", reminders_path=rem)
+    q.trigger(availableNow=True).start().awaitTermination()
     old = t.events.withColumn("is_completed", F.lit(False))
     exp = R.next_events(old, t.events, t, EVENTS_AS_OF)
-    assert _same(got.select(*exp.columns), exp)
+    assert _same(spark.read.parquet(out).select(*exp.columns), exp)
+    exp = R.next_event_reminders(old, t.events, t, EVENTS_AS_OF)
+    assert _same(spark.read.parquet(rem).select(*exp.columns), exp)
 
 
 def test_dedup_replays(spark, scratch):
@@ -130,20 +173,3 @@ def test_latest_snapshot_stream_equals_batch(spark, scratch):
     last = max(glob.glob(f"{checkpoint_path(spark, name)}/v=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
     got = spark.read.parquet(last)
     assert _same(got, S.stream_latest(t.measurements))
-
-
-def test_scd2_stream_equals_batch_versions(spark, scratch):
-    import glob
-
-    t = role_tables(spark, SF001)
-    ch = t.plant_changes
-    years = [r.y for r in ch.select(F.year("changed_at").alias("y")).distinct().orderBy("y").collect()]
-    for i, y in enumerate(years):  # changes arrive in time order, one file per year
-        ch.where(F.year("changed_at") == y).coalesce(1).write.parquet(f"{scratch}/ch/{i:03d}")
-    stream = spark.readStream.schema(schemas.PLANT_CHANGES).option("maxFilesPerTrigger", "1").parquet(f"{scratch}/ch/*")
-    name = f"versions{os.getpid()}"
-    S.run_scd2_stream(stream, name).trigger(availableNow=True).start().awaitTermination()
-    last = max(glob.glob(f"{checkpoint_path(spark, name)}/v=*"), key=lambda p: int(p.rsplit("=", 1)[1]))
-    got = spark.read.parquet(last)
-    exp = TM.scd2_build(ch)
-    assert _same(got.select(*exp.columns), exp)
