@@ -54,12 +54,13 @@ def test_stream_latest(spark, scratch):
 def test_stream_delta_equals_window(spark, scratch):
     t = role_tables(spark, SF001)
     # time-ordered arrival: one file per day
-    m = t.measurements.withColumn("_day", F.to_date("measurement_date"))
+    known = t.measurements.join(t.plants.select(F.col("id").alias("plant_id")), "plant_id", "left_semi")
+    m = known.select(*t.measurements.columns).withColumn("_day", F.to_date("measurement_date"))
     m.write.partitionBy("_day").mode("overwrite").parquet(f"{scratch}/md")
-    days = sorted(r._day for r in m.select("_day").distinct().collect())
+    days = [r._day for r in m.select("_day").distinct().orderBy(F.col("_day").asc_nulls_last()).collect()]
     base = f"{scratch}/ordered"
     for i, d in enumerate(days):
-        m.where(F.col("_day") == d).drop("_day").coalesce(1).write.mode("overwrite").parquet(f"{base}/{i:04d}")
+        m.where(F.col("_day").eqNullSafe(F.lit(d).cast("date"))).drop("_day").coalesce(1).write.mode("overwrite").parquet(f"{base}/{i:04d}")
     ms = spark.readStream.schema(schemas.MEASUREMENTS).option("maxFilesPerTrigger", "1").parquet(f"{base}/*")
     got = _run(S.stream_delta(ms), "st_delta").select("id", "prev_height", "height_growth")
     exp = V.growth_timeline(t).select("id", "prev_height", "height_growth")
