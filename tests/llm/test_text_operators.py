@@ -159,15 +159,33 @@ ALPHABET = [" "] * 6 + ["\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "'s", "
 
 def test_merges_equal_the_library(reference):
     rnd = random.Random(5)
-    encode, split = chunked_bpe.encoder(PATH, public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
-    for _ in range(2000):
-        t = "".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 60)))
-        assert chunked_bpe.flat(encode(split.findall(t))).tolist() == reference.encode_ordinary(t), t
+    encode, split = chunked_bpe.encoder(PATH), chunked_bpe.splitter(public_tokenizers.PATTERN)
+    texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 60))) for _ in range(2000)]
+    texts += ["".join(rnd.choice("theanditoßé ") for _ in range(60)) for _ in range(500)]
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        for t, ids in zip(some, encode([split(t) for t in some])):
+            assert chunked_bpe.flat(ids).tolist() == reference.encode_ordinary(t), t
     ranks = chunked_bpe.load_ranks(PATH)
     for t in ["a" * 5000, "ab" * 3000, "é" * 2000]:
         assert chunked_bpe.merge(t.encode(), ranks) == reference.encode_ordinary(t)
 
 
+def test_written_out_classes_split_like_the_pattern():
+    rnd, split = random.Random(2), chunked_bpe.splitter(public_tokenizers.PATTERN)
+    full = regex.compile(public_tokenizers.PATTERN)
+    letters = [chr(i) for i in range(256)] + ["'s", "'ll", " ", " ", "漢"]
+    for _ in range(20_000):
+        t = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 30)))
+        assert split(t) == full.findall(t), t
+
+
+def test_ids_decode_to_the_bytes(spark):
+    ids = spark.createDataFrame([(1, [15496, 995]), (2, []), (3, None)], "k int, ids array<int>")
+    got = {r.k: bytes(r.b) for r in ids.select("k", chunked_bpe.decode_column(ids.ids, PATH).alias("b")).collect()}
+    assert got == {1: b"Hello world", 2: b"", 3: b""}
+
+
 def test_small_overlapping_chunks_give_the_whole_texts_ids(make_docs, reference):
     rnd = random.Random(6)
     texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(1, 400))) for _ in range(60)]
