@@ -38,14 +38,6 @@ def as_ts(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
-def as_date(value) -> Column:
-    return as_ts(value).cast("date")
-
-
-def end_of_time() -> Column:
-    return as_ts(END_OF_TIME)
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

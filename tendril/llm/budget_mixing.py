@@ -37,6 +37,8 @@ DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1, "other": 1}
 LANGUAGE_WEIGHTS = {"en": 4, "de": 2, "fr": 2, "es": 2}
 #: Hexadecimal digits of the order hash that name a slice, coarse and fine.
 SLICE_DIGITS = (2, 4)
+#: Leaves up to which their table is broadcast (some 10 MB).
+BROADCAST_LEAVES = 100_000
 LEVELS_OF = ["mix_domain", "mix_language", "mix_source"]
 
 
@@ -203,8 +205,11 @@ def mix(docs: DataFrame, seed: int = SEED, **budgets) -> DataFrame:
     Only the leaves' table is joined, the documents are not shuffled for it
     unless there are too many leaves to broadcast."""
     _, plan = mix_plan(docs, seed, **budgets)
+    # one row per leaf; with very many leaves the planner's own join is the other way
+    few = plan.count() <= BROADCAST_LEAVES
     names = fresh(docs, *LEVELS_OF, "mix_whole", "mix_cutoff", "mix_copy")
     plan = plan.toDF(*[f"{x}_of" for x in names[:3]], *names[3:5])
+    plan = F.broadcast(plan) if few else plan
     with_leaf = _add_leaf(docs, names[:3])
     same = [with_leaf[x] == plan[f"{x}_of"] for x in names[:3]]
     n = F.col(names[3]) + (_order_hash(seed, F.col(names[3]), F.col("doc_id")) <= F.col(names[4])).cast("int")

@@ -224,41 +224,30 @@ def active_reminders(t: CareTables, as_of) -> DataFrame:
 # --------------------------------------------------------------------- V-6
 def calendar(t: CareTables, as_of=None) -> DataFrame:
     """Events and pending reminders in one shape (UNION ALL)."""
-    names = _plant_names(t)
-    ev = (
-        t.events.join(names, "plant_id")
-        .join(_event_types(t), "event_type_id")
-        .select(
-            F.lit("event").alias("item_type"),
-            F.col("id").alias("item_id"),
-            "plant_id",
-            "plant_name",
-            F.col("event_type_name").alias("title"),
-            "description",
-            F.col("event_date").alias("date"),
-            F.col("event_color").alias("color"),
-            "is_completed",
-            F.lit(False).alias("is_reminder"),
-        )
-    )
-    rm = (
-        t.reminders.where(~F.col("is_completed"))
-        .join(names, "plant_id")
-        .join(_event_types(t), "event_type_id")
-        .select(
-            F.lit("reminder").alias("item_type"),
-            F.col("id").alias("item_id"),
-            "plant_id",
-            "plant_name",
-            F.concat(F.lit(REMINDER_PREFIX), F.col("event_type_name")).alias("title"),
-            F.col("message").alias("description"),
-            F.col("reminder_date").alias("date"),
-            F.col("event_color").alias("color"),
-            "is_completed",
-            F.lit(True).alias("is_reminder"),
-        )
+    ev = t.events.select(
+        F.lit("event").alias("item_type"), F.col("id").alias("item_id"), "plant_id", "event_type_id", "description",
+        F.col("event_date").alias("date"), "is_completed", F.lit(False).alias("is_reminder"),
+    )
+    rm = t.reminders.where(~F.col("is_completed")).select(
+        F.lit("reminder").alias("item_type"), F.col("id").alias("item_id"), "plant_id", "event_type_id",
+        F.col("message").alias("description"), F.col("reminder_date").alias("date"), "is_completed",
+        F.lit(True).alias("is_reminder"),
+    )
+    # union first, so that plants and types are joined once
+    items = ev.unionByName(rm).join(_event_types(t), "event_type_id").join(_plant_names(t), "plant_id")
+    title = F.when(F.col("is_reminder"), F.concat(F.lit(REMINDER_PREFIX), F.col("event_type_name")))
+    return items.select(
+        "item_type",
+        "item_id",
+        "plant_id",
+        "plant_name",
+        title.otherwise(F.col("event_type_name")).alias("title"),
+        "description",
+        "date",
+        F.col("event_color").alias("color"),
+        "is_completed",
+        "is_reminder",
     )
-    return ev.unionByName(rm)
 
 
 # --------------------------------------------------------------------- V-7
