@@ -17,7 +17,7 @@ threshold, calibrated on learning rows that the network was not trained on.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -73,7 +73,7 @@ def _pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(best) + net.bias, np.concatenate(at)
 
 
-def log_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def log_odds(ids: Iterable[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Smoothed log odds of label 1 for texts that have a bucket."""
     seen = np.zeros((2, BUCKETS))
     for x, label in zip(ids, y):
@@ -85,14 +85,12 @@ def log_odds(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
     """A network from texts and labels (0 or 1) by stochastic gradient descent."""
     rng = np.random.default_rng(seed)
-    known: dict[str, list[int]] = {}
-    ids = []
-    for t in texts:
-        w = words_of(t) or [""]
-        known.update((x, buckets(x)) for x in set(w) - known.keys())
-        ids.append(np.array([known[x] for x in w]))
+    place: dict[str, int] = {}  # a text is kept as the places of its words, their buckets once
+    ids = [np.array([place.setdefault(w, len(place)) for w in words_of(t) or [""]], np.int32) for t in texts]
+    of_word = np.array([buckets(w) for w in place], np.int32)
+    del place
     table = rng.normal(0, 0.05, (BUCKETS, DIMS)).astype(np.float32)
-    odds = log_odds(ids, y)
+    odds = log_odds((of_word[x] for x in ids), y)
     table[:, 0] = odds / (1 + len(PREFIXES))
     k = len(WIDTHS) * FILTERS
     taps = [rng.normal(0, 0.1, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -101,7 +99,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
     net = Network(table, taps, np.full(k, -1.0, np.float32), np.full(k, 1.0 / k, np.float32), -2.0)
     for i, x in enumerate(ids):
         if len(x) > TRAIN_WORDS:
-            top = int(odds[x].sum(1).argmax())
+            top = int(odds[of_word[x]].sum(1).argmax())
             s = max(0, min(top - TRAIN_WORDS // 2, len(x) - TRAIN_WORDS))
             ids[i] = x[s : s + TRAIN_WORDS]
     filters = np.arange(FILTERS)
@@ -109,7 +107,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
         rate = RATE / (1 + epoch * len(ids) / 6000)
         for i in rng.permutation(len(ids)):
             x = np.zeros((len(ids[i]) + 2, DIMS), np.float32)
-            x[:-2] = net.table[ids[i]].sum(1)
+            x[:-2] = net.table[of_word[ids[i]]].sum(1)
             m, at = _pooled(net, x)
             h = np.maximum(m, 0)
             z = float(h @ net.out) + net.base
@@ -131,7 +129,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
             net.base -= rate * d
             net.bias -= rate * dh
             for p, g in dx.items():
-                np.subtract.at(net.table, ids[i][p], rate * np.clip(g, -1, 1))
+                np.subtract.at(net.table, of_word[ids[i][p]], rate * np.clip(g, -1, 1))
     return net
 
 
