@@ -217,11 +217,9 @@ def record_measurements(
         F.coalesce(F.concat(F.lit(", Leaves "), F.col("leaf_count").cast("string")), F.lit("")),
         F.coalesce(F.concat(F.lit(", Health "), h.cast("string"), F.lit("/5")), F.lit("")),
     )
-    # an inner join: without the measuring type no event is written
-    types = t.dim("event_types").where(F.col("name") == measure).select(
-        F.col("id").alias("event_type_id"), F.col("name").alias("_tname")
-    )
-    events = accepted.withColumn("_measure", F.lit(measure)).join(types, F.col("_measure") == F.col("_tname")).select(
+    # without the measuring type no event is written
+    typed = accepted.withColumn("event_type_id", _type_id(t, measure)).where(F.col("event_type_id").isNotNull())
+    events = typed.select(
         F.col("request_id").alias("id"),
         "plant_id",
         "event_type_id",
