@@ -220,3 +220,56 @@ def judge(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
         "word_distance",
         (~F.col("base_failed") & ~far).alias("kept"),
     )
+
+
+def oracle(table: str = "documents") -> str:
+    """DuckDB SQL for the rows of the query."""
+    count = lambda keep: f"length(regexp_replace(text, '[^{keep}]', '', 'g'))"
+    inside = {n: p[1:-1] for n, p in CLASSES.items() if n != "wide"}
+    inside["stop"] = inside["stop"].replace("'", "''")
+    classes = {"lower": count("a-z"), **{n: count(p) for n, p in inside.items()}}
+    classes["wide"] = r"length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))"
+    columns = ", ".join(f"{sql} AS c_{n}" for n, sql in classes.items())
+    rest = " - ".join(["chars", *[f"c_{n}" for n in classes]])
+    names = [*classes, "rest"]
+    term = lambda p, q: (
+        f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
+        f" + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2"
+    )
+    chars = " + ".join(term(f"(c_{n}::DOUBLE / chars)", f"q_{n}") for n in names)
+    word = WORD_PATTERN
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM {table}),
+w AS MATERIALIZED (SELECT *, regexp_extract_all(text, '{word}') AS words, length(text) AS chars, {columns} FROM d),
+k AS MATERIALIZED (SELECT *, {rest} AS c_rest, len(words) AS n,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM w),
+per_lang AS (SELECT lang, sum(n) AS n, sum(chars) AS chars, {", ".join(f"sum(c_{n}) AS c_{n}" for n in names)} FROM k GROUP BY lang),
+langs AS (SELECT * FROM per_lang WHERE lang IS NOT NULL AND n > 0 ORDER BY n DESC, lang LIMIT {REFERENCES}),
+refs AS (SELECT lang AS ref, n, chars, {", ".join(f"c_{n}" for n in names)} FROM langs
+  UNION ALL SELECT NULL, sum(n), sum(chars), {", ".join(f"sum(c_{n})" for n in names)} FROM per_lang),
+ref AS (SELECT ref, greatest(n, 1) AS total, {", ".join(f"c_{n}::DOUBLE / greatest(chars, 1) AS q_{n}" for n in names)} FROM refs),
+said AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM k) WHERE length(word) <= {COMMON_CHARS} GROUP BY ALL),
+per_ref AS (SELECT lang AS ref, word, n FROM said WHERE lang IN (SELECT lang FROM langs)
+  UNION ALL SELECT NULL, word, sum(n) FROM said GROUP BY word),
+top AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS place FROM per_ref QUALIFY place <= {COMMON_WORDS}),
+common AS (SELECT top.ref, place, word, top.n::DOUBLE / total AS q FROM top JOIN ref ON top.ref IS NOT DISTINCT FROM ref.ref),
+doc AS (SELECT k.*, CASE WHEN lang IN (SELECT lang FROM langs) THEN lang END AS ref FROM k),
+hits AS (SELECT r, word, count(*) AS c FROM (SELECT r, unnest(words) AS word FROM k) GROUP BY ALL),
+shares AS (SELECT doc.r, place, coalesce(c, 0)::DOUBLE / n AS p, q FROM doc JOIN common ON common.ref IS NOT DISTINCT FROM doc.ref
+  LEFT JOIN hits ON hits.r = doc.r AND hits.word = common.word WHERE n >= {WORD_GUARD}),
+sums AS (SELECT r, list_sum(list({term("p", "q")} ORDER BY place)) AS js, greatest(1 - list_sum(list(p ORDER BY place)), 0) AS p,
+  greatest(1 - list_sum(list(q ORDER BY place)), 0) AS q FROM shares GROUP BY r),
+far_words AS (SELECT r, round(sqrt(greatest(js + {term("p", "q")}, 0)), 6) AS word_distance FROM sums),
+win AS (SELECT r, i, words[i:i + {WINDOW_WORDS - 1}] AS win FROM (SELECT r, words, unnest(range(1, n - {WINDOW_WORDS - 2})) AS i FROM k WHERE n >= {WINDOW_WORDS})),
+again AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS c FROM (SELECT r, unnest(range(i, i + {WINDOW_WORDS})) AS p FROM again) GROUP BY r),
+base AS (SELECT doc.*, coalesce(c, 0) AS n_repeat_words,
+  n < {LEAST_WORDS} OR 100 * coalesce(c, 0) > {MOST_REPEATED} * n AS base_failed FROM doc LEFT JOIN covered USING (r)),
+judged AS (SELECT base.*, word_distance,
+  CASE WHEN chars >= {CHAR_GUARD} THEN round(sqrt(greatest({chars}, 0)), 6) END AS char_distance
+  FROM base JOIN ref ON base.ref IS NOT DISTINCT FROM ref.ref LEFT JOIN far_words USING (r))
+SELECT doc_id, n::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  char_distance, word_distance,
+  NOT base_failed AND NOT coalesce(char_distance > {CHAR_LIMIT}, FALSE) AND NOT coalesce(word_distance > {WORD_LIMIT}, FALSE) AS kept
+FROM judged"""

@@ -44,7 +44,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_cnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@register("op3_divergence_rules")
+@register("op3_divergence_rules", divergence_rules.oracle())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judge(table(spark, sf_dir, "documents"))
 
