@@ -1,7 +1,10 @@
 """Operators over many rows against brute force or their SQL, and hard rows."""
 
 import itertools
+import math
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -232,6 +235,30 @@ def test_mined_rules_are_pruned_and_generalise(spark):
 # ---- mixing ------------------------------------------------------------------------------------
 
 
+def brute_rules(rows, support, confidence):
+    counts = Counter()
+    for tokens, verdict in rows:
+        for k in (2, 3):
+            counts.update((c, verdict) for c in combinations(sorted(set(tokens)), k))
+    whole = Counter()
+    for (c, _), n in counts.items():
+        whole[c] += n
+    least = math.ceil(support * len(rows))
+    rules = {(c, v): n / whole[c] for (c, v), n in counts.items() if n >= least and n / whole[c] >= confidence}
+    vain = {(c, v) for c, v in rules for x in c if rules.get((tuple(t for t in c if t != x), v), -1) >= rules[c, v]}
+    return {(c, v, counts[c, v]) for c, v in rules if (c, v) not in vain}
+
+
+def test_a_hot_url_of_many_tokens_is_mined_like_any_other(spark):
+    rng = random.Random(5)
+    hot = [f"p:t{i:02}" for i in range(30)]
+    rows = [(hot, "block")] * 40 + [(hot[:14], "allow")] * 9 + [(rng.sample(hot, 12), "block") for _ in range(12)]
+    rows += [(rng.sample(hot[:6] + ["h:com", "h:net"], 4), rng.choice(["allow", "block"])) for _ in range(60)]
+    rng.shuffle(rows)
+    got = url_association.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8)
+    assert {(tuple(r.tokens), r.verdict, r["count"]) for r in got.collect()} == brute_rules(rows, 0.05, 0.8)
+
+
 def fill(budget, children):
     """Plain water filling: (capacity, weight) per child, real numbers."""
     share, open_ = [0.0] * len(children), set(range(len(children)))
