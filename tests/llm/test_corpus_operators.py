@@ -259,6 +259,13 @@ def test_a_hot_url_of_many_tokens_is_mined_like_any_other(spark):
     assert {(tuple(r.tokens), r.verdict, r["count"]) for r in got.collect()} == brute_rules(rows, 0.05, 0.8)
 
 
+@pytest.mark.parametrize(
+    "rows, n", [([([f"p:t{i:02}" for i in range(30)], "block")] * 40, 435), ([([], "allow")] * 5, 0)], ids=["all long", "no tokens"]
+)
+def test_mining_rows_of_one_sort(spark, rows, n):
+    assert url_association.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).count() == n
+
+
 def fill(budget, children):
     """Plain water filling: (capacity, weight) per child, real numbers."""
     share, open_ = [0.0] * len(children), set(range(len(children)))
