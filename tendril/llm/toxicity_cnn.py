@@ -10,8 +10,9 @@ first embedding dimension starts as the bucket's log odds.  Scoring runs in
 the tasks over whole texts of any length: a word's response to every filter
 position is computed once and remembered, long texts go through in blocks.
 
-The 0.5 decision is on the score alone; beside it each language gets its own
-threshold, calibrated on learning rows that the network was not trained on.
+Learning rows that the network was not trained on calibrate it: the score of
+0.5 lies where the decision has the best F1 on them, whatever the language;
+beside that each language gets its own threshold.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ PREFIXES = (3, 4, 5, 6)
 STEPS, RATE, SMOOTHING = 12_000, 0.05, 2.0
 #: A language's threshold is the lowest score from which on so many flagged rows are toxic.
 PRECISION = 0.9
+#: Toxic calibration rows from which on they are trusted.
+LEAST_TOXIC = 10
 #: Words of a training text beyond which it is trained in its most telling window.
 TRAIN_WORDS = 4000
 BLOCK, REMEMBERED = 8192, 60_000
@@ -58,7 +61,7 @@ class Network:
     bias: np.ndarray  # (widths * FILTERS)
     out: np.ndarray  # (widths * FILTERS)
     base: float
-    shift: float = 0.0  # log odds of the corpus against those of the sample
+    shift: float = 0.0  # added to the log odds
     thresholds: dict[str, float] = field(default_factory=dict)
 
 
@@ -207,22 +210,49 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     order = np.argsort([zlib.crc32((r["text"] or "").encode("utf-8", "replace")) for r in got], kind="stable")
     net = train([got[i]["text"] or "" for i in order], y[order])
     net.shift = float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum()))
-    net.thresholds = calibrate(net, _sample(docs, marks.where(for_rates), CALIBRATION, 11))
+    calibrate(net, _sample(docs, marks.where(for_rates), CALIBRATION, 11))
     return net
 
 
-def calibrate(net: Network, rows: DataFrame) -> dict[str, float]:
-    """Per language the lowest threshold of precision ``PRECISION`` on at most CALIBRATION rows;
-    languages with fewer than ten toxic rows have none and use 0.5."""
-    one, by = scorer(net), {}
-    for r in rows.select("text", "lang", "toxic").collect():
-        by.setdefault(r["lang"] or "", []).append((one(r["text"] or ""), r["toxic"]))
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """Log odds from which on calling a row toxic has the best F1, halfway between two
+    neighbouring rows; of several best cuts the middle one."""
+    down = np.argsort(-z, kind="stable")
+    z, y = z[down], y[down]
+    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
+    f1[:-1][z[:-1] == z[1:]] = -1  # no cut between equal rows
+    best = np.flatnonzero(f1 == f1.max())
+    i = best[len(best) // 2]
+    return float((z[i] + z[i + 1]) / 2) if i + 1 < len(z) else float(z[i])
+
+
+def calibrate(net: Network, rows: DataFrame) -> None:
+    """Sets shift and thresholds from at most CALIBRATION rows; with fewer than
+    ``LEAST_TOXIC`` toxic ones the shift stays as it is.
+
+    A language's threshold is the lowest of precision ``PRECISION``; languages
+    with fewer than ``LEAST_TOXIC`` toxic rows have none and use 0.5."""
+    got = rows.select("text", "lang", "toxic").collect()
+    one, y = scorer(net), np.array([r["toxic"] for r in got], np.int64)
+    p = np.array([one(r["text"] or "") for r in got])
+    if y.sum() >= LEAST_TOXIC:
+        z = np.log(p) - np.log1p(-p)
+        cut = best_cut(z, y)
+        net.shift -= cut
+        p = 1 / (1 + np.exp(-np.clip(z - cut, -35, 35)))
+    net.thresholds = thresholds(p, y, [r["lang"] or "" for r in got])
+
+
+def thresholds(p: np.ndarray, y: np.ndarray, langs: list[str]) -> dict[str, float]:
+    by: dict[str, list] = {}
+    for lang, score, label in zip(langs, p.tolist(), y.tolist()):
+        by.setdefault(lang, []).append((score, label))
     out = {}
     for lang, pairs in by.items():
         pairs.sort(reverse=True)
         hits = np.cumsum([t for _, t in pairs])
         good = np.flatnonzero(hits >= PRECISION * np.arange(1, len(pairs) + 1))
-        if hits[-1] >= 10 and len(good):
+        if hits[-1] >= LEAST_TOXIC and len(good):
             out[lang] = float(pairs[good[-1]][0])
     return out
 

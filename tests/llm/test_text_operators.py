@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
 import pytest
 import regex
 import tiktoken
@@ -273,6 +274,12 @@ def test_toxicity_held_out_accuracy(labelled):
     assert accuracy(toxicity_cnn.toxicity(docs, labels), labels, "toxic") > 0.9
 
 
+def test_best_cut_lies_between_the_classes():
+    z = np.array([3.0, -4.0, -1.0, -3.0, 2.0, -5.0, -3.0])
+    assert toxicity_cnn.best_cut(z, np.array([1, 0, 1, 0, 1, 1, 0])) == -2.0
+    assert toxicity_cnn.best_cut(np.array([1.0, 1.0]), np.array([1, 0])) == 1.0
+
+
 def test_classifiers_on_hard_rows(spark, hard_docs, no_docs, labelled):
     _, labels = labelled
     none = labels.limit(0)
