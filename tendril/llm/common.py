@@ -12,6 +12,8 @@ from tendril.session import ensure_checkpoint_dir
 
 #: Words of the contracts: runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Most keys that ``spread_join`` broadcasts, and rows below which no key is hot.
+HOT_KEYS, HOT_ROWS = 20_000, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +67,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``facts``, which has one row per key ``on``, no nulls,
+    and in ``n`` how many of the ``total`` rows have the key; ``n`` is dropped.
+
+    A shuffled join would give a hot key's rows to one task (AQE leaves them
+    there where ``facts`` is already partitioned by the key).  Keys of more than
+    ``total / HOT_KEYS`` rows are ``HOT_KEYS`` at most, so their facts are broadcast
+    and their rows stay where they are; only the others are shuffled."""
+    many = max(HOT_ROWS, total // HOT_KEYS)
+    hot, others = facts.where(F.col(n) > many).drop(n), facts.where(F.col(n) <= many).drop(n)
+    got = [c for c in others.columns if c != on]
+    marked = rows.join(F.broadcast(hot), on, "left")
+    shuffled = marked.where(F.col(got[0]).isNull()).select(rows.columns).join(others, on)
+    return marked.where(F.col(got[0]).isNotNull()).unionByName(shuffled)
+
+
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end`` of an array of spans, joined by commas in its order."""
     one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))

@@ -3,8 +3,9 @@
 Each round every node links its larger neighbours to the smallest node it
 knows (large star), then its smaller ones (small star), until nothing changes;
 the edges are then stars around each component's smallest node.  Every step is
-an aggregate and an equi-join on a node, so no component is ever gathered, and
-each round is stored in the shared checkpoint folder.
+an aggregate and an equi-join on a node in which nodes of very many edges are
+spread over all tasks, so no component is ever gathered, and each round is
+stored in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -12,21 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendril.llm.common import cut
+from tendril.llm.common import cut, spread_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # the edge side is split by AQE where a node has very many neighbours
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.union(up).groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+    least = least.where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
+    return spread_join(up, least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """``edges`` with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return least.select("u", F.col("m").alias("v")).union(moved)
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = spread_join(edges, least, "u", "n", total).where("v <> m")
+    return least.select("u", F.col("m").alias("v")).union(moved.select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _digest(edges: DataFrame):
@@ -46,7 +47,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     seen = _digest(e)
     while seen[0]:
-        e = cut(_small_star(_large_star(e).distinct()).distinct())
+        e = cut(_small_star(_large_star(e, seen[0]).distinct(), seen[0]).distinct())
         now = _digest(e)
         if now == seen:
             break

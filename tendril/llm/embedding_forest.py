@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendril.llm.common import cut
+from tendril.llm.common import cut, spread_join
 from tendril.llm.components import components
 
 COSINE = 0.98
@@ -269,26 +269,34 @@ def embedding_components(
     dealt = _blocks(routed, "node", "parts").repartition(*keys).sortWithinPartitions(*keys)
     roots = components(dealt.mapInPandas(lambda it: _link(it, cosine, spill), "a string, b string"), "a", "b")
     linked = cut(nodes.join(roots, "node"))
+    # a component of very many nodes, then a vector of very many copies, is spread over all tasks
     size = linked.groupBy("root").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("first").alias("component_id")
+        F.count("*").alias("n"),
+        F.struct(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.min("first").alias("id")).alias("c"),
     )
+    size, total = cut(size), linked.count()
     keys = ["root", "i", "j"]
-    asked = linked.select("node", "root", "embedding", "copies").join(size.select("root", "parts"), "root")
-    asked = _blocks(asked, "node", "parts").repartition(*keys).sortWithinPartitions(*keys)
+    asked = spread_join(linked.select("node", "root", "embedding", "copies"), size, "root", "n", total)
+    asked = _blocks(asked.withColumn("parts", F.col("c.parts")).drop("c"), "node", "parts")
+    asked = asked.repartition(*keys).sortWithinPartitions(*keys)
     counts = asked.mapInPandas(lambda it: _count(it, cosine), "node string, links long")
     counts = counts.groupBy("node").agg(F.sum("links").alias("links"))
-    found = linked.select("node", "root").join(size, "root").join(counts, "node").select("node", "component_id", "links")
-    known = nodes.select("node", "first", "copies").join(found, "node", "left").select(
-        F.col("node").alias("of"),
-        F.coalesce("component_id", "first").alias("component_id"),
+    found = spread_join(linked.select("node", "root"), size, "root", "n", total)
+    found = found.join(counts, "node").select("node", F.col("c.id").alias("component_id"), "links")
+    result = F.struct(
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        F.coalesce("component_id", "first").alias("component_id"),
+    )
+    known = cut(
+        nodes.select("node", "first", "copies").join(found, "node", "left").select("node", result.alias("r"), "copies")
     )
-    usable = named.where(F.col("node").isNotNull()).select("vec_id", "node")
-    usable = usable.join(known, F.col("node") == F.col("of")).select("vec_id", "n_links", "component_id")
-    alone = named.where(F.col("node").isNull()).select(
+    ids = cut(named.select("vec_id", "node"))
+    usable = spread_join(ids.where(F.col("node").isNotNull()), known, "node", "copies", ids.count())
+    alone = ids.where(F.col("node").isNull()).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    return usable.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    found = usable.select("vec_id", "r.n_links", "r.component_id").union(alone)
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def oracle(table: str = "embeddings", cosine: float = COSINE) -> str:

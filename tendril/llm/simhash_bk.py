@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendril.llm.common import cut, fresh, text_udf
+from tendril.llm.common import cut, fresh, spread_join, text_udf
 from tendril.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -192,15 +192,23 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
-def _groups(marked: DataFrame, radius: int) -> DataFrame:
-    """fp, component_id: smallest doc_id of all documents reachable from a fingerprint."""
-    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+def _grouped(marked: DataFrame, radius: int) -> DataFrame:
+    """``marked`` with root and component_id, the smallest doc_id of all documents reachable."""
+    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(link_edges(prints.select("fp"), radius), "a", "b")
-    both = prints.join(roots, prints["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+    prints = cut(
+        prints.join(roots, prints["fp"] == roots["node"], "left").select(
+            "fp", "first", "n", F.coalesce("root", "fp").alias("root")
+        )
+    )
+    first = F.struct(F.min("first").alias("component_id")).alias("first")  # the id itself may be null
+    least = cut(prints.groupBy("root").agg(F.count("*").alias("prints"), first))
+    # fingerprints of a large group, then documents of a common fingerprint, are not one task's work
+    named = spread_join(prints.select("fp", "n", "root"), least, "root", "prints", prints.count())
+    named = cut(named.select("fp", "n", F.struct("root", "first.component_id").alias("group")))
+    return spread_join(marked, named.select("fp", "group", "n"), "fp", "n", marked.count()).select(
+        *marked.columns, "group.*"
     )
-    least = both.groupBy("root").agg(F.min("first").alias("component_id"))
-    return both.join(least, "root").select("fp", "component_id", "root")
 
 
 def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = MAX_BITS) -> DataFrame:
@@ -209,9 +217,7 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int
     Null texts count as empty and have fingerprint zero; repeated rows each
     give a row; null ids never name a component unless all its ids are null.
     Other columns are ignored, an empty table gives an empty one."""
-    marked = _marked(docs, words)
-    groups = _groups(marked, radius).select(F.col("fp").alias("of"), "component_id")
-    return marked.join(groups, marked["fp"] == groups["of"]).select(
+    return _grouped(_marked(docs, words), radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -220,12 +226,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: in
     """One row of ``docs`` per group: that of the smallest doc_id (null ids
     last, then the smallest content hash); of equal rows one stays.  All
     columns are returned."""
-    marked = _marked(docs, words)
-    groups = _groups(marked, radius).select(F.col("fp").alias("of"), "root")
     who = F.struct(F.col("doc_id").isNull(), "doc_id", "content")
-    best = marked.join(groups, marked["fp"] == groups["of"]).groupBy("root").agg(
-        F.min(who).alias("w"), F.count("*").alias("n")
-    )
+    best = _grouped(_marked(docs, words), radius).groupBy("root").agg(F.min(who).alias("w"), F.count("*").alias("n"))
     d, c, n = fresh(docs, "keep_id", "keep_content", "keep_n")
     best = best.select(F.col("w.doc_id").alias(d), F.col("w.content").alias(c), F.col("n").alias(n))
     hit = docs.join(best, docs["doc_id"].eqNullSafe(best[d]) & (F.xxhash64(docs["text"]) == best[c]))

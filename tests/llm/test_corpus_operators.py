@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tendril.llm import budget_mixing, embedding_forest, registry, simhash_bk, url_association
+from tendril.llm import budget_mixing, common, embedding_forest, registry, simhash_bk, url_association
 from tendril.llm.components import components
 from tests.conftest import SF001
 from tests.llm.conftest import HARD
@@ -50,6 +50,51 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(df.limit(0), "a", "b").count() == 0
 
 
+def test_spread_join_equals_a_plain_join(spark, monkeypatch):
+    """Hot and plain keys, keys without facts, null keys, no rows; facts' names as given."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.createDataFrame(
+        [("hot", i) for i in range(40)] + [("cold", i) for i in range(5)] + [("none", 1), (None, 2)], "k string, x int"
+    )
+    facts = spark.createDataFrame([("hot", 7, 40), ("cold", 8, 5), ("unused", 9, 0)], "k string, f int, n long")
+    got = common.spread_join(rows, facts, "k", "n", 47)
+    want = rows.join(facts.drop("n"), "k")
+    assert got.columns == ["k", "x", "f"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert common.spread_join(rows.limit(0), facts.limit(0), "k", "n", 0).count() == 0
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    """A star, a chain hanging from it and random edges, with nodes counted hot from three edges on."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rng = np.random.default_rng(5)
+    pairs = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(59, 75)]
+    pairs += [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 80, (70, 2))]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+    touched = {x for a, b in pairs if a != b for x in (a, b)}
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((x, root[x]) for x in touched)
+
+
+def test_hot_groups_and_copies_are_spread(spark, make_docs, monkeypatch):
+    """SimHash groups and vector components above the hot bound keep their results."""
+    rows = [(i, "the same words in every copy of this text") for i in range(20)]
+    rows += [(50 + i, f"text number {i} of its own kind {i * i} and more") for i in range(10)]
+    docs, schema = make_docs(rows), "vec_id long, embedding array<float>, label int"
+    vectors = [(i, [1.0, 0.001 * (i % 9)], 1) for i in range(30)] + [(90, [0.0, 1.0], 1), (91, None, 1)]
+    vectors = spark.createDataFrame(vectors, schema)
+    plain = [sorted(map(tuple, simhash_bk.simhash_components(docs).collect()))]
+    plain.append(sorted(map(tuple, embedding_forest.embedding_components(vectors).collect())))
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert sorted(map(tuple, simhash_bk.simhash_components(docs).collect())) == plain[0]
+    assert sorted(map(tuple, embedding_forest.embedding_components(vectors).collect())) == plain[1]
+    assert [r for r in plain[1] if r[0] < 30] == [(i, 29, 0, i == 0) for i in range(30)]
+    assert sorted(r["doc_id"] for r in simhash_bk.drop_near_duplicates(docs).collect())[0] == 0
+
+
 # ---- SimHash ---------------------------------------------------------------------------
 
 
