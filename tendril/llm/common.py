@@ -12,8 +12,8 @@ from tendril.session import ensure_checkpoint_dir
 
 #: Words of the contracts: runs without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Most keys that ``spread_join`` broadcasts, and rows below which no key is hot.
-HOT_KEYS, HOT_ROWS = 20_000, 1000
+#: Most keys that ``spread_join`` broadcasts.
+HOT_KEYS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,7 @@ def spread_join(rows: DataFrame, facts: DataFrame, on: str, n: str, total: int)
     there where ``facts`` is already partitioned by the key).  Keys of more than
     ``total / HOT_KEYS`` rows are ``HOT_KEYS`` at most, so their facts are broadcast
     and their rows stay where they are; only the others are shuffled."""
-    many = max(HOT_ROWS, total // HOT_KEYS)
+    many = total // HOT_KEYS
     hot, others = facts.where(F.col(n) > many).drop(n), facts.where(F.col(n) <= many).drop(n)
     got = [c for c in others.columns if c != on]
     marked = rows.join(F.broadcast(hot), on, "left")

@@ -52,7 +52,7 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def test_spread_join_equals_a_plain_join(spark, monkeypatch):
     """Hot and plain keys, keys without facts, null keys, no rows; facts' names as given."""
-    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 9)
     rows = spark.createDataFrame(
         [("hot", i) for i in range(40)] + [("cold", i) for i in range(5)] + [("none", 1), (None, 2)], "k string, x int"
     )
@@ -65,8 +65,8 @@ def test_spread_join_equals_a_plain_join(spark, monkeypatch):
 
 
 def test_components_with_hot_nodes(spark, monkeypatch):
-    """A star, a chain hanging from it and random edges, with nodes counted hot from three edges on."""
-    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    """A star, a chain hanging from it and random edges, with nodes counted hot from four edges on."""
+    monkeypatch.setattr(common, "HOT_KEYS", 45)
     rng = np.random.default_rng(5)
     pairs = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(59, 75)]
     pairs += [(int(a) + 100, int(b) + 100) for a, b in rng.integers(0, 80, (70, 2))]
@@ -80,7 +80,7 @@ def test_components_with_hot_nodes(spark, monkeypatch):
 
 
 def test_hot_groups_and_copies_are_spread(spark, make_docs, monkeypatch):
-    """SimHash groups and vector components above the hot bound keep their results."""
+    """SimHash groups and vector components have the same results with few and many hot keys."""
     rows = [(i, "the same words in every copy of this text") for i in range(20)]
     rows += [(50 + i, f"text number {i} of its own kind {i * i} and more") for i in range(10)]
     docs, schema = make_docs(rows), "vec_id long, embedding array<float>, label int"
@@ -88,7 +88,7 @@ def test_hot_groups_and_copies_are_spread(spark, make_docs, monkeypatch):
     vectors = spark.createDataFrame(vectors, schema)
     plain = [sorted(map(tuple, simhash_bk.simhash_components(docs).collect()))]
     plain.append(sorted(map(tuple, embedding_forest.embedding_components(vectors).collect())))
-    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
     assert sorted(map(tuple, simhash_bk.simhash_components(docs).collect())) == plain[0]
     assert sorted(map(tuple, embedding_forest.embedding_components(vectors).collect())) == plain[1]
     assert [r for r in plain[1] if r[0] < 30] == [(i, 29, 0, i == 0) for i in range(30)]
