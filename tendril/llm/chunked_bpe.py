@@ -27,14 +27,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tendril.llm.common import YIELD
+
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 2_048
 #: Pre-tokens of up to so many bytes are remembered within a task, this many of them.
 SHORT, REMEMBERED = 40, 400_000
 #: Rows of a merge matrix.
 MERGED_AT_ONCE = 4096
-#: Rows that a task hands back at once.
-YIELD = 200
+#: Chunks that a task encodes and hands back at once: their ids and boundaries take
+#: several times the room of their text.
+CHUNKS_AT_ONCE = 16
 #: The pattern's Unicode classes among the characters below U+0100 (fixed values).
 LATIN = {
     r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff",
@@ -244,9 +247,10 @@ def _cut(batches: Iterator[pd.DataFrame], chunk: int, overlap: int) -> Iterator[
 
 
 def _encode_chunks(batches: Iterator[pd.DataFrame], path: str, pattern: str) -> Iterator[pd.DataFrame]:
-    """Per chunk: starts of its pre-tokens, how many ids precede each, and the ids."""
+    """Per chunk: starts of its pre-tokens, how many ids precede each, and the ids;
+    ``CHUNKS_AT_ONCE`` rows at a time."""
     encode, split = encoder(path), splitter(pattern)
-    for rows in batches:
+    for rows in (b.iloc[at : at + CHUNKS_AT_ONCE] for b in batches for at in range(0, len(b), CHUNKS_AT_ONCE)):
         out = []
         for digest, k, last, piece in rows.itertuples(index=False):
             tokens = split(piece)

@@ -14,6 +14,8 @@ from tendril.session import ensure_checkpoint_dir
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Most keys that ``spread_join`` broadcasts.
 HOT_KEYS = 20_000
+#: Rows that a Python task hands back at once: what it holds beside its input stays small.
+YIELD = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +53,10 @@ def text_udf(return_type: str, make: Callable[[], Callable[[str], object]]):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = make()
         for texts in batches:
-            values = [one("" if t is None else t) for t in texts]
-            yield pd.DataFrame(values, columns=fields) if fields else pd.Series(values, index=texts.index)
+            for at in range(0, len(texts), YIELD):
+                some = texts.iloc[at : at + YIELD]
+                values = [one("" if t is None else t) for t in some]
+                yield pd.DataFrame(values, columns=fields) if fields else pd.Series(values, index=some.index)
 
     run.__annotations__ = {
         "batches": Iterator[pd.Series],
