@@ -14,6 +14,8 @@ from tendril.session import ensure_checkpoint_dir
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Most keys that ``spread_join`` broadcasts.
 HOT_KEYS = 20_000
+#: Most rows that ``bounded_join`` broadcasts.
+BROADCAST_ROWS = 10_000
 #: Rows that a Python task hands back at once: what it holds beside its input stays small.
 YIELD = 200
 
@@ -87,6 +89,13 @@ def spread_join(rows: DataFrame, facts: DataFrame, on: str, n: str, total: int)
     return marked.where(F.col(got[0]).isNotNull()).unionByName(shuffled)
 
 
+def bounded_join(rows: DataFrame, facts: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """``spread_join``, or a broadcast of all of ``facts`` where they have ``BROADCAST_ROWS`` rows at most."""
+    if facts.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return spread_join(rows, facts, on, n, total)
+    return rows.join(F.broadcast(facts.drop(n)), on)
+
+
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end`` of an array of spans, joined by commas in its order."""
     one = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))

@@ -4,13 +4,13 @@ Two histograms of every text are compared with those of its language by
 Jensen-Shannon distance: the shares of character classes, and the shares of
 the language's most common short words among all words.  Texts too short for
 a histogram are not judged by it (minimum-length guards).  The references are
-counted over all documents; the ``REFERENCES`` languages with most words have
-one of their own, all others (and a null language) use that of the corpus.
+counted over all documents; every language that has words has one of its own,
+a null language and one without words use that of the corpus.
 
-Everything is DataFrame code.  A reference is a bounded table (at most
-``REFERENCES`` + 1 rows of ``COMMON_WORDS`` words and eight shares) that goes
-into the plan as literals; a document is judged within its own row, so no
-document text is ever shuffled.
+Everything is DataFrame code.  The references are a table of one row per
+language (``COMMON_WORDS`` words and eight shares), joined to the documents by
+language; it is broadcast up to ``common.BROADCAST_ROWS`` languages, so that
+texts are shuffled only where there are more (and then not those of common ones).
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendril.llm.common import WORD_PATTERN, cut
+from tendril.llm.common import WORD_PATTERN, bounded_join, cut
 
 WINDOW_WORDS = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-REFERENCES, COMMON_WORDS, COMMON_CHARS = 32, 32, 6
+COMMON_WORDS, COMMON_CHARS = 32, 6
+#: Languages that the SQL gives references of their own; the code has no such limit.
+REFERENCES = 32
 #: Largest distances of a kept text, and the lengths from which they are looked at.
 CHAR_LIMIT, CHAR_GUARD = 0.25, 200
 WORD_LIMIT, WORD_GUARD = 0.36, 100
@@ -39,10 +41,10 @@ CLASSES = {
 CLASS_NAMES = ["lower", *CLASSES, "rest"]
 
 
-def _parts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text, its words and what is left without a-z."""
+def _parts(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, lang, text, its words and what is left without a-z; the columns of ``keep`` as they are."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    out = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"), *keep)
     return out.withColumn("words", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).withColumn(
         "left", F.regexp_replace("text", "[a-z]+", "")
     )
@@ -58,62 +60,67 @@ def _rest() -> Column:
     return F.length("text") - sum(F.col(n) for n in CLASS_NAMES[:-1])
 
 
-def references(docs: DataFrame) -> list[dict]:
-    """``lang`` (None for the corpus), ``words``, their shares ``p`` and class shares ``q``.
+def _literal(values: list, kind: str) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+
+
+def _struct(words: Column, p: Column, q: Column) -> Column:
+    return F.struct(words.alias("words"), p.alias("p"), q.alias("q"))
+
+
+def _key() -> Column:
+    """The language as a join key that a null language has, too."""
+    return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("key")
 
-    Counted over all rows; words are ordered by count, then by their bytes."""
+
+def references(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``key, ref, docs`` for every language (and null), and the number of all rows.
+
+    ``ref`` holds the ``words``, their shares ``p`` and the class shares ``q``, ``docs``
+    counts the language's rows.  Counted over all rows; words are ordered by count, then
+    by their bytes."""
     parts = _parts(docs)
     per_lang = (
         parts.select("lang", F.length("text").alias("chars"), F.size("words").alias("n"), "text", "left")
         .select("lang", "chars", "n", *_class_counts(), "text")
         .withColumn("rest", _rest())
         .groupBy("lang")
-        .agg(F.sum("chars").alias("chars"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CLASS_NAMES])
+        .agg(
+            F.sum("chars").alias("chars"),
+            F.sum("n").alias("n"),
+            *[F.sum(c).alias(c) for c in CLASS_NAMES],
+            F.count("*").alias("docs"),
+        )
     )
     per_lang = cut(per_lang)
     short = parts.select("lang", F.explode("words").alias("word")).where(F.length("word") <= COMMON_CHARS)
     counts = cut(short.groupBy("lang", "word").agg(F.count("*").alias("n")))
     best = [F.col("n").desc(), F.col("word")]
-    langs = per_lang.where("lang is not null and n > 0").orderBy(F.col("n").desc(), "lang").limit(REFERENCES).collect()
-    ranked = counts.where(F.col("lang").isin([r["lang"] for r in langs])).withColumn(
+    sums = [F.sum(c).alias(c) for c in ["chars", "n", *CLASS_NAMES]]
+    row = per_lang.agg(*sums, F.sum("docs").alias("docs")).first()
+    whole = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(*best).limit(COMMON_WORDS).collect()
+    n, chars = max(1, row["n"] or 0), max(1, row["chars"] or 0)
+    corpus = _struct(
+        _literal([t["word"] for t in whole], "string"),
+        _literal([t["n"] / n for t in whole], "double"),
+        _literal([(row[c] or 0) / chars for c in CLASS_NAMES], "double"),
+    )
+    ranked = counts.where("lang is not null").withColumn(
         "k", F.row_number().over(Window.partitionBy("lang").orderBy(*best))
     )
-    top = ranked.where(F.col("k") <= COMMON_WORDS).orderBy("lang", "k").collect()
-    all_ = per_lang.agg(*[F.sum(c).alias(c) for c in ["chars", "n", *CLASS_NAMES]]).withColumn(
-        "lang", F.lit(None).cast("string")
+    top = (
+        ranked.where(F.col("k") <= COMMON_WORDS)
+        .groupBy("lang")
+        .agg(F.sort_array(F.collect_list(F.struct("k", "word", F.col("n").alias("said")))).alias("top"))
     )
-    whole = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(*best).limit(COMMON_WORDS).collect()
-    out = []
-    for row in [*langs, *all_.collect()]:
-        words = whole if row["lang"] is None else [t for t in top if t["lang"] == row["lang"]]
-        n, chars = max(1, row["n"] or 0), max(1, row["chars"] or 0)
-        out.append(
-            {
-                "lang": row["lang"],
-                "words": [t["word"] for t in words],
-                "p": [t["n"] / n for t in words],
-                "q": [(row[c] or 0) / chars for c in CLASS_NAMES],
-            }
-        )
-    return out
-
-
-def _literal(values: list, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
-
-
-def _reference(refs: list[dict]) -> Column:
-    def one(r: dict) -> Column:
-        return F.struct(
-            _literal(r["words"], "string").alias("words"),
-            _literal(r["p"], "double").alias("p"),
-            _literal(r["q"], "double").alias("q"),
-        )
-
-    out = one(refs[-1])
-    for r in refs[:-1]:
-        out = F.when(F.col("lang") == r["lang"], one(r)).otherwise(out)
-    return out
+    own = _struct(
+        F.coalesce(F.col("top.word"), _literal([], "string")),
+        F.coalesce(F.transform("top", lambda t: t["said"] / F.col("n")), _literal([], "double")),
+        F.array(*[F.col(c) / F.col("chars") for c in CLASS_NAMES]),
+    )
+    has_own = F.col("lang").isNotNull() & (F.col("n") > 0)
+    refs = per_lang.join(top, "lang", "left").select(_key(), F.when(has_own, own).otherwise(corpus).alias("ref"), "docs")
+    return cut(refs), row["docs"] or 0
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -134,10 +141,10 @@ def _with_other(shares: Column) -> Column:
     return F.concat(shares, F.array(F.greatest(1 - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
-def base_rules(docs: DataFrame) -> DataFrame:
+def base_rules(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``
-    with the columns that ``judge`` goes on with."""
-    d = _parts(docs)
+    with the columns of ``keep`` and those that ``judge`` goes on with."""
+    d = _parts(docs, *keep)
     n = F.size("words")
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     windows = F.when(
@@ -145,7 +152,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(1), n - (WINDOW_WORDS - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW_WORDS))),
     ).otherwise(F.array().cast("array<bigint>"))
     d = d.select(
-        "doc_id", "lang", "words", *_class_counts(), F.length("text").alias("chars"), lines.alias("lines"), windows.alias("h"), "text"
+        "doc_id", "lang", "words", *_class_counts(), F.length("text").alias("chars"), lines.alias("lines"), windows.alias("h"), "text", *keep
     )
     # only a text with equal windows needs their places: sorted by hash, then place
     again = F.size(F.array_distinct("h")) < F.size("h")
@@ -177,19 +184,21 @@ def base_rules(docs: DataFrame) -> DataFrame:
         F.col("symbol").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        *keep,
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return d.withColumn("base_failed", failed)
 
 
-def judge(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """Base columns, ``char_distance``, ``word_distance`` (null below the guards) and ``kept``.
 
     One row per row of ``docs(doc_id, text, lang)``: null texts have no words
     and fail the base rules, repeated rows each give a row, other columns are
     ignored, an empty table gives an empty one."""
-    refs = references(docs) if refs is None else refs
-    d = base_rules(docs).withColumn("ref", _reference(refs))
+    refs, total = references(docs)
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).withColumn("key", _key())
+    d = base_rules(bounded_join(rows, refs, "key", "docs", total), "ref")
     # places in the reference; each place is put in once more, so that its run's length gives the count
     hits = F.filter(F.transform("words", lambda w: F.array_position(F.col("ref.words"), w)), lambda x: x > 0)
     d = d.withColumn(

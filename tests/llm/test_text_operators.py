@@ -12,7 +12,7 @@ import pytest
 import regex
 import tiktoken
 
-from tendril.llm import chunked_bpe, divergence_rules, pii_anchors, quality_qda, secret_structure, toxicity_cnn
+from tendril.llm import chunked_bpe, common, divergence_rules, pii_anchors, quality_qda, secret_structure, toxicity_cnn
 from tests.llm.conftest import HARD
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -250,6 +250,26 @@ def test_divergence_rejects_odd_texts_and_keeps_prose(make_docs):
     assert not odd["kept"] and not odd["base_failed"] and odd["char_distance"] > divergence_rules.CHAR_LIMIT
 
 
+@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
+def test_every_language_is_compared_with_its_own_reference(make_docs, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
+    rnd, rows = random.Random(8), []
+    for i in range(40):
+        # a block of letters of its own, from Latin to Hangul; the first languages have most words
+        first = 97 if i % 4 == 0 else 0x0400 + 0x300 * i
+        words = ["".join(chr(first + (7 * k + j) % 26) for j in range(4)) for k in range(12)]
+        texts = [" ".join(rnd.choice(words) for _ in range(300 - 3 * i)) for _ in range(2 if i else 300)]
+        rows += [(len(rows) + k, t, f"l{i}") for k, t in enumerate(texts)]
+    rows += [(1000, rows[0][1], None), (1001, "", "wordless"), (1002, rows[-1][1], None)]
+    got = by_id(divergence_rules.judge(make_docs(rows)))
+    assert sum(map(len, got.values())) == len(rows)
+    for doc_id, text, lang in rows[:-3]:
+        (r, *_) = got[doc_id]
+        assert r["kept"] and r["char_distance"] < 0.1 and r["word_distance"] < 0.3, (lang, r)
+    assert got[1000][0]["kept"] and not got[1001][0]["kept"]
+    assert not got[1002][0]["kept"] and got[1002][0]["char_distance"] > divergence_rules.CHAR_LIMIT
+
+
 # ---- classifiers ---------------------------------------------------------------------
 
 
