@@ -2,7 +2,8 @@
 
 Three base kinds are plain patterns.  On top of them, long runs that could be
 base64 or hex are decoded, and only what parses as a key or signed token is
-reported:
+reported.  A run that is no such thing as a whole is tried in parts (a token or
+key within a path, a file name or a dotted name):
 
 * ``jwt``: three base64url parts whose header is a JSON object with ``alg``;
 * ``der``: base64 or hex of an ASN.1 sequence whose nested lengths fill it
@@ -35,6 +36,16 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: Runs worth decoding; maximal, so that a text is read once.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{40,}")
+#: Where a key's encoding can begin within a run, behind a character that is no letter or digit:
+#: base64 of a DER sequence, of an SSH name's length, of the OpenSSH container.
+ANCHOR = re.compile(r"(?<![A-Za-z0-9])(?:(?P<der>M[A-I])|(?P<ssh>AAAA[A-Z])|(?P<container>b3BlbnNzaC1rZXktdjEA))")
+HEX_PART = re.compile(r"(?<![A-Za-z0-9])(?:30[0-9a-f]{38,}|30[0-9A-F]{38,})(?![A-Za-z0-9])")
+SIGNATURE = re.compile(r"[A-Za-z0-9_-]+")
+STOP = re.compile(r"[.=]")
+#: Most members of a private key's sequence (PKCS#1 with more than two primes).
+MEMBERS = 10
+#: Length-prefixed fields of public keys; other ``ssh-`` names have the name and the key.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5}
 PEM = re.compile(r"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----")
 BASE_KINDS = ["assign", "access", "hex"]
 KINDS = [*BASE_KINDS, "jwt", "der", "ssh", "pem"]
@@ -52,11 +63,33 @@ def _b64(run: str) -> bytes | None:
         return None
 
 
-def der_members(raw: bytes, at: int = 0, end: int | None = None) -> list[tuple[int, int, int]] | None:
-    """(tag, first byte, end) of the ASN.1 values that fill ``raw[at:end]`` exactly; else None."""
+class Decoded:
+    """The bytes of base64 text, decoded where they are read: a key's lengths are
+    followed without decoding its members."""
+
+    def __init__(self, text: str, start: int, size: int):
+        self.text, self.start, self.size = text, start, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, key):
+        if isinstance(key, int):
+            return self[key : key + 1][0]
+        at, end, _ = key.indices(self.size)
+        first = at // 3
+        got = self.text[self.start + 4 * first : self.start + min(-(-end // 3) * 4, -(-self.size * 4 // 3))]
+        return (_b64(got) or b"")[at - 3 * first : end - 3 * first] if at < end else b""
+
+
+def der_members(
+    raw: bytes | Decoded, at: int = 0, end: int | None = None, most: int | None = None
+) -> list[tuple[int, int, int]] | None:
+    """(tag, first byte, end) of the ASN.1 values that fill ``raw[at:end]`` exactly; else None,
+    also where there are more than ``most``."""
     end, out = len(raw) if end is None else end, []
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(out) == most:
             return None
         tag, size = raw[at], raw[at + 1]
         at += 2
@@ -73,21 +106,21 @@ def der_members(raw: bytes, at: int = 0, end: int | None = None) -> list[tuple[i
     return out
 
 
-def is_private_der(raw: bytes) -> bool:
-    """A sequence that holds a whole private key and nothing behind it."""
+def is_private_der(raw: bytes | Decoded, most: int | None = None) -> bool:
+    """A sequence of at most ``most`` members that holds a whole private key and nothing behind it."""
     if raw[:1] != b"\x30":
         return False
-    top = der_members(raw)
+    top = der_members(raw, most=1)
     if not top or len(top) != 1:
         return False
-    inner = der_members(raw, top[0][1], top[0][2])
+    inner = der_members(raw, top[0][1], top[0][2], most)
     if not inner or len(inner) < 2 or inner[0][0] != 0x02 or raw[inner[0][1] : inner[0][2]] not in (b"\0", b"\1"):
         return False
     tags = [t for t, _, _ in inner]
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # PKCS#1: nine integers
         return True
     if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:  # PKCS#8: algorithm, then the key
-        algorithm = der_members(raw, *inner[1][1:])
+        algorithm = der_members(raw, *inner[1][1:], most)
         return bool(algorithm) and algorithm[0][0] == 0x06
     return tags[1] == 0x04 and inner[1][2] - inner[1][1] in (24, 28, 32, 48, 66)  # SEC 1
 
@@ -123,6 +156,122 @@ def is_signed_token(run: str) -> bool:
     return isinstance(got, dict) and "alg" in got
 
 
+def _whole(run: str) -> str | None:
+    """``der`` or ``ssh`` if the run as a whole is one."""
+    kinds = [_b64(run)]
+    if not len(run) % 2 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
+        kinds.append(bytes.fromhex(run))
+    for raw in kinds:
+        if raw and is_private_der(raw):
+            return "der"
+        if raw and is_ssh_key(raw):
+            return "ssh"
+    return None
+
+
+def _tokens(run: str) -> list[tuple[int, int]]:
+    """Spans of the signed tokens among every three neighbouring dot parts of a run.
+
+    The header is what follows the part's last separator of any one sort (or the
+    whole part), the signature ends at the first character it cannot have."""
+    parts, starts = run.split("."), [0]
+    for p in parts:
+        starts.append(starts[-1] + len(p) + 1)
+    out, i = [], 0
+    while i + 2 < len(parts):
+        signature, i = SIGNATURE.match(parts[i + 2]), i + 1
+        if not signature:
+            continue
+        head = parts[i - 1]
+        for at in sorted({head.rstrip("=").rfind(c) + 1 for c in "/=+-_"} | {0}):
+            if head[at : at + 1] == "e" and is_signed_token(f"{head[at:]}.{parts[i]}.{signature[0]}"):
+                out.append((starts[i - 1] + at, starts[i + 1] + signature.end()))
+                i += 2
+                break
+    return out
+
+
+def _ends(run: str, at: int, size: int, stop: int) -> int | None:
+    """Where base64 of ``size`` bytes from ``at`` on ends with its padding; None if it
+    does not end at a separator or goes beyond ``stop``."""
+    end = at + -(-size * 4 // 3)
+    if end > stop or (end < len(run) and run[end].isalnum()):
+        return None
+    pad = -size % 3
+    return end + pad if pad and run[end : end + pad] == "=" * pad else end
+
+
+def _ssh_size(raw: Decoded) -> int | None:
+    """Bytes of the SSH public key that ``raw`` begins with, by its length fields."""
+    at, fields, n = 0, 1, 0
+    while n < fields:
+        if at + 4 > len(raw):
+            return None
+        size = int.from_bytes(raw[at : at + 4], "big")
+        if at + 4 + size > len(raw):
+            return None
+        if n == 0:
+            name = raw[at + 4 : at + 4 + min(size, 64)]
+            if size > 64 or not name.startswith((b"ssh-", b"ecdsa-sha2-")):
+                return None
+            fields = 3 if name.startswith(b"ecdsa") else SSH_FIELDS.get(name, 2)
+        at, n = at + 4 + size, n + 1
+    return at
+
+
+def _container_size(raw: Decoded) -> int | None:
+    """Bytes of the OpenSSH container: cipher, kdf, its options, a number of public keys, the private part."""
+    at, left = 15, 3
+    for phase in range(2):
+        while left:
+            if at + 4 > len(raw):
+                return None
+            at, left = at + 4 + int.from_bytes(raw[at : at + 4], "big"), left - 1
+        if phase == 0:
+            if at + 4 > len(raw):
+                return None
+            left, at = int.from_bytes(raw[at : at + 4], "big") + 1, at + 4
+            if left > MEMBERS:
+                return None
+    return at if at <= len(raw) else None
+
+
+def _keys(run: str) -> list[tuple[str, int, int]]:
+    """Keys that begin at an anchor of a run and end where their length fields say."""
+    out, after, stop = [], 0, -1
+    for m in ANCHOR.finditer(run):
+        at = m.start()
+        if at < after:
+            continue
+        if at >= stop:  # '.' and '=' are no part of an encoding
+            found = STOP.search(run, at)
+            stop = found.start() if found else len(run)
+        n = (stop - at) * 3 // 4
+        raw, end = Decoded(run, at, n), None
+        if m["der"]:
+            head = raw[:6]
+            more = head[1] & 0x7F if len(head) == 6 and head[1] & 0x80 else 0
+            if len(head) < 6 or more > 4 or head[1] == 0x80:
+                continue
+            size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+            end = _ends(run, at, size, stop) if size <= n else None
+            if end is None or not is_private_der(Decoded(run, at, size), MEMBERS):
+                continue
+        else:
+            size = _ssh_size(raw) if m["ssh"] else _container_size(raw)
+            end = _ends(run, at, size, stop) if size else None
+            if end is None and m["container"]:
+                end = stop  # the name alone confirms it
+            if end is None:
+                continue
+        out.append(("der" if m["der"] else "ssh", at, end))
+        after = end
+    for m in HEX_PART.finditer(run):
+        if not len(m[0]) % 2 and is_private_der(bytes.fromhex(m[0])):
+            out.append(("der", *m.span()))
+    return out
+
+
 def confirmed(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded bytes are a key or a signed token."""
     out = []
@@ -130,24 +279,17 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
         # an assignment's name in front of the value belongs to the run
         at, run = m.start(), m[0].rstrip(".")
         skip = run.rstrip("=").rfind("=") + 1
-        at, run = at + skip, run[skip:]
-        if len(run) < 40:
-            continue
-        token = run.rstrip("=")
-        if "." in run:
-            if is_signed_token(token):
-                out.append(("jwt", at, at + len(token)))
-            continue
-        kinds = [_b64(run)]
-        if not len(run) % 2 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
-            kinds.append(bytes.fromhex(run))
-        for raw in kinds:
-            if raw and is_private_der(raw):
-                out.append(("der", at, at + len(run)))
-                break
-            if raw and is_ssh_key(raw):
-                out.append(("ssh", at, at + len(run)))
-                break
+        whole = None
+        if len(run) - skip >= 40 and "." not in run[skip:]:
+            whole = _whole(run[skip:])
+        if whole:
+            out.append((whole, at + skip, at + len(run)))
+            run = run[:skip]
+        tokens = _tokens(run)
+        out += [("jwt", at + s, at + e) for s, e in tokens]
+        for kind, s, e in _keys(run):
+            if not any(a < e and s < b for a, b in tokens):
+                out.append((kind, at + s, at + e))
     after = 0
     for m in PEM.finditer(text):
         if m.start() < after:

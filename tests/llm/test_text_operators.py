@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import public_tokenizers
@@ -124,6 +125,33 @@ def test_structure_is_confirmed_by_decoding():
     assert [k for k, *_ in secret_structure.confirmed(pem.replace(b64(RSA), "abcd"))] == []
 
 
+def test_tokens_and_keys_are_found_within_longer_runs():
+    token, key = jwt(b'{"alg":"HS256"}'), b64(PKCS8)
+    wire = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", b"\0" + b"p" * 128))
+    fields = [b"none", b"none", b""]
+    box = b"".join(len(x).to_bytes(4, "big") + x for x in fields) + b"\0\0\0\1"
+    box = b"openssh-key-v1\0" + box + b"".join(len(x).to_bytes(4, "big") + x for x in (wire, b"z" * 90))
+    around = ["https://host/verify/{}", "{}.txt", "auth.{}", "{}/next", "/a.b/{}/c.d", "x=1.{}", "https://h.io/a-{}/b"]
+    secrets = [("jwt", token), ("der", key), ("der", b64(RSA)), ("der", PKCS8.hex()), ("ssh", b64(wire)), ("ssh", b64(box))]
+    for kind, secret in secrets:
+        for form in around:
+            start = form.index("{}")
+            expected = (kind, start, start + len(secret))
+            assert secret_structure.confirmed(form.format(secret)) == [expected], (kind, form)
+        assert secret_structure.redact(f"key.{secret} x").endswith("key.[secret] x")
+    two = f"{token}.{token}/{key}"
+    assert [k for k, *_ in secret_structure.confirmed(two)] == ["jwt", "jwt", "der"]
+    for t in [b64(PKCS8 + b"\0"), b64(PKCS8[:-1]), jwt(b'{"typ":"x"}'), b64(wire[:-1])]:
+        assert secret_structure.confirmed(f"https://host/v/{t}") == [], t
+
+
+def test_runs_of_many_anchors_are_read_once():
+    for unit in ["/MIIEowIBAAKC", ".eyJ", "/eyJ", "/AAAAB3NzaC1yc2E", "-b3BlbnNzaC1rZXktdjEA", ".MIIE", "=MIIE", "/3082"]:
+        start = time.perf_counter()
+        secret_structure.confirmed(unit * (400_000 // len(unit)))
+        assert time.perf_counter() - start < 8, unit
+
+
 def test_base_secrets_drop_failing_matches_without_retries():
     s = secret_structure.base_spans
     assert s("token: token: abcdef") == []
