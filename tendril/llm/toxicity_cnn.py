@@ -10,25 +10,28 @@ first embedding dimension starts as the bucket's log odds.  Scoring runs in
 the tasks over whole texts of any length: a word's response to every filter
 position is computed once and remembered, long texts go through in blocks.
 
-Learning rows that the network was not trained on calibrate it: the score of
-0.5 lies where the decision has the best F1 on them, whatever the language;
-beside that each language gets its own threshold.
+Learning rows that the network was not trained on calibrate it, all of them, by
+counts per language and fine bin of the log odds: the score of 0.5 lies where the
+decision has the best F1 on them, whatever the language; beside that each
+language gets its own threshold.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendril.llm.common import held_out, text_udf
+from tendril.llm.common import bounded_join, cut, held_out, text_udf
 
 #: Bounds of the training sample (documented parameters of the model).
-POSITIVES, NEGATIVES, CALIBRATION = 2000, 4000, 3000
+POSITIVES, NEGATIVES = 2000, 4000
+#: Bins of calibration rows per unit of log odds, which are kept within -MOST_ODDS and MOST_ODDS.
+BINS, MOST_ODDS = 256, 35
 BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6)
 STEPS, RATE, SMOOTHING = 12_000, 0.05, 2.0
@@ -62,7 +65,6 @@ class Network:
     out: np.ndarray  # (widths * FILTERS)
     base: float
     shift: float = 0.0  # added to the log odds
-    thresholds: dict[str, float] = field(default_factory=dict)
 
 
 def _pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +138,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def scorer(net: Network | None) -> Callable[[str], float]:
-    """A function from a text to its score; texts without words score what silence scores."""
+def scorer(net: Network | None, raw: bool = False) -> Callable[[str], float]:
+    """A function from a text to its score, or with ``raw`` to its log odds; texts without
+    words score what silence scores."""
     if net is None:
         return lambda text: 0.5
     # all taps side by side: a word's contribution to every filter at every offset
@@ -178,7 +181,8 @@ def scorer(net: Network | None) -> Callable[[str], float]:
             got = block(words[at : at + BLOCK])
             best = got if best is None else np.maximum(best, got)
         z = float(np.maximum(best + net.bias, 0) @ net.out) + net.base + net.shift
-        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        z = float(np.clip(z, -MOST_ODDS, MOST_ODDS))
+        return z if raw else float(1 / (1 + np.exp(-z)))
 
     return one
 
@@ -190,17 +194,21 @@ def _sample(docs: DataFrame, marks: DataFrame, n: int, salt: int) -> DataFrame:
     return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("of"))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """Network and thresholds from the labelled rows that are not held out; None without both labels.
+def _for_rates() -> Column:
+    """The learning ids that calibrate."""
+    return F.pmod(F.xxhash64("of", F.lit(3)), F.lit(6)) == 0
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Network, DataFrame] | None:
+    """Network and ``lang, threshold`` from the labelled rows that are not held out; None without both labels.
 
     Of the learning rows one hash class in six is kept for calibration."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").cast("int").alias("toxic"))
-    for_rates = F.pmod(F.xxhash64("of", F.lit(3)), F.lit(6)) == 0
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
-    learn = marks.where(~for_rates)
+    learn = marks.where(~_for_rates())
     got = []
     for label, n in ((0, NEGATIVES), (1, POSITIVES)):
         got += _sample(docs, learn.where(F.col("toxic") == label), n, 5).select("text", "toxic").collect()
@@ -210,51 +218,69 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     order = np.argsort([zlib.crc32((r["text"] or "").encode("utf-8", "replace")) for r in got], kind="stable")
     net = train([got[i]["text"] or "" for i in order], y[order])
     net.shift = float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum()))
-    calibrate(net, _sample(docs, marks.where(for_rates), CALIBRATION, 11))
-    return net
+    return net, calibrate(net, docs, marks.where(_for_rates()))
 
 
-def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+def best_cut(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, half: float = 0.0) -> float:
     """Log odds from which on calling a row toxic has the best F1, halfway between two
-    neighbouring rows; of several best cuts the middle one."""
+    neighbouring rows; of several best cuts the middle one.
+
+    For bins ``z`` are their middles, ``y`` their toxic rows, ``n`` all their rows
+    and ``half`` half their width."""
+    n = np.ones(len(z), np.int64) if n is None else n
     down = np.argsort(-z, kind="stable")
-    z, y = z[down], y[down]
-    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
+    z, y, n = z[down], y[down], n[down]
+    f1 = 2 * np.cumsum(y) / (np.cumsum(n) + y.sum())
     f1[:-1][z[:-1] == z[1:]] = -1  # no cut between equal rows
     best = np.flatnonzero(f1 == f1.max())
     i = best[len(best) // 2]
-    return float((z[i] + z[i + 1]) / 2) if i + 1 < len(z) else float(z[i])
-
-
-def calibrate(net: Network, rows: DataFrame) -> None:
-    """Sets shift and thresholds from at most CALIBRATION rows; with fewer than
-    ``LEAST_TOXIC`` toxic ones the shift stays as it is.
-
-    A language's threshold is the lowest of precision ``PRECISION``; languages
-    with fewer than ``LEAST_TOXIC`` toxic rows have none and use 0.5."""
-    got = rows.select("text", "lang", "toxic").collect()
-    one, y = scorer(net), np.array([r["toxic"] for r in got], np.int64)
-    p = np.array([one(r["text"] or "") for r in got])
-    if y.sum() >= LEAST_TOXIC:
-        z = np.log(p) - np.log1p(-p)
-        cut = best_cut(z, y)
-        net.shift -= cut
-        p = 1 / (1 + np.exp(-np.clip(z - cut, -35, 35)))
-    net.thresholds = thresholds(p, y, [r["lang"] or "" for r in got])
-
-
-def thresholds(p: np.ndarray, y: np.ndarray, langs: list[str]) -> dict[str, float]:
-    by: dict[str, list] = {}
-    for lang, score, label in zip(langs, p.tolist(), y.tolist()):
-        by.setdefault(lang, []).append((score, label))
-    out = {}
-    for lang, pairs in by.items():
-        pairs.sort(reverse=True)
-        hits = np.cumsum([t for _, t in pairs])
-        good = np.flatnonzero(hits >= PRECISION * np.arange(1, len(pairs) + 1))
-        if hits[-1] >= LEAST_TOXIC and len(good):
-            out[lang] = float(pairs[good[-1]][0])
-    return out
+    return float((z[i] + z[i + 1]) / 2) if i + 1 < len(z) else float(z[i]) - half
+
+
+def calibration_counts(net: Network, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``lang, bin, n, toxic`` of all rows of ``docs`` with an id of ``marks(of, toxic)``.
+
+    Rows are chosen by the hash of their id and scored where they are; only their
+    counts by id, language and bin are joined, so repeated ids are small, too."""
+    of = F.col("doc_id").cast(marks.schema["of"].dataType)
+    rows = docs.select(of.alias("of"), "text", _lang()).where(
+        F.col("of").isNotNull() & ~held_out(F.col("of")) & _for_rates()
+    )
+    odds = text_udf("double", lambda: scorer(net, raw=True))(F.col("text"))
+    scored = rows.select("of", "lang", odds.alias("z")).withColumn("bin", F.floor(F.col("z") * BINS))
+    counted = scored.groupBy("of", "lang", "bin").agg(F.count("*").alias("n")).join(marks, "of")
+    return cut(counted.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("toxic")).alias("toxic")))
+
+
+def calibrate(net: Network, docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Sets the shift from all rows of ``marks``' ids and gives ``lang, threshold``; with
+    fewer than ``LEAST_TOXIC`` toxic ones the shift stays as it is.
+
+    A language's threshold is the lowest bin's edge of precision ``PRECISION``; languages
+    with fewer than ``LEAST_TOXIC`` toxic rows are not among them."""
+    counts = calibration_counts(net, docs, marks)
+    bins = counts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).collect()
+    z, y, n = (np.array([r[c] for r in bins], np.int64) for c in ("bin", "toxic", "n"))
+    moved = best_cut((z + 0.5) / BINS, y, n, 0.5 / BINS) if y.sum() >= LEAST_TOXIC else 0.0
+    net.shift -= moved
+    return thresholds(counts, moved)
+
+
+def thresholds(counts: DataFrame, moved: float) -> DataFrame:
+    """``lang, threshold`` from the counts; the scores' log odds are less by ``moved``."""
+    above = Window.partitionBy("lang").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    good = F.sum("toxic").over(above) >= PRECISION * F.sum("n").over(above)
+    lowest = (
+        counts.withColumn("good", good)
+        .groupBy("lang")
+        .agg(F.sum("toxic").alias("toxic"), F.min(F.when(F.col("good"), F.col("bin"))).alias("bin"))
+        .where((F.col("toxic") >= LEAST_TOXIC) & F.col("bin").isNotNull())
+    )
+    return lowest.select("lang", (1 / (1 + F.exp(moved - F.col("bin") / BINS))).alias("threshold"))
+
+
+def _lang() -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
 
 
 def score_column(net: Network | None, text: Column) -> Column:
@@ -266,15 +292,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``docs(doc_id, text, lang)``; null texts count as empty, empty texts have a
     score, repeated rows each give a row, other columns are ignored.  Without
     labels of both classes every score is 0.5."""
-    net = fit(docs, labels)
-    threshold = F.lit(0.5)
-    for lang, value in (net.thresholds if net else {}).items():
-        threshold = F.when(F.coalesce("lang", F.lit("")) == lang, value).otherwise(threshold)
-    scored = docs.select(
+    net, limits = fit(docs, labels) or (None, None)
+    rows = docs.select("doc_id", "text", _lang())
+    if net is None:
+        rows = rows.withColumn("threshold", F.lit(0.5))
+    else:
+        of_lang = rows.groupBy("lang").agg(F.count("*").alias("rows")).join(limits, "lang", "left")
+        of_lang = cut(of_lang.withColumn("threshold", F.coalesce("threshold", F.lit(0.5))).select("lang", "threshold", "rows"))
+        rows = bounded_join(rows, of_lang, "lang", "rows", of_lang.agg(F.sum("rows")).first()[0] or 0)
+    scored = rows.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         score_column(net, F.col("text")).alias("score"),
-        threshold.alias("threshold"),
+        "threshold",
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn(
         "flagged", F.col("score") >= F.col("threshold")

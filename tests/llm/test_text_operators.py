@@ -328,6 +328,23 @@ def test_best_cut_lies_between_the_classes():
     assert toxicity_cnn.best_cut(np.array([1.0, 1.0]), np.array([1, 0])) == 1.0
 
 
+def test_rare_languages_are_calibrated_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "STEPS", 3000)
+    rows = spark.range(40_000).selectExpr(
+        "id AS doc_id",
+        "CASE WHEN id % 160 = 7 THEN 'xx' WHEN id = 9 THEN 'yy' ELSE 'en' END AS lang",
+        "int(id % 320 = 7 OR id % 10 = 0) AS toxic",
+    )
+    word = "CASE WHEN toxic = 1 AND abs(hash(id_, {0})) % 10 < 8 THEN 'bad' ELSE 'good' END"
+    docs = rows.withColumnRenamed("doc_id", "id_").selectExpr(
+        "id_ AS doc_id", "lang", "concat_ws(' ', " + ", ".join(word.format(i) for i in range(6)) + ") AS text"
+    )
+    got = toxicity_cnn.toxicity(docs, rows.select("doc_id", "toxic"))
+    found = {r["lang"]: r["t"] for r in got.join(rows, "doc_id").groupBy("lang").agg({"threshold": "collect_set"}).toDF("lang", "t").collect()}
+    assert got.count() == 40_000 and found["yy"] == [0.5]
+    assert len(found["xx"]) == len(found["en"]) == 1 and 0.5 not in found["xx"] + found["en"]
+
+
 def test_classifiers_on_hard_rows(spark, hard_docs, no_docs, labelled):
     _, labels = labelled
     none = labels.limit(0)
