@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tendril.llm import (
+    attention_lm,
     budget_mixing,
     chunked_bpe,
     divergence_rules,
     embedding_forest,
+    interaction_audit,
     pii_anchors,
     quality_qda,
     secret_structure,
+    shared_cuts,
     simhash_bk,
     toxicity_cnn,
     url_association,
@@ -34,6 +37,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @register("op1_embedding_forest", embedding_forest.oracle())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_forest.embedding_components(table(spark, sf_dir, "embeddings"))
@@ -87,6 +96,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_structure.secret_digests(table(spark, sf_dir, "documents"))
 
 
+@register("op11_attention_lm")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.lm_scores(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+@register("op12_shared_cuts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return shared_cuts.alignment_digests(docs, _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+@register("op13_interaction_audit", interaction_audit.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
