@@ -68,15 +68,16 @@ class Units:
         self.good = np.zeros(1 << 12, bool)
         self.end = [0, 0]
 
-    def _encoded(self, new: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def _encoded(self, new: list[str]) -> tuple[list[list[int]], list[list[int]], list[int]]:
+        """Ids of either side, and which units need the full tokenizer for A."""
         a: list = [None if PLAIN.search(u) else self.plain.encode_ordinary(" " + u) for u in new]
         odd = [i for i, ids in enumerate(a) if ids is None]
         for i, e in zip(odd, self.full.encode_batch([" " + new[i] for i in odd], add_special_tokens=False)):
             a[i] = e.ids
-        return a, self.pieces.encode(new, num_threads=1)
+        return a, self.pieces.encode(new, num_threads=1), odd
 
     def _learn(self, new: list[str]) -> None:
-        a, b = self._encoded(new)
+        a, b, odd = self._encoded(new)
         first, n = len(self.place), len(new)
         self.place.update(zip(new, range(first, first + n)))
         self.chars += sum(map(len, new))
@@ -93,11 +94,11 @@ class Units:
             self.at[side, first : first + n] = self.end[side] + np.cumsum(sizes) - sizes
             self.size[side, first : first + n] = sizes
             self.end[side] += total
-        for k, (u, x, y) in enumerate(zip(new, a, b), first):
-            raw = b" " + u.encode("utf-8", "surrogatepass")
-            self.good[k] = all(i in self.bytes_a for i in x) and raw == b"".join(
-                map(self.bytes_a.__getitem__, x)
-            ) and raw == b"".join(map(self.bytes_b.__getitem__, y))
+        raw = [b" " + u.encode("utf-8", "surrogatepass") for u in new]
+        of_b = self.bytes_b
+        self.good[first : first + n] = [r == b"".join([of_b[i] for i in y]) for r, y in zip(raw, b)]
+        for k in odd:  # the others are encoded from their bytes, without loss
+            self.good[first + k] &= raw[k] == b"".join([self.bytes_a.get(i, b"") for i in a[k]])
 
     def places(self, units: list[str]) -> np.ndarray:
         if len(self.place) > UNITS or self.chars > UNIT_CHARS:
