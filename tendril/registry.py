@@ -67,3 +67,4 @@ from tendril import registry_views  # noqa: E402,F401  (registers on import)
 from tendril import registry_functions  # noqa: E402,F401
 from tendril import registry_temporal  # noqa: E402,F401
 from tendril import registry_edits  # noqa: E402,F401
+from tendril import registry_sql  # noqa: E402,F401

@@ -5,43 +5,38 @@ Here the same rules run on micro-batches:
 
 * ST-1 / ST-2 are stateless: the batch rule applied to a stream (stream to
   static joins against the type catalogs and plants).
-* ST-5 keeps the newest measurement per plant with a streaming aggregate.
-* ST-6 needs the previous row of a key, which windows cannot give on a stream
-  (``lag`` is refused there), so it keeps one small state row per key with
-  ``applyInPandasWithState``.  A key's rows of one micro-batch are bounded by
-  the trigger size (``maxFilesPerTrigger``).
-* ST-3 / ST-4 keep their history in stored tables instead of state: each
-  micro-batch appends its new changes to a log and rebuilds only the keys it
-  touches, so replays, late changes and any order of arrival are right.
+* ST-5 keeps the newest measurement per plant, as a streaming aggregate or as a
+  stored table cut into buckets by plant.
+* ST-3 and ST-6 need the previous row of a key, which windows cannot give on a
+  stream (``lag`` is refused there): ``streaming.ordered`` keeps recent rows as
+  state and gives a log of changes, with corrections for rows that come late.
+* ST-4 keeps its change log and its table stored, cut into buckets by key
+  (``streaming.store``): a micro-batch reads and rewrites only its buckets, so
+  replays, late changes and any order of arrival are right.
 * ST-7 drops replayed rows by id within a watermark (timestamp_ntz is cast
   to TIMESTAMP first; watermarks refuse NTZ columns).
 
-ST-6 expects the rows of one key in time order across micro-batches; within a
-batch they are sorted.  Checkpoints go under the shared folder named by
+Checkpoints and stored tables go under the shared folder named by
 ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import (
-    DoubleType,
-    LongType,
-    StructField,
-    StructType,
-    TimestampNTZType,
-)
+from pyspark.sql.types import StructType
 
 from tendril.operators.latest import time_order
 from tendril.plans import rules as R
 from tendril.session import checkpoint_path
 from tendril.sources.tables import CareTables
+from tendril.streaming.ordered import HORIZON, in_order, net_rows  # noqa: F401
+from tendril.streaming.store import BucketStore, rebuild
 
+#: Buckets of a stored table (choose them so that one is some hundred megabytes).
+BUCKETS = 64
 #: Files of a micro-batch at most, unless a job says otherwise: a first
 #: ``availableNow`` run then never holds a whole history at once.
 FILES_PER_TRIGGER = 100
@@ -90,58 +85,25 @@ def dedup_replays(df: DataFrame, id_col: str, time_col: str, delay: str = "1 day
 
 
 # ------------------------------------------------------------------ ST-6
-def _struct(*fields) -> StructType:
-    return StructType([StructField(n, t, True) for n, t in fields])
-
-
-DELTA_SCHEMA = _struct(
-    ("id", LongType()),
-    ("plant_id", LongType()),
-    ("measurement_date", TimestampNTZType()),
-    ("height_cm", DoubleType()),
-    ("prev_height", DoubleType()),
-    ("height_growth", DoubleType()),
-    ("prev_measurement_date", TimestampNTZType()),
-)
-DELTA_STATE = _struct(("last_date", TimestampNTZType()), ("last_height", DoubleType()))
-
-
-def _delta_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One key's rows of a micro-batch: each row's predecessor by a shift, the
-    first one's from the state.  Bounded by the trigger size."""
-    rows = pd.concat(list(pdfs), ignore_index=True)
-    rows = rows.sort_values(["measurement_date", "id"], na_position="last", kind="mergesort").reset_index(drop=True)
-    out = rows[["id", "plant_id", "measurement_date", "height_cm"]].copy()
-    out["prev_height"] = rows["height_cm"].astype("float64").shift(1)
-    out["prev_measurement_date"] = rows["measurement_date"].shift(1)
-    if state.exists:
-        last_date, last_height = state.get
-        out.loc[0, "prev_height"] = last_height
-        out.loc[0, "prev_measurement_date"] = last_date
-    out["height_growth"] = out["height_cm"].astype("float64") - out["prev_height"]
-    date, height = rows["measurement_date"].iloc[-1], rows["height_cm"].iloc[-1]
-    state.update((None if pd.isna(date) else date, None if pd.isna(height) else float(height)))
-    yield out[DELTA_SCHEMA.fieldNames()]
-
-
-def stream_delta(measurements: DataFrame) -> DataFrame:
-    """ST-6: growth since the previous measurement of the same plant (the
-    streaming form of W-1 over rows with a height)."""
-    m = measurements.where(F.col("height_cm").isNotNull()).select("id", "plant_id", "measurement_date", "height_cm")
-    return m.groupBy("plant_id").applyInPandasWithState(
-        _delta_fn, DELTA_SCHEMA, DELTA_STATE, "append", GroupStateTimeout.NoTimeout
+def stream_delta(measurements: DataFrame, horizon: str = HORIZON, wait: bool = False) -> DataFrame:
+    """ST-6: growth since the previous measurement of the same plant (the streaming
+    form of W-1 over rows with a height), as a log of changes: ``op`` 1 gives a
+    row, -1 takes it back.  ``net_rows`` of it is the table."""
+    m = measurements.where(F.col("height_cm").isNotNull())
+    log = in_order(m, "plant_id", "measurement_date", "id", ["id", "measurement_date", "height_cm"], horizon, wait)
+    return log.select(
+        "op",
+        "id",
+        "plant_id",
+        "measurement_date",
+        "height_cm",
+        F.col("prev_height_cm").alias("prev_height"),
+        (F.col("height_cm") - F.col("prev_height_cm")).alias("height_growth"),
+        "prev_measurement_date",
     )
 
 
-# ------------------------------------------------- ST-3 / ST-4: stored change log
-def _stored(spark: SparkSession, path: str, schema: StructType, before: int) -> DataFrame | None:
-    """Rows of the batches below ``before`` (None before the first one)."""
-    if before <= 0:
-        return None
-    stored = StructType(schema.fields + [StructField("batch", LongType(), True)])
-    return spark.read.schema(stored).parquet(path).where(F.col("batch") < before).drop("batch")
-
-
+# ------------------------------------------------------------------ ST-4
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> DataFrame:
     """Write one batch's own folder (a re-run overwrites it) and read it back."""
     at = f"{path}/batch={batch_id}"
@@ -149,54 +111,23 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def rebuild_touched(
-    batch: DataFrame, batch_id: int, base: str, key: str, seq: str, build: Callable[[DataFrame], DataFrame]
-) -> DataFrame:
-    """One micro-batch of a table that ``build`` derives from all changes of a key.
-
-    New changes - those whose (key, seq) is not stored yet, so replays add
-    nothing - are appended to the change log ``<base>/log``.  ``build`` then
-    runs over *all* stored changes of the touched keys, so a change that comes
-    late takes its place in time, and the result is written as
-    ``<base>/rows/batch=<id>``.  Rows of other keys are not read or rewritten."""
-    spark = batch.sparkSession
-    new = batch.dropDuplicates([key, seq])
-    prior = _stored(spark, f"{base}/log", batch.schema, batch_id)
-    if prior is not None:
-        known = prior.join(new.select(key).distinct(), key, "left_semi")
-        new = new.join(known.select(key, seq), [key, seq], "left_anti").select(*batch.columns)
-    new = _write_batch(new, f"{base}/log", batch_id)
-    changes = new
-    if prior is not None:
-        changes = prior.join(new.select(key).distinct(), key, "left_semi").select(*batch.columns).unionByName(new)
-    return _write_batch(build(changes), f"{base}/rows", batch_id)
-
-
-def current_rows(spark: SparkSession, name: str, key: str = "id") -> DataFrame:
-    """The table that ``rebuild_touched`` maintains: of every key the rows of its newest batch."""
-    rows = spark.read.parquet(f"{checkpoint_path(spark, name)}/rows")
-    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max("batch").alias("_batch"))
-    return rows.join(newest, (F.col(key) == F.col("_key")) & (F.col("batch") == F.col("_batch"))).drop(
-        "_key", "_batch", "batch"
-    )
-
+def current_rows(spark: SparkSession, name: str, schema: StructType, key: str = "id", buckets: int = BUCKETS) -> DataFrame:
+    """The table that ``run_rebuilt`` maintains."""
+    return BucketStore(spark, f"{checkpoint_path(spark, name)}/rows", key, buckets).read(schema)
 
-def compact(spark: SparkSession, name: str, key: str = "id") -> DataFrame:
-    """The maintained table as one stored snapshot (``<name>/compact``), for readers
-    that should not look through many batches."""
-    path = f"{checkpoint_path(spark, name)}/compact"
-    current_rows(spark, name, key).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
 
-
-def run_rebuilt(changes: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, key: str = "id", seq: str = "seq"):
+def run_rebuilt(
+    changes: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, key: str = "id", seq: str = "seq",
+    buckets: int = BUCKETS,
+):
     """A stream of changes kept as the table ``build`` derives from them; changes may
-    come late, out of order and more than once."""
+    come late, out of order and more than once.  A micro-batch reads and rewrites
+    the buckets of its keys only (``streaming.store``)."""
     spark = changes.sparkSession
     base = checkpoint_path(spark, name)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rebuild_touched(batch.drop("batch"), batch_id, base, key, seq, build)
+        rebuild(batch.drop("batch"), batch_id, base, key, seq, build, buckets)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_path(spark, name + "_stream"))
 
@@ -216,38 +147,36 @@ def run_scd2_stream(changes: DataFrame, name: str = "plant_versions"):
 
 
 # ------------------------------------------------------------------ ST-3
-def transitions(batch: DataFrame, batch_id: int, base: str) -> DataFrame:
-    """Completions (FALSE -> TRUE exactly) in a micro-batch of event images
-    ``(id, plant_id, event_type_id, event_date, is_completed, version)``.
-
-    What went before is the event's newest stored image; each batch stores the
-    newest image of its own events only.  Images at or below a stored version
-    are replays and ignored."""
-    spark = batch.sparkSession
-    newest = F.max_by(F.struct("is_completed", "version"), F.col("version")).alias("_l")
-    seen = _stored(spark, f"{base}/images", StructType([batch.schema[c] for c in ("id", "is_completed", "version")]), batch_id)
-    rows = batch.dropDuplicates(["id", "version"])
-    if seen is not None:
-        seen = seen.join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(newest)
-        seen = seen.select(F.col("id").alias("_id"), F.col("_l.is_completed").alias("_was"), F.col("_l.version").alias("_v"))
-        rows = rows.join(seen, F.col("id") == F.col("_id"), "left").where(F.col("_v").isNull() | (F.col("version") > F.col("_v")))
-    else:
-        rows = rows.withColumns({"_was": F.lit(None).cast("boolean")})
-    by_version = Window.partitionBy("id").orderBy("version")
-    first = F.row_number().over(by_version) == 1
-    before = F.when(first, F.col("_was")).otherwise(F.lag("is_completed").over(by_version))
-    done = rows.withColumn("_before", before).where((F.col("_before") == False) & (F.col("is_completed") == True))  # noqa: E712
-    _write_batch(rows.groupBy("id").agg(newest).select("id", "_l.*"), f"{base}/images", batch_id)
-    return done.select("id", "plant_id", "event_type_id", "event_date")
+def stream_completions(
+    event_images: DataFrame, horizon: str = HORIZON, wait: bool = False, at: str | None = None
+) -> DataFrame:
+    """Completions (FALSE -> TRUE exactly) among the images ``(id, plant_id, event_type_id,
+    event_date, is_completed, version)`` of events, as a log of changes.
+
+    An event's images are ordered by version, whenever they arrive: one that comes
+    late can make a completion or take one back.  The horizon is in the time ``at``
+    of the images (which must grow with the version); without it the version counts
+    as milliseconds."""
+    order = F.col(at) if at else F.timestamp_millis(F.col("version").cast("long")).cast("timestamp_ntz")
+    columns = ["plant_id", "event_type_id", "event_date", "is_completed"]
+    log = in_order(event_images.withColumn("_order", order), "id", "_order", "version", columns, horizon, wait)
+    done = log.where((F.col("prev_is_completed") == False) & (F.col("is_completed") == True))  # noqa: E712
+    return done.select("op", "id", "plant_id", "event_type_id", "event_date")
 
 
 def next_events_batch(done: DataFrame, t: CareTables, as_of) -> DataFrame:
     """RULE-3 on already detected transitions (old = FALSE for all of them)."""
     new = done.withColumn("is_completed", F.lit(True))
-    old = done.select("id", F.lit(False).alias("is_completed"))
+    old = done.select("id", F.lit(False).alias("is_completed")).distinct()
     return R.next_events(old, new, t, as_of)
 
 
+def _per_op(log: DataFrame, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a rule makes of the given and of the taken back rows."""
+    ops = [rule(log.where(F.col("op") == op).drop("op")).withColumn("op", F.lit(op)) for op in (1, -1)]
+    return ops[0].unionByName(ops[1])
+
+
 def run_next_events(
     event_images: DataFrame,
     t: CareTables,
@@ -255,21 +184,25 @@ def run_next_events(
     out_path: str,
     name: str = "next_events",
     reminders_path: str | None = None,
+    horizon: str = HORIZON,
 ):
-    """ST-3: transitions, then RULE-3 per micro-batch, appended to ``out_path``
-    once per batch id (a re-run batch overwrites its own folder).  With
-    ``reminders_path`` the new events also fire RULE-1, as in the source."""
+    """ST-3: transitions, then RULE-3 per micro-batch, as a log of changes in ``out_path``
+    (``op`` 1: a new event, -1: one taken back), once per batch id: a re-run batch
+    overwrites its own folder.  ``net_rows`` of it are the new events.  With
+    ``reminders_path`` they also fire RULE-1, as in the source."""
     spark = t.spark
-    base = checkpoint_path(spark, f"{name}_images")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = transitions(batch, batch_id, base)
-        nxt = _write_batch(next_events_batch(done, t, as_of), out_path, batch_id)
+        nxt = _write_batch(_per_op(batch, lambda done: next_events_batch(done, t, as_of)), out_path, batch_id)
         if reminders_path:
             events = nxt.withColumnRenamed("source_event_id", "id")
-            _write_batch(R.event_reminders(events, t, as_of), reminders_path, batch_id)
+            _write_batch(_per_op(events, lambda e: R.event_reminders(e, t, as_of)), reminders_path, batch_id)
 
-    return event_images.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path(spark, name))
+    return (
+        stream_completions(event_images, horizon)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint_path(spark, name))
+    )
 
 
 def to_parquet(stream: DataFrame, out_path: str, name: str, mode: str = "append", once: bool = False):
@@ -287,15 +220,6 @@ def to_parquet(stream: DataFrame, out_path: str, name: str, mode: str = "append"
     return w.start()
 
 
-def _stored_version(spark: SparkSession, name: str, version: int) -> DataFrame | None:
-    """Snapshot version ``v=<version>`` under the checkpoint folder (None
-    before the first batch).  A name belongs to one stream: start a stream
-    with a fresh checkpoint under a fresh name."""
-    if version < 0:
-        return None
-    return spark.read.parquet(f"{checkpoint_path(spark, name)}/v={version}")
-
-
 def upsert_latest(snapshot: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Merge a batch of measurements into a latest-per-plant snapshot: per
     plant the newer of the stored row and the batch's newest row (same order
@@ -312,20 +236,24 @@ def upsert_latest(snapshot: DataFrame | None, batch: DataFrame) -> DataFrame:
     )
 
 
-def run_latest_snapshot(measurements: DataFrame, name: str = "latest_snapshot"):
-    """ST-5 as a maintained table: every micro-batch writes a new version of
-    the latest-per-plant snapshot (``<checkpoint dir>/<name>/v=<batch id>``)
-    from the previous stored version; a re-run batch rewrites only its own
-    version with the same content."""
-    from tendril.plans.changes import write_snapshot
-
+def run_latest_snapshot(measurements: DataFrame, name: str = "latest_snapshot", buckets: int = BUCKETS):
+    """ST-5 as a maintained table, cut into buckets by plant: a micro-batch reads and
+    rewrites the buckets of its plants only; a re-run batch writes the same again.
+    ``latest_snapshot`` reads it."""
     spark = measurements.sparkSession
+    store = BucketStore(spark, checkpoint_path(spark, name), "plant_id", buckets)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        # v=<id> is a pure function of v=<id-1> and the batch: a re-run batch
-        # (same id) rewrites the same version; nothing is kept on the driver.
-        write_snapshot(upsert_latest(_stored_version(spark, name, batch_id - 1), batch), name, batch_id)
+        store.clean(batch_id)
+        fresh = stream_latest(batch)
+        some = store.touched(fresh)
+        if some:
+            store.replace(upsert_latest(store.read(fresh.schema, some, batch_id), batch), some, batch_id)
 
     return measurements.writeStream.foreachBatch(step).option(
         "checkpointLocation", checkpoint_path(spark, name + "_stream")
     )
+
+
+def latest_snapshot(spark: SparkSession, schema: StructType, name: str = "latest_snapshot", buckets: int = BUCKETS) -> DataFrame:
+    return BucketStore(spark, checkpoint_path(spark, name), "plant_id", buckets).read(schema)

@@ -122,7 +122,13 @@ def test_quarantine_split(spark):
                                 "flower_count", (F.col("leaf_count") % 7).alias("health_status"))
     good, bad = Q.quarantine(req, Q.measurement_rules())
     assert good.count() + bad.count() == req.count()
-    assert bad.where(F.array_contains("reasons", "range:health_status")).count() == bad.count() > 0
+    reasons = bad.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    per_rule = {r.reason: r.n for r in reasons.collect()}
+    assert bad.where(F.size("reasons") == 0).count() == 0 < bad.count()
+    health = F.col("leaf_count") % 7
+    assert per_rule["range:health_status"] == req.where((health < 1) | (health > 5)).count()
+    for r in Q.measurement_rules():
+        assert per_rule.get(f"{r.rule}:{r.column}", 0) == req.where(r.violates).count()
 
 
 def test_sql_surface_and_lookup(spark, demo):
