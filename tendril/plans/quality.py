@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 VIOLATION_COLS = ["table_name", "rule", "column_name", "row_key"]
@@ -131,6 +131,25 @@ def quarantine(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
     return good, bad
 
 
+def write_quarantined(df: DataFrame, rules: Sequence[Rule], path: str) -> dict[str, int]:
+    """DQ-6 / A-10 as a job: good and rejected rows of a batch written in one scan, to
+    ``<path>/rejected=false`` and ``<path>/rejected=true`` (these with ``reasons``), and
+    the counts that the same scan observed: ``rows``, ``rejected``, and per rule
+    ``rule:column``."""
+    seen = Observation()
+    names = [f"{r.rule}:{r.column}" for r in rules]
+    # one expression per rule: the counts, the split and the reasons share it
+    flags = [F.coalesce(r.violates, F.lit(False)) for r in rules]
+    marked = df.withColumn("_broken", F.array(*flags))
+    broken = F.exists("_broken", lambda x: x)
+    reasons = F.filter(F.array(*[F.when(F.get("_broken", F.lit(i)), F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
+    counts = [F.count_if(F.get("_broken", F.lit(i))).alias(n) for i, n in enumerate(names)]
+    marked = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(broken).alias("rejected"), *counts)
+    out = marked.withColumn("rejected", broken).withColumn("reasons", F.when(F.col("rejected"), reasons)).drop("_broken")
+    out.write.mode("overwrite").partitionBy("rejected").parquet(path)
+    return dict(seen.get)
+
+
 # Limits of the source's columns and forms.
 MEASUREMENT_RULES_SPEC = {
     "health_status": (1, 5),

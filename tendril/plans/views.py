@@ -318,12 +318,13 @@ def measurement_stats(measurements: DataFrame, as_of, window_days: int = 30) ->
     )
 
 
-def growth_statistics(t: CareTables, as_of, window_days: int = 30) -> DataFrame:
+def growth_statistics(t: CareTables, as_of, window_days: int = 30, stats: DataFrame | None = None) -> DataFrame:
     """Per active plant: measurement count, first/last date and period, first
     / current / total / max height, leaves, health figures, 30-day trend
-    (UP / DOWN / STABLE, INSUFFICIENT under two rows) and age."""
+    (UP / DOWN / STABLE, INSUFFICIENT under two rows) and age.  ``stats``: figures
+    per plant that are already there (``growth_state.stats_of``)."""
     now = as_ts(as_of)
-    s = measurement_stats(t.measurements, as_of, window_days)
+    s = measurement_stats(t.measurements, as_of, window_days) if stats is None else stats
     p = t.plants.where(F.col("is_active")).join(_types(t, F.col("name").alias("plant_type")), "plant_type_id", "left")
     out = p.join(s, p.id == s.plant_id, "left")
     trend = F.when(

@@ -68,3 +68,4 @@ from tendril import registry_functions  # noqa: E402,F401
 from tendril import registry_temporal  # noqa: E402,F401
 from tendril import registry_edits  # noqa: E402,F401
 from tendril import registry_sql  # noqa: E402,F401
+from tendril import registry_stored  # noqa: E402,F401

@@ -191,9 +191,11 @@ def run_next_events(
     overwrites its own folder.  ``net_rows`` of it are the new events.  With
     ``reminders_path`` they also fire RULE-1, as in the source."""
     spark = t.spark
+    log_path = checkpoint_path(spark, f"{name}_log")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        nxt = _write_batch(_per_op(batch, lambda done: next_events_batch(done, t, as_of)), out_path, batch_id)
+        log = _write_batch(batch, log_path, batch_id)  # the state is gone through once
+        nxt = _write_batch(_per_op(log, lambda done: next_events_batch(done, t, as_of)), out_path, batch_id)
         if reminders_path:
             events = nxt.withColumnRenamed("source_event_id", "id")
             _write_batch(_per_op(events, lambda e: R.event_reminders(e, t, as_of)), reminders_path, batch_id)

@@ -62,7 +62,7 @@ class _InOrder(StatefulProcessor):
         pass
 
     def _kept(self) -> list[list]:
-        return [list(r) for r in self.rows.get()] if self.rows.exists() else []
+        return [list(r) for r in self.rows.get()]
 
     def _settle(self, key, kept: list[list], watermark: int) -> Iterable[Row]:
         """Gives what has changed and frees what no later row can touch."""
@@ -84,9 +84,11 @@ class _InOrder(StatefulProcessor):
         past = sum(1 for r in kept if r[0] is not None and r[0] < watermark and r[-2])
         kept = kept[max(0, past - 1) :]
         self.rows.put([tuple(r) for r in kept])
-        later = [r[0] for r in kept if r[0] is not None and r[0] >= watermark]
-        if later:
-            self.handle.registerTimer(later[0] + 1)
+        # the next time at which a row can be freed, or one that waits comes out
+        times = [r[0] for r in kept if r[0] is not None]
+        times = [t for t in times if t >= watermark] if self.wait else times[1:2]
+        if times:
+            self.handle.registerTimer(times[0] + 1)
         return log
 
     def _row(self, key, op: int, row: list, before: list | None) -> Row:
