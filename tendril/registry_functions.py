@@ -99,7 +99,7 @@ def q_needs_attention(spark, sf_dir):
 DUE_CTE = f"""due AS (
   SELECT id AS reminder_id, plant_id, event_type_id, reminder_date, message, {wd('reminder_date', EV)} AS days_until
   FROM reminders
-  WHERE NOT (is_sent IS DISTINCT FROM FALSE OR is_completed IS DISTINCT FROM FALSE)
+  WHERE is_sent = FALSE AND is_completed = FALSE
     AND epoch_us(reminder_date) - epoch_us({EV}) BETWEEN 0 AND 7 * 86400000000),
 owners AS (SELECT id AS plant_id, name AS plant_name FROM plants),
 kinds AS (SELECT id AS event_type_id, name AS event_type_name FROM event_types)"""
