@@ -29,6 +29,7 @@ REFERENCES = 32
 CHAR_LIMIT, CHAR_GUARD = 0.25, 200
 WORD_LIMIT, WORD_GUARD = 0.36, 100
 SYMBOLS = "#*$%&|<>"
+WHITE, WHITE_CLASS = " \t\n\x0b\x0c\r", r"\x20\x09-\x0D"
 #: Character classes; each is counted in what is left after plain lower-case letters.
 CLASSES = {
     "upper": "[A-Z]",
@@ -42,18 +43,21 @@ CLASS_NAMES = ["lower", *CLASSES, "rest"]
 
 
 def _parts(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, lang, text, its words and what is left without a-z; the columns of ``keep`` as they are."""
+    """doc_id, lang, text, its words, what is left without a-z, and without white space; the
+    columns of ``keep`` as they are."""
     text = F.coalesce("text", F.lit(""))
     out = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"), *keep)
-    return out.withColumn("words", F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).withColumn(
-        "left", F.regexp_replace("text", "[a-z]+", "")
-    )
+    inner = F.btrim(F.col("text"), F.lit(WHITE))
+    words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{WHITE_CLASS}]+"))
+    out = out.withColumn("words", words).withColumn("left", F.regexp_replace("text", "[a-z]+", ""))
+    return out.withColumn("few", F.regexp_replace("left", f"[{WHITE_CLASS}]+", ""))
 
 
 def _class_counts() -> list[Column]:
     """Characters of each class as long columns named like it."""
-    counts = [F.regexp_count("left", F.lit(p)).cast("long").alias(n) for n, p in CLASSES.items()]
-    return [(F.length("text") - F.length("left")).cast("long").alias("lower"), *counts]
+    gone = {"lower": ("text", "left"), "space": ("left", "few")}
+    out = [(F.length(a) - F.length(b)).cast("long").alias(n) for n, (a, b) in gone.items()]
+    return out + [F.regexp_count("few", F.lit(p)).cast("long").alias(n) for n, p in CLASSES.items() if n not in gone]
 
 
 def _rest() -> Column:
@@ -81,7 +85,7 @@ def references(docs: DataFrame) -> tuple[DataFrame, int]:
     by their bytes."""
     parts = _parts(docs)
     per_lang = (
-        parts.select("lang", F.length("text").alias("chars"), F.size("words").alias("n"), "text", "left")
+        parts.select("lang", F.length("text").alias("chars"), F.size("words").alias("n"), "text", "left", "few")
         .select("lang", "chars", "n", *_class_counts(), "text")
         .withColumn("rest", _rest())
         .groupBy("lang")
@@ -180,7 +184,7 @@ def base_rules(docs: DataFrame, *keep: str) -> DataFrame:
         "chars",
         *CLASS_NAMES,
         n.cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.col("chars") - F.col("space")).cast("long").alias("word_chars"),
         F.col("symbol").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
