@@ -12,6 +12,8 @@ one's ``docs``.  All but the last return the columns of ``documents``:
 5. ``byte_level_bpe`` encodes every text and decodes it again: ``doc_id``,
    ``n_tokens``, ``ids`` and whether the decoded bytes are those of the text.
 
+The stages set two batch sizes of the session (``BATCHES``).
+
 Rows with null texts count as empty documents, null ids are kept as they are,
 an empty table gives an empty result.
 """
@@ -29,25 +31,44 @@ from tendril.llm.common import table
 from tendril.session import checkpoint_path
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: Rows that are read, or handed to a Python worker, at once: texts are long, and with
+#: Spark's own settings (given here as well) a batch of them is tens of megabytes in
+#: every task, which workers and executors then keep from stage to stage.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets ``BATCHES`` for the session, unless it has settings of its own."""
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, ours)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return quality_qda.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return simhash_bk.drop_near_duplicates(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return secret_structure.redact_secrets(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return budget_mixing.mix(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     path = public_tokenizers.path(TOKENIZER)
     coded = chunked_bpe.encode_decode(docs, path, public_tokenizers.PATTERN, keep=["text"])
     same = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
