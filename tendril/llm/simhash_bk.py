@@ -2,13 +2,16 @@
 
 * Every text gets a 64-bit fingerprint of its word shingles.
 * Equal fingerprints are one node, however many documents share them.
-* Fingerprints are cut into six blocks.  Two that differ in at most four bits
-  agree in two blocks at least, so each of the 15 block pairs deals the
-  fingerprints into shards and no link can fall between shards.
+* Fingerprints are cut into five blocks.  Two that differ in at most four bits
+  agree in one block at least, so each block deals the fingerprints into shards
+  by the hash of its value, and no link can fall between shards.  There are so
+  many shards that one has some ``SHARD_ROWS`` fingerprints; where five blocks
+  have too few values for that, six are used, two of which must agree, and so on.
 * A shard is a BK-tree: children hang under their parent by integer Hamming
   distance, and a search follows only edges within the radius.  A shard of
-  more than ``SHARD_ROWS`` fingerprints is cut into parts of bounded size;
-  one part is the tree, the other one asks it, for every pair of parts.
+  more than twice ``SHARD_ROWS`` fingerprints (a common block value) is cut into
+  parts of bounded size; one part is the tree, the other one asks it, for every
+  pair of parts.
 * A shard reports a star per group it found, never all pairs; components are
   then joined over all shards.
 
@@ -33,9 +36,8 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 HASH_SEED = 42
 SHARD_ROWS = 2048
-#: Six blocks of the 64 bits as (first bit, width).
-BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
-LEAF = 16
+#: Values of a shard's key for each shard, at least.
+SPARE = 4
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
@@ -75,35 +77,35 @@ def fingerprint_column(text: Column, words: int = SHINGLE_WORDS) -> Column:
 class BKTree:
     """Distinct fingerprints by integer distance to their parent.
 
-    A node is (pivot, children by distance); up to ``LEAF`` fingerprints stay
-    together as a plain list."""
+    Node ``i`` has ``pivot[i]`` and in ``children[i]`` a node by distance.  ``asked``
+    counts the comparisons of searches so far."""
 
     def __init__(self, values: np.ndarray):
-        self.root = self._grow(values)
-
-    def _grow(self, values: np.ndarray):
-        if len(values) <= LEAF:
-            return values
-        far = np.bitwise_count(values[1:] ^ values[0])
-        return values[0], {int(d): self._grow(values[1:][far == d]) for d in np.unique(far)}
+        self.pivot, self.children, self.asked = [], [], 0
+        todo = [(values, None, 0)]
+        while todo:
+            own, parent, at = todo.pop()
+            if not len(own):
+                continue
+            node = len(self.pivot)
+            self.pivot.append(own[0])
+            self.children.append({})
+            if parent is not None:
+                self.children[parent][at] = node
+            far = np.bitwise_count(own[1:] ^ own[0])
+            todo += [(own[1:][far == d], node, int(d)) for d in np.unique(far)]
 
     def within(self, asked: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.uint64]]:
         """(fingerprints of ``asked``, fingerprint of the tree) within ``radius`` of each other."""
-        found, todo = [], [(self.root, asked)]
+        found, todo = [], [(0, asked)] if self.pivot and len(asked) else []
         while todo:
             node, q = todo.pop()
-            if isinstance(node, np.ndarray):
-                for value in node:
-                    near = q[np.bitwise_count(q ^ value) <= radius]
-                    if len(near):
-                        found.append((near, value))
-                continue
-            pivot, children = node
-            far = np.bitwise_count(q ^ pivot).astype(np.int16)
+            self.asked += len(q)
+            far = np.bitwise_count(q ^ self.pivot[node]).astype(np.int16)
             near = q[far <= radius]
             if len(near):
-                found.append((near, pivot))
-            for d, child in children.items():
+                found.append((near, self.pivot[node]))
+            for d, child in self.children[node].items():
                 on = q[np.abs(far - d) <= radius]
                 if len(on):
                     todo.append((child, on))
@@ -155,25 +157,35 @@ def _shards(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFra
         yield links(held)
 
 
+def _blocks(radius: int, shards: int) -> tuple[list[tuple[int, int]], int]:
+    """Blocks of the 64 bits as (first bit, width), and how many of them two fingerprints
+    within ``radius`` have in common: enough for ``SPARE`` times as many keys as shards."""
+    for count in range(radius + 1, 65):
+        same = count - radius
+        edges = [64 * i // count for i in range(count + 1)]
+        widths = [b - a for a, b in zip(edges, edges[1:])]
+        if same == 4 or 2 ** sum(sorted(widths)[:same]) >= SPARE * shards:
+            break
+    return list(zip(edges, widths)), same
+
+
 def link_edges(prints: DataFrame, radius: int = MAX_BITS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges ``a, b`` that connect the distinct fingerprints of ``prints(fp)``
-    exactly as all links of at most ``radius`` <= 4 bits do."""
-    if radius > len(BLOCKS) - 2:
-        raise ValueError("six blocks and two equal ones cover at most four differing bits")
+    exactly as all links of at most ``radius`` bits do."""
+    shards = -(-prints.count() // shard_rows) or 1
+    blocks, same = _blocks(radius, shards)
 
-    def block(n: int) -> Column:
-        first, width = BLOCKS[n]
+    def block(first: int, width: int) -> Column:
         return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
 
     keys = [
-        F.lit(n << 40) + F.shiftleft(block(x), 12) + block(y)
-        for n, (x, y) in enumerate(combinations(range(len(BLOCKS)), 2))
+        F.lit(n * shards) + F.pmod(F.xxhash64(*[block(*x) for x in chosen]), F.lit(shards))
+        for n, chosen in enumerate(combinations(blocks, same))
     ]
     dealt = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = dealt.join(sizes, "key").select(
-        "key", "fp", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")
-    )
+    few = F.when(F.col("n") <= 2 * shard_rows, 1).otherwise(F.ceil(F.col("n") / shard_rows)).cast("int")
+    parts = dealt.join(sizes, "key").select("key", "fp", few.alias("parts"))
     parts = parts.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     parts = parts.select(
@@ -183,15 +195,22 @@ def link_edges(prints: DataFrame, radius: int = MAX_BITS, shard_rows: int = SHAR
     return sorted_.mapInPandas(lambda it: _shards(it, radius), "a long, b long")
 
 
-def _marked(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, content hash and fingerprint of every row, stored once."""
+def _marked(docs: DataFrame, words: int, row: Column | None = None) -> DataFrame:
+    """doc_id, content hash (``row`` or that of the text) and fingerprint of every row, stored once."""
+    content = F.xxhash64("text") if row is None else row
     return cut(
         docs.select(
-            F.col("doc_id"), F.xxhash64("text").alias("content"), fingerprint_column(F.col("text"), words).alias("fp")
+            F.col("doc_id"), content.alias("content"), fingerprint_column(F.col("text"), words).alias("fp")
         )
     )
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of a whole row; maps, which have none, are left out."""
+    cols = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
+
+
 def _grouped(marked: DataFrame, radius: int) -> DataFrame:
     """``marked`` with root and component_id, the smallest doc_id of all documents reachable."""
     prints = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
@@ -224,13 +243,15 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = MAX_BITS) -> DataFrame:
     """One row of ``docs`` per group: that of the smallest doc_id (null ids
-    last, then the smallest content hash); of equal rows one stays.  All
-    columns are returned."""
+    last, then the smallest hash of the whole row, so that a recomputed task
+    keeps the same one); of equal rows one stays.  All columns are returned."""
+    row = _row_hash(docs)
     who = F.struct(F.col("doc_id").isNull(), "doc_id", "content")
-    best = _grouped(_marked(docs, words), radius).groupBy("root").agg(F.min(who).alias("w"), F.count("*").alias("n"))
+    best = _grouped(_marked(docs, words, row), radius)
+    best = best.groupBy("root").agg(F.min(who).alias("w"), F.count("*").alias("n"))
     d, c, n = fresh(docs, "keep_id", "keep_content", "keep_n")
     best = best.select(F.col("w.doc_id").alias(d), F.col("w.content").alias(c), F.col("n").alias(n))
-    hit = docs.join(best, docs["doc_id"].eqNullSafe(best[d]) & (F.xxhash64(docs["text"]) == best[c]))
+    hit = docs.join(best, docs["doc_id"].eqNullSafe(best[d]) & (row == best[c]))
     alone = hit.where(F.col(n) == 1)
     # only rows of groups of several can be repeated rows
     one_of = hit.where(F.col(n) > 1).dropDuplicates([d, c])
