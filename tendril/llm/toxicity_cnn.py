@@ -39,8 +39,6 @@ STEPS, RATE, SMOOTHING = 12_000, 0.05, 2.0
 PRECISION = 0.9
 #: Toxic calibration rows from which on they are trusted.
 LEAST_TOXIC = 10
-#: Words of a training text beyond which it is trained in its most telling window.
-TRAIN_WORDS = 4000
 BLOCK, REMEMBERED = 8192, 60_000
 EDGES = ".,;:!?%*&$#|\"'()[]<>"
 
@@ -67,15 +65,28 @@ class Network:
     shift: float = 0.0  # added to the log odds
 
 
-def _pooled(net: Network, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Largest response of each filter and where it begins; ``x`` has two zero rows behind the words."""
-    n, best, at = len(x) - 2, [], []
-    for w, taps in zip(WIDTHS, net.taps):
-        z = sum(x[j : j + n] @ taps[j] for j in range(w))
-        a = z.argmax(0)
-        at.append(a)
-        best.append(z[a, np.arange(FILTERS)])
-    return np.concatenate(best) + net.bias, np.concatenate(at)
+def _embedded(net: Network, words: np.ndarray, of_word: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Vectors of a text's words at some places; zeros behind its end."""
+    x, within = np.zeros((len(places), DIMS), np.float32), places < len(words)
+    x[within] = net.table[of_word[words[places[within]]]].sum(1)
+    return x
+
+
+def _pooled(net: Network, words: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest response of each filter and where it begins, over the whole text by blocks."""
+    filters, loose = np.arange(FILTERS), max(WIDTHS) - 1
+    best, at = np.full(len(WIDTHS) * FILTERS, -np.inf, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.int64)
+    for s in range(0, len(words), BLOCK):
+        n = min(BLOCK, len(words) - s)
+        x = _embedded(net, words, of_word, np.arange(s, s + n + loose))
+        for wi, (w, taps) in enumerate(zip(WIDTHS, net.taps)):
+            z = sum(x[j : j + n] @ taps[j] for j in range(w))
+            a = z.argmax(0)
+            top, own = z[a, filters], slice(wi * FILTERS, (wi + 1) * FILTERS)
+            higher = top > best[own]
+            best[own] = np.where(higher, top, best[own])
+            at[own] = np.where(higher, s + a, at[own])
+    return best + net.bias, at
 
 
 def log_odds(ids: Iterable[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -87,13 +98,20 @@ def log_odds(ids: Iterable[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(rate[1] / rate[0])
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
+def train(texts: Iterable[str], y: np.ndarray, seed: int = 7) -> Network:
     """A network from texts and labels (0 or 1) by stochastic gradient descent."""
-    rng = np.random.default_rng(seed)
-    place: dict[str, int] = {}  # a text is kept as the places of its words, their buckets once
+    return _train(*_numbered(texts), y, seed)
+
+
+def _numbered(texts: Iterable[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text as the numbers of its words, and the buckets of each word, kept once."""
+    place: dict[str, int] = {}
     ids = [np.array([place.setdefault(w, len(place)) for w in words_of(t) or [""]], np.int32) for t in texts]
-    of_word = np.array([buckets(w) for w in place], np.int32)
-    del place
+    return ids, np.array([buckets(w) for w in place], np.int32)
+
+
+def _train(ids: list[np.ndarray], of_word: np.ndarray, y: np.ndarray, seed: int = 7) -> Network:
+    rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.05, (BUCKETS, DIMS)).astype(np.float32)
     odds = log_odds((of_word[x] for x in ids), y)
     table[:, 0] = odds / (1 + len(PREFIXES))
@@ -102,18 +120,11 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
     for t in taps:
         t[:, 0, :] = rng.uniform(0.5, 1.0, (len(t), FILTERS)) / len(t)
     net = Network(table, taps, np.full(k, -1.0, np.float32), np.full(k, 1.0 / k, np.float32), -2.0)
-    for i, x in enumerate(ids):
-        if len(x) > TRAIN_WORDS:
-            top = int(odds[of_word[x]].sum(1).argmax())
-            s = max(0, min(top - TRAIN_WORDS // 2, len(x) - TRAIN_WORDS))
-            ids[i] = x[s : s + TRAIN_WORDS]
     filters = np.arange(FILTERS)
     for epoch in range(-(-STEPS // len(ids))):
         rate = RATE / (1 + epoch * len(ids) / 6000)
         for i in rng.permutation(len(ids)):
-            x = np.zeros((len(ids[i]) + 2, DIMS), np.float32)
-            x[:-2] = net.table[of_word[ids[i]]].sum(1)
-            m, at = _pooled(net, x)
+            m, at = _pooled(net, ids[i], of_word)
             h = np.maximum(m, 0)
             z = float(h @ net.out) + net.base
             d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]
@@ -125,11 +136,12 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
                 g, a = dh[wi * FILTERS : (wi + 1) * FILTERS], at[wi * FILTERS : (wi + 1) * FILTERS]
                 for j in range(w):
                     gx = t[j] * g  # (DIMS, FILTERS)
+                    x = _embedded(net, ids[i], of_word, a + j)
                     for f in filters[g != 0]:
                         p = int(a[f]) + j
                         if p < len(ids[i]):
                             dx[p] = dx.get(p, 0) + gx[:, f]
-                    t[j] -= rate * (x[a + j].T * g)
+                    t[j] -= rate * (x.T * g)
             net.out -= rate * d * h
             net.base -= rate * d
             net.bias -= rate * dh
@@ -152,8 +164,9 @@ def scorer(net: Network | None, raw: bool = False) -> Callable[[str], float]:
     place: dict[str, int] = {}
     rows = np.zeros((REMEMBERED, at), np.float32)
 
-    def block(words: list[str]) -> np.ndarray:
-        """Largest responses within a block, without bias."""
+    def block(words: list[str], last: bool) -> np.ndarray:
+        """Largest responses within a block, without bias; only behind the text's end may a
+        filter reach beyond its words."""
         if len(place) + len(words) > REMEMBERED:
             place.clear()
         new = [w for w in dict.fromkeys(words) if w not in place]
@@ -170,15 +183,15 @@ def scorer(net: Network | None, raw: bool = False) -> Callable[[str], float]:
                 z = z.copy()
                 for j, part in enumerate(parts[1:], 1):
                     z[: n - j] += r[j:, part]
-            best.append(z.max(0))
+            best.append((z if last else z[: n - len(parts) + 1]).max(0))
         return np.concatenate(best)
 
     def one(text: str) -> float:
         words = words_of(text) or [""]
-        # blocks overlap by a filter's width, and only the last one's ends are loose ends
+        # blocks overlap, so that each place is the whole of a filter's in one of them
         step, best = BLOCK - max(WIDTHS) + 1, None
         for at in range(0, max(1, len(words) - max(WIDTHS) + 1), step):
-            got = block(words[at : at + BLOCK])
+            got = block(words[at : at + BLOCK], at + BLOCK >= len(words))
             best = got if best is None else np.maximum(best, got)
         z = float(np.maximum(best + net.bias, 0) @ net.out) + net.base + net.shift
         z = float(np.clip(z, -MOST_ODDS, MOST_ODDS))
@@ -187,11 +200,17 @@ def scorer(net: Network | None, raw: bool = False) -> Callable[[str], float]:
     return one
 
 
-def _sample(docs: DataFrame, marks: DataFrame, n: int, salt: int) -> DataFrame:
-    """Texts of at most ``n`` marked ids, those of smallest hash; the id list is
-    bounded by ``n`` and broadcast."""
-    ids = marks.orderBy(F.xxhash64("of", F.lit(salt)), "of").limit(n)
-    return docs.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("of"))
+def _sample(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``text, toxic`` of at most ``NEGATIVES`` + ``POSITIVES`` marked ids, those of smallest
+    hash, in one scan; the id list is bounded and broadcast.  Of an id's rows one is
+    taken, that of the smallest text."""
+    chosen = [
+        marks.where(F.col("toxic") == label).orderBy(F.xxhash64("of", F.lit(5)), "of").limit(n)
+        for label, n in ((0, NEGATIVES), (1, POSITIVES))
+    ]
+    ids = F.broadcast(chosen[0].union(chosen[1]))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("of"))
+    return rows.groupBy("of", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _for_rates() -> Column:
@@ -209,14 +228,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Network, DataFrame] | None:
     if len(counts) < 2:
         return None
     learn = marks.where(~_for_rates())
-    got = []
-    for label, n in ((0, NEGATIVES), (1, POSITIVES)):
-        got += _sample(docs, learn.where(F.col("toxic") == label), n, 5).select("text", "toxic").collect()
-    y = np.array([r["toxic"] for r in got])
+    marked: list[tuple[int, int]] = []
+
+    def texts() -> Iterable[str]:
+        for r in _sample(docs, learn).toLocalIterator():
+            marked.append((zlib.crc32(r["text"].encode("utf-8", "replace")), r["toxic"]))
+            yield r["text"]
+
+    # texts pass one by one, only the numbers of their words stay
+    ids, of_word = _numbered(texts())
+    y = np.array([label for _, label in marked])
     if len(set(y.tolist())) < 2:
         return None
-    order = np.argsort([zlib.crc32((r["text"] or "").encode("utf-8", "replace")) for r in got], kind="stable")
-    net = train([got[i]["text"] or "" for i in order], y[order])
+    order = sorted(range(len(ids)), key=lambda i: (*marked[i], ids[i].tolist()))
+    net = _train([ids[i] for i in order], of_word, y[order])
     net.shift = float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum()))
     return net, calibrate(net, docs, marks.where(_for_rates()))
 
