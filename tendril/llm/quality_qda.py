@@ -153,10 +153,10 @@ def score_column(model: list[Gaussian] | None, feats: Column) -> Column:
 
 def _learn_rows(feats: DataFrame, labels: DataFrame) -> DataFrame:
     """``features, label`` of all labelled rows of ``feats(doc_id, features)`` that are
-    not held out; only ids and features are shuffled, never texts."""
-    marks = labels.where(F.col("quality").isin(0, 1)).select(
-        F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("label")
-    )
+    not held out; only ids and features are shuffled, never texts.  An id with several
+    labels counts as 1 if one of them is."""
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    marks = marks.groupBy(F.col("doc_id").alias("of")).agg(F.max("quality").cast("int").alias("label"))
     learn = feats.where(~held_out(F.col("doc_id")))
     return learn.join(marks, F.col("doc_id") == F.col("of")).select("features", "label")
 
