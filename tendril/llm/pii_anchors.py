@@ -35,14 +35,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 QUAD = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOGIN = re.compile(r"[^\s/?#@:]{1,64}:[^\s/?#@]{1,128}@(?=[A-Za-z0-9\[])")
+LOGIN = re.compile(r"[^\s/?#@:]++:[^\s/?#@]++@(?=[A-Za-z0-9\[])")
 #: Between a cue and its number.
-GAP = re.compile(r"(?:\x20?(?:no|nr|number|id)\b\.?)?[\x20:=#]{1,3}", re.ASCII | re.IGNORECASE)
+GAP = re.compile(r"(?:[\x20\t]*+(?:no|nr|number|id)\b\.?)?[\x20\t:=#]++", re.ASCII | re.IGNORECASE)
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 ACCOUNT = re.compile(r"[0-9]{6,17}(?![0-9A-Za-z])")
 SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
-#: Words that announce an identifier, as written in lower case.
+#: Words that announce an identifier; letters in either case.
 CUES = {
     "iban": "iban",
     "account": "account",
@@ -67,12 +67,17 @@ def automaton():
         found.add_word(d, ("card", 1))
         found.add_word(f"{d}.", ("ip", 2))
     for cue, kind in CUES.items():
-        for word in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(word, (kind, len(word)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, place by place: the two other characters that would become
+    ASCII letters (one of them as two characters) are blotted out."""
+    return text.replace("\u0130", "\0").replace("\u212a", "\0").lower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -104,7 +109,7 @@ def scan(text: str, anchors) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as in KINDS, then start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)  # where the last candidate of a kind ended
-    for last, (kind, size) in anchors.iter(text):
+    for last, (kind, size) in anchors.iter(lowered(text)):
         at = last - size + 1
         if kind == "card":
             if at >= done["card"] and (m := CHAIN.match(text, at)):
