@@ -7,10 +7,11 @@ key within a path, a file name or a dotted name):
 
 * ``jwt``: three base64url parts whose header is a JSON object with ``alg``;
 * ``der``: base64 or hex of an ASN.1 sequence whose nested lengths fill it
-  exactly and whose members are those of a private key (PKCS#1, PKCS#8, SEC 1);
+  exactly and whose members are those of a private key (PKCS#1, PKCS#8, SEC 1, DSA);
 * ``ssh``: base64 of an OpenSSH private key container, or of the wire format
   of a public key whose length fields fill it exactly;
-* ``pem``: an armoured private key whose body decodes to one of the above.
+* ``pem``: an armoured private key whose body, up to the next armour, decodes to
+  one of the above or to an encrypted key; line ends may be written as ``\\n``.
 """
 
 from __future__ import annotations
@@ -49,8 +50,12 @@ SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5}
 PEM = re.compile(r"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----")
 BASE_KINDS = ["assign", "access", "hex"]
 KINDS = [*BASE_KINDS, "jwt", "der", "ssh", "pem"]
-#: A PEM body is looked for within so many characters (a 16384-bit key has 12,900).
-PEM_CHARS = 20_000
+#: A line end within an armour that is written as a string.
+ESCAPED_END = re.compile(r"\\+[nr]")
+#: Object identifiers of password-based encryption (PKCS#5, PKCS#12; fixed values).
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+#: Bytes of a private number on an elliptic curve (fixed values).
+CURVE_BYTES = (20, 24, 28, 32, 40, 48, 64, 66)
 
 
 def _b64(run: str) -> bytes | None:
@@ -119,10 +124,40 @@ def is_private_der(raw: bytes | Decoded, most: int | None = None) -> bool:
     tags = [t for t, _, _ in inner]
     if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # PKCS#1: nine integers
         return True
+    if len(tags) == 6 and set(tags) == {0x02}:  # DSA: the prime and its divisor have their sizes
+        prime, divisor = (b - a for _, a, b in inner[1:3])
+        return prime >= 64 and 20 <= divisor <= 33
     if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:  # PKCS#8: algorithm, then the key
         algorithm = der_members(raw, *inner[1][1:], most)
         return bool(algorithm) and algorithm[0][0] == 0x06
-    return tags[1] == 0x04 and inner[1][2] - inner[1][1] in (24, 28, 32, 48, 66)  # SEC 1
+    return tags[1] == 0x04 and inner[1][2] - inner[1][1] in CURVE_BYTES  # SEC 1
+
+
+def is_encrypted_der(raw: bytes) -> bool:
+    """PKCS#8's encrypted form and nothing behind it: a password-based algorithm, then the ciphertext."""
+    top = der_members(raw, most=1)
+    if not top or top[0][0] != 0x30:
+        return False
+    inner = der_members(raw, *top[0][1:], 2)
+    if not inner or [t for t, _, _ in inner] != [0x30, 0x04]:
+        return False
+    algorithm = der_members(raw, *inner[0][1:], 2)
+    return bool(algorithm) and algorithm[0][0] == 0x06 and raw[algorithm[0][1] :].startswith(PASSWORD_BASED)
+
+
+def is_armoured_key(body: str) -> bool:
+    """Whether the text between an armour's lines holds a private key; header lines are
+    skipped, and a body that they say is encrypted must be whole cipher blocks."""
+    lines = ESCAPED_END.sub("\n", body).splitlines()
+    headers = [x for x in lines if ":" in x]
+    if len(lines) < 2:  # all in one line
+        lines = body.split()
+    raw = _b64("".join("".join(x.split()) for x in lines if ":" not in x))
+    if not raw:
+        return False
+    if any(x.strip().startswith("DEK-Info:") for x in headers):
+        return len(raw) % 8 == 0
+    return is_private_der(raw) or is_encrypted_der(raw) or is_ssh_key(raw)
 
 
 def is_ssh_key(raw: bytes) -> bool:
@@ -290,19 +325,12 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
         for kind, s, e in _keys(run):
             if not any(a < e and s < b for a, b in tokens):
                 out.append((kind, at + s, at + e))
-    after = 0
-    for m in PEM.finditer(text):
-        if m.start() < after:
-            continue
+    begins = list(PEM.finditer(text))
+    for m, limit in zip(begins, [*(n.start() for n in begins[1:]), len(text)]):
         close = f"-----END {m[1] or ''}PRIVATE KEY-----"
-        end = text.find(close, m.end(), m.end() + PEM_CHARS)
-        if end < 0:
-            continue
-        body = "".join(x for x in text[m.end() : end].split() if ":" not in x)
-        raw = _b64(body)
-        if raw and (is_private_der(raw) or is_ssh_key(raw)):
-            after = end + len(close)
-            out.append(("pem", m.start(), after))
+        end = text.find(close, m.end(), limit)
+        if end >= 0 and is_armoured_key(text[m.end() : end]):
+            out.append(("pem", m.start(), end + len(close)))
     return out
 
 
