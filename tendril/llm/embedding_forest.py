@@ -213,7 +213,8 @@ def _link(batches: Iterator[pd.DataFrame], cosine: float, spill: float) -> Itera
         g = g.sort_values("node").reset_index(drop=True)
         for _, own in g.groupby(g["embedding"].map(len)):
             x = unit(np.stack(own["embedding"].to_numpy()).astype(np.float64))
-            pairs = linked_pairs(x, np.random.default_rng(SEED), cosine, spill)
+            seed = [SEED, int(g["tree"].iloc[0]) + 1, int(g["bucket"].iloc[0])]  # no two trees search alike
+            pairs = linked_pairs(x, np.random.default_rng(seed), cosine, spill)
             root = stars(len(own), pairs)
             linked = np.flatnonzero(root != np.arange(len(own)))
             name = own["node"].to_numpy()
