@@ -68,6 +68,16 @@ def test_added_kinds_need_valid_candidates():
     assert kinds("see ftp://joe:pw@host.de/x") == [("login", "joe:pw")]
     assert kinds("account no: 12345678, discount 12345678") == [("account", "12345678")]
     assert kinds("SSN 123-45-6789, SSN 000-45-6789") == [("ssn", "123-45-6789")]
+    assert kinds(f"https://ci:{'t' * 200}@host.de/x") == [("login", f"ci:{'t' * 200}")]
+    assert kinds(f"https://{'u' * 300}:pw@host.de/x") == [("login", f"{'u' * 300}:pw")]
+    assert kinds("account no.:    12345678") == [("account", "12345678")]
+    assert kinds("account no.:\n12345678") == []  # a line end ends the gap
+    assert kinds("iBAN = DE89370400440532013000") == [("iban", "DE89370400440532013000")]
+    assert kinds("\u0130\u0130 aCCount 123456 \u212aonto 123456") == [("account", "123456")]
+    for unit in ["account ", "://a:", "account" + " " * 50, "://" + "a" * 50, "account::::"]:
+        start = time.perf_counter()
+        kinds(unit * (300_000 // len(unit)))
+        assert time.perf_counter() - start < 8, unit
 
 
 def test_personal_data_query_on_hard_rows(hard_docs, no_docs, make_docs):
@@ -125,6 +135,37 @@ def test_structure_is_confirmed_by_decoding():
     assert [k for k, *_ in secret_structure.confirmed(pem.replace(b64(RSA), "abcd"))] == []
 
 
+def test_armoured_keys_of_every_form():
+    def armour(name, body):
+        return f"-----BEGIN {name}PRIVATE KEY-----\n{body}\n-----END {name}PRIVATE KEY-----"
+
+    encrypted = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, b"c" * 48))
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201"))) + der(4, b"c" * 32))
+    dsa = der(0x30, b"".join(der(2, x) for x in (b"\0", b"p" * 128, b"q" * 20, b"g" * 128, b"y" * 128, b"x" * 20)))
+    small = der(0x30, b"".join(der(2, x) for x in (b"\0", b"p", b"q" * 20, b"g", b"y", b"x")))
+    curve = der(0x30, der(2, b"\1") + der(4, b"k" * 20))
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    whole = [
+        armour("RSA ", b64(RSA) + "\n" + " " * 21_000),
+        armour("", " " * 30_000 + b64(PKCS8)),
+        armour("ENCRYPTED ", b64(encrypted)),
+        armour("DSA ", b64(dsa)),
+        armour("EC ", b64(curve)),
+        armour("RSA ", headers + b64(b"z" * 640)),
+        armour("RSA ", "\n".join(b64(RSA)[i : i + 64] for i in range(0, len(b64(RSA)), 64))),
+    ]
+    whole += [t.replace("\n", "\\n") for t in whole] + [whole[-1].replace("\n", " "), whole[-1].replace("\n", "\r\n")]
+    for t in whole:
+        spans = secret_structure.confirmed(f"k {t} {armour('', 'abcd')}")
+        assert [s for s in spans if s[0] == "pem"] == [("pem", 2, 2 + len(t))], t[:80]
+        assert secret_structure.redact(f"k {t} x") == "k [secret] x"
+    for t in [armour("ENCRYPTED ", b64(digest)), armour("DSA ", b64(small)), armour("RSA ", headers + b64(b"z" * 641)), armour("", "")]:
+        assert [s for s in secret_structure.confirmed(t) if s[0] == "pem"] == [], t[:80]
+    start = time.perf_counter()
+    secret_structure.confirmed("-----BEGIN PRIVATE KEY----- " * 20_000 + "-----END PRIVATE KEY-----")
+    assert time.perf_counter() - start < 8
+
+
 def test_tokens_and_keys_are_found_within_longer_runs():
     token, key = jwt(b'{"alg":"HS256"}'), b64(PKCS8)
     wire = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", b"\0" + b"p" * 128))
@@ -317,6 +358,28 @@ def test_quality_held_out_accuracy(labelled):
     assert accuracy(quality_qda.quality_scores(docs, labels), labels, "quality") > 0.95
 
 
+def test_repeated_labels_and_moments_equal_plain_numpy(spark, make_docs):
+    docs = make_docs([(i % 4 + 1, f"text {i} of some words, no. {i * i}\nand a line") for i in range(40)])
+    labels = spark.createDataFrame([(i % 4 + 1, i % 2) for i in range(40)] + [(None, 1)] * 3, "doc_id long, quality int")
+    feats = quality_qda._featured(docs)
+    learn = quality_qda._learn_rows(feats, labels).collect()
+    kept = [r for r in feats.select("*", quality_qda.held_out(feats["doc_id"]).alias("h")).collect() if not r["h"]]
+    assert len(learn) == len(kept) > 0
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, len(learn[0]["features"]))) + np.arange(90)[:, None] % 2
+    y = np.arange(90) % 2
+    rows = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y)], "features array<double>, label int")
+    model = quality_qda.fit(rows)
+    cov = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (cov[0] + cov[1]) / 2
+    p, i = quality_qda.TO_POOLED, quality_qda.TO_IDENTITY
+    for c in (0, 1):
+        s = (1 - p - i) * cov[c] + p * pooled + i * np.diag(np.diag(pooled)) + 1e-6 * np.eye(len(pooled))
+        d = x - x[y == c].mean(0)
+        want = np.log(0.5) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d)
+        assert np.allclose(model[c].log_density(x), want)
+
+
 def test_toxicity_held_out_accuracy(labelled):
     docs, labels = labelled
     assert accuracy(toxicity_cnn.toxicity(docs, labels), labels, "toxic") > 0.9
@@ -365,3 +428,41 @@ def test_long_texts_are_pooled_over_blocks():
     one = toxicity_cnn.scorer(net)
     fill = "good day " * 9000
     assert one(fill + "bad day") > 0.5 > one(fill)
+
+
+def test_block_ends_do_not_change_scores(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 200, 60)]
+    y = np.array([int("w7 " in t + " ") for t in texts])
+    monkeypatch.setattr(toxicity_cnn, "STEPS", 300)
+    net = toxicity_cnn.train(texts, y)
+    net.taps = [t * rng.normal(size=t.shape).astype(np.float32) * 9 for t in net.taps]  # partial filters would win
+
+    def plain(text):
+        ids = np.array([toxicity_cnn.buckets(w) for w in toxicity_cnn.words_of(text) or [""]])
+        x = np.concatenate([net.table[ids].sum(1), np.zeros((2, toxicity_cnn.DIMS))])
+        best = [max(sum(x[i + j] @ t[j][:, f] for j in range(len(t))) for i in range(len(ids))) for t in net.taps for f in range(toxicity_cnn.FILTERS)]
+        return 1 / (1 + np.exp(-(np.maximum(best + net.bias, 0) @ net.out + net.base)))
+
+    for size in (8192, 32, 5):
+        monkeypatch.setattr(toxicity_cnn, "BLOCK", size)
+        one = toxicity_cnn.scorer(net)
+        assert np.allclose([one(t) for t in texts], [plain(t) for t in texts], atol=1e-5)
+
+
+def test_training_goes_over_whole_texts_by_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(40)], n)) for n in rng.integers(1, 90, 30)]
+    y = np.array([int("w3" in t.split()) for t in texts])
+    monkeypatch.setattr(toxicity_cnn, "STEPS", 200)
+    whole = toxicity_cnn.train(texts, y)
+    monkeypatch.setattr(toxicity_cnn, "BLOCK", 16)
+    parts = toxicity_cnn.train(texts, y)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip([whole.table, *whole.taps], [parts.table, *parts.taps]))
+
+
+def test_of_a_repeated_id_one_text_is_learnt(spark, make_docs):
+    docs = make_docs([(1, "b"), (1, "a"), (1, None), (2, "c"), (3, "d"), (3, "d")])
+    marks = spark.createDataFrame([(1, 1), (3, 0), (9, 0)], "of long, toxic int")
+    assert sorted(map(tuple, toxicity_cnn._sample(docs, marks).collect())) == [("", 1), ("d", 0)]
