@@ -76,34 +76,68 @@ def with_match_flag(
     return df.join(o, F.col(col) == F.col(key), "left").withColumn(flag, F.col(hit).isNotNull()).drop(key, hit)
 
 
-def row_violations(
-    df: DataFrame,
-    table: str,
-    key: str,
-    rules: Sequence[Rule],
-    foreign_keys: Sequence[tuple] = (),
-) -> DataFrame:
-    """One row per (row, broken rule): table_name, rule, column_name, row_key.
-
-    ``foreign_keys`` = (column, parent, parent_column[, rule name]): checked in
-    the same pass by a left join to the parent's primary key, so a child table
-    is scanned once whatever the number of rules."""
-    rules = list(rules)
-    checked = df
-    for i, fk in enumerate(foreign_keys):
-        col, parent, parent_col = fk[:3]
-        name = fk[3] if len(fk) > 3 else "foreign_key"
-        checked = with_match_flag(checked, col, parent, parent_col, f"_fk{i}", unique=True)
-        rules.append(Rule(name, col, F.col(col).isNotNull() & ~F.col(f"_fk{i}")))
-    hits = F.array(
+def _hits(rules: Sequence[Rule]) -> Column:
+    """Array with the rule and column of every rule, NULL for those that the row keeps."""
+    return F.array(
         *[F.when(r.violates, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.column).alias("column_name"))) for r in rules]
     )
-    return (
-        checked.where(any_violation(rules))
-        .select(F.col(key).cast("long").alias("row_key"), F.explode(hits).alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .select(F.lit(table).alias("table_name"), "_v.rule", "_v.column_name", "row_key")
+
+
+def _exploded(checked: DataFrame) -> DataFrame:
+    out = checked.select("table_name", "row_key", F.explode("hits").alias("_v")).where(F.col("_v").isNotNull())
+    return out.select("table_name", "_v.rule", "_v.column_name", "row_key")
+
+
+def row_violations(df: DataFrame, table: str, key: str, rules: Sequence[Rule]) -> DataFrame:
+    """One row per (row, broken rule): table_name, rule, column_name, row_key."""
+    return _exploded(
+        df.where(any_violation(rules)).select(
+            F.lit(table).alias("table_name"), F.col(key).cast("long").alias("row_key"), _hits(rules).alias("hits")
+        )
+    )
+
+
+@dataclass(frozen=True)
+class Child:
+    """A table or batch with a ``plant_id``: its own rules, and what the plant must be
+    (``foreign_key``: any plant; ``choice``: an active one).  ``choices`` = (column,
+    dimension, dimension column, rule name) for columns that name a row of a small table."""
+
+    df: DataFrame
+    table: str
+    rules: Sequence[Rule]
+    key: str = "id"
+    plant_rule: str = "foreign_key"
+    choices: Sequence[tuple] = ()
+
+
+def child_violations(children: Sequence[Child], plants: DataFrame) -> DataFrame:
+    """Violations of all children.  Each child is scanned once and reduced to its key,
+    its plant and its broken rules; the union of these slim rows is joined to the
+    plants once, so the plants are shuffled once whatever the number of children."""
+    slim = []
+    for c in children:
+        df, rules = c.df, list(c.rules)
+        for i, (col, dim, dim_col, name) in enumerate(c.choices):
+            df = with_match_flag(df, col, dim, dim_col, f"_in{i}", unique=True)
+            rules.append(Rule(name, col, F.col(col).isNotNull() & ~F.col(f"_in{i}")))
+        slim.append(
+            df.select(
+                F.lit(c.table).alias("table_name"),
+                F.col(c.key).cast("long").alias("row_key"),
+                F.col("plant_id").cast("long").alias("plant_id"),
+                F.lit(c.plant_rule).alias("plant_rule"),
+                _hits(rules).alias("hits"),
+            )
+        )
+    rows = reduce(DataFrame.unionByName, slim)
+    p = plants.where(F.col("id").isNotNull()).select(
+        F.col("id").cast("long").alias("_plant"), F.coalesce("is_active", F.lit(False)).alias("_active")
     )
+    joined = rows.join(p, F.col("plant_id") == F.col("_plant"), "left")
+    good = F.col("_plant").isNotNull() & ((F.col("plant_rule") != "choice") | F.col("_active"))
+    one = F.when(F.col("plant_id").isNotNull() & ~good, F.struct(F.col("plant_rule").alias("rule"), F.lit("plant_id").alias("column_name")))
+    return _exploded(joined.select("table_name", "row_key", F.concat("hits", F.array(one)).alias("hits")))
 
 
 def any_violation(rules: Sequence[Rule]) -> Column:
@@ -174,10 +208,32 @@ def plant_rules() -> list[Rule]:
     ]
 
 
-def care_table_violations(t, extra: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Every check of the care tables as one violation table."""
-    plants, etypes = t.plants, t.dim("event_types")
+def care_table_violations(
+    t,
+    measurement_requests: DataFrame | None = None,
+    event_requests: DataFrame | None = None,
+    plant_requests: DataFrame | None = None,
+) -> DataFrame:
+    """Every check of the care tables as one violation table; request batches (with a
+    ``request_id``) get the forms' checks, DQ-5's choices of plant and type among them."""
+    ptypes, etypes = t.dim("plant_types"), t.dim("event_types")
+    images = not_null(["filename"]) + [extension_allowed("original_filename", ALLOWED_EXTENSIONS)]
+    children = [
+        Child(t.events, "events", not_null(["event_date"]), choices=[("event_type_id", etypes, "id", "foreign_key")]),
+        Child(t.reminders, "reminders", not_null(["reminder_date", "message"])),
+        Child(t.measurements, "measurements", measurement_rules()),
+        Child(t.plant_images, "plant_images", images),
+    ]
+    if measurement_requests is not None:
+        children.append(
+            Child(measurement_requests, "measurement_requests", measurement_rules(), "request_id", "choice")
+        )
+    if event_requests is not None:
+        required = not_null(["plant_id", "event_type_id", "event_date"])
+        of_type = [("event_type_id", etypes, "id", "choice")]
+        children.append(Child(event_requests, "event_requests", required, "request_id", "choice", of_type))
     parts = [
+        child_violations(children, t.plants),
         row_violations(t.plants, "plants", "id", plant_rules()),
         unique(t.plant_types, "plant_types", "name"),
         row_violations(
@@ -189,31 +245,13 @@ def care_table_violations(t, extra: dict[str, DataFrame] | None = None) -> DataF
             + [in_range(c, *FREQUENCY_RANGE) for c in ("watering_frequency_days", "fertilizing_frequency_days")],
         ),
         unique(t.event_types, "event_types", "name"),
-        row_violations(
-            t.events, "events", "id", not_null(["event_date"]),
-            [("plant_id", plants, "id"), ("event_type_id", etypes, "id")],
-        ),
-        row_violations(
-            t.reminders, "reminders", "id", not_null(["reminder_date", "message"]), [("plant_id", plants, "id")]
-        ),
-        row_violations(t.measurements, "measurements", "id", measurement_rules(), [("plant_id", plants, "id")]),
-        row_violations(
-            t.plant_images,
-            "plant_images",
-            "id",
-            not_null(["filename"]) + [extension_allowed("original_filename", ALLOWED_EXTENSIONS)],
-            [("plant_id", plants, "id")],
-        ),
     ]
-    for name, df in (extra or {}).items():
-        active = t.plants.where(F.col("is_active"))
-        parts.append(
-            row_violations(df, name, "request_id", measurement_rules(), [("plant_id", active, "id", "choice")])
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if plant_requests is not None:
+        chosen = with_match_flag(plant_requests, "plant_type_id", ptypes, "id", "_in", unique=True)
+        unlisted = Rule("choice", "plant_type_id", F.col("plant_type_id").isNotNull() & ~F.col("_in"))
+        rules = plant_rules() + not_null(["plant_type_id"]) + [unlisted]
+        parts.append(row_violations(chosen, "plant_requests", "request_id", rules))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def violation_summary(violations: DataFrame) -> DataFrame:

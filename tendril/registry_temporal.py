@@ -194,6 +194,26 @@ def _measurement_requests(t):
     )
 
 
+def _event_forms(t):
+    """Event forms as sent: some with the empty choice 0, some with a type that does not exist."""
+    kind = F.when(F.col("id") % 11 == 0, 0).when(F.col("id") % 13 == 0, 9).otherwise(F.col("event_type_id"))
+    return t.events.select(F.col("id").alias("request_id"), "plant_id", kind.alias("event_type_id"), "event_date")
+
+
+def _plant_forms(t):
+    """Plant forms as sent: some with a type that does not exist, some without one."""
+    kind = F.when(F.col("id") % 23 == 0, 99).otherwise(F.col("plant_type_id"))
+    return t.plants.select(
+        F.col("id").alias("request_id"), "name", kind.alias("plant_type_id"), "planted_date", "location"
+    )
+
+
+REQ_E_FORM_SQL = """SELECT id AS request_id, plant_id, event_date,
+       CASE WHEN id % 11 = 0 THEN 0 WHEN id % 13 = 0 THEN 9 ELSE event_type_id END AS event_type_id FROM care_events"""
+
+REQ_P_SQL = """SELECT id AS request_id, name, planted_date, location,
+       CASE WHEN id % 23 = 0 THEN 99 ELSE plant_type_id END AS plant_type_id FROM plants"""
+
 REQ_M_SQL = """SELECT id AS request_id, plant_id, height_cm, width_cm, leaf_count, flower_count,
        leaf_count % 7 AS health_status, notes FROM measurements"""
 
@@ -373,6 +393,10 @@ def _m_rules(table, key, src=None):
     return parts
 
 
+def _choice(table, col, allowed, src):
+    return _v(table, "choice", col, "request_id", f"{col} IS NOT NULL AND {col} NOT IN {allowed}", src)
+
+
 DQ_SQL = "\nUNION ALL\n".join(
     [
         _v("plants", "not_null", "name", "id", "name IS NULL OR trim(name) = ''"),
@@ -412,13 +436,25 @@ DQ_SQL = "\nUNION ALL\n".join(
             "plant_id IS NOT NULL AND plant_id NOT IN (SELECT id FROM plants WHERE is_active)",
             f"({REQ_M_SQL}) mr",
         ),
+        *[
+            _v("event_requests", "not_null", c, "request_id", f"{c} IS NULL", f"({REQ_E_FORM_SQL}) er")
+            for c in ("plant_id", "event_type_id", "event_date")
+        ],
+        _choice("event_requests", "plant_id", "(SELECT id FROM plants WHERE is_active)", f"({REQ_E_FORM_SQL}) er"),
+        _choice("event_requests", "event_type_id", "(SELECT id FROM event_types)", f"({REQ_E_FORM_SQL}) er"),
+        _v("plant_requests", "not_null", "name", "request_id", "name IS NULL OR trim(name) = ''", f"({REQ_P_SQL}) pr"),
+        _v("plant_requests", "not_null", "planted_date", "request_id", "planted_date IS NULL", f"({REQ_P_SQL}) pr"),
+        _v("plant_requests", "not_null", "plant_type_id", "request_id", "plant_type_id IS NULL", f"({REQ_P_SQL}) pr"),
+        _v("plant_requests", "length", "name", "request_id", "length(name) < 1 OR length(name) > 100", f"({REQ_P_SQL}) pr"),
+        _v("plant_requests", "length", "location", "request_id", "length(location) > 100", f"({REQ_P_SQL}) pr"),
+        _choice("plant_requests", "plant_type_id", "(SELECT id FROM plant_types)", f"({REQ_P_SQL}) pr"),
     ]
 )
 
 
 def _violations(spark, sf_dir):
     t = T(spark, sf_dir)
-    return Q.care_table_violations(t, {"measurement_requests": _measurement_requests(t)})
+    return Q.care_table_violations(t, _measurement_requests(t), _event_forms(t), _plant_forms(t))
 
 
 @register("dq_violations", DQ_SQL)

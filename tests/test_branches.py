@@ -43,6 +43,10 @@ RULES = {
     ("measurement_requests", "not_null", "plant_id"),
     ("measurement_requests", "range", "health_status"),
     ("measurement_requests", "choice", "plant_id"),
+    ("event_requests", "choice", "plant_id"),
+    ("event_requests", "choice", "event_type_id"),
+    ("plant_requests", "choice", "plant_type_id"),
+    ("plant_requests", "not_null", "plant_type_id"),
 }
 
 

@@ -1,5 +1,7 @@
 """Physical-plan properties of the registered queries."""
 
+import re
+
 import pytest
 
 from tests.conftest import SF001
@@ -34,3 +36,15 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(c_acctbal,0.0)" in p
     p = plan_text(QUERIES["image_list"](spark, SF001), "formatted")
     assert "text:" not in p  # the documents' text column is never read
+
+
+@pytest.mark.parametrize("name", ["dq_violations", "dq_summary"])
+def test_quality_checks_join_the_plants_once(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan_text(QUERIES[name](spark, SF001), "simple")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"SortMergeJoin \[plant_id#\w+\], \[_plant#", p)) == 1
+    # the rest builds the type tables' roles and looks for their repeated names
+    assert p.count("SortMergeJoin") <= 7 and p.count("Exchange hashpartitioning") <= 15
