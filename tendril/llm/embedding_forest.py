@@ -3,14 +3,18 @@
 * Equal vectors with equal labels are one node with a count, so exact copies
   cost one row however many they are.
 * Every tree splits space recursively at medians of random projections; a
-  vector within the spill margin of a split goes to both sides.  The upper
-  part of each tree is fitted on a bounded sample (``SAMPLE`` vectors) and
-  routes every node; each of its buckets is one task's work, in which the
-  splitting goes on until ``LEAF`` vectors are left or a set can't be split
-  (a dense group), and there every pair is verified in double precision.
-* A bucket that the sample shows to be larger than ``BLOCK`` is cut into
-  blocks, and every pair of blocks is a task of its own, so a dense group of
-  any size has an exact way and no task gets all of it.
+  vector within the spill margin of a split goes to both sides.  A tree starts
+  with one group per label and vector length.  Groups of more than two blocks
+  are split in rounds: each has up to ``2 ** DEPTH`` parts in a round, fitted in
+  a task on ``SAMPLE`` vectors of its own; the next round does the same with the
+  parts that are still too large.  So the depth follows the table, and no task
+  and no driver holds more than the sample of a group.
+* A group of two blocks at most is one task's work, in which the splitting goes
+  on until ``LEAF`` vectors are left or a set can't be split, and there every
+  pair is verified in double precision.
+* A larger group that no direction splits (a dense one) is cut into blocks, and
+  every pair of blocks is a task of its own, so it has an exact way and no task
+  gets all of it.
 * A task reports a star per group of linked nodes, never pairs; the stars of
   all trees are united into components.
 * Link counts are then made exact within each component, again by blocks:
@@ -21,8 +25,8 @@ Vectors of different labels are never compared.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,62 +38,66 @@ from tendril.llm.components import components
 
 COSINE = 0.98
 TREES, SPILL, LEAF, BLOCK = 8, 0.02, 256, 1024
-#: Vectors on which the upper trees are fitted, chosen by hash.
-SAMPLE = 20_000
+#: Vectors on which a group's splits of one round are fitted, chosen by hash; levels of a round.
+SAMPLE, DEPTH = 2048, 5
+#: A split whose larger side keeps more of the vectors costs more pairs and copies than blocks do.
+SIDE = 0.7
 SEED = 29
 
 
-@dataclass
-class Split:
-    direction: np.ndarray
-    at: float
-    left: "Split | int"
-    right: "Split | int"
+def _seeded(*seed: int) -> np.random.Generator:
+    return np.random.default_rng([SEED, *seed])
 
 
-def _try_split(x: np.ndarray, rng: np.random.Generator, spill: float):
-    """(direction, threshold, left mask, right mask), or None if both sides keep most of ``x``."""
-    for _ in range(3):
-        r = rng.normal(size=x.shape[1])
-        r /= np.linalg.norm(r)
+def _direction(rng: np.random.Generator, d: int) -> np.ndarray:
+    r = rng.normal(size=d)
+    return r / np.linalg.norm(r)
+
+
+def _tried(group: str, k: int, t: int, d: int) -> np.ndarray:
+    """The ``t``-th direction that a group tries at its ``k``-th place, drawn again wherever it is needed."""
+    return _direction(_seeded(zlib.crc32(group.encode()), k, t), d)
+
+
+def _try_split(x: np.ndarray, directions: Iterable[np.ndarray], spill: float):
+    """(which direction, threshold, left mask, right mask), or None if a side of each keeps most of ``x``."""
+    for t, r in enumerate(directions):
         p = x @ r
         at = float(np.median(p))
         left, right = p <= at + spill, p >= at - spill
-        if max(left.sum(), right.sum()) <= 0.8 * len(x):
-            return r, at, left, right
+        if max(left.sum(), right.sum()) <= SIDE * len(x):
+            return t, at, left, right
     return None
 
 
-class Tree:
-    """Upper part of one tree: its splits, and per bucket the share of the sample in it."""
-
-    def __init__(self, sample: np.ndarray, rng: np.random.Generator, scale: float, spill: float, most: int):
-        self.spill, self.sizes = spill, []
-        self.root = self._grow(sample, rng, scale, most)
-
-    def _grow(self, x: np.ndarray, rng: np.random.Generator, scale: float, most: int):
-        split = None
-        if len(x) * scale > most and len(x) >= 32:
-            split = _try_split(x, rng, self.spill)
-        if split is None:
-            self.sizes.append(len(x) * scale)
-            return len(self.sizes) - 1
-        r, at, left, right = split
-        return Split(r, at, self._grow(x[left], rng, scale, most), self._grow(x[right], rng, scale, most))
-
-    def route(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, rows of ``x`` in it); a row is in every bucket that spill leads it to."""
-        todo = [(self.root, np.arange(len(x)))]
-        while todo:
-            node, rows = todo.pop()
-            if not len(rows):
-                continue
-            if not isinstance(node, Split):
-                yield node, rows
-                continue
-            p = x[rows] @ node.direction
-            todo.append((node.left, rows[p <= node.at + self.spill]))
-            todo.append((node.right, rows[p >= node.at - self.spill]))
+def fit_splits(x: np.ndarray, group: str, n: int, spill: float) -> tuple[list[float], list[int]]:
+    """Thresholds and tried directions (-1: no split) of the ``2 ** DEPTH - 1`` places of a
+    group of ``n`` vectors, ``x`` being a sample of them; the sides of place k are 2k+1 and 2k+2."""
+    at, tried = [0.0] * (2**DEPTH - 1), [-1] * (2**DEPTH - 1)
+    todo = [(0, x)]
+    while todo:
+        k, own = todo.pop()
+        if k >= len(at) or len(own) < 32 or len(own) * n <= BLOCK * len(x):
+            continue
+        split = _try_split(own, (_tried(group, k, t, x.shape[1]) for t in range(3)), spill)
+        if split is not None:
+            tried[k], at[k], left, right = split
+            todo += [(2 * k + 1, own[left]), (2 * k + 2, own[right])]
+    return at, tried
+
+
+def descend(x: np.ndarray, group: str, at: list[float], tried: list[int], spill: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, rows of ``x`` in it); a row is in every place that spill leads it to."""
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        k, rows = todo.pop()
+        if not len(rows):
+            continue
+        if k >= len(at) or tried[k] < 0:
+            yield k, rows
+            continue
+        p = x[rows] @ _tried(group, k, tried[k], x.shape[1])
+        todo += [(2 * k + 1, rows[p <= at[k] + spill]), (2 * k + 2, rows[p >= at[k] - spill])]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -102,7 +110,8 @@ def linked_pairs(x: np.ndarray, rng: np.random.Generator, cosine: float, spill:
     out, todo = [], [np.arange(len(x))]
     while todo:
         rows = todo.pop()
-        split = _try_split(x[rows], rng, spill) if len(rows) > LEAF else None
+        tries = (_direction(rng, x.shape[1]) for _ in range(3))
+        split = _try_split(x[rows], tries, spill) if len(rows) > LEAF else None
         if split is not None:
             todo += [rows[split[2]], rows[split[3]]]
             continue
@@ -167,64 +176,73 @@ def _named(vectors: DataFrame) -> DataFrame:
     return named.withColumn("node", F.when(usable, F.md5(text.cast("binary"))))
 
 
-def _fit(nodes: DataFrame, trees: int, spill: float, sample: int) -> dict[int, list[Tree]]:
-    """Trees per vector length (usually one length); at most ``sample`` vectors reach the driver."""
-    n = nodes.count()
-    if not n:
-        return {}
-    grain = 1_000_000
-    chosen = nodes.where(F.pmod(F.xxhash64("node"), F.lit(grain)) < F.lit(min(grain, int(grain * sample / n))))
-    got = chosen.select("embedding", F.size("embedding").alias("d")).limit(2 * sample).collect()
-    by: dict[int, list] = {}
-    for r in got:
-        by.setdefault(r["d"], []).append(r["embedding"])
-    out = {}
-    for d, rows in by.items():
-        x = unit(np.array(sorted(rows), np.float64))
-        rng = np.random.default_rng(SEED)
-        out[d] = [Tree(x, rng, n / len(got), spill, BLOCK) for _ in range(trees)]
-    return out
+def _vectors(rows: pd.DataFrame) -> np.ndarray:
+    return unit(np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+
 
+def _fit(rows: pd.DataFrame, spill: float) -> pd.DataFrame:
+    """The splits of one group from its sample, no row if there is none."""
+    group, n = rows["group"].iloc[0], int(rows["size"].iloc[0])
+    at, tried = fit_splits(_vectors(rows.sort_values("node")), group, n, spill)
+    return pd.DataFrame({"group": [group], "at": [at], "tried": [tried]}).iloc[: int(tried[0] >= 0)]
 
-def _route(batches: Iterator[pd.DataFrame], forest: dict[int, list[Tree]]) -> Iterator[pd.DataFrame]:
+
+def _route(batches: Iterator[pd.DataFrame], spill: float) -> Iterator[pd.DataFrame]:
+    """Rows by the parts of their groups; a part's name is its place before the group's name."""
     for rows in batches:
-        size = rows["embedding"].map(len)
-        for d, own in rows.groupby(size):
-            x = unit(np.stack(own["embedding"].to_numpy()).astype(np.float64))
-            if d in forest:
-                found = [(t, b, tree.sizes[b], at) for t, tree in enumerate(forest[d]) for b, at in tree.route(x)]
-            else:  # a length that the sample does not have: one bucket for all
-                found = [(-1, int(d), 0, np.arange(len(x)))]
-            times = [len(at) for *_, at in found]
-            out = own.iloc[np.concatenate([at for *_, at in found])]
-            parts = [max(1, int(np.ceil(n / (2 * BLOCK)))) for _, _, n, _ in found]
-            out = out.assign(
-                tree=np.repeat([f[0] for f in found], times),
-                bucket=np.repeat([f[1] for f in found], times),
-                parts=np.repeat(parts, times),
-            )
-            yield out[["tree", "bucket", "parts", "label", "node", "embedding"]]
+        for group, own in rows.groupby("group"):
+            splits = list(own["at"].iloc[0]), list(own["tried"].iloc[0])
+            for k, chosen in descend(_vectors(own), group, *splits, spill):
+                yield own.iloc[chosen][["node", "embedding"]].assign(group=f"{k}.{group}")
+
+
+def _grouped(nodes: DataFrame, trees: int, spill: float, sample: int) -> DataFrame:
+    """``group, node, embedding, parts``: every node in the groups of every tree.
+
+    A group is ``tree:length:label``, with the places of all rounds before it; groups
+    of more than two blocks have ``parts`` above 1."""
+    kind, grain = nodes.schema["embedding"].dataType.simpleString(), 1_000_000
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    level = nodes.select(tree, "label", "node", "embedding")
+    level = level.select(F.concat_ws(":", "tree", F.size("embedding"), "label").alias("group"), "node", "embedding")
+    done = None
+    while True:
+        sizes = cut(level.groupBy("group").agg(F.count("*").alias("n")))
+        large = sizes.where(F.col("n") > 2 * BLOCK).withColumn("size", F.col("n"))
+        if large.isEmpty():
+            rest = level.withColumn("parts", F.lit(1))
+            return rest if done is None else done.unionByName(rest)
+        total = sizes.agg(F.sum("n")).first()[0]
+        chance = F.pmod(F.xxhash64("node", "group"), F.lit(grain))
+        chosen = spread_join(level, large, "group", "n", total).where(chance < F.lit(grain * sample) / F.col("size"))
+        splits = chosen.groupBy("group").applyInPandas(
+            lambda rows: _fit(rows, spill), "group string, at array<double>, tried array<int>"
+        )
+        facts = cut(sizes.join(splits, "group", "left").select("group", "n", F.struct("n", "at", "tried").alias("f")))
+        known = spread_join(level, facts, "group", "n", total)
+        parts = F.ceil(F.col("f.n") / (2 * BLOCK)).cast("int").alias("parts")
+        ready = known.where(F.col("f.at").isNull()).select("group", "node", "embedding", parts)
+        done = ready if done is None else done.unionByName(ready)
+        open_rows = known.where(F.col("f.at").isNotNull()).select("group", "node", "embedding", "f.at", "f.tried")
+        level = cut(open_rows.mapInPandas(lambda it: _route(it, spill), f"node string, embedding {kind}, group string"))
 
 
 def _link(batches: Iterator[pd.DataFrame], cosine: float, spill: float) -> Iterator[pd.DataFrame]:
-    for g in _by_group(batches, ["tree", "bucket", "label", "i", "j"]):
+    for g in _by_group(batches, ["group", "i", "j"]):
         if len(g) < 2:
             continue
         g = g.sort_values("node").reset_index(drop=True)
-        for _, own in g.groupby(g["embedding"].map(len)):
-            x = unit(np.stack(own["embedding"].to_numpy()).astype(np.float64))
-            seed = [SEED, int(g["tree"].iloc[0]) + 1, int(g["bucket"].iloc[0])]  # no two trees search alike
-            pairs = linked_pairs(x, np.random.default_rng(seed), cosine, spill)
-            root = stars(len(own), pairs)
-            linked = np.flatnonzero(root != np.arange(len(own)))
-            name = own["node"].to_numpy()
-            yield pd.DataFrame({"a": name[linked], "b": name[root[linked]]})
+        rng = _seeded(zlib.crc32(g["group"].iloc[0].encode()))  # no two trees search alike
+        root = stars(len(g), linked_pairs(_vectors(g), rng, cosine, spill))
+        linked = np.flatnonzero(root != np.arange(len(g)))
+        name = g["node"].to_numpy()
+        yield pd.DataFrame({"a": name[linked], "b": name[root[linked]]})
 
 
 def _count(batches: Iterator[pd.DataFrame], cosine: float) -> Iterator[pd.DataFrame]:
     """Copies of all other nodes linked to each node, within one pair of blocks."""
     for g in _by_group(batches, ["root", "i", "j"]):
-        x, copies = unit(np.stack(g["embedding"].to_numpy()).astype(np.float64)), g["copies"].to_numpy()
+        x, copies = _vectors(g), g["copies"].to_numpy()
         first = (g["part"] == g["i"]).to_numpy()
         one_block = g["i"].iloc[0] == g["j"].iloc[0]
         links = np.zeros(len(g), np.int64)
@@ -250,7 +268,6 @@ def embedding_components(
     are copies that link with each other; vectors of different lengths never
     link.  Other columns are ignored, an empty table gives an empty one."""
     named = _named(vectors)
-    kind = named.schema["embedding"].dataType.simpleString()
     nodes = cut(
         named.where(F.col("node").isNotNull())
         .groupBy("node")
@@ -261,13 +278,8 @@ def embedding_components(
             F.count("*").alias("copies"),
         )
     )
-    forest = _fit(nodes, trees, spill, sample)
-    routed = nodes.select("node", "label", "embedding").mapInPandas(
-        lambda it: _route(it, forest),
-        f"tree int, bucket int, parts int, label string, node string, embedding {kind}",
-    )
-    keys = ["tree", "bucket", "label", "i", "j"]
-    dealt = _blocks(routed, "node", "parts").repartition(*keys).sortWithinPartitions(*keys)
+    keys = ["group", "i", "j"]
+    dealt = _blocks(_grouped(nodes, trees, spill, sample), "node", "parts").repartition(*keys).sortWithinPartitions(*keys)
     roots = components(dealt.mapInPandas(lambda it: _link(it, cosine, spill), "a string, b string"), "a", "b")
     linked = cut(nodes.join(roots, "node"))
     # a component of very many nodes, then a vector of very many copies, is spread over all tasks

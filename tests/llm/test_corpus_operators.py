@@ -264,6 +264,37 @@ def test_trees_search_one_label_each_in_its_own_way(spark):
     check_embeddings(spark, rows, least=0.99)
 
 
+def test_large_groups_are_split_in_rounds(spark, monkeypatch):
+    """Rounds go on until a group has two blocks, each from its own sample; no planted link is
+    lost, and a vector's copies per tree stay few."""
+    monkeypatch.setattr(embedding_forest, "BLOCK", 16)
+    monkeypatch.setattr(embedding_forest, "DEPTH", 2)
+    rng, rows = np.random.default_rng(3), []
+    for _ in range(1500):
+        c = rng.normal(size=16)
+        rows += [(len(rows), c.tolist(), 1), (len(rows) + 1, (c + rng.normal(size=16) * 0.02).tolist(), 1)]
+    df = spark.createDataFrame(rows, "node long, embedding array<float>, label int")
+    nodes = df.selectExpr("cast(node as string) AS node", "embedding", "cast(label as string) AS label")
+    got = embedding_forest._grouped(nodes, 2, 0.02, 256).select("group", "node", "parts").toPandas()
+    assert set(got["node"]) == {str(i) for i in range(len(rows))}
+    assert got["group"].str.split(":").str[0].str.count(r"\.").max() >= 3  # rounds after the first
+    own = got[got["parts"] == 1].groupby("group").size()
+    assert own.max() <= 32 and len(own) > 100
+    assert len(got) < 2 * 4 * len(rows)
+    check_embeddings(spark, rows, least=0.99)
+
+
+def test_splits_are_the_same_wherever_they_are_drawn():
+    x = embedding_forest.unit(np.random.default_rng(1).normal(size=(2000, 8)))
+    at, tried = embedding_forest.fit_splits(x[:500], "0:8:a", 100_000, 0.02)
+    assert (at, tried) == embedding_forest.fit_splits(x[:500], "0:8:a", 100_000, 0.02)
+    assert (at, tried) != embedding_forest.fit_splits(x[:500], "1:8:a", 100_000, 0.02)
+    places = list(embedding_forest.descend(x, "0:8:a", at, tried, 0.02))
+    assert set(np.concatenate([rows for _, rows in places])) == set(range(2000))
+    one = embedding_forest.unit(np.ones((100, 8)))
+    assert embedding_forest.fit_splits(one, "0:8:a", 100_000, 0.02)[1][0] == -1  # nothing to split
+
+
 def test_dense_group_beyond_a_block_and_exact_copies(spark, monkeypatch):
     monkeypatch.setattr(embedding_forest, "BLOCK", 64)
     rng = np.random.default_rng(6)
