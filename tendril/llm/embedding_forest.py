@@ -54,9 +54,10 @@ def _direction(rng: np.random.Generator, d: int) -> np.ndarray:
     return r / np.linalg.norm(r)
 
 
-def _tried(group: str, k: int, t: int, d: int) -> np.ndarray:
-    """The ``t``-th direction that a group tries at its ``k``-th place, drawn again wherever it is needed."""
-    return _direction(_seeded(zlib.crc32(group.encode()), k, t), d)
+def _directions(group: str, d: int) -> np.ndarray:
+    """The three directions that a group tries at each of its places, drawn again wherever they are needed."""
+    r = _seeded(zlib.crc32(group.encode())).normal(size=(2**DEPTH - 1, 3, d))
+    return r / np.linalg.norm(r, axis=2, keepdims=True)
 
 
 def _try_split(x: np.ndarray, directions: Iterable[np.ndarray], spill: float):
@@ -74,12 +75,12 @@ def fit_splits(x: np.ndarray, group: str, n: int, spill: float) -> tuple[list[fl
     """Thresholds and tried directions (-1: no split) of the ``2 ** DEPTH - 1`` places of a
     group of ``n`` vectors, ``x`` being a sample of them; the sides of place k are 2k+1 and 2k+2."""
     at, tried = [0.0] * (2**DEPTH - 1), [-1] * (2**DEPTH - 1)
-    todo = [(0, x)]
+    directions, todo = _directions(group, x.shape[1]), [(0, x)]
     while todo:
         k, own = todo.pop()
         if k >= len(at) or len(own) < 32 or len(own) * n <= BLOCK * len(x):
             continue
-        split = _try_split(own, (_tried(group, k, t, x.shape[1]) for t in range(3)), spill)
+        split = _try_split(own, directions[k], spill)
         if split is not None:
             tried[k], at[k], left, right = split
             todo += [(2 * k + 1, own[left]), (2 * k + 2, own[right])]
@@ -88,7 +89,8 @@ def fit_splits(x: np.ndarray, group: str, n: int, spill: float) -> tuple[list[fl
 
 def descend(x: np.ndarray, group: str, at: list[float], tried: list[int], spill: float) -> Iterator[tuple[int, np.ndarray]]:
     """(place, rows of ``x`` in it); a row is in every place that spill leads it to."""
-    todo = [(0, np.arange(len(x)))]
+    chosen = _directions(group, x.shape[1])[np.arange(len(at)), tried]
+    p, todo = x @ chosen.T, [(0, np.arange(len(x)))]
     while todo:
         k, rows = todo.pop()
         if not len(rows):
@@ -96,8 +98,8 @@ def descend(x: np.ndarray, group: str, at: list[float], tried: list[int], spill:
         if k >= len(at) or tried[k] < 0:
             yield k, rows
             continue
-        p = x[rows] @ _tried(group, k, tried[k], x.shape[1])
-        todo += [(2 * k + 1, rows[p <= at[k] + spill]), (2 * k + 2, rows[p >= at[k] - spill])]
+        own = p[rows, k]
+        todo += [(2 * k + 1, rows[own <= at[k] + spill]), (2 * k + 2, rows[own >= at[k] - spill])]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -190,10 +192,16 @@ def _fit(rows: pd.DataFrame, spill: float) -> pd.DataFrame:
 def _route(batches: Iterator[pd.DataFrame], spill: float) -> Iterator[pd.DataFrame]:
     """Rows by the parts of their groups; a part's name is its place before the group's name."""
     for rows in batches:
-        for group, own in rows.groupby("group"):
-            splits = list(own["at"].iloc[0]), list(own["tried"].iloc[0])
-            for k, chosen in descend(_vectors(own), group, *splits, spill):
-                yield own.iloc[chosen][["node", "embedding"]].assign(group=f"{k}.{group}")
+        vectors, names, found = rows["embedding"].to_numpy(), [], []
+        for group, own in rows.groupby("group").indices.items():
+            x = unit(np.stack(vectors[own]).astype(np.float64))
+            splits = rows["at"].iloc[own[0]], rows["tried"].iloc[own[0]]
+            for k, chosen in descend(x, group, *splits, spill):
+                names.append(f"{k}.{group}")
+                found.append(own[chosen])
+        if found:
+            out = rows[["node", "embedding"]].iloc[np.concatenate(found)]
+            yield out.assign(group=np.repeat(names, [len(at) for at in found]))
 
 
 def _grouped(nodes: DataFrame, trees: int, spill: float, sample: int) -> DataFrame:
