@@ -1,5 +1,6 @@
 """Filter interaction audit, token alignment and language-model scores: brute force and hard rows."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -335,6 +337,36 @@ def test_gradients_equal_differences():
             assert g[k][at] == pytest.approx((up - down) / 2e-4, rel=1e-3, abs=1e-6), (k, at)
 
 
+def test_training_goes_over_documents_that_it_does_not_start_from(spark, make_docs, monkeypatch):
+    """The documents that training starts from have words of their own; the others' words follow each other."""
+    monkeypatch.setattr(attention_lm, "SAMPLE_DOCS", 8)
+    ids = spark.range(400).selectExpr("id", f"pmod(xxhash64(id, 11), {400 // 8}) = 0 AS first").collect()
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("ad", "en", "ing", "or", "us")]
+    rows = []
+    for i, first in ids:
+        rows.append((i, "one two " * 400 if first else " ".join((words * 60)[i % 30 : i % 30 + 900])))
+    fitted = attention_lm.fit(make_docs(rows).coalesce(1), JSON)
+    assert 0 < sum(r["first"] for r in ids) < 40
+    (r,) = attention_lm.score(make_docs([(1000, " ".join(words * 30))]), fitted, JSON).collect()
+    start = attention_lm.first_windows(make_docs(rows).selectExpr("doc_id", "cast(text AS binary) AS text"), 400, JSON)
+    counts = attention_lm.id_counts(fitted.counts, JSON)
+    counts[-1] = 400
+    other = dataclasses.replace(fitted, model=attention_lm.train(start, counts))
+    (s,) = attention_lm.score(make_docs([(1000, " ".join(words * 30))]), other, JSON).collect()
+    assert r["score"] / r["n_tokens"] > s["score"] / s["n_tokens"] + 0.2
+
+
+def test_changes_of_tasks_are_averaged_by_weight():
+    cells = lambda i, w, x: (np.array(i, "<i4").tobytes(), np.array(w, "<f8").tobytes(), np.array(x, "<f4").tobytes())
+    ones = np.ones(attention_lm.DIMS)
+    tasks = [cells([1, 5], [1, 2], [4 * ones, 1 * ones]), cells([5, 7], [6, 1], [5 * ones, 9 * ones])]
+    table = pa.table({"block": [0, 0], "task": [1, 0], **{n: [t[k] for t in tasks] for k, n in enumerate(["ids", "weights", "rows"])}})
+    got = attention_lm._averaged(table)
+    assert np.frombuffer(got["ids"][0].as_py(), "<i4").tolist() == [1, 5, 7]
+    rows = np.frombuffer(got["rows"][0].as_py(), "<f4").reshape(3, -1)
+    assert (rows == rows[:, :1]).all() and rows[:, 0].tolist() == [4, 4, 9]
+
+
 def test_lm_scores_on_hard_rows(hard_docs, no_docs, make_docs):
     rows = [(i, t) for i, t, *_ in HARD]
     got = {}
