@@ -148,15 +148,19 @@ def _with_other(shares: Column) -> Column:
 def base_rules(docs: DataFrame, *keep: str) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``
     with the columns of ``keep`` and those that ``judge`` goes on with."""
-    d = _parts(docs, *keep)
-    n = F.size("words")
+    # words are compared by 64-bit hashes, each taken once
+    d = _parts(docs, *keep).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    n = F.size("hashes")
     lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
     windows = F.when(
         n >= WINDOW_WORDS,
-        F.transform(F.sequence(F.lit(1), n - (WINDOW_WORDS - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW_WORDS))),
+        F.transform(
+            F.sequence(F.lit(0), n - WINDOW_WORDS),
+            lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(WINDOW_WORDS)]),
+        ),
     ).otherwise(F.array().cast("array<bigint>"))
     d = d.select(
-        "doc_id", "lang", "words", *_class_counts(), F.length("text").alias("chars"), lines.alias("lines"), windows.alias("h"), "text", *keep
+        "doc_id", "lang", "hashes", *_class_counts(), F.length("text").alias("chars"), lines.alias("lines"), windows.alias("h"), "text", *keep
     )
     # only a text with equal windows needs their places: sorted by hash, then place
     again = F.size(F.array_distinct("h")) < F.size("h")
@@ -180,7 +184,7 @@ def base_rules(docs: DataFrame, *keep: str) -> DataFrame:
     d = d.select(
         "doc_id",
         "lang",
-        "words",
+        "hashes",
         "chars",
         *CLASS_NAMES,
         n.cast("long").alias("n_words"),
@@ -194,6 +198,13 @@ def base_rules(docs: DataFrame, *keep: str) -> DataFrame:
     return d.withColumn("base_failed", failed)
 
 
+def _common_hashes(refs: DataFrame) -> list[int]:
+    """The hashes of all references' words, by which other words are passed over at once; none
+    where there are more than ``REFERENCES`` references (words are then looked up one by one)."""
+    some = refs.select("ref.hashes").limit(REFERENCES + 1).collect()
+    return [] if len(some) > REFERENCES else sorted({h for r in some for h in r["hashes"]})
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Base columns, ``char_distance``, ``word_distance`` (null below the guards) and ``kept``.
 
@@ -202,12 +213,15 @@ def judge(docs: DataFrame) -> DataFrame:
     ignored, an empty table gives an empty one."""
     refs, total = references(docs)
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).withColumn("key", _key())
+    refs = refs.withColumn("ref", F.col("ref").withField("hashes", F.transform("ref.words", lambda w: F.xxhash64(w))))
     d = base_rules(bounded_join(rows, refs, "key", "docs", total), "ref")
     # places in the reference; each place is put in once more, so that its run's length gives the count
-    hits = F.filter(F.transform("words", lambda w: F.array_position(F.col("ref.words"), w)), lambda x: x > 0)
+    common = _common_hashes(refs)
+    some = F.filter("hashes", lambda x: x.isin(common)) if common else F.col("hashes")
+    hits = F.filter(F.transform(some, lambda x: F.array_position(F.col("ref.hashes"), x)), lambda x: x > 0)
     d = d.withColumn(
         "runs", F.sort_array(F.concat(hits, F.sequence(F.lit(1).cast("long"), F.size("ref.words").cast("long") + 1)))
-    ).drop("words")
+    ).drop("hashes")
     shares = F.transform(
         F.sequence(F.lit(1).cast("long"), F.size("ref.words").cast("long")),
         lambda k: (F.array_position("runs", k + 1) - F.array_position("runs", k) - 1) / F.col("n_words"),

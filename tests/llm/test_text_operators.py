@@ -319,6 +319,18 @@ def test_divergence_rejects_odd_texts_and_keeps_prose(make_docs):
     assert not odd["kept"] and not odd["base_failed"] and odd["char_distance"] > divergence_rules.CHAR_LIMIT
 
 
+def test_words_are_looked_up_alike_with_and_without_the_shortcut(make_docs, hard_docs, monkeypatch):
+    """Words of no reference are passed over at once, where there are few references."""
+    docs = make_docs([(100 + i, "the cat and a dog " * (30 + i) + f"word{i} " * i, "en" if i % 2 else "de") for i in range(20)])
+    docs = docs.unionByName(hard_docs)
+    refs = divergence_rules.references(docs)[0].selectExpr("named_struct('hashes', transform(ref.words, x -> xxhash64(x))) AS ref")
+    assert len(divergence_rules._common_hashes(refs)) >= 5
+    few = sorted(map(str, divergence_rules.judge(docs).collect()))
+    monkeypatch.setattr(divergence_rules, "REFERENCES", 0)
+    assert divergence_rules._common_hashes(refs) == []
+    assert sorted(map(str, divergence_rules.judge(docs).collect())) == few
+
+
 @pytest.mark.parametrize("broadcast_rows", [10_000, 0])
 def test_every_language_is_compared_with_its_own_reference(make_docs, monkeypatch, broadcast_rows):
     monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
