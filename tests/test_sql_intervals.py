@@ -95,3 +95,21 @@ def test_stabbing_join_forms_no_pairs_of_a_hot_key(spark):
     plan = plan_of(out)
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert stabbing_join(p.limit(0), v, "k", "at").count() == 0 == stabbing_join(p, v.limit(0), "k", "at").count()
+
+
+@pytest.mark.parametrize("dense", [0, 20, 60])
+def test_stabbing_join_of_crowded_and_other_keys_equals_all_pairs(spark, dense):
+    points, spans = _rows(3, 150, 120)
+    p = spark.createDataFrame(points, "id long, plant long, at timestamp_ntz")
+    v = spark.createDataFrame(spans, "plant long, valid_from timestamp_ntz, valid_to timestamp_ntz, name string")
+    got = stabbing_join(p, v, "plant", "at", dense=dense)
+    every = stabbing_join(p, v, "plant", "at", dense=len(points))
+    assert got.columns == every.columns and got.exceptAll(every).count() == 0 == every.exceptAll(got).count()
+    assert every.count() > 100 and "Generate" in plan_of(got)
+
+
+def test_stabbing_join_copies_no_interval_of_a_key_of_few_points(spark):
+    points, spans = _rows(4, 150, 120)
+    p = spark.createDataFrame(points, "id long, plant long, at timestamp_ntz")
+    v = spark.createDataFrame(spans, "plant long, valid_from timestamp_ntz, valid_to timestamp_ntz, name string")
+    assert "Generate" not in plan_of(stabbing_join(p, v, "plant", "at"))
