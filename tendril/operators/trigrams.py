@@ -9,6 +9,7 @@ search fields.  Needles meet texts by equi-joins only.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from tendril.session import checkpoint_path
 
 LONGEST = 3
+#: Characters of text that one task of the index cuts into runs and sorts (about).
+PART_CHARS = 1_000_000
 
 
 @dataclass
@@ -30,24 +33,28 @@ def _runs(text: Column, size: int) -> Column:
     """The distinct runs of ``size`` characters of a text."""
     if size == 0:
         return F.array(F.lit(""))
-    chars = F.split(text, "")
-    run = lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)])
     last = F.char_length(text) - size
-    return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), run))).otherwise(
+    # the text is split once, not once for each of its runs
+    run = lambda chars: lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)])
+    runs = lambda chars: F.transform(F.sequence(F.lit(0), last), run(chars))
+    return F.when(last >= 0, F.array_distinct(F.transform(F.array(F.split(text, "")), runs)[0])).otherwise(
         F.array().cast("array<string>")
     )
 
 
 def build_index(texts: DataFrame, id_col: str, text_col: str) -> TrigramIndex:
-    """The index of ``texts``, stored; rows lie sorted by gram, so a lookup skips most of
-    the files.  NULL texts are not in it."""
+    """The index of ``texts``, stored; each part covers some of the texts, its rows sorted by
+    gram, so a gram that is in every text is spread over all parts.  NULL texts are not in it.
+
+    Only the texts are shuffled: they are dealt out before they are cut, as a few small
+    files of texts become many runs."""
     spark = texts.sparkSession
     base = checkpoint_path(spark, f"trigrams-{uuid.uuid4().hex}")
-    t = texts.where(F.col(text_col).isNotNull())
-    grams = F.concat(*[_runs(F.col(text_col), n) for n in range(LONGEST + 1)])
-    rows = t.select(F.explode(grams).alias("gram"), F.col(id_col).alias("id"))
-    # the id is part of the range, as one gram may be in every text
-    rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{base}/postings")
+    t = texts.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    chars = t.agg(F.coalesce(F.sum(F.char_length("_text") + 1), F.lit(0)).alias("n")).first()["n"]
+    grams = F.concat(*[_runs(F.col("_text"), n) for n in range(LONGEST + 1)])
+    rows = t.repartition(max(1, math.ceil(chars / PART_CHARS))).select(F.explode(grams).alias("gram"), "id")
+    rows.sortWithinPartitions("gram", "id").write.parquet(f"{base}/postings")
     postings = spark.read.parquet(f"{base}/postings")
     postings.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{base}/counts")
     return TrigramIndex(postings, spark.read.parquet(f"{base}/counts"))
@@ -66,7 +73,11 @@ def search(index: TrigramIndex, texts: DataFrame, id_col: str, text_col: str, ne
     asked = n.select("needle", F.explode(F.array_distinct(grams)).alias("gram"))
     known = asked.join(index.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = known.groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("x")).where("x.n > 0")
-    found = rarest.select("needle", F.col("x.gram").alias("gram")).join(index.postings, "gram").select("needle", "id")
+    # stored, so that its size is known before the postings are read: few needles go to the
+    # postings, which then stay in place
+    at = checkpoint_path(texts.sparkSession, f"needles-{uuid.uuid4().hex}")
+    rarest.select("needle", F.col("x.gram").alias("gram")).write.parquet(at)
+    found = texts.sparkSession.read.schema("needle string, gram string").parquet(at).join(index.postings, "gram").select("needle", "id")
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     pattern = F.concat(F.lit("%"), F.replace(F.col("needle"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     return found.join(rows, "id").where(F.like(F.col("_text"), pattern)).select("needle", "id")

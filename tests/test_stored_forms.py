@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tendril.operators import trigrams
 from tendril.operators.ranking import PLACE, dense_table_rows, ranked
 from tendril.operators.trigrams import build_index, search
 from tendril.plans import changes as C
@@ -66,6 +67,19 @@ def test_trigram_search_equals_like(spark):
     assert search(index, t, "id", "name", n.limit(0)).count() == 0
 
 
+def test_trigram_index_is_cut_in_parts_and_stays_in_place(spark, monkeypatch):
+    t = spark.range(400).select("id", F.concat(F.lit("Plant é#"), "id").alias("name")).coalesce(1)
+    monkeypatch.setattr(trigrams, "PART_CHARS", 1000)
+    index = build_index(t, "id", "name")
+    per_file = index.postings.where("gram = 'Pla'").groupBy(F.input_file_name()).count()
+    assert per_file.count() > 1 and per_file.agg(F.max("count")).first()[0] < 200
+    want = {r.gram: r.n for r in index.postings.groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    assert {r.gram: r.n for r in index.counts.collect()} == want and want[""] == want["é#"] == 400
+    got = search(index, t, "id", "name", spark.createDataFrame([("#39",), ("é#7",), ("",)], "needle string"))
+    assert got.count() == 11 + 11 + 400
+    assert "hashpartitioning(gram" not in plan_text(got, "simple")
+
+
 def test_diff_applied_to_the_old_snapshot_gives_the_new_one(spark):
     t = role_tables(spark, SF001)
     old = t.plants.where("id % 11 <> 0")
