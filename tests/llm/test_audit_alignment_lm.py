@@ -337,6 +337,78 @@ def test_gradients_equal_differences():
             assert g[k][at] == pytest.approx((up - down) / 2e-4, rel=1e-3, abs=1e-6), (k, at)
 
 
+def plain_gradients(p, windows, class_of, none):
+    """All slots and classes of every window, shares and their gradients in full."""
+    lm = attention_lm
+    ids, nexts = windows[:, : lm.SPAN], windows[:, lm.SPAN :]
+    x = p["embed"][ids]
+    last = x[:, lm.CONTEXT :]
+    scale = lm.DIMS**-0.5
+    q, k, v = last @ p["q"] * scale, x @ p["k"], x @ p["v"]
+    s = 1 + (q @ k.transpose(0, 2, 1) + p["far"][lm.FAR]) / lm.POWER
+    seen = lm.BEFORE & (ids != none)[:, None, :]
+    a = np.clip(s, lm.LEAST, lm.MOST) ** lm.POWER * seen
+    a /= np.maximum(a.sum(-1, keepdims=True), 1e-300)
+    h = last + a @ v
+    t = 1 + h @ p["out"] / lm.POWER
+    y = np.clip(t, lm.LEAST, lm.MOST) ** lm.POWER
+    dz = y / y.sum(-1, keepdims=True) - np.eye(lm.CLASSES)[class_of[nexts]]
+    dz *= (t > lm.LEAST) / np.clip(t, lm.LEAST, lm.MOST) * (nexts >= 0)[..., None] / (nexts >= 0).sum()
+    dh = dz @ p["out"].T
+    da = dh @ v.transpose(0, 2, 1)
+    ds = a * (da - (da * a).sum(-1, keepdims=True)) * (s > lm.LEAST) / np.clip(s, lm.LEAST, lm.MOST)
+    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
+    g = {n: np.einsum("wid,wie->de", y, z) for n, y, z in [("q", last, dq), ("k", x, dk), ("v", x, dv), ("out", h, dz)]}
+    g["far"] = np.array([ds[:, (lm.FAR == i) & lm.BEFORE].sum() for i in range(lm.SPAN)])
+    dx = dk @ p["k"].T + dv @ p["v"].T
+    dx[:, lm.CONTEXT :] += dq @ p["q"].T + dh
+    g["embed"] = np.zeros_like(p["embed"])
+    np.add.at(g["embed"], ids, dx)
+    g["embed"][:, -1], g["embed"][none], g["v"][:, -1] = 0, 0, 0
+    return g
+
+
+@pytest.mark.parametrize("size", [0.4, 3.0])  # roots within their bounds, and beyond them
+def test_gradients_in_parts_equal_those_of_whole_batches(size):
+    rnd = np.random.default_rng(8)
+    n, d = 40, attention_lm.DIMS
+    sizes = rnd.integers(1, 150, 15)
+    inputs, nexts, _ = attention_lm.windows_of(rnd.integers(0, n - 2, sizes.sum()), sizes, n - 2)
+    windows = np.concatenate([inputs, nexts], 1)
+    assert len(windows) > 2 * attention_lm.PART_WINDOWS and len(windows) % attention_lm.PART_WINDOWS
+    class_of, _ = attention_lm.classes(rnd.integers(0, 9, n - 1))
+    shapes = {"embed": (n, d), "far": (attention_lm.SPAN,), "out": (d, attention_lm.CLASSES)} | {k: (d, d) for k in "qkv"}
+    p = {k: rnd.normal(0, size, s) for k, s in shapes.items()}
+    p["embed"][:, -1], p["embed"][-1], p["v"][:, -1] = 1, 0, 0
+    got, want = attention_lm._gradients(p, windows, class_of, n - 1), plain_gradients(p, windows, class_of, n - 1)
+    for k, x in want.items():
+        assert np.abs(got[k] - x).max() < 1e-9 * max(1, np.abs(x).max()), k
+
+
+def test_words_go_through_together():
+    words = attention_lm.Words(JSON)
+    rnd = random.Random(9)
+    parts = ["a", "É", "\xa0", "\u3000", "\x1c", "\x85", "'s", "!", "7", "😀", "word", "the"]
+    some = ["".join(rnd.choices(parts, k=rnd.randint(1, 6))).encode() for _ in range(3000)] + [b"\xff\xfe", b"a\xe2\x82", b"\xc3", b"b"]
+    ids, sizes = words.pieces(some)
+    want = words.encode(some)
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    calls = []
+
+    class Coder:
+        def encode_ordinary(self, text, own=words.coder):
+            calls.append(text)
+            return own.encode_ordinary(text)
+
+    words.coder = Coder()
+    batch = pa.RecordBatch.from_arrays([pa.array([f"word{i} and the {i % 7}".encode() for i in range(500)] + [None, b"", b" \n"], pa.binary())], ["text"])
+    ((_, distinct, places, n),) = attention_lm._chunks(iter([batch]))
+    ids, sizes = words.of_texts(distinct, places, n)
+    assert len(calls) == 1 and n.tolist() == [4] * 500 + [0] * 3 and sizes[500:].tolist() == [1] * 3
+    plain = [[i for w in plain_words(t.as_py().decode() if t.as_py() else "") for i in words.encode([w])[0]] + [words.ids] for t in batch["text"]]
+    assert ids.tolist() == [i for x in plain for i in x]
+
+
 def test_training_goes_over_documents_that_it_does_not_start_from(spark, make_docs, monkeypatch):
     """The documents that training starts from have words of their own; the others' words follow each other."""
     monkeypatch.setattr(attention_lm, "SAMPLE_DOCS", 8)
