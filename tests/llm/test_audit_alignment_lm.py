@@ -401,7 +401,8 @@ def test_words_go_through_together():
             return own.encode_ordinary(text)
 
     words.coder = Coder()
-    batch = pa.RecordBatch.from_arrays([pa.array([f"word{i} and the {i % 7}".encode() for i in range(500)] + [None, b"", b" \n"], pa.binary())], ["text"])
+    texts = [f"word{i} and the {i % 7}".encode() for i in range(500)] + [None, b"", b" \n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
     ((_, distinct, places, n),) = attention_lm._chunks(iter([batch]))
     ids, sizes = words.of_texts(distinct, places, n)
     assert len(calls) == 1 and n.tolist() == [4] * 500 + [0] * 3 and sizes[500:].tolist() == [1] * 3
@@ -409,6 +410,23 @@ def test_words_go_through_together():
     assert ids.tolist() == [i for x in plain for i in x]
 
 
+def test_windows_are_dealt_by_words_whatever_goes_through_together(monkeypatch):
+    monkeypatch.setattr(attention_lm, "CHUNK_WORDS", 100)
+    texts = [f"some words of text {i} " * (i % 9) for i in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts[i : i + 25]], pa.binary())], ["text"]) for i in (0, 25, 50)]
+    want = list(attention_lm._windows(iter(batches), JSON))
+    monkeypatch.setattr(attention_lm, "CHUNK_BYTES", 300)
+    got = list(attention_lm._windows(iter(batches), JSON))
+    assert len(got) == len(want) and all(np.array_equal(x, y) for x, y in zip(got, want))
+    words, dealt, n = attention_lm.Words(JSON), [0], 0
+    for i, t in enumerate(texts):
+        n += len(t.split()) + 1
+        dealt[-1] += -(-(sum(map(len, words.encode(plain_words(t)))) + 1) // attention_lm.STEP)
+        if n >= 100 or i in (24, 49):
+            dealt, n = [*dealt, 0], 0
+    assert [len(x) for x in want] == [k for k in dealt if k]
+
+
 def test_training_goes_over_documents_that_it_does_not_start_from(spark, make_docs, monkeypatch):
     """The documents that training starts from have words of their own; the others' words follow each other."""
     monkeypatch.setattr(attention_lm, "SAMPLE_DOCS", 8)
